@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmill.llm import decontamination, line_dedup
+from trailmill.llm import bpe, decontamination, language, line_dedup, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,33 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
+    return d.toDF("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return g.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_group").alias("component_id"))
+
+
+def in_training(id_col: str = "doc_id"):
+    """The rows that language models may learn from; the rest is held out."""
+    return F.crc32(F.col(id_col).cast("string")) % 3 != 1
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, in_training())
+    d = language.predict(docs.select("doc_id", "text"), model)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return d.select("doc_id", held.alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination, "op8_line_dedup": op8_line_dedup}
+    return {f.__name__: f for f in (op3_decontamination, op4_bpe, op6_simhash, op7_language, op8_line_dedup)}
