@@ -57,3 +57,17 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def pieces(batch, text_at: int, most: int = 4 << 20):
+    """Slices of an Arrow batch with about ``most`` bytes of text each, at least one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        base = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, base + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end

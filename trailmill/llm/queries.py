@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmill.llm import bpe, decontamination, language, line_dedup, simhash
+from trailmill.llm import bpe, decontamination, language, line_dedup, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.toDF("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return g.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_group").alias("component_id"))
@@ -55,4 +60,4 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_bpe, op6_simhash, op7_language, op8_line_dedup)}
+    return {f.__name__: f for f in (op3_decontamination, op4_bpe, op5_substring_dedup, op6_simhash, op7_language, op8_line_dedup)}
