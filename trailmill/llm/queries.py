@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmill.llm import bpe, decontamination, language, line_dedup, simhash, substring_dedup
+from trailmill.llm import avi, bpe, chat, decontamination, language, licenses, line_dedup, pii, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.size("_sentences").cast("long").alias("n_sentences"), F.array_join("_sentences", ",").alias("sentences"), F.array_join("_licenses", ",").alias("licenses"))
+
+
+def op2_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = avi.describe(avi.store_texts(table(spark, sf_dir, "documents")))
+    return d.toDF("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decontamination.exact_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select(
@@ -59,5 +69,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+    return d.select("conv_id", "n_turns", "n_copies", F.octet_length("rendered").cast("long").alias("n_bytes"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("_spans", lambda x: x["kind"].isin("email", "ip", "card", "phone"))
+    counts = [F.expr(f"cast(size(filter(_spans, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
+    best = F.array_max(F.transform("_spans", lambda x: x["score"]))
+    return d.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"), best.alias("best_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_bpe, op5_substring_dedup, op6_simhash, op7_language, op8_line_dedup)}
+    ours = (op1_licenses, op2_avi, op3_decontamination, op4_bpe, op5_substring_dedup, op6_simhash, op7_language, op8_line_dedup, op9_chat, op10_pii)
+    return {f.__name__: f for f in ours}

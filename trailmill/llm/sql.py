@@ -1,7 +1,97 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express, written from their definitions alone."""
 
 from __future__ import annotations
 
+from trailmill.llm.licenses import RULES, SENTENCES
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _licenses() -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    rest, parts = "s0", []
+    for k, (name, ids) in enumerate(RULES):
+        mark = "".join(f"<{i}>" for i in ids)
+        parts.append(f"case when contains({rest}, '{mark}') then '{name}' end")
+        rest = f"replace({rest}, '{mark}', '|')"
+        if k % 6 == 5:  # keeps the expressions short
+            parts.append(None)
+            parts.append(rest)
+            rest = f"s{k}"
+    steps, names, current, at = [], [], "s0", 0
+    columns: list[str] = []
+    for p in parts:
+        if p is None:
+            continue
+        if p.startswith("case"):
+            names.append(f"n{len(names)}")
+            columns.append(f"{p} {names[-1]}")
+        else:
+            new = f"s{(at + 1) * 6 - 1}"
+            prev = f"r{at - 1}" if at else "start"
+            steps.append(f"r{at} as (select *, {', '.join(columns)}, {p} {new} from {prev})")
+            columns, at, current = [], at + 1, new
+    del current
+    steps.append(f"r{at} as (select *, {', '.join(columns)} from r{at - 1})")
+    lower = _LOWER.format(r"regexp_replace(coalesce(text, ''), '\r?\n[ \t]*([a-z])', ' \1', 'g')")
+    return rf"""
+with known(sentence, id) as (values {known}),
+parts as (select doc_id, unnest(string_split(regexp_replace(regexp_replace({lower}, '[.!?;:]+[ \t]+|[\r\n]+', chr(10), 'g'), '[^a-z0-9.+\n]+', ' ', 'g'), chr(10))) part,
+  generate_subscripts(string_split(regexp_replace(regexp_replace({lower}, '[.!?;:]+[ \t]+|[\r\n]+', chr(10), 'g'), '[^a-z0-9.+\n]+', ' ', 'g'), chr(10)), 1) pos from documents),
+ids as (select doc_id, count(*) n, string_agg(id, ',' order by pos) sentences, string_agg('<' || id || '>', '' order by pos) marks from parts join known on trim(part, ' .') = sentence group by doc_id),
+start as (select d.doc_id, coalesce(n, 0) n_sentences, coalesce(sentences, '') sentences, coalesce(marks, '') s0 from documents d left join ids using (doc_id)),
+{', '.join(steps)},
+named as (select doc_id, unnest([{', '.join(names)}]) name, unnest(range({len(names)})) k from r{at}),
+firsts as (select doc_id, name, min(k) k from named where name is not null group by doc_id, name),
+lists as (select doc_id, string_agg(name, ',' order by k) licenses from firsts group by doc_id)
+select s.doc_id, n_sentences, sentences, coalesce(licenses, '') licenses from start s left join lists using (doc_id)
+"""
+
+
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+DECONTAMINATION = f"""
+with d as (select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from documents),
+i as (select cast(item_id as varchar) item, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from benchmark),
+sizes as (select distinct least(10, len(w)) n from i where len(w) > 0),
+windows as (select distinct item, n, list_slice(w, s, s + n - 1) g from (select item, w, least(10, len(w)) n, unnest(range(1, len(w) - least(10, len(w)) + 2)) s from i where len(w) > 0)),
+places as (select doc_id, n, s, list_slice(w, s, s + n - 1) g from (select doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) s from d, sizes)),
+found as (select distinct doc_id, item, p.n, s from places p join windows using (n, g)),
+hits as (select doc_id, count(distinct s + o) n_hit from (select doc_id, s, unnest(range(n)) o from found) group by doc_id),
+items as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item from found) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join hits using (doc_id) left join items using (doc_id)
+"""
+
+SUBSTRING_DEDUP = """
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
+windows as (select doc_id, s, list_slice(w, s, s + 19) g from (select doc_id, w, unnest(range(1, len(w) - 18)) s from d where len(w) >= 20)),
+ranked as (select doc_id, s, row_number() over (partition by g order by doc_id, s) k from windows),
+gone as (select distinct doc_id, s + o p from (select doc_id, s, unnest(range(20)) o from ranked where k > 1)),
+words as (select doc_id, unnest(w) word, generate_subscripts(w, 1) p from d),
+kept as (select doc_id, string_agg(word, ' ' order by p) t from words anti join gone using (doc_id, p) group by doc_id),
+lost as (select doc_id, count(*) n from gone group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (doc_id) left join lost using (doc_id)
+"""
+
+LINE_DEDUP = f"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) l from documents),
+lines as (select doc_id, unnest(l) line, generate_subscripts(l, 1) p from d),
+keyed as (select *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} k from lines),
+common as (select k, max(doc_id) keeper from keyed where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+marked as (select doc_id, line, p, keeper is not null and keeper <> doc_id gone from keyed left join common using (k))
+select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by p) filter (not gone), '')) kept_sha256 from marked group by doc_id
+"""
+
+CHAT = """
+with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) n,
+  '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) line from conversations where conv_id is not null),
+p as (select conv_id, n, string_agg(line, '') over (partition by conv_id order by n) so_far, count(*) over (partition by conv_id) size from t),
+whole as (select n n_turns, so_far, min(conv_id) conv_id, count(*) n_copies from p where n = size group by all),
+begun as (select distinct n n_turns, so_far from p where n < size)
+select conv_id, n_turns, n_copies, cast(octet_length(encode(so_far)) as bigint) n_bytes, sha256(so_far) rendered_sha256 from whole anti join begun using (n_turns, so_far)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licenses": _licenses(), "op3_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRING_DEDUP, "op8_line_dedup": LINE_DEDUP, "op9_chat": CHAT}
