@@ -36,10 +36,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6. One document of each group stays, the one with the smallest id.
 
-    Near-duplicates are judged on shingles of five words; fingerprints that differ in at most
-    ``simhash.RADIUS`` bits belong together.
+    Near-duplicates have a resemblance of 0.8 or more on shingles of five words.
     """
-    return simhash.keep_one(docs, shingle=5)
+    return simhash.keep_one(docs, simhash.similar_groups(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
