@@ -36,7 +36,7 @@ def parse_date(text: Column, pattern: str = "yyyy-MM-dd") -> Column:
 
 
 def tags(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def lines(text: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trailmill.queries import tracks
+from trailmill.queries import journal, scalars, tracks
 
-MODULES = (tracks,)
+MODULES = (tracks, scalars, journal)
 
 
 def queries() -> dict:

@@ -33,43 +33,43 @@ select o_orderkey id, o_custkey user_id, o_orderpriority || ' trip ' || cast(o_o
 from {orders}
 """
 _MEDIA = """
-select l_orderkey * 10 + l_linenumber id, o_custkey user_id, l_orderkey trip_id, 'obj/' || cast(l_orderkey as varchar(20)) || '/' || cast(l_linenumber as varchar(20)) object_key,
-  'thumb/' || cast(l_orderkey as varchar(20)) || '/' || cast(l_linenumber as varchar(20)) thumbnail_object_key, 'h' || cast(l_partkey % 500 as varchar(20)) file_hash,
+select l_orderkey * 100 + ln id, o_custkey user_id, l_orderkey trip_id, 'obj/' || cast(l_orderkey as varchar(20)) || '/' || cast(ln as varchar(20)) object_key,
+  'thumb/' || cast(l_orderkey as varchar(20)) || '/' || cast(ln as varchar(20)) thumbnail_object_key, 'h' || cast(l_partkey % 500 as varchar(20)) file_hash,
   case when l_partkey % 10 <> 0 then l_shipdate end shot_time_exif, case when l_partkey % 2 = 0 then 'caption ' || cast(l_partkey as varchar(20)) end user_caption,
   case when l_returnflag = 'R' then 'READY' when l_returnflag = 'A' then 'FAILED' else 'PENDING' end processing_status,
   case l_linestatus when 'O' then 'PUBLIC' else 'PRIVATE' end privacy_mode, l_partkey % 5 = 0 is_cover, l_shipdate + interval '1' day created_at
-from {lineitem} join {orders} on l_orderkey = o_orderkey
+from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) ln from {lineitem} join {orders} on l_orderkey = o_orderkey) li
 """
 PHOTO = f"select * from ({_MEDIA}) m where id % 2 = 1"
 VIDEO = f"select * from ({_MEDIA}) m where id % 2 = 0"
 PLACE = """
-select l_orderkey * 10 + l_linenumber id, o_custkey user_id, l_orderkey trip_id, 30e0 + (l_partkey % 100) * 0.01e0 lat, 114e0 + (l_suppkey % 100) * 0.01e0 lng,
+select l_orderkey * 100 + ln id, o_custkey user_id, l_orderkey trip_id, 30e0 + (l_partkey % 100) * 0.01e0 lat, 114e0 + (l_suppkey % 100) * 0.01e0 lng,
   l_shipdate start_time, cast(60 * l_quantity as bigint) duration_sec, 'city' || cast(l_suppkey % 7 as varchar(20)) city, 'district' || cast(l_suppkey % 13 as varchar(20)) district,
   case when l_partkey % 11 <> 0 then 'spot ' || cast(l_partkey % 50 as varchar(20)) end poi_name,
-  case when l_partkey % 3 = 0 then l_orderkey * 10 + 1 end photo_cover_id, case when l_partkey % 2 = 0 then l_orderkey * 10 + 2 end video_cover_id,
+  case when l_partkey % 3 = 0 then l_orderkey * 100 + 1 end photo_cover_id, case when l_partkey % 2 = 0 then l_orderkey * 100 + 2 end video_cover_id,
   cast(l_partkey % 4 as int) photo_count, cast(l_partkey % 3 as int) video_count, case l_returnflag when 'A' then 'PUBLIC' when 'R' then 'FRIENDS' else 'PRIVATE' end privacy_level,
   ' tag' || cast(l_partkey % 5 as varchar(20)) || ', , tag' || cast(l_suppkey % 5 as varchar(20)) user_tags, l_shipdate + interval '2' day generated_at
-from {lineitem} join {orders} on l_orderkey = o_orderkey where l_linenumber <= 3
+from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) ln from {lineitem} join {orders} on l_orderkey = o_orderkey) li where ln <= 3
 """
 NOTE = """
-select l_orderkey * 10 + l_linenumber id, o_custkey user_id, l_orderkey trip_id, case when l_partkey % 2 = 0 then l_partkey * 1000 end anchor_ts, case when l_suppkey % 2 = 0 then 30e0 end lat,
+select l_orderkey * 100 + ln id, o_custkey user_id, l_orderkey trip_id, case when l_partkey % 2 = 0 then l_partkey * 1000 end anchor_ts, case when l_suppkey % 2 = 0 then 30e0 end lat,
   case when l_partkey % 6 <> 0 then 'note ' || cast(l_partkey % 20 as varchar(20)) end title, 'content ' || cast(l_suppkey as varchar(20)) content,
   case l_linestatus when 'O' then 'PUBLIC' else 'PRIVATE' end privacy_mode, l_shipdate + interval '3' day created_at
-from {lineitem} join {orders} on l_orderkey = o_orderkey where l_linenumber = 4
+from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) ln from {lineitem} join {orders} on l_orderkey = o_orderkey) li where ln = 4
 """
 ANCHOR = """
-select l_orderkey * 10 + l_linenumber id, o_custkey user_id, l_orderkey trip_id, case when l_linenumber % 2 = 1 then l_orderkey * 10 + l_linenumber end photo_id,
-  case when l_linenumber % 2 = 0 then l_orderkey * 10 + l_linenumber end video_id, l_partkey * 1000 matched_ts,
+select l_orderkey * 100 + ln id, o_custkey user_id, l_orderkey trip_id, case when ln % 2 = 1 then l_orderkey * 100 + ln end photo_id,
+  case when ln % 2 = 0 then l_orderkey * 100 + ln end video_id, l_partkey * 1000 matched_ts,
   case l_partkey % 4 when 0 then 'EXIF_DIRECT' when 1 then 'TIME_NEAREST' when 2 then 'INTERPOLATE' else 'MANUAL_PICK' end match_method,
   l_discount * 10 confidence, l_returnflag = 'R' manual_override
-from {lineitem} join {orders} on l_orderkey = o_orderkey
+from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) ln from {lineitem} join {orders} on l_orderkey = o_orderkey) li
 """
 STORY = """
-select l_orderkey * 10 + l_linenumber id, o_custkey user_id, l_orderkey trip_id,
-  case l_linenumber % 4 when 0 then 'TEXT' when 1 then 'PHOTO' when 2 then 'VIDEO' else 'PLACE_SUMMARY' end block_type,
-  case l_linenumber % 4 when 0 then 'TRIP_NOTE' when 1 then 'photo' when 2 then 'VIDEO' else 'place_summary' end ref_type, l_orderkey * 10 + l_linenumber ref_id,
-  l_shipdate sort_time, l_linenumber sort_index, 'block ' || cast(l_linenumber as varchar(20)) title, case when l_partkey % 7 = 0 then 'cover/' || cast(l_partkey as varchar(20)) end cover_object_key, l_returnflag = 'R' is_hidden
-from {lineitem} join {orders} on l_orderkey = o_orderkey
+select l_orderkey * 100 + ln id, o_custkey user_id, l_orderkey trip_id,
+  case ln % 4 when 0 then 'TEXT' when 1 then 'PHOTO' when 2 then 'VIDEO' else 'PLACE_SUMMARY' end block_type,
+  case ln % 4 when 0 then 'TRIP_NOTE' when 1 then 'photo' when 2 then 'VIDEO' else 'place_summary' end ref_type, l_orderkey * 100 + ln ref_id,
+  l_shipdate sort_time, cast(ln as int) sort_index, 'block ' || cast(ln as varchar(20)) title, case when l_partkey % 7 = 0 then 'cover/' || cast(l_partkey as varchar(20)) end cover_object_key, l_returnflag = 'R' is_hidden
+from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) ln from {lineitem} join {orders} on l_orderkey = o_orderkey) li
 """
 USER = """
 select c_custkey id, c_name open_id, case when c_custkey % 3 = 0 then 'u' || cast(c_custkey as varchar(20)) end union_id, c_mktsegment || ' ' || cast(c_custkey as varchar(20)) nickname,
