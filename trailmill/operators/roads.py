@@ -129,8 +129,8 @@ def coverage(points: DataFrame, edges: DataFrame, radius: float, suspicious_m: f
     sorted_m = F.array_sort(F.collect_list("road_m"))
     at = lambda q: F.get("_d", F.floor((F.size("_d") - 1) * q).cast("int"))
     far = F.col("road_m").isNull() | (F.col("road_m") > suspicious_m)
-    g = d.groupBy("trip_id").agg(F.count(F.lit(1)).alias("points"), F.count_if(F.col("road_m").isNull()).alias("without"), F.count_if(far).alias("suspicious"), sorted_m.alias("_d"))
-    return g.select("trip_id", "points", "without", "suspicious", *(at(q).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))))
+    g = d.groupBy("trip_id").agg(F.count(F.lit(1)).alias("points"), F.count_if(F.col("road_m").isNull()).alias("uncovered"), F.count_if(far).alias("suspicious"), sorted_m.alias("_d"))
+    return g.select("trip_id", "points", "uncovered", "suspicious", *(at(q).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))))
 
 
 def complexity(points: DataFrame, edges: DataFrame, radius: float = 40.0, degree: int = 4) -> DataFrame:
@@ -149,8 +149,8 @@ def complexity(points: DataFrame, edges: DataFrame, radius: float = 40.0, degree
         F.size(F.array_distinct(F.flatten(F.collect_list(F.array("start_node", "end_node"))))).alias("_nodes"),
     )
     apart = F.flatten(F.transform("_d", lambda a, i: F.transform(F.slice("_d", i + 2, F.size("_d")), lambda b: F.abs(F.least(geo.angle_difference(a, b), 180.0 - geo.angle_difference(a, b))))))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    roads = roads.withColumn("_a", apart).withColumn("_m", mean(F.col("_a"))).withColumn("variance", F.when(F.size("_a") > 0, F.expr("aggregate(_a, 0D, (s, x) -> s + (x - _m) * (x - _m)) / size(_a)")))
+    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
+    roads = roads.withColumn("_a", apart).withColumn("_m", mean(F.col("_a"))).withColumn("variance", F.expr("try_divide(aggregate(_a, 0D, (s, x) -> s + (x - _m) * (x - _m)), size(_a))"))
     p = points.select("trip_id", "id", "ts").join(roads.select("id", "variance", "_degree", "_k", "_nodes"), "id", "left")
     trip = Window.partitionBy("trip_id")
     mu, sd = F.avg("variance").over(trip), F.stddev_pop("variance").over(trip)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trailmill.queries import journal, scalars, tracks
+from trailmill.queries import journal, roads, scalars, tracks
 
-MODULES = (tracks, scalars, journal)
+MODULES = (tracks, scalars, journal, roads)
 
 
 def queries() -> dict:
