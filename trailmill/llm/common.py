@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import string
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmill.scratch import materialise, scratch_root
+
+__all__ = ["materialise", "scratch_root", "ascii_lower", "broadcast_if_small", "tokenizer_path", "pieces"]
+
 #: The six bytes that count as white space: 20 and 09 to 0D.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -24,25 +26,6 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        sc = spark.sparkContext
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="trailmill-"))
-        root = sc._jsc.sc().getCheckpointDir().get()
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: the lineage ends there,
-    so a lost executor costs a re-read and no recomputation."""
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, text_col: str | None = None) -> DataFrame:
     """Hints a broadcast if the measured size is below the bounds; else leaves the join to a shuffle."""
     size = F.sum(F.octet_length(text_col)) if text_col else F.lit(0)

@@ -116,6 +116,6 @@ def proximity_matches(docs: DataFrame, items: DataFrame, span: int, lists: int =
     sought = seen.join(broadcast_if_small(classes), "_cid").select(F.col("_id").alias("_sid"), F.col("_th").alias("_sth"), "_ids", "_set")
     d = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     d = d.join(sought, d["_id"].eqNullSafe(sought["_sid"]) & (d["_th"] == sought["_sth"])).withColumn("_w", words_of(F.col("_text")))
-    d = d.withColumn("_first", F.expr(f"filter(sequence(0, size(_w) - 1), s -> array_contains(_set, _w[s]) and size(array_except(_set, slice(_w, s + 1, {span}))) = 0)[0]")).filter("_first is not null")
+    d = d.withColumn("_first", F.expr(f"get(filter(sequence(0, size(_w) - 1), s -> array_contains(_set, _w[s]) and size(array_except(_set, slice(_w, s + 1, {span}))) = 0), 0)")).filter("_first is not null")
     last = F.expr(f"aggregate(_set, 0, (m, t) -> greatest(m, cast(array_position(slice(_w, _first + 1, {span}), t) as int))) + _first - 1")
     return d.select("_id", "_first", last.alias("_last"), F.explode("_ids").alias("_item"))

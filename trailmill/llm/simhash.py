@@ -14,6 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +26,11 @@ RADIUS = 4
 SEED = 42
 #: Bits are counted for so many hashes at a time; a byte can hold the count.
 COUNT_ROWS = 255
-#: A subtree of so few fingerprints is kept as one array.
-LEAF = 32
-#: For similarities: words of 64 bits in a fingerprint, tables, and bits that choose a shard of a table.
-WIDE, TABLES, KEY_BITS = 4, 48, 16
+#: A subtree of so few fingerprints is kept as one array; so small shards are compared pair by pair.
+LEAF, SMALL = 256, 32
+#: For similarities: words of 64 bits in a fingerprint, tables, those of a first round, and bits that
+#: choose a shard of a table.
+WIDE, TABLES, FIRST_TABLES, KEY_BITS = 4, 48, 12, 16
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -97,11 +99,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class BKTree:
     """Rows of ``values``; an edge bears the Hamming distance between a parent and what is below it."""
 
-    def __init__(self, values: np.ndarray):
-        self.values = values
+    def __init__(self, values: np.ndarray, at: np.ndarray):
+        self.values, self.size = values, len(at)
         # A node is [index of the parent value, {distance: node}] or, with few values, [None, indices].
         self.root: list = []
-        todo: list[tuple[np.ndarray, list]] = [(np.arange(len(values)), self.root)]
+        todo: list[tuple[np.ndarray, list]] = [(at, self.root)]
         while todo:
             at, node = todo.pop()
             if len(at) <= LEAF:
@@ -141,19 +143,27 @@ class BKTree:
 
 def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """(index, index of the first of its group) for the groups that values within the radius of each
-    other form. Each leaves the tree when it is found, so a dense group costs no pair of its own."""
-    links, tree, gone = [], BKTree(values), np.zeros(len(values), bool)
+    other form. What was found is left out of the tree, which is grown anew when half of it is gone:
+    in a dense group the first searches find most, and the others meet a small tree."""
+    links, gone = [], np.zeros(len(values), bool)
+    tree, left = BKTree(values, np.arange(len(values))), len(values)
     for seed in range(len(values)):
         if gone[seed]:
             continue
         gone[seed] = True
+        left -= 1
         todo = [seed]
-        while todo:
+        while todo and left:
             for i in tree.take(todo.pop(), radius):
                 if not gone[i]:
                     gone[i] = True
+                    left -= 1
                     links.append((i, seed))
                     todo.append(i)
+            if left * 2 < tree.size:
+                tree = BKTree(values, np.flatnonzero(~gone))
+        if not left:
+            break
     return links
 
 
@@ -171,10 +181,13 @@ def keyed_by_blocks(fps: DataFrame, radius: int) -> DataFrame:
     return fps.select("_fp", F.posexplode(F.array(*(F.col("_fp").bitwiseAND(F.lit(m)) for m in masks))).alias("_c", "_key")).select("_c", "_key", "_fp")
 
 
-def keyed_by_samples(fps: DataFrame, tables: int = TABLES, bits: int = KEY_BITS, words64: int = WIDE) -> DataFrame:
-    """``_c, _key, _fp``: in each table a fixed random choice of ``bits`` bits names the shard."""
+def keyed_by_samples(fps: DataFrame, tables: range, bits: int = KEY_BITS, words64: int = WIDE) -> DataFrame:
+    """``_c, _key, _fp, _g``: in each table a fixed random choice of ``bits`` bits names the shard. ``_g``, null
+    if ``fps`` has none, is the group that a fingerprint is known to belong to."""
     rng = np.random.default_rng(SEED)
-    picks = np.stack([rng.permutation(64 * words64)[:bits] for _ in range(tables)])
+    picks = np.stack([rng.permutation(64 * words64)[:bits] for _ in range(tables.stop)])[tables.start :]
+    kind = fps.schema["_fp"].dataType.simpleString()
+    f = fps.select("_fp", F.col("_g") if "_g" in fps.columns else F.lit(None).cast(kind).alias("_g"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -182,46 +195,54 @@ def keyed_by_samples(fps: DataFrame, tables: int = TABLES, bits: int = KEY_BITS,
                 v = _values(b.column(0))
                 every = np.unpackbits(v.astype("<u8").view(np.uint8).reshape(len(v), -1), axis=1, bitorder="little")
                 key = (every[:, picks].astype(np.int64) << np.arange(bits)).sum(axis=2)
-                fp = b.column(0).take(pa.array(np.repeat(np.arange(len(v)), tables)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), len(v))), pa.array(key.ravel()), fp], names=["_c", "_key", "_fp"])
+                row = pa.array(np.repeat(np.arange(len(v)), len(picks)))
+                c = np.tile(np.arange(tables.start, tables.stop, dtype=np.int32), len(v))
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(key.ravel()), b.column(0).take(row), b.column(1).take(row)], names=["_c", "_key", "_fp", "_g"])
 
-    return fps.select("_fp").mapInArrow(run, f"_c int, _key long, _fp {fps.schema['_fp'].dataType.simpleString()}")
+    return f.mapInArrow(run, f"_c int, _key long, _fp {kind}, _g {kind}")
 
 
 def shard_links(keyed: DataFrame, radius: int) -> DataFrame:
-    """Links ``_a, _b`` that join, shard by shard, all distinct ``_fp`` within the radius: every pair
-    of a shard that is one leaf, and links that span the groups of a larger one."""
+    """Links ``_a, _b`` that join, shard by shard, all distinct ``_fp`` within the radius: every pair of a
+    small shard, and links that span the groups of a larger one. Two of one known group need no link."""
     dealt = keyed.repartition("_c", "_key").sortWithinPartitions("_c", "_key", "_fp")
     kind = keyed.schema["_fp"].dataType.simpleString()
+    grouped = "_g" in keyed.columns
 
     def links(b: pa.RecordBatch, shard: np.ndarray) -> pa.RecordBatch:
         v = _values(b.column(2))
         sizes = np.bincount(shard)
-        small = (sizes <= LEAF)[shard]
+        small = (sizes <= SMALL)[shard]
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for j in range(1, LEAF):
+        for j in range(1, SMALL):
             pair = np.flatnonzero((shard[j:] == shard[:-j]) & small[j:])
             if not len(pair):
                 break
             near = pair[_distances(v[pair], v[pair + j]) <= radius]
             left.append(near + j)
             right.append(near)
-        for s in np.flatnonzero(sizes > LEAF):
+        for s in np.flatnonzero(sizes > SMALL):
             start = int(np.searchsorted(shard, s))
             if found := spanning_links(v[start : start + sizes[s]], radius):
                 i, root = np.array(found).T
                 left.append(start + i)
                 right.append(start + root)
-        return pa.RecordBatch.from_arrays([b.column(2).take(pa.array(np.concatenate(x))) for x in (left, right)], names=["_a", "_b"])
+        a, c = (pa.array(np.concatenate(x)) for x in (left, right))
+        if grouped and len(a):
+            g = b.column(3)
+            apart = pc.fill_null(pc.not_equal(g.take(a), g.take(c)), True)
+            a, c = a.filter(apart), c.filter(apart)
+        return pa.RecordBatch.from_arrays([b.column(2).take(a), b.column(2).take(c)], names=["_a", "_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the shard that may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
+            ends = [[b.column(i)[j].as_py() for i in (0, 1)] for j in (0, b.num_rows - 1)]
+            going_on = bool(held) and [held[-1].column(i)[held[-1].num_rows - 1].as_py() for i in (0, 1)] == ends[0] == ends[1]
             held.append(b)
-            keys = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)])
-            if (keys[0] == keys[-1]).all() and len(held) > 1 and held[-2].column(1)[-1] == b.column(1)[0]:
+            if going_on:
                 continue
             whole = pa.concat_batches(held)
             keys = np.column_stack([whole.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)])
@@ -281,9 +302,9 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, shingle: int =
 
 def radius_of(similarity: float, bits: int) -> int:
     """Bits in which fingerprints of two texts differ at most, if that share of all their shingles is
-    common: the expected number for texts of one length, and 1.3 standard deviations (nine in ten)."""
+    common: the expected number for texts of one length, and 1.6 standard deviations (nineteen in twenty)."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + 1.3 * math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + 1.6 * math.sqrt(bits * p * (1 - p)))
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,11 +313,18 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     A resemblance of 0.8 moves about a seventh of the bits, too many to tell with 64 of them: the
     fingerprints here have 256 bits, and ``radius_of`` says how many may differ. Shards are named by
     bits from ``TABLES`` fixed choices. Texts at the limit meet in a shard with a chance of 0.97, those
-    of 0.9 with over 0.999.
+    of 0.9 with over 0.999. A first round over few tables finds most of the large groups, whose members
+    then need no links among themselves in the second.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, shingle, WIDE), "fingerprints")
     fps = materialise(rows.groupBy("_fp").agg(F.min(id_col).alias("_least")), "distinct")
-    return _grouped(rows, shard_links(keyed_by_samples(fps), radius_of(similarity, 64 * WIDE)), fps, id_col)
+    radius = radius_of(similarity, 64 * WIDE)
+    first = materialise(shard_links(keyed_by_samples(fps, range(FIRST_TABLES)), radius), "first")
+    known = materialise(components(first), "known")
+    fps_known = fps.select("_fp").join(known.select(F.col("_node").alias("_fp"), F.col("_root").alias("_g")), "_fp", "left")
+    second = shard_links(keyed_by_samples(fps_known, range(FIRST_TABLES, TABLES)), radius)
+    # A known group counts by the links of its members to its root.
+    return _grouped(rows, known.select(F.col("_node").alias("_a"), F.col("_root").alias("_b")).union(second), fps, id_col)
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

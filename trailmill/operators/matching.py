@@ -15,6 +15,7 @@ from trailmill.operators import roads
 from trailmill.operators.grouped import Group, map_groups
 from trailmill.operators.routing import FAR, RoadGraph, collect_graph
 from trailmill.params import DEFAULTS, MatchParams
+from trailmill.scratch import materialise
 
 NEVER = -1e30
 
@@ -208,6 +209,7 @@ def match(points: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS, order:
     by the complexity around each point, in stretches. A stretch with a point without candidates
     takes each point's best one; such a point itself keeps its place, at a confidence of 0.1.
     """
+    points, edges = materialise(points, "points"), materialise(edges, "edges")
     graph = graph or collect_graph(edges)
     shape = roads.complexity(points, edges, p.complexity_radius, p.complex_degree).select("trip_id", "id", "complexity", "complex_segment", "segment")
     if order != "adaptive":
@@ -242,7 +244,7 @@ def match(points: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS, order:
         }
 
     schema = "trip_id long, id long, ts long, lat double, lng double, edge_id long, road string, m_lat double, m_lng double, m_offset double, snap_m double, confidence double, complex boolean"
-    return map_groups(rows, ["trip_id", "segment"], ["ts", "id", "rank"], fn, schema)
+    return materialise(map_groups(rows, ["trip_id", "segment"], ["ts", "id", "rank"], fn, schema), "matched")
 
 
 def _line(a: tuple[float, float], b: tuple[float, float], steps: int) -> list[tuple[float, float]]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trailmill.functions import arrays
 from trailmill.functions.text import FAST, UNNAMED
 from trailmill.params import MatchParams
+from trailmill.scratch import materialise
 
 #: A graph goes to the workers whole if it has at most so many edges (about 200 bytes each).
 GRAPH_EDGES = 2_000_000
@@ -126,9 +127,9 @@ def collect_graph(edges: DataFrame) -> RoadGraph:
 def hop_distances(adjacency: DataFrame, source: int, most_hops: int) -> DataFrame:
     """``node, metres``: shortest distances from a node over at most ``most_hops`` edges, relaxed round by
     round as joins; for graphs of any size. Each round reads one row for each node reached."""
-    spark = adjacency.sparkSession
+    spark, adjacency = adjacency.sparkSession, materialise(adjacency, "adjacency")
     reached = spark.createDataFrame([(source, 0.0)], "node long, metres double")
     for _ in range(most_hops):
         step = reached.join(adjacency, reached["node"] == adjacency["from_node"]).select(F.col("to_node").alias("node"), (F.col("metres") + F.col("length_m")).alias("metres"))
-        reached = reached.unionAll(step).groupBy("node").agg(F.min("metres").alias("metres"))
+        reached = materialise(reached.unionAll(step).groupBy("node").agg(F.min("metres").alias("metres")), "reached")
     return reached

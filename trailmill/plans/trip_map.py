@@ -10,6 +10,7 @@ from trailmill.operators import clean, matching, motion, roads, trips
 from trailmill.operators.grouped import filter_groups
 from trailmill.operators.routing import RoadGraph, collect_graph
 from trailmill.params import COLORS, DEFAULTS, WIDTHS, MatchParams
+from trailmill.scratch import materialise
 
 
 def display(lat: str, lng: str) -> Column:
@@ -17,7 +18,7 @@ def display(lat: str, lng: str) -> Column:
     return geo.wgs_to_gcj(lat, lng)
 
 
-def walking(points: DataFrame, key: list[str], p: MatchParams = DEFAULTS) -> DataFrame:
+def walking(points: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
     """Walking stretches cleaned, smoothed, with stays drawn together, and simplified. ``points`` has a
     ``trip_id`` of its own for each stretch."""
     w = clean.fill_heading_and_speed(clean.accurate(points, p.walking_accuracy))
@@ -36,9 +37,9 @@ def stretches(points: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS) ->
     """Cleaned points with ``mode`` and ``segment``; sensor headings and speeds are left out of account if
     ``use_sensor_fields`` is off."""
     raw = points if p.use_sensor_fields else points.withColumns({"heading_deg": F.lit(None).cast("double"), "speed_mps": F.lit(None).cast("double"), "accuracy_m": F.lit(10.0)})
-    c = clean.general(clean.to_wgs84(raw), p)
+    c = materialise(clean.general(clean.to_wgs84(raw), p), "cleaned")
     modes = motion.classify(motion.evidence(roads.nearest_distance(c, edges, p.road_search), p), p)
-    return c.join(modes.select("trip_id", "id", "mode", "segment"), ["trip_id", "id"])
+    return materialise(c.join(modes.select("trip_id", "id", "mode", "segment"), ["trip_id", "id"]), "stretches")
 
 
 def lines(points: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS, graph: RoadGraph | None = None) -> DataFrame:
@@ -47,11 +48,12 @@ def lines(points: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS, graph:
     The stretches of a trip are work of their own: each takes the place of a trip in the operators,
     under a number made of both, so that all run at once.
     """
+    edges = materialise(edges, "edges")
     graph = graph or collect_graph(edges)
     s = stretches(points, edges, p)
     own = s.withColumn("_trip", F.col("trip_id")).withColumn("trip_id", F.col("trip_id") * 1000 + F.col("segment"))
     names = own.select("trip_id", "_trip", "segment", "mode").distinct()
-    walk = walking(own.filter("mode = 'WALKING'").drop("_trip", "mode", "segment"), clean.KEYS, p)
+    walk = materialise(walking(own.filter("mode = 'WALKING'").drop("_trip", "mode", "segment"), p), "walks")
     drive = clean.driving(own.filter("mode = 'DRIVING'").drop("_trip", "mode", "segment"), p)
     m = matching.match(drive, edges, p, graph=graph)
     matched = m.select("trip_id", "ts", "id", F.col("m_lat").alias("lat"), F.col("m_lng").alias("lng"))
