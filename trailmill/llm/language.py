@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmill.llm.common import pieces
+
 MAX_GRAM = 5
 #: What a worker remembers of words; beyond it the memory starts anew.
 WORD_MEMORY = 300_000
@@ -43,17 +45,21 @@ def count_features(rows: DataFrame) -> DataFrame:
     """``_lang, _n, _f, _count``: words (``_n`` 0) and n-grams with their counts in each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: Counter = Counter()
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w, c in Counter(words_of(text)).items():
-                    seen[lang, 0, w] += c
-                    for n in range(1, MAX_GRAM + 1):
-                        for g in grams_of(w, n):
-                            seen[lang, n, g] += c
-            if seen:
-                langs, ns, fs = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ns, pa.int32()), pa.array(fs, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["_lang", "_n", "_f", "_count"])
+        for whole in batches:
+            for b in pieces(whole, 1):
+                words: dict[str, Counter] = {}
+                for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    words.setdefault(lang, Counter()).update(words_of(text))
+                for lang, counts in words.items():
+                    for n in range(MAX_GRAM + 1):
+                        seen = counts
+                        if n:  # each distinct word is cut once
+                            seen = Counter()
+                            for w, c in counts.items():
+                                for g in grams_of(w, n):
+                                    seen[g] += c
+                        k = len(seen)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array([n] * k, pa.int32()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["_lang", "_n", "_f", "_count"])
 
     return rows.mapInArrow(run, "_lang string, _n int, _f string, _count long").groupBy("_lang", "_n", "_f").agg(F.sum("_count").alias("_count"))
 
@@ -81,18 +87,26 @@ class Model:
                 table[of] /= table[of].sum(axis=0)
         self.logs = np.log(table)
 
-    def word(self, w: str) -> np.ndarray | None:
-        """Log frequencies by language; None if neither the word nor any n-gram of it is known, or it has no letter."""
-        if not any(c.isalpha() for c in w):
-            return None
-        i = self.features[0].get(w)
-        if i is not None:
-            return self.logs[i]
+    def words(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Words with a row each of log frequencies by language; left out are those of which neither
+        the word nor any n-gram is known, and those without a letter."""
+        known = self.features[0]
+        whole = [w for w in words if w in known]
+        yield whole, self.logs[[known[w] for w in whole]]
+        rest = [w for w in words if w not in known and any(map(str.isalpha, w))]
         for n in range(MAX_GRAM, 0, -1):
-            known = self.features[n]
-            if got := [known[g] for g in grams_of(w, n) if g in known]:
-                return self.logs[got].mean(axis=0)
-        return None
+            known, found, flat, starts, unseen = self.features[n], [], [], [], []
+            for w in rest:
+                if got := [known[g] for g in grams_of(w, n) if g in known]:
+                    found.append(w)
+                    starts.append(len(flat))
+                    flat += got
+                else:
+                    unseen.append(w)
+            if found:
+                sizes = np.diff(starts, append=len(flat))
+                yield found, np.add.reduceat(self.logs[flat], starts, axis=0) / sizes[:, None]
+            rest = unseen
 
 
 def train(docs: DataFrame, keep: Column | None = None, docs_per_lang: int = 1500, max_words: int = 20_000, max_grams: int = 5_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -115,19 +129,18 @@ class _Words(dict):
         self.logs = np.zeros((1024, len(model.langs)))
         self.shares = np.zeros_like(self.logs)
 
-    def __missing__(self, w: str) -> int:
-        logs = self.model.word(w)
-        if logs is None:
-            self[w] = 0
-            return 0
-        if self.n == len(self.logs):
-            self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-            self.shares = np.concatenate([self.shares, np.zeros_like(self.shares)])
-        e = np.exp(logs - logs.max())
-        self.logs[self.n], self.shares[self.n] = logs, e / e.sum()
-        self[w] = self.n
-        self.n += 1
-        return self.n - 1
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self]
+        self.update(dict.fromkeys(new, 0))
+        for found, logs in self.model.words(new):
+            while self.n + len(found) > len(self.logs):
+                self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
+                self.shares = np.concatenate([self.shares, np.zeros_like(self.shares)])
+            e = np.exp(logs - logs.max(axis=1, keepdims=True))
+            rows = slice(self.n, self.n + len(found))
+            self.logs[rows], self.shares[rows] = logs, e / e.sum(axis=1, keepdims=True)
+            self.update(zip(found, range(rows.start, rows.stop), strict=True))
+            self.n = rows.stop
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -148,13 +161,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         words = _Words(m)
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole, at)):
             if len(words) > WORD_MEMORY:
                 words = _Words(m)
+            split = [words_of(t) if t else [] for t in b.column(at).to_pylist()]
+            if m.langs:
+                words.learn(set().union(*split))
             preds, scores = [], []
-            for t in b.column(at):
-                text = t.as_py()
-                found = words_of(text) if text else []
+            for found in split:
                 pred, score = "und", 0.0
                 if found and m.langs:
                     ids = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
