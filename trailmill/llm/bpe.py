@@ -12,7 +12,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from os.path import commonprefix
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -108,34 +108,45 @@ class TrieEncoder:
             self.pairs = {}
         new = sorted((w.encode(), w) for w in words if w not in self.known)
         here: dict[str, bytes] = {}
-        ids, stands, whole, pairs, longest = self.v.ids, self.v.stands, self.v.whole, self.pairs, self.v.longest
-        before, path = b"", []  # path[i]: (token, its length), the last of the encoding of the prefix of i + 1 bytes
-        for w, text in new:
-            depth = len(commonprefix((before, w)))
-            del path[depth:]
-            for end in range(depth + 1, len(w) + 1):
-                for n in range(min(end, longest), 0, -1):
-                    t = ids.get(w[end - n : end])
-                    if t is None:
-                        continue
-                    if n == end:
-                        if whole(t):
-                            path.append((t, n))
-                            break
+        ids, stands, whole, pairs, longest = self.v.ids.get, self.v.stands, self.v.whole, self.pairs, self.v.longest
+        w = before = b""
+        # path[i]: (token, its length), the last of the encoding of the prefix of i bytes, once it was asked for
+        path: list[tuple[int, int] | None] = [None]
+
+        def state(end: int) -> tuple[int, int]:
+            for n in range(min(end, longest), 0, -1):
+                t = ids(w[end - n : end])
+                if t is None:
+                    continue
+                if n == end:
+                    if not whole(t):
                         continue
-                    last = path[end - n - 1][0]
+                else:
+                    last = (path[end - n] or state(end - n))[0]
                     ok = pairs.get((last, t))
                     if ok is None:
                         ok = pairs[last, t] = stands(last, t)
-                    if ok:
-                        path.append((t, n))
-                        break
+                    if not ok:
+                        continue
+                path[end] = found = (t, n)
+                return found
+            raise ValueError("the vocabulary lacks a byte")
+
+        for w, text in new:
+            depth = 0
+            for x, y in zip(before, w, strict=False):
+                if x != y:
+                    break
+                depth += 1
+            path[depth + 1 :] = [None] * (len(w) - depth)
+            for end in range(LONG_WORD, len(w), LONG_WORD):  # so that no search goes deep
+                path[end] = path[end] or state(end)
             at, out = len(w), []
             while at:
-                t, n = path[at - 1]
+                t, n = path[at] or state(at)
                 out.append(t)
                 at -= n
-            packed = np.array(out[::-1], dtype="<u4").tobytes()
+            packed = pack(f"<{len(out)}I", *out[::-1])
             if len(w) <= LONG_WORD:
                 self.known[text] = packed
             else:
