@@ -135,6 +135,49 @@ def test_similar_groups_keep_one(spark):
     assert kept == set(range(30))
 
 
+def resemblance(a: str, b: str) -> float:
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def changed(r: random.Random, words: list[str], share: float) -> list[str]:
+    """A copy of about that resemblance: words replaced, each in five shingles of its own."""
+    n = len(words) - 4
+    at = sorted(r.sample(range(1, len(words) // 5 - 1), round(n * (1 - share) / (1 + share) / 5)))
+    return [f"new{r.random()}" if i % 5 == 2 and i // 5 in at else w for i, w in enumerate(words)]
+
+
+def test_similar_groups_planted_pairs(spark):
+    r = random.Random(6)
+    rows, pairs = [], []
+    for k, share in enumerate([0.6, 0.65, 0.7, 0.75, 0.78, 0.82, 0.85, 0.9, 0.95] * 12):
+        a = [f"w{r.randint(0, 50000)}" for _ in range(600)]
+        b = changed(r, a, share)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        pairs.append((2 * k, 2 * k + 1, resemblance(rows[-2][1], rows[-1][1])))
+    got = {x["doc_id"]: x["_group"] for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not [p for p in pairs if p[2] < 0.8 and got[p[0]] == got[p[1]]]
+    assert not [p for p in pairs if p[2] >= 0.85 and got[p[0]] != got[p[1]]]
+    limit = [got[a] == got[b] for a, b, s in pairs if 0.8 <= s < 0.85]
+    assert limit and sum(limit) >= 0.9 * len(limit)
+
+
+def test_similar_groups_repeated_phrase_and_star(spark):
+    r = random.Random(7)
+    text = lambda n: [f"w{r.randint(0, 50000)}" for _ in range(n)]
+    phrase = " ".join(text(5))
+    rows = [(1, " ".join([phrase] * 200 + text(100))), (2, " ".join([phrase] * 200 + text(100)))]
+    body = text(300)
+    rows += [(3, " ".join(body)), (4, " ".join([*body, *[phrase] * 200]))]  # alike in distinct shingles
+    # Copies of one original, each at 0.82 of it and at less than 0.8 of each other.
+    origin = text(600)
+    rows += [(i, " ".join(changed(r, origin, 0.82))) for i in range(100, 220)] + [(220, " ".join(origin))]
+    assert resemblance(rows[4][1], rows[5][1]) < 0.8 <= resemblance(rows[4][1], rows[-1][1])
+    got = {x["doc_id"]: x["_group"] for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == [1, 2, 3, 3]
+    assert {got[i] for i in range(100, 221)} == {100}
+
+
 def test_bk_tree_links_all_components():
     r = np.random.default_rng(0)
     v = np.unique(np.concatenate([r.integers(0, 2**63, 600, dtype=np.uint64), (np.uint64(1) << r.integers(0, 64, 900, dtype=np.uint64)) | (np.uint64(1) << r.integers(0, 64, 900, dtype=np.uint64))]))

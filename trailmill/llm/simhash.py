@@ -30,7 +30,10 @@ COUNT_ROWS = 255
 LEAF, SMALL = 256, 32
 #: For similarities: words of 64 bits in a fingerprint, tables, those of a first round, and bits that
 #: choose a shard of a table.
-WIDE, TABLES, FIRST_TABLES, KEY_BITS = 4, 48, 12, 16
+WIDE, TABLES, FIRST_TABLES, KEY_BITS = 4, 96, 12, 16
+#: Texts of a candidate group that are compared with all others in the first round, doubled in every
+#: further one, and the texts of a group that meet them in one part of the join.
+PIVOTS, PART_ROWS = 32, 512
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -51,17 +54,28 @@ def _wider(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, words64: int = 1) -> bytes:
-    """SimHash of the shingles of lower-cased words, repeats included, ``words64`` times 64 bits, each
-    word little-endian; all zero without words. The first word's bits are those of the hashes."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of lower-cased words in order, repeats included; fewer words than
+    ``shingle`` are one shingle, no words none."""
     words = (text or b"").lower().split()  # of bytes: ASCII blanks and letters only
     if not words:
-        return bytes(8 * words64)
+        return np.zeros(0, np.uint64)
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
-    h = np.array([hashed(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([hashed(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, words64: int = 1, distinct: bool = False) -> bytes:
+    """SimHash of the shingles, repeats included unless ``distinct``, ``words64`` times 64 bits, each
+    word little-endian; all zero without words. The first word's bits are those of the hashes."""
+    h = shingle_hashes(text, shingle)
+    if distinct:
+        h = np.unique(h)
+    n = len(h)
+    if not n:
+        return bytes(8 * words64)
     ones = np.zeros((words64, 64), np.int64)
     for i in range(0, n, 1 << 14):
         part = h[i : i + (1 << 14)]
@@ -70,7 +84,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, words64: int = 1) ->
     return np.packbits(ones.ravel() * 2 > n, bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words64: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words64: int = 1, distinct: bool = False) -> DataFrame:
     """``id_col``, ``_th`` (a hash of the text) and ``_fp`` of every row: a signed long if the fingerprint
     has 64 bits, else binary."""
     d = docs.select(id_col, F.xxhash64(text_col).alias("_th"), F.col(text_col).cast("binary").alias("_text"))
@@ -78,7 +92,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t.as_py(), shingle, words64) for t in b.column(2)]
+            fp = [fingerprint(t.as_py(), shingle, words64, distinct) for t in b.column(2)]
             col = pa.array(np.frombuffer(b"".join(fp), "<i8")) if words64 == 1 else pa.array(fp, pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), col], names=[id_col, "_th", "_fp"])
 
@@ -302,29 +316,98 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, shingle: int =
 
 def radius_of(similarity: float, bits: int) -> int:
     """Bits in which fingerprints of two texts differ at most, if that share of all their shingles is
-    common: the expected number for texts of one length, and 1.6 standard deviations (nineteen in twenty)."""
+    common: the expected number for texts of one length, and three standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + 1.6 * math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``near_duplicate_groups``, for a resemblance of the shingles (common ones to all).
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """The columns of ``wanted`` and ``_set``, the distinct shingles, once for each ``_th`` of ``wanted``."""
 
-    A resemblance of 0.8 moves about a seventh of the bits, too many to tell with 64 of them: the
-    fingerprints here have 256 bits, and ``radius_of`` says how many may differ. Shards are named by
-    bits from ``TABLES`` fixed choices. Texts at the limit meet in a shard with a chance of 0.97, those
-    of 0.9 with over 0.999. A first round over few tables finds most of the large groups, whose members
-    then need no links among themselves in the second.
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            new = [i for i, h in enumerate(b.column(0).to_pylist()) if h not in seen and not seen.add(h)]
+            yield b.take(pa.array(new, pa.int64()))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in once(batches):
+            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.int64()))], names=[*b.schema.names[:-1], "_set"])
+
+    d = docs.select(F.xxhash64(text_col).alias("_th"), F.col(text_col).cast("binary").alias("_text"))
+    # Copies go before the shuffle, so that one text in many rows is no hot key.
+    d = d.mapInArrow(once, d.schema).join(wanted, "_th").select("_th", *(c for c in wanted.columns if c != "_th"), "_text").repartition("_th")
+    return d.mapInArrow(sets, d.drop("_text").withColumn("_set", F.array(F.lit(0).cast("long"))).schema)
+
+
+def resembling(sets: DataFrame, similarity: float) -> DataFrame:
+    """``_th, _label``: texts of one ``_near`` group share a label if they are joined by pairs of which the
+    exact resemblance of the sets is at least ``similarity``. Two empty sets are alike.
+
+    In each round some texts of a group are pivots and are compared with all that are not yet in their
+    component; then they are done. A group is finished when all that is left has one label: any two
+    of its texts were compared, or known as joined. A small group takes one round, a large group of
+    near copies a few, with work in proportion to its size. Texts already joined to others are drawn
+    apart from the rest, since what they were joined by may join more.
     """
-    rows = materialise(fingerprints(docs, id_col, text_col, shingle, WIDE), "fingerprints")
-    fps = materialise(rows.groupBy("_fp").agg(F.min(id_col).alias("_least")), "distinct")
+    state = materialise(sets.select("_near", "_th", F.col("_th").alias("_label"), F.lit(False).alias("_hit"), F.lit(True).alias("_open")), "labels")
+    pivots = PIVOTS
+    while True:
+        left = state.filter("_open")
+        parts = left.groupBy("_near").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_hit").alias("_hits"), F.min("_label").alias("_lo"), F.max("_label").alias("_hi"))
+        parts = materialise(parts.filter("_lo <> _hi").drop("_lo", "_hi"), "parts")
+        if parts.isEmpty():
+            return state.select("_th", "_label")
+        draw = F.pmod(F.xxhash64("_th", F.lit(pivots)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        chance = F.lit(float(pivots)) / F.when(F.col("_hit"), F.col("_hits")).otherwise(F.col("_n") - F.col("_hits"))
+        turn = left.join(parts, "_near").select("_near", "_th", "_label", (draw < chance).alias("_pivot"), F.ceil(F.col("_n") / PART_ROWS).alias("_parts"))
+        turn = materialise(turn, "turn")
+        full = turn.join(sets.select("_th", "_set"), "_th")
+        p = full.filter("_pivot").select("_near", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"), F.col("_th").alias("_pth"), F.col("_label").alias("_plabel"), F.col("_set").alias("_pset"))
+        x = full.select("_near", F.pmod(F.xxhash64("_th"), F.col("_parts")).alias("_part"), "_th", "_label", "_pivot", "_set")
+        sizes = [F.size("_set"), F.size("_pset")]
+        pairs = x.join(p, ["_near", "_part"]).filter((F.col("_label") != F.col("_plabel")) & (~F.col("_pivot") | (F.col("_th") < F.col("_pth"))) & (F.least(*sizes) >= similarity * F.greatest(*sizes) - 1e-6))
+        both = F.size(F.array_intersect("_set", "_pset"))
+        alike = (F.greatest(*sizes) == 0) | (both / (sizes[0] + sizes[1] - both) >= similarity)
+        moves = components(materialise(pairs.filter(alike).select(F.col("_label").alias("_a"), F.col("_plabel").alias("_b")).distinct(), "alike"))
+        state = state.join(turn.filter("_pivot").select("_th", F.lit(True).alias("_done")), "_th", "left").join(moves, F.col("_label") == F.col("_node"), "left")
+        open_ = F.col("_open") & F.col("_done").isNull()
+        state = materialise(state.select("_near", "_th", F.coalesce("_root", "_label").alias("_label"), (F.col("_hit") | F.col("_root").isNotNull()).alias("_hit"), open_.alias("_open")), "labels")
+        pivots *= 2
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, _th, _fp, _group`` for every row: texts are linked whose resemblance, the share of
+    their distinct shingles that both have, is at least ``similarity``; ``_group`` as in
+    ``near_duplicate_groups``. Every link is confirmed on the shingles themselves.
+
+    Fingerprints only say which texts to compare. A resemblance of 0.8 moves about a seventh of the
+    bits, too many to tell with 64 of them: these have 256 bits, of distinct shingles, and ``radius_of``
+    says how many may differ. Shards are named by bits from ``TABLES`` fixed choices. A pair at the limit can be missed if its
+    texts meet in no shard and are not joined by others; those of 0.9 meet with over 0.999. A first
+    round over few tables finds most of the large groups, whose members then need no links among
+    themselves in the second.
+    """
+    rows = materialise(fingerprints(docs, id_col, text_col, shingle, WIDE, distinct=True), "fingerprints")
+    texts = materialise(rows.select("_th", "_fp").distinct(), "texts")
+    fps = materialise(texts.select("_fp").distinct(), "distinct")
     radius = radius_of(similarity, 64 * WIDE)
     first = materialise(shard_links(keyed_by_samples(fps, range(FIRST_TABLES)), radius), "first")
     known = materialise(components(first), "known")
-    fps_known = fps.select("_fp").join(known.select(F.col("_node").alias("_fp"), F.col("_root").alias("_g")), "_fp", "left")
+    fps_known = fps.join(known.select(F.col("_node").alias("_fp"), F.col("_root").alias("_g")), "_fp", "left")
     second = shard_links(keyed_by_samples(fps_known, range(FIRST_TABLES, TABLES)), radius)
     # A known group counts by the links of its members to its root.
-    return _grouped(rows, known.select(F.col("_node").alias("_a"), F.col("_root").alias("_b")).union(second), fps, id_col)
+    links = materialise(known.select(F.col("_node").alias("_a"), F.col("_root").alias("_b")).union(second), "candidates")
+    near = texts.join(components(links), F.col("_fp") == F.col("_node"), "left").select("_th", F.coalesce("_root", "_fp").alias("_near"))
+    near = materialise(near, "near")
+    shared = near.groupBy("_near").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    sets = materialise(shingle_sets(docs, near.join(shared, "_near"), shingle, text_col), "sets")
+    labels = resembling(sets, similarity)
+    found = materialise(rows.join(labels, "_th", "left").withColumn("_root", F.coalesce("_label", "_th")).drop("_label"), "found")
+    least = found.groupBy("_root").agg(F.min(id_col).alias("_group"))
+    return found.join(least, "_root").select(id_col, "_th", "_fp", "_group")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
