@@ -178,6 +178,19 @@ def test_similar_groups_repeated_phrase_and_star(spark):
     assert {got[i] for i in range(100, 221)} == {100}
 
 
+def test_keep_one_null_and_repeated_ids(spark):
+    r = random.Random(8)
+    t = [" ".join(f"w{r.randint(0, 50000)}" for _ in range(200)) for _ in range(6)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1] + " end"), (5, t[2]), (5, t[3]), (5, t[3]), (None, t[4]), (9, t[4] + " end"), (5, t[5]), (3, t[5] + " end")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for groups in (simhash.similar_groups(d), simhash.near_duplicate_groups(d, radius=10)):
+        kept = [(x["doc_id"], x["text"]) for x in simhash.keep_one(d, groups).collect()]
+        one_of_two = [x for x in kept if x in rows[1:3]]
+        assert len(one_of_two) == 1
+        assert {x for x in kept if x not in one_of_two} == {rows[0], rows[3], rows[4], rows[7], rows[9]}
+        assert len(kept) == 7  # the rows equal in id and text stay together
+
+
 def test_bk_tree_links_all_components():
     r = np.random.default_rng(0)
     v = np.unique(np.concatenate([r.integers(0, 2**63, 600, dtype=np.uint64), (np.uint64(1) << r.integers(0, 64, 900, dtype=np.uint64)) | (np.uint64(1) << r.integers(0, 64, 900, dtype=np.uint64))]))

@@ -295,13 +295,13 @@ def _grouped(rows: DataFrame, links: DataFrame, fps: DataFrame, id_col: str) ->
     roots = materialise(components(links), "roots")
     of = fps.join(roots, fps["_fp"] == roots["_node"], "left").select("_fp", "_least", F.coalesce("_root", "_fp").alias("_root"))
     least = of.groupBy("_root").agg(F.min("_least").alias("_group"))
-    return rows.join(of.join(least, "_root").select("_fp", "_group"), "_fp").select(id_col, "_th", "_fp", "_group")
+    return rows.join(of.join(least, "_root").select("_fp", "_group", "_root"), "_fp").select(id_col, "_th", "_fp", "_group", "_root")
 
 
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, _th, _fp, _group`` for every row: rows whose 64-bit fingerprints differ in at most
+    """``id_col, _th, _fp, _group, _root`` for every row: rows whose 64-bit fingerprints differ in at most
     ``radius`` bits are linked, and ``_group`` is the smallest id reachable over links, the row itself
-    included. No link is lost.
+    included. ``_root`` tells groups apart where ids are null or repeated. No link is lost.
 
     Null and empty texts, and texts of blanks, have fingerprint 0 and link like any other; fewer words
     than ``shingle`` are one shingle. Repeated rows are linked (distance 0). A null id is never the
@@ -379,9 +379,9 @@ def resembling(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, _th, _fp, _group`` for every row: texts are linked whose resemblance, the share of
-    their distinct shingles that both have, is at least ``similarity``; ``_group`` as in
-    ``near_duplicate_groups``. Every link is confirmed on the shingles themselves.
+    """``id_col, _th, _fp, _group, _root`` for every row: texts are linked whose resemblance, the share of
+    their distinct shingles that both have, is at least ``similarity``; ``_group``
+    and ``_root`` as in ``near_duplicate_groups``. Every link is confirmed on the shingles themselves.
 
     Fingerprints only say which texts to compare. A resemblance of 0.8 moves about a seventh of the
     bits, too many to tell with 64 of them: these have 256 bits, of distinct shingles, and ``radius_of``
@@ -407,12 +407,14 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     labels = resembling(sets, similarity)
     found = materialise(rows.join(labels, "_th", "left").withColumn("_root", F.coalesce("_label", "_th")).drop("_label"), "found")
     least = found.groupBy("_root").agg(F.min(id_col).alias("_group"))
-    return found.join(least, "_root").select(id_col, "_th", "_fp", "_group")
+    return found.join(least, "_root").select(id_col, "_th", "_fp", "_group", "_root")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group; where rows share that id, the
-    text with the smallest hash. Rows equal in id and text stay together."""
-    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("_group"))).groupBy("_group").agg(F.min("_th").alias("_kth"))
+    """The rows of ``docs`` whose id is the smallest of their group, a null id only where the group has no
+    other; where rows share that id, the text with the smallest hash. Rows equal in id and text stay
+    together. Groups are told apart by ``_root``: each keeps its own row, whatever ids others have."""
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_th").alias("th")))
+    stay = groups.groupBy("_root").agg(first.alias("_k")).select(F.col("_k.id").alias("_kid"), F.col("_k.th").alias("_kth"))
     d = docs.withColumn("_th", F.xxhash64(text_col))
-    return d.join(stay, d[id_col].eqNullSafe(stay["_group"]) & (d["_th"] == stay["_kth"]), "left_semi").select(*docs.columns)
+    return d.join(stay, d[id_col].eqNullSafe(stay["_kid"]) & (d["_th"] == stay["_kth"]), "left_semi").select(*docs.columns)
