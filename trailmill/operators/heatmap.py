@@ -11,7 +11,7 @@ from trailmill.operators.grouped import filter_groups
 
 #: Fixed values of the weight.
 GRID_M, GRID_LEAST, GRID_MOST = 80, 20, 500
-ACCURACY_M, STAY_M, MOST_S, MOST_POINTS, MOST_CELLS = 150.0, 30.0, 300, 50_000, 600
+ACCURACY_M, STAY_M, MOST_S, MOST_CELLS = 150.0, 30.0, 300, 600
 
 
 def grid_metres(asked: int | None) -> int:
@@ -21,13 +21,13 @@ def grid_metres(asked: int | None) -> int:
 def heat_cells(points: DataFrame, scope: str = "trip_id", grid: int | None = None) -> DataFrame:
     """``scope, y, x, lat, lng, samples, trips, stay_s, weight, first_ts``: cells of each trip or user.
 
-    Points of good accuracy at valid places, near repeats of one time left out, thinned beyond 50 000 a
-    scope. Each adds 1 and, for the time since the scope's point before, more the longer it stayed.
+    Points of good accuracy at valid places, near repeats of one time left out; all count,
+    however many a scope has. Each adds 1 and, for the time since the scope's point before, more the longer it stayed.
     The centre is that of the first point in the cell, whose latitude sets the width of cells.
     """
     m = float(grid_metres(grid))
     p = points.filter(geo.valid_not_origin("lat", "lng", 1e-9) & F.col("ts").isNotNull() & (F.col("accuracy_m").isNull() | (F.col("accuracy_m") <= ACCURACY_M)))
-    p = clean.thin(filter_groups(p, [scope], ["ts", "id"], clean.keep_for_heatmap), MOST_POINTS, (scope,))
+    p = filter_groups(p, [scope], ["ts", "id"], clean.keep_for_heatmap)
     along = Window.partitionBy(scope).orderBy("ts", "id")
     p = p.select("*", geo.grid_cell("lat", "lng", m).alias("c"), F.lag("lat").over(along).alias("_lat"), F.lag("lng").over(along).alias("_lng"), F.lag("ts").over(along).alias("_ts"))
     dt = F.least(F.lit(MOST_S), F.floor((F.col("ts") - F.col("_ts")) / 1000))
