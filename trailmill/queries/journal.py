@@ -236,6 +236,17 @@ def asof_media_anchor(spark, sf):
     return rel.nearest_in_time(m, derived(spark, sf, "track"), "trip_id", "time_ms").filter("near_id is not null")
 
 
+#: Every event is a medium of its own trip, taken up to a minute before or after its point.
+_ALL_MEDIA = f"(select id, trip_id, ts + id * 7919 % 120000 - 60000 time_ms from {TP})"
+
+
+@register("asof_media_all", f"""select id, time_ms, near_id, near_ts from (select m.id, time_ms, p.id near_id, p.ts near_ts, row_number() over (partition by m.id order by abs(p.ts - time_ms), p.ts) k from {_ALL_MEDIA} m join {TP} p using (trip_id)) where k = 1""")
+def asof_media_all(spark, sf):
+    p = derived(spark, sf, "track")
+    m = p.select("id", "trip_id", (F.col("ts") + F.col("id") * 7919 % 120000 - 60000).alias("time_ms"))
+    return rel.nearest_in_time(m, p, "trip_id", "time_ms")
+
+
 @register("trip_replay", f"select trip_id, kind, count(*) n, min(t) first_time from (select trip_id, 'PHOTO' kind, shot_time_exif t from {PHOTO} union all select trip_id, 'VIDEO', shot_time_exif from {VIDEO} union all select trip_id, 'NOTE', created_at from {NOTE}) group by trip_id, kind")
 def trip_replay(spark, sf):
     part = lambda n, k, c: derived(spark, sf, n).select("trip_id", F.lit(k).alias("kind"), F.col(c).alias("t"))
