@@ -108,7 +108,7 @@ def test_substring_index_compacts(spark, docs, tmp_path):
 
 def test_simhash(spark, docs):
     near = [*docs, *((100 + i, (docs[-1][1] or "") + f" word{i}") for i in range(40)), (200, docs[9][1])]
-    got = {r["doc_id"]: (r["_fp"] % (1 << 64), r["_group"]) for r in simhash.near_duplicate_groups(frame(spark, near).drop("_fp")).collect()}
+    got = {r["doc_id"]: (r["_fp"] % (1 << 64), r["_group"]) for r in simhash.near_duplicate_groups(frame(spark, near)).collect()}
     fp = {i: brute.simhash(t) for i, t in near}
     group = brute.components(fp)
     assert got == {i: (fp[i], group[i]) for i, _ in near}
@@ -182,22 +182,73 @@ def test_keep_one_null_and_repeated_ids(spark):
     r = random.Random(8)
     t = [" ".join(f"w{r.randint(0, 50000)}" for _ in range(200)) for _ in range(6)]
     rows = [(None, t[0]), (None, t[1]), (None, t[1] + " end"), (5, t[2]), (5, t[3]), (5, t[3]), (None, t[4]), (9, t[4] + " end"), (5, t[5]), (3, t[5] + " end")]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("_th", "_fp", "_group", "_kid")})
     for groups in (simhash.similar_groups(d), simhash.near_duplicate_groups(d, radius=10)):
-        kept = [(x["doc_id"], x["text"]) for x in simhash.keep_one(d, groups).collect()]
+        found = simhash.keep_one(d, groups)
+        assert found.columns == d.columns and {x["_th"] + x["_kid"] for x in found.collect()} == {"ownown"}
+        kept = [(x["doc_id"], x["text"]) for x in found.collect()]
         one_of_two = [x for x in kept if x in rows[1:3]]
         assert len(one_of_two) == 1
         assert {x for x in kept if x not in one_of_two} == {rows[0], rows[3], rows[4], rows[7], rows[9]}
         assert len(kept) == 7  # the rows equal in id and text stay together
 
 
-def test_bk_tree_links_all_components():
-    r = np.random.default_rng(0)
-    v = np.unique(np.concatenate([r.integers(0, 2**63, 600, dtype=np.uint64), (np.uint64(1) << r.integers(0, 64, 900, dtype=np.uint64)) | (np.uint64(1) << r.integers(0, 64, 900, dtype=np.uint64))]))
-    links = simhash.spanning_links(v.reshape(-1, 1), 4)
-    got = brute.components(dict(enumerate(v.tolist())))
-    assert len(v) - len(links) == len(set(got.values()))
-    assert all(got[a] == got[b] for a, b in links)
+def near_values(seed: int) -> np.ndarray:
+    r = np.random.default_rng(seed)
+    one = lambda: np.uint64(1) << r.integers(0, 64, 900, dtype=np.uint64)
+    return np.unique(np.concatenate([r.integers(0, 2**63, 600, dtype=np.uint64), one() | one()]))
+
+
+def partition(n: int, pairs) -> set[frozenset[int]]:
+    group = list(range(n))
+    for a, b in pairs:
+        x, y = group[a], group[b]
+        if x != y:
+            group = [x if g == y else g for g in group]
+    return {frozenset(i for i in range(n) if group[i] == g) for g in set(group)}
+
+
+def plain_partition(values: np.ndarray) -> set[frozenset[int]]:
+    got = brute.components(dict(enumerate(values.tolist())))
+    return {frozenset(i for i in got if got[i] == g) for g in set(got.values())}
+
+
+def test_bk_forest_links_all_components_through_trees():
+    v = near_values(0)
+    shard = np.repeat([0, 3, 4], [len(v) - 10, 1, 9])
+    a, b, forest = simhash.forest_links(v.reshape(-1, 1), shard, 4)
+    assert (np.bitwise_count(v[a] ^ v[b]) <= 4).all() and (shard[a] == shard[b]).all()
+    for s in (0, 3, 4):
+        at = np.flatnonzero(shard == s)
+        inside = [(x - at[0], y - at[0]) for x, y in zip(a.tolist(), b.tolist(), strict=True) if shard[x] == s]
+        assert partition(len(at), inside) == plain_partition(v[at])
+    # Every link was found by a walk over nodes, and the walks left most of the pairs out.
+    assert len(forest.levels) > 5 and len(a) <= forest.visited < len(v) ** 2 / 4
+    for node in np.flatnonzero(forest.above >= 0)[:200]:
+        same = np.flatnonzero(forest.above == forest.above[node])
+        assert len({int(np.bitwise_count(v[x] ^ v[forest.above[node]])) for x in same}) == len(same)
+
+
+def test_bk_forest_asks_other_part():
+    v = near_values(1)
+    np.random.default_rng(2).shuffle(v)
+    asks = np.arange(len(v)) % 3 == 0
+    a, b, _ = simhash.forest_links(v.reshape(-1, 1), np.zeros(len(v), int), 4, asks)
+    own = np.flatnonzero(asks)
+    c, d, _ = simhash.forest_links(v[own].reshape(-1, 1), np.zeros(len(own), int), 4)
+    links = [*zip(a.tolist(), b.tolist(), strict=True), *zip(own[c].tolist(), own[d].tolist(), strict=True)]
+    assert partition(len(v), links) == plain_partition(v)
+
+
+@pytest.mark.parametrize("part", [20_000, 70])
+def test_shards_in_one_part_or_several(spark, part):
+    v = near_values(3)
+    fps = spark.createDataFrame([(int(x) - (1 << 64) if x >> np.uint64(63) else int(x),) for x in v], "_fp long")
+    keyed = simhash.keyed_by_blocks(fps, 4, 1)
+    links = [(r["_a"] % (1 << 64), r["_b"] % (1 << 64)) for r in simhash.shard_links(keyed, keyed, 4, part, 1).collect()]
+    at = {int(x): i for i, x in enumerate(v)}
+    assert partition(len(v), [(at[a], at[b]) for a, b in links]) == plain_partition(v)
+    assert len(simhash.dealt_in_parts(keyed, keyed, part, 1).select("_block").distinct().collect()) > (0 if part > 1000 else 3)
 
 
 @pytest.fixture(scope="module")

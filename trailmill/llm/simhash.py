@@ -2,8 +2,9 @@
 
 Fingerprints go to shards by some of their bits, so that near ones meet in at least one. A shard is
 a BK-tree: children are keyed by the Hamming distance to their parent, and a search follows only the
-edges within the radius. The trees are not broadcast, since their size is that of the corpus: the
-shuffle brings every shard its tree and its searches.
+edges within the radius. Every link comes from such a search. The trees are not broadcast, since their
+size is that of the corpus and a broadcast passes the driver: the shuffle brings every shard its tree
+and its searches, and a shard that is too large for one task becomes several trees.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ RADIUS = 4
 SEED = 42
 #: Bits are counted for so many hashes at a time; a byte can hold the count.
 COUNT_ROWS = 255
-#: A subtree of so few fingerprints is kept as one array; so small shards are compared pair by pair.
-LEAF, SMALL = 256, 32
+#: Values in a shard at most if they are evenly spread, and in one tree of an uneven shard; one
+#: fingerprint in so many tells which shards are uneven; nodes that are visited at a time.
+SHARD, PART, SAMPLE, STEPS = 256, 20_000, 64, 1 << 20
 #: For similarities: words of 64 bits in a fingerprint, tables, those of a first round, and bits that
 #: choose a shard of a table.
 WIDE, TABLES, FIRST_TABLES, KEY_BITS = 4, 96, 12, 16
@@ -110,78 +112,156 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-class BKTree:
-    """Rows of ``values``; an edge bears the Hamming distance between a parent and what is below it."""
-
-    def __init__(self, values: np.ndarray, at: np.ndarray):
-        self.values, self.size = values, len(at)
-        # A node is [index of the parent value, {distance: node}] or, with few values, [None, indices].
-        self.root: list = []
-        todo: list[tuple[np.ndarray, list]] = [(at, self.root)]
-        while todo:
-            at, node = todo.pop()
-            if len(at) <= LEAF:
-                node += [None, at]
-                continue
-            d = _distances(values[at[1:]], values[at[0]])
-            order = np.argsort(d, kind="stable")
-            rest, d = at[1:][order], d[order]
-            cuts = np.flatnonzero(np.diff(d)) + 1
-            edges: dict[int, list] = {}
-            node += [at[0], edges]
-            for part, k in zip(np.split(rest, cuts), d[np.concatenate(([0], cuts))].tolist(), strict=True):
-                edges[k] = []
-                todo.append((part, edges[k]))
-
-    def take(self, i: int, radius: int) -> list[int]:
-        """Indices within ``radius`` of value ``i``. Those in leaves are removed; a parent value stays,
-        as a signpost."""
-        q, found = self.values[i], []
-        path: list[tuple[list, list | None, int]] = [(self.root, None, 0)]
-        while path:
-            node, above, edge = path.pop()
-            if node[0] is None:
-                near = _distances(self.values[node[1]], q) <= radius
-                if near.any():
-                    found += node[1][near].tolist()
-                    node[1] = node[1][~near]
-                    if above is not None and not len(node[1]):
-                        del above[1][edge]
-                continue
-            d = int(_distances(self.values[node[0]], q))
-            if d <= radius:
-                found.append(int(node[0]))
-            path += [(child, node, k) for k, child in node[1].items() if abs(k - d) <= radius]
-        return found
-
-
-def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(index, index of the first of its group) for the groups that values within the radius of each
-    other form. What was found is left out of the tree, which is grown anew when half of it is gone:
-    in a dense group the first searches find most, and the others meet a small tree."""
-    links, gone = [], np.zeros(len(values), bool)
-    tree, left = BKTree(values, np.arange(len(values))), len(values)
-    for seed in range(len(values)):
-        if gone[seed]:
-            continue
-        gone[seed] = True
-        left -= 1
-        todo = [seed]
-        while todo and left:
-            for i in tree.take(todo.pop(), radius):
-                if not gone[i]:
-                    gone[i] = True
-                    left -= 1
-                    links.append((i, seed))
-                    todo.append(i)
-            if left * 2 < tree.size:
-                tree = BKTree(values, np.flatnonzero(~gone))
-        if not left:
-            break
-    return links
+class BKForest:
+    """One BK-tree for each shard, all in arrays: every value is a node, its edge bears its Hamming
+    distance to the node above, and no two edges of a node bear the same.
 
+    ``shard`` names the tree of each value and never falls. A search goes down in step for all that
+    ask: from a node at distance d only edges from d - radius to d + radius are followed, and none to a
+    branch whose values were all taken out. ``visited`` counts the nodes that were compared.
+    """
 
-def block_masks(radius: int = RADIUS, keep: int = 2) -> list[int]:
+    def __init__(self, values: np.ndarray, shard: np.ndarray):
+        n = len(values)
+        self.values, self.span, self.visited = values, 64 * values.shape[1] + 1, 0
+        self.above, edge = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        self.levels: list[np.ndarray] = []
+        members, group = np.arange(n), shard
+        above = via = np.full(len(np.unique(shard)), -1, np.int64)
+        while len(members):
+            head = np.concatenate(([True], group[1:] != group[:-1]))
+            node = members[head]
+            self.above[node], edge[node] = above, via
+            self.levels.append(node)
+            at = node[np.cumsum(head) - 1][~head]
+            members = members[~head]
+            d = _distances(values[members], values[at])
+            group = at * self.span + d
+            order = np.argsort(group, kind="stable")
+            members, group = members[order], group[order]
+            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+            above, via = np.divmod(group[first], self.span)
+        below = np.flatnonzero(self.above >= 0)
+        key = self.above[below] * self.span + edge[below]
+        order = np.argsort(key)
+        self.edges, self.ends = key[order], below[order]
+        self.fill()
+
+    def fill(self) -> None:
+        """All values stand in their trees (again)."""
+        self.left = np.ones(len(self.values), bool)
+        self.under = np.ones(len(self.values), np.int64)
+        for level in self.levels[:0:-1]:
+            np.add.at(self.under, self.above[level], self.under[level])
+
+    def take_out(self, nodes: np.ndarray) -> None:
+        """The values are found no more; their nodes stay as signposts."""
+        self.left[nodes] = False
+        while len(nodes):
+            np.subtract.at(self.under, nodes, 1)
+            nodes = self.above[nodes]
+            nodes = nodes[nodes >= 0]
+
+    def search(self, asked: np.ndarray, roots: np.ndarray, radius: int, label: np.ndarray | None = None, uniform: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes found, row of ``asked`` that found each). With ``label`` an asker that has found one
+        value of a label goes into no branch in which all values bear that label (``uniform``, else -1)."""
+        q, node = np.arange(len(asked)), roots
+        found, by = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        known = np.zeros(0, np.int64)
+        n = len(self.values)
+        while len(q):
+            self.visited += len(q)
+            d = _distances(asked[q], self.values[node])
+            hit = (d <= radius) & self.left[node]
+            found.append(node[hit])
+            by.append(q[hit])
+            lo = np.searchsorted(self.edges, node * self.span + np.maximum(d - radius, 0))
+            hi = np.searchsorted(self.edges, node * self.span + np.minimum(d + radius, self.span - 1), side="right")
+            many = hi - lo
+            at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            q, node = np.repeat(q, many), self.ends[at]
+            go = self.under[node] > 0
+            if label is not None:
+                known = np.union1d(known, by[-1] * n + label[found[-1]])
+                go &= (uniform[node] < 0) | ~np.isin(q * n + uniform[node], known)
+            q, node = q[go], node[go]
+        return np.concatenate(found), np.concatenate(by)
+
+
+def _slices(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Stretches of about ``most`` in sum, one at least."""
+    total = np.cumsum(size)
+    start = 0
+    while start < len(size):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most, side="right")))
+        yield slice(start, end)
+        start = end
+
+
+def forest_links(values: np.ndarray, shard: np.ndarray, radius: int, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, BKForest]:
+    """Rows (left, right) that span, shard by shard, the groups which values within the radius of each
+    other form, and the forest that was searched.
+
+    Each shard grows one group at a time: the first value left is taken out of its tree and asks for
+    those near it, these are linked, taken out and ask in turn, until none is found. So a dense group is
+    found by few searches of a tree that shrinks, and links are fewer than values. Rows of ``asks``
+    stand in no tree; they are linked to one value of each group of their shard that they are near to.
+    """
+    tree = np.flatnonzero(~asks) if asks is not None else np.arange(len(values))
+    names, own = np.unique(shard[tree], return_inverse=True)
+    forest = BKForest(values[tree], own)
+    starts = np.searchsorted(own, np.arange(len(names)))
+    ends = np.append(starts[1:], len(tree))
+    label = np.arange(len(tree))
+    at, waiting = starts.copy(), np.zeros(0, np.int64)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while True:
+        idle = np.ones(len(names), bool)
+        idle[own[waiting]] = False
+        idle &= at < ends
+        idle = np.flatnonzero(idle)
+        while len(gone := idle[~forest.left[at[idle]]]):
+            at[gone] += 1
+            idle = idle[at[idle] < ends[idle]]
+        asking = np.concatenate((waiting, at[idle]))
+        if not len(asking):
+            break
+        forest.take_out(at[idle])
+        fresh = [np.zeros(0, np.int64)]
+        for part in _slices(np.maximum(forest.under[starts[own[asking]]], 1), STEPS):
+            who = asking[part]
+            who = who[forest.under[starts[own[who]]] > 0]
+            node, by = forest.search(forest.values[who], starts[own[who]], radius)
+            node, first = np.unique(node, return_index=True)
+            by = who[by[first]]
+            label[node] = label[by]
+            forest.take_out(node)
+            left.append(node)
+            right.append(by)
+            fresh.append(node)
+        waiting = np.concatenate(fresh)
+    a, b = tree[np.concatenate(left)], tree[np.concatenate(right)]
+    if asks is not None and asks.any():
+        forest.fill()
+        lo, hi = label.copy(), label.copy()
+        for level in forest.levels[:0:-1]:
+            np.minimum.at(lo, forest.above[level], lo[level])
+            np.maximum.at(hi, forest.above[level], hi[level])
+        uniform = np.where(lo == hi, lo, -1)
+        who = np.flatnonzero(asks)
+        of = np.searchsorted(names, shard[who])
+        has = of < len(names)
+        who, of = who[has], of[has]
+        who, of = who[names[of] == shard[who]], of[names[of] == shard[who]]
+        for part in _slices(forest.under[starts[of]], STEPS):
+            node, by = forest.search(values[who[part]], starts[of[part]], radius, label, uniform)
+            pair = np.unique(by * len(tree) + label[node])
+            a = np.concatenate((a, who[part][pair // len(tree)]))
+            b = np.concatenate((b, tree[pair % len(tree)]))
+    return a, b, forest
+
+
+def block_masks(radius: int, keep: int) -> list[int]:
     """Masks over 64 bits of every ``keep`` of ``radius + keep`` blocks: values within the radius agree
     on at least one of them."""
     blocks = radius + keep
@@ -189,9 +269,17 @@ def block_masks(radius: int = RADIUS, keep: int = 2) -> list[int]:
     return [sum(((1 << bounds[b + 1]) - (1 << bounds[b])) for b in c) for c in combinations(range(blocks), keep)]
 
 
-def keyed_by_blocks(fps: DataFrame, radius: int) -> DataFrame:
+def blocks_kept(n: int, radius: int) -> int:
+    """How many blocks name a shard, so that evenly spread fingerprints fill one with ``SHARD`` at most."""
+    keep = 1
+    while keep < 8 and n / 2.0 ** (64 * keep // (radius + keep)) > SHARD:
+        keep += 1
+    return keep
+
+
+def keyed_by_blocks(fps: DataFrame, radius: int, keep: int) -> DataFrame:
     """``_c, _key, _fp``: the shards of 64-bit fingerprints, without loss for the radius."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(radius)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(radius, keep)]
     return fps.select("_fp", F.posexplode(F.array(*(F.col("_fp").bitwiseAND(F.lit(m)) for m in masks))).alias("_c", "_key")).select("_c", "_key", "_fp")
 
 
@@ -216,50 +304,53 @@ def keyed_by_samples(fps: DataFrame, tables: range, bits: int = KEY_BITS, words6
     return f.mapInArrow(run, f"_c int, _key long, _fp {kind}, _g {kind}")
 
 
-def shard_links(keyed: DataFrame, radius: int) -> DataFrame:
-    """Links ``_a, _b`` that join, shard by shard, all distinct ``_fp`` within the radius: every pair of a
-    small shard, and links that span the groups of a larger one. Two of one known group need no link."""
-    dealt = keyed.repartition("_c", "_key").sortWithinPartitions("_c", "_key", "_fp")
+def dealt_in_parts(keyed: DataFrame, fewer: DataFrame, part: int, one_of: int) -> DataFrame:
+    """``keyed`` with ``_block`` and ``_asks``. A shard is one tree; one of more than about ``part`` values
+    becomes several, each in blocks of its own: a block holds one part as the tree and one that asks.
+
+    How large shards are is told by ``fewer``, the keyed rows of one fingerprint in ``one_of``. It says
+    only how work is dealt out: links are the same whatever it says.
+    """
+    hot = fewer.groupBy("_c", "_key").agg(F.ceil(F.count(F.lit(1)) * F.lit(float(one_of)) / part).cast("int").alias("_parts")).filter("_parts > 1")
+    hot = materialise(hot, "hot")
+    d = keyed.join(hot, ["_c", "_key"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    d = d.withColumn("_part", F.pmod(F.xxhash64("_fp", F.lit(SEED)), F.col("_parts")).cast("int"))
+    place = F.expr("transform(sequence(0, _parts - 1), k -> struct(least(k, _part) * _parts + greatest(k, _part) as b, k < _part as a))")
+    d = d.withColumn("_at", F.explode(place))
+    return d.select(*keyed.columns, F.col("_at.b").alias("_block"), F.col("_at.a").alias("_asks"))
+
+
+def shard_links(keyed: DataFrame, fewer: DataFrame, radius: int, part: int | None = None, one_of: int = SAMPLE) -> DataFrame:
+    """Links ``_a, _b`` that span, shard by shard, the groups of all distinct ``_fp`` within the radius.
+    Every shard is searched through its BK-tree. Two of one known group (``_g``) need no link."""
     kind = keyed.schema["_fp"].dataType.simpleString()
     grouped = "_g" in keyed.columns
+    cols = ["_c", "_key", "_block", "_asks", "_fp", *(["_g"] if grouped else [])]
+    dealt = dealt_in_parts(keyed, fewer, part or PART, one_of).select(*cols)
+    dealt = dealt.repartition("_c", "_key", "_block").sortWithinPartitions("_c", "_key", "_block", "_asks", "_fp")
 
     def links(b: pa.RecordBatch, shard: np.ndarray) -> pa.RecordBatch:
-        v = _values(b.column(2))
-        sizes = np.bincount(shard)
-        small = (sizes <= SMALL)[shard]
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for j in range(1, SMALL):
-            pair = np.flatnonzero((shard[j:] == shard[:-j]) & small[j:])
-            if not len(pair):
-                break
-            near = pair[_distances(v[pair], v[pair + j]) <= radius]
-            left.append(near + j)
-            right.append(near)
-        for s in np.flatnonzero(sizes > SMALL):
-            start = int(np.searchsorted(shard, s))
-            if found := spanning_links(v[start : start + sizes[s]], radius):
-                i, root = np.array(found).T
-                left.append(start + i)
-                right.append(start + root)
-        a, c = (pa.array(np.concatenate(x)) for x in (left, right))
+        asks = b.column(3).to_numpy(zero_copy_only=False)
+        left, right, _ = forest_links(_values(b.column(4)), shard, radius, asks if asks.any() else None)
+        a, c = pa.array(left), pa.array(right)
         if grouped and len(a):
-            g = b.column(3)
+            g = b.column(5)
             apart = pc.fill_null(pc.not_equal(g.take(a), g.take(c)), True)
             a, c = a.filter(apart), c.filter(apart)
-        return pa.RecordBatch.from_arrays([b.column(2).take(a), b.column(2).take(c)], names=["_a", "_b"])
+        return pa.RecordBatch.from_arrays([b.column(4).take(a), b.column(4).take(c)], names=["_a", "_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the shard that may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
-            ends = [[b.column(i)[j].as_py() for i in (0, 1)] for j in (0, b.num_rows - 1)]
-            going_on = bool(held) and [held[-1].column(i)[held[-1].num_rows - 1].as_py() for i in (0, 1)] == ends[0] == ends[1]
+            ends = [[b.column(i)[j].as_py() for i in (0, 1, 2)] for j in (0, b.num_rows - 1)]
+            going_on = bool(held) and [held[-1].column(i)[held[-1].num_rows - 1].as_py() for i in (0, 1, 2)] == ends[0] == ends[1]
             held.append(b)
             if going_on:
                 continue
             whole = pa.concat_batches(held)
-            keys = np.column_stack([whole.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)])
+            keys = np.column_stack([whole.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2)])
             change = np.concatenate(([0], (keys[1:] != keys[:-1]).any(axis=1).cumsum()))
             start = int(np.searchsorted(change, change[-1]))
             held = [whole.slice(start)]
@@ -272,6 +363,10 @@ def shard_links(keyed: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, f"_a {kind}, _b {kind}")
 
 
+def sampled(fps: DataFrame, one_of: int = SAMPLE) -> DataFrame:
+    return fps.filter(F.pmod(F.xxhash64("_fp"), F.lit(one_of)) == 0)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``_node, _root``: nodes of one component share a root; nodes without links are left out.
 
@@ -311,7 +406,9 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, shingle: int =
     """
     rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     fps = materialise(rows.groupBy("_fp").agg(F.min(id_col).alias("_least")), "distinct")
-    return _grouped(rows, shard_links(keyed_by_blocks(fps, radius), radius), fps, id_col)
+    keep = blocks_kept(fps.count(), radius)
+    links = shard_links(keyed_by_blocks(fps, radius, keep), keyed_by_blocks(sampled(fps), radius, keep), radius)
+    return _grouped(rows, links, fps, id_col)
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -394,10 +491,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     texts = materialise(rows.select("_th", "_fp").distinct(), "texts")
     fps = materialise(texts.select("_fp").distinct(), "distinct")
     radius = radius_of(similarity, 64 * WIDE)
-    first = materialise(shard_links(keyed_by_samples(fps, range(FIRST_TABLES)), radius), "first")
+    some = range(FIRST_TABLES), range(FIRST_TABLES, TABLES)
+    first = materialise(shard_links(keyed_by_samples(fps, some[0]), keyed_by_samples(sampled(fps), some[0]), radius), "first")
     known = materialise(components(first), "known")
     fps_known = fps.join(known.select(F.col("_node").alias("_fp"), F.col("_root").alias("_g")), "_fp", "left")
-    second = shard_links(keyed_by_samples(fps_known, range(FIRST_TABLES, TABLES)), radius)
+    second = shard_links(keyed_by_samples(fps_known, some[1]), keyed_by_samples(sampled(fps), some[1]), radius)
     # A known group counts by the links of its members to its root.
     links = materialise(known.select(F.col("_node").alias("_a"), F.col("_root").alias("_b")).union(second), "candidates")
     near = texts.join(components(links), F.col("_fp") == F.col("_node"), "left").select("_th", F.coalesce("_root", "_fp").alias("_near"))
@@ -416,5 +514,7 @@ def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_co
     together. Groups are told apart by ``_root``: each keeps its own row, whatever ids others have."""
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_th").alias("th")))
     stay = groups.groupBy("_root").agg(first.alias("_k")).select(F.col("_k.id").alias("_kid"), F.col("_k.th").alias("_kth"))
-    d = docs.withColumn("_th", F.xxhash64(text_col))
-    return d.join(stay, d[id_col].eqNullSafe(stay["_kid"]) & (d["_th"] == stay["_kth"]), "left_semi").select(*docs.columns)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    d = docs.toDF(*names)
+    i, t = (d[names[docs.columns.index(c)]] for c in (id_col, text_col))
+    return d.join(stay, i.eqNullSafe(stay["_kid"]) & (F.xxhash64(t) == stay["_kth"]), "left_semi").toDF(*docs.columns)
