@@ -83,27 +83,46 @@ def test_proximity(spark):
     assert got == {(1, "i", 0, 4), (3, "i", 0, 2)}
 
 
-def test_substring_dedup(spark, docs):
+def substring_rows(df):
+    return {r["doc_id"]: (r["_n_words"], r["_n_removed"], r["_kept"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("batches", [1, 3, 5])
+def test_substring_dedup(spark, docs, batches):
     want = brute.substring_dedup(docs)
-    for share in (0.125, 0.9):
-        got = {r["doc_id"]: (r["_n_words"], r["_n_removed"], r["_kept"]) for r in substring_dedup.dedup_substrings(frame(spark, docs), share).collect()}
-        assert got == want
+    clash = frame(spark, docs).withColumns({c: F.lit("own") for c in ("_id", "_key", "_at", "_text", "_kept")})
+    assert substring_rows(substring_dedup.dedup_substrings(clash, batches, 1)) == want
     assert any(v[1] for v in want.values())
-    assert substring_dedup.dedup_substrings(frame(spark, [])).count() == 0
+    assert substring_dedup.dedup_substrings(frame(spark, []), batches).count() == 0
 
 
-def test_substring_index_compacts(spark, docs, tmp_path):
-    """Three batches one after another, with runs merged between, give what one batch gives."""
-    index = substring_dedup.FingerprintIndex(spark, str(tmp_path), max_runs=1)
+def test_substring_frequent_fingerprints_change_nothing(spark, docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 1)
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 2)
+    d = frame(spark, docs)
+    assert substring_dedup.frequent_fingerprints(d)
+    assert substring_rows(substring_dedup.dedup_substrings(d, 3, 1)) == brute.substring_dedup(docs)
+
+
+def test_substring_index_compacts_and_joins_without_exchange(spark, docs, tmp_path):
+    """Four batches one after another, with runs merged between, give what one batch gives."""
+    index = substring_dedup.FingerprintIndex(spark, str(tmp_path), max_runs=2)
     got, after = {}, None
-    for lo, hi in ((0, 20), (20, 40), (40, 99)):
-        d = frame(spark, [x for x in docs if x[0] < hi])
-        for r in substring_dedup.dedup_batch(d, index, after).collect():
-            got[r["doc_id"]] = (r["_n_words"], r["_n_removed"], r["_kept"])
-        index.add(frame(spark, [x for x in docs if lo <= x[0] < hi]))
+    for hi in (15, 30, 45, 99):
+        got |= substring_rows(substring_dedup.dedup_batch(frame(spark, [x for x in docs if x[0] < hi]), index, after))
         after = hi - 1
     assert got == brute.substring_dedup(docs)
-    assert len(index.runs) == 1
+    assert len(index.runs) == 2
+    a, b = (spark.table(r) for r in index.runs)
+    plan = a.join(b.select("_key").distinct().hint("merge"), "_key", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_substring_ids_of_any_kind(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [("b", text), ("a", "x " + text), (None, "y " + text), ("a", "other " * 3 + text), ("c", None), ("c", ""), ("b", text)]
+    got = sorted((r["doc_id"] or "", r["_n_words"], r["_n_removed"]) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == [("", 31, 0), ("a", 31, 30), ("a", 33, 30), ("b", 30, 30), ("b", 30, 30), ("c", 0, 0), ("c", 0, 0)]
 
 
 def test_simhash(spark, docs):

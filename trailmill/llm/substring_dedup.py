@@ -2,10 +2,10 @@
 
 A window is ``WINDOW`` words. Its fingerprint is the smallest hash of the ``GRAM``-word sequences in
 it, so equal windows have equal fingerprints at the same place, and neighbouring windows mostly
-share one. The index holds (fingerprint, document, place) in sorted runs that are never changed.
-A batch of new documents is merged with the runs on the fingerprint; fingerprints that were met
-before are verified by the hashes of their whole windows, read again from the texts; then the batch
-becomes a run of its own, and small runs are merged into larger ones.
+share one. The index holds (fingerprint, document, place) in immutable runs, each bucketed and sorted
+by the fingerprint, so that a new batch is merge-joined with them where they lie. Places whose
+fingerprint was met before are verified on the words themselves; the batch stays as a run of its own,
+and runs beyond a number are compacted into one.
 """
 
 from __future__ import annotations
@@ -16,16 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailmill.llm.common import pieces, scratch_root
+from trailmill.llm.common import materialise, pieces, scratch_root
 
 WINDOW = 20
 GRAM = 8
 #: Odd multiplier of the polynomial hash of word sequences.
 BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+#: A fingerprint is frequent if it has ``FREQUENT`` rows at least, and one in ``SHARE`` of all, among the
+#: documents of which one in ``SAMPLE`` is taken: at most ``SHARE`` are.
+FREQUENT, SHARE, SAMPLE = 16, 2000, 64
 
 
 def _joined(h: np.ndarray, k: int, g: np.ndarray, n: int) -> np.ndarray:
@@ -47,11 +49,10 @@ def _sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 class _Windows:
-    """Windows of the documents of a slice: ``starts``, the place ``at`` and value ``mark`` of their
-    fingerprints and their own hashes ``whole``. Places count over the slice."""
+    """Windows of the documents of a slice: ``starts``, and the place ``at`` of their fingerprints, whose
+    values are in ``mark``. Places count over the slice."""
 
-    def __init__(self, texts: list[bytes | None]):
-        split = [(t or b"").split() for t in texts]  # of bytes: ASCII blanks only
+    def __init__(self, split: list[list[bytes]]):
         self.lens = np.fromiter(map(len, split), np.int64, len(split))
         self.first = np.concatenate(([0], np.cumsum(self.lens)[:-1])) if len(split) else np.zeros(0, np.int64)
         hashed = xxhash.xxh64_intdigest
@@ -60,7 +61,7 @@ class _Windows:
         n = len(words) - WINDOW + 1
         if n <= 0:
             self.starts = self.at = np.zeros(0, np.int64)
-            self.mark, self.whole = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            self.mark = np.zeros(0, np.uint64)
             return
         x = _sequence_hashes(words, GRAM)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -76,240 +77,284 @@ class _Windows:
         self.starts = np.flatnonzero(self.doc[:n] == self.doc[WINDOW - 1 :])
         self.at = (low[self.starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.mark = x
-        self.whole = _sequence_hashes(words, WINDOW)[self.starts]
 
+    def marked(self, places: pa.Array) -> np.ndarray:
+        """Which windows have their fingerprint at one of the places given for each document."""
+        counts = np.diff(places.offsets.to_numpy())
+        flat = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        inside = flat < self.lens[doc]
+        mark = np.zeros(len(self.doc) + 1, bool)
+        mark[self.first[doc[inside]] + flat[inside]] = True
+        return mark[self.at]
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_fp, _id, _at``: the fingerprints of the windows of every document and their word positions."""
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    schema = d.select(F.lit(0).cast("long").alias("_fp"), "_id", F.lit(0).alias("_at")).schema
+
+def _split(texts: pa.Array) -> list[list[bytes]]:
+    return [(t or b"").split() for t in texts.to_pylist()]  # of bytes: ASCII blanks only
+
+
+def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id, _tv, _text``: ``_tv``, from a hash of the text, tells rows apart that share an id."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("_tv"), text.cast("binary").alias("_text"))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: tuple[int, ...] = ()) -> DataFrame:
+    """``_key, _id, _tv, _at, _hot``: the fingerprints of the windows of every document and their word
+    positions. Rows of a ``frequent`` fingerprint are ``_hot``, and their key spreads them evenly."""
+    d = _versions(docs, id_col, text_col)
+    schema = d.select(F.lit(0).cast("long").alias("_key"), "_id", "_tv", F.lit(0).alias("_at"), F.lit(False).alias("_hot")).schema
+    often = np.sort(np.array(frequent, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in pieces(b, 1):
-                w = _Windows(p.column(1).to_pylist())
+            for p in pieces(b, 2):
+                w = _Windows(_split(p.column(2)))
                 at = w.at[np.flatnonzero(np.diff(w.at, prepend=-1))]  # places never go back
-                doc = w.doc[at]
-                yield pa.RecordBatch.from_arrays([pa.array(w.mark[at].view(np.int64)), p.column(0).take(pa.array(doc)), pa.array((at - w.first[doc]).astype(np.int32))], names=["_fp", "_id", "_at"])
+                doc = pa.array(w.doc[at])
+                place = (at - w.first[w.doc[at]]).astype(np.int32)
+                key = w.mark[at].view(np.int64)
+                hot = np.isin(key, often)
+                spread = (p.column(1).take(doc).to_numpy().astype(np.int64) + place) * np.int64(0x9E3779B97F4A7C1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(hot, spread, key)), p.column(0).take(doc), p.column(1).take(doc), pa.array(place), pa.array(hot)], names=["_key", "_id", "_tv", "_at", "_hot"])
 
     return d.mapInArrow(run, schema)
 
 
-def _comparable(ids: pa.Array) -> np.ndarray:
-    if pa.types.is_integer(ids.type):
-        return ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False) if ids.null_count else ids.to_numpy(zero_copy_only=False)
-    return np.array(ids.to_pylist(), dtype=object)
+def frequent_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, ...]:
+    """At most ``SHARE`` fingerprints that would fill one bucket. They are only dealt out otherwise: which
+    ones they are changes no result."""
+    some = docs.filter(F.pmod(F.xxhash64(F.lit("some"), id_col), F.lit(SAMPLE)) == 0)
+    counts = materialise(fingerprints(some, id_col, text_col).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "some")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return tuple(r["_key"] for r in counts.filter(F.col("_n") >= max(FREQUENT, total / SHARE)).select("_key").collect())
 
 
-def _met_again(rows: DataFrame) -> DataFrame:
-    """``_id, _at`` of the rows whose fingerprint stands on more than one row, one of them new.
+class FingerprintIndex:
+    """Immutable runs of fingerprints in the shared folder, each a table bucketed and sorted by the key."""
 
-    ``rows`` (``_fp, _id, _at, _new``) are dealt by the fingerprint and sorted, new ones first; what
-    is held of a fingerprint is one row, however often it occurs.
-    """
-    dealt = rows.repartition("_fp").sortWithinPartitions("_fp", F.desc("_new")).select("_fp", "_id", "_at", "_new")
+    def __init__(self, spark: SparkSession, root: str | None = None, max_runs: int = 4, buckets: int | None = None):
+        self.spark, self.root, self.max_runs = spark, root or scratch_root(spark), max_runs
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[str] = []
+        self.frequent: tuple[int, ...] = ()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last row, unless it was sent
-        value, news, sent = None, False, False
-        for b in batches:
-            if not b.num_rows:
-                continue
-            fp = b.column(0).to_numpy(zero_copy_only=False)
-            new = b.column(3).to_numpy(zero_copy_only=False)
-            goes_on = value is not None and fp[0] == value
-            if held is not None and goes_on and news and not sent:
-                yield held.select(["_id", "_at"])
-            starts = np.concatenate(([True], fp[1:] != fp[:-1]))
-            group = np.cumsum(starts) - 1
-            opens = new[np.flatnonzero(starts)].copy()
-            if goes_on:
-                opens[0] = news
-            many = np.bincount(group) > 1
-            if goes_on:
-                many[0] = True
-            pick = (many & opens)[group]
-            yield b.filter(pa.array(pick)).select(["_id", "_at"])
-            value, news, sent, held = fp[-1], bool(opens[-1]), bool(pick[-1]), b.slice(b.num_rows - 1, 1)
-
-    return dealt.mapInArrow(run, rows.select("_id", "_at").schema)
-
-
-def _with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """Texts next to ``_places`` of their documents. Every join with the same ``docs`` has the same
+    def _write(self, rows: DataFrame) -> str:
+        name = f"run_{uuid.uuid4().hex}"
+        dealt = rows.repartition(self.buckets, "_key")
+        dealt.write.bucketBy(self.buckets, "_key").sortBy("_key").option("path", f"{self.root}/{name}").format("parquet").saveAsTable(name)
+        return name
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known_frequent: bool = False) -> DataFrame:
+        """Writes the fingerprints of new documents as a run and returns ``_id, _tv, _at``, the places in
+        the run and in earlier ones whose fingerprint stands in the run and at another place (some
+        of them more than once).
+
+        Each earlier run is merge-joined with the new one bucket by bucket: nothing of them is shuffled.
+        Places of frequent fingerprints are returned without such a join; with ``known_frequent`` the
+        index knows them already.
+        """
+        known = self.frequent
+        if not known_frequent:
+            self.frequent = tuple({*known, *frequent_fingerprints(docs, id_col, text_col)})
+        name = self._write(fingerprints(docs, id_col, text_col, self.frequent))
+        place, new = ["_id", "_tv", "_at"], self.spark.table(name)
+        cold = new.filter("not _hot")
+        found = [new.filter("_hot"), cold.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key"))).filter("_n > 1")]
+        keys = cold.select("_key").distinct()
+        for run in self.runs:
+            old = self.spark.table(run)
+            old_cold = old.filter("not _hot")
+            found += [old.filter("_hot"), old_cold.join(keys.hint("merge"), "_key", "left_semi"), cold.join(old_cold.select("_key").distinct().hint("merge"), "_key", "left_semi")]
+            if since := set(self.frequent) - set(known):
+                found.append(old_cold.join(F.broadcast(self.spark.createDataFrame([(k,) for k in since], "_key long")), "_key", "left_semi"))
+        met = found[0].select(*place)
+        for x in found[1:]:
+            met = met.unionByName(x.select(*place))
+        met = materialise(met, "met")
+        self.runs.append(name)
+        if len(self.runs) > self.max_runs:
+            self.compact()
+        return met
+
+    def compact(self) -> None:
+        """Merges all runs into one. The old files stay until their owner removes them: a reader may hold them."""
+        if len(self.runs) > 1:
+            whole = self.spark.table(self.runs[0])
+            for r in self.runs[1:]:
+                whole = whole.unionByName(self.spark.table(r))
+            self.runs = [self._write(whole)]
+
+
+def _next_to(docs: DataFrame, lists: DataFrame, how: str, *cols: str) -> DataFrame:
+    """Texts next to the lists of their documents. Every join with the same ``docs`` has the same
     exchange of the texts, which Spark then runs once."""
-    p = places.withColumnRenamed("_id", "_pid")
-    return docs.join(p.hint("merge"), docs["_id"].eqNullSafe(p["_pid"]), how).select("_id", "_text", "_places")
+    p = lists.withColumnsRenamed({"_id": "_pid", "_tv": "_ptv"})
+    return docs.join(p.hint("merge"), docs["_id"].eqNullSafe(p["_pid"]) & (docs["_tv"] == p["_ptv"]), how).select("_id", "_tv", "_text", *cols)
+
 
+def _stretches(joined: DataFrame, frequent: tuple[int, ...]) -> DataFrame:
+    """``_fp, _sub, _id, _tv, _start, _words``: for each marked place the words of all windows that have
+    it as fingerprint, from word ``_start`` on. Those of a frequent fingerprint come window by window,
+    told apart by ``_sub``.
 
-def _window_rows(joined: DataFrame) -> DataFrame:
-    """``_fp, _id, _at, _off, _whole``: for each marked place the hashes of the windows that have it as
-    fingerprint, 8 bytes each; the first of them starts ``_off`` words before it."""
-    schema = joined.select(F.lit(0).cast("long").alias("_fp"), "_id", F.lit(0).alias("_at"), F.lit(0).alias("_off"), F.lit(b"").alias("_whole")).schema
+    Of equal stretches in a slice only the earliest goes on: the windows of the others are repeated.
+    """
+    schema = joined.select(F.lit(0).cast("long").alias("_fp"), F.lit(0).cast("long").alias("_sub"), "_id", "_tv", F.lit(0).alias("_start"), F.lit(b"").alias("_words")).schema
+    often = frozenset(frequent)
+
+    def rows(p: pa.RecordBatch) -> pa.RecordBatch:
+        split = _split(p.column(2))
+        w = _Windows(split)
+        ids, tvs = p.column(0).to_pylist(), p.column(1).to_pylist()
+        rank = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, tvs[i]))
+        pick = np.flatnonzero(w.marked(p.column(3)))
+        at, starts = w.at[pick], w.starts[pick]
+        head = np.flatnonzero(np.diff(at, prepend=-1))
+        tail = np.append(head[1:], len(at)) - 1
+        doc = w.doc[at[head]] if len(head) else head
+        fps = w.mark[at[head]].view(np.int64).tolist() if len(head) else []
+        begin, end = (starts[head] - w.first[doc]).tolist(), (starts[tail] - w.first[doc] + WINDOW).tolist()
+        bounds = np.searchsorted(doc, np.arange(len(ids) + 1)).tolist()
+        seen: set[tuple[int, bytes]] = set()
+        out: list[tuple[int, int, int, int, bytes]] = []
+        for i in rank:
+            words = split[i]
+            for k in range(bounds[i], bounds[i + 1]):
+                fp, s, e = fps[k], begin[k], end[k]
+                for a, z in ((s, e),) if fp not in often else ((j, j + WINDOW) for j in range(s, e - WINDOW + 1)):
+                    text = b" ".join(words[a:z])
+                    if (fp, text) not in seen:
+                        seen.add((fp, text))
+                        out.append((fp, xxhash.xxh64_intdigest(text) >> 1 if fp in often else 0, i, a, text))
+        fp, sub, doc, start, text = zip(*out, strict=True) if out else ((),) * 5
+        doc = pa.array(doc, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(sub, pa.int64()), p.column(0).take(doc), p.column(1).take(doc), pa.array(start, pa.int32()), pa.array(text, pa.binary())], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in pieces(b, 1):
-                w = _Windows(p.column(1).to_pylist())
-                places = p.column(2)
-                counts = np.diff(places.offsets.to_numpy())
-                marked = np.zeros(len(w.doc) + 1, bool)
-                flat = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                inside = flat < w.lens[doc]
-                marked[w.first[doc[inside]] + flat[inside]] = True
-                pick = np.flatnonzero(marked[w.at])
-                at, starts = w.at[pick], w.starts[pick]
-                new = np.flatnonzero(np.diff(at, prepend=-1))
-                ends = np.append(new[1:], len(at)) * 8 if len(new) else new
-                whole = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(w.whole[pick]))])
-                at, starts = at[new], starts[new]
-                d = w.doc[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.mark[at].view(np.int64)), p.column(0).take(pa.array(d)), pa.array((at - w.first[d]).astype(np.int32)), pa.array((at - starts).astype(np.int32)), whole],
-                    names=["_fp", "_id", "_at", "_off", "_whole"],
-                )
+            for p in pieces(b, 2):
+                yield rows(p)
 
     return joined.mapInArrow(run, schema)
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """``_id, _start, _mask``: bit i is set if the window at ``_start`` + i has an earlier equal.
+def _firsts(stretches: DataFrame) -> DataFrame:
+    """``_id, _tv, _start, _mask``: bit i is set if the window at ``_start`` + i is the first of its words.
 
-    The rows come sorted by fingerprint, document and place, so the first of equal windows is the
-    earliest. What is held beyond a batch are the distinct windows of one fingerprint.
+    The rows come sorted by fingerprint, document and place. What is held are the distinct windows of
+    one fingerprint, or one window if the fingerprint is frequent.
     """
-    dealt = rows.repartition("_fp").sortWithinPartitions("_fp", "_id", "_at").select("_fp", "_id", "_at", "_off", "_whole")
-    schema = rows.select("_id", F.lit(0).alias("_start"), F.lit(0).alias("_mask")).schema
+    cols = ["_fp", "_sub", "_id", "_tv", "_start", "_words"]
+    dealt = stretches.repartition("_fp", "_sub").sortWithinPartitions("_fp", "_sub", "_id", "_tv", "_start").select(*cols)
+    schema = stretches.select("_id", "_tv", "_start", F.lit(0).alias("_mask")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = None
-        held: dict[tuple[int, int], tuple] = {}  # (hash, offset) of the windows of the fingerprint that goes on
+        value, held = None, set()
         for b in batches:
-            if not b.num_rows:
-                continue
-            fp, at, off = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2, 3))
-            ids, blob = _comparable(b.column(1)), b.column(4)
-            bounds = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + b.num_rows + 1]
-            whole = np.frombuffer(blob.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.uint64)
-            counts = np.diff(bounds) // 8
-            row = np.repeat(np.arange(b.num_rows), counts)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            offset = off[row] - nth
-            order = np.lexsort((offset, whole, fp[row]))
-            f, h, o = fp[row][order], whole[order], offset[order]
-            starts = np.concatenate(([True], (f[1:] != f[:-1]) | (h[1:] != h[:-1]) | (o[1:] != o[:-1])))
-            head = order[np.flatnonzero(starts)][np.cumsum(starts) - 1]  # the first window like it
-            again = np.zeros(len(row), bool)
-            again[order] = (ids[row[order]] != ids[row[head]]) | (at[row[order]] != at[row[head]])
-            if value is not None and fp[0] == value:
-                for i in np.flatnonzero(fp[row] == value).tolist():
-                    first = held.setdefault((int(whole[i]), int(offset[i])), (ids[row[i]], at[row[i]]))
-                    again[i] = first != (ids[row[i]], at[row[i]])
-            last = fp[-1]
-            if value is None or last != value:
-                held = {}
-                for i in np.flatnonzero(fp[row] == last).tolist():
-                    held.setdefault((int(whole[i]), int(offset[i])), (ids[row[i]], at[row[i]]))
-            value = last
-            mask = np.bincount(row, weights=again * (1 << nth), minlength=b.num_rows).astype(np.int32)
-            out = pa.RecordBatch.from_arrays([b.column(1), pa.array((at - off).astype(np.int32)), pa.array(mask)], names=["_id", "_start", "_mask"])
-            yield out.filter(pa.array(mask > 0))
+            masks = []
+            for fp, sub, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5).to_pylist(), strict=True):
+                if (fp, sub) != value:
+                    value, held = (fp, sub), set()
+                words, mask = text.split(b" "), 0
+                for i in range(len(words) - WINDOW + 1):
+                    window = b" ".join(words[i : i + WINDOW])
+                    if window not in held:
+                        held.add(window)
+                        mask |= 1 << i
+                masks.append(mask)
+            out = pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), pa.array(masks, pa.int32())], names=schema.names)
+            yield out.filter(pa.array([m > 0 for m in masks], pa.bool_()))
 
     return dealt.mapInArrow(run, schema)
 
 
-def _without(joined: DataFrame, id_col: str, text_col: str, after) -> DataFrame:
-    """The new documents (ids above ``after``, or all) without the words of their repeated windows."""
+def _without(joined: DataFrame, id_col: str) -> DataFrame:
+    """The documents without the words of their repeated windows: all that are marked but the first ones."""
     schema = joined.select(F.col("_id").alias(id_col), F.lit("").alias("_kept"), F.lit(0).cast("long").alias("_n_words"), F.lit(0).cast("long").alias("_n_removed")).schema
 
+    def covered(split: list[list[bytes]], places: pa.Array, firsts: pa.Array) -> list[np.ndarray]:
+        w = _Windows(split)
+        gone = np.zeros(len(w.doc) + 1, bool)
+        gone[w.starts[w.marked(places)]] = True
+        counts = np.diff(firsts.offsets.to_numpy())
+        flat = firsts.flatten()
+        doc = np.repeat(np.arange(len(counts)), counts)
+        start, mask = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        for i in range(WINDOW - GRAM + 1):
+            at = start + i
+            bit = (mask >> i & 1 > 0) & (at < w.lens[doc])
+            gone[w.first[doc[bit]] + at[bit]] = False
+        step = np.zeros(len(w.doc) + WINDOW + 1, np.int32)
+        at = np.flatnonzero(gone)
+        step[at] += 1
+        step[at + WINDOW] -= 1
+        cover = np.cumsum(step)[: len(w.doc)] > 0
+        return np.split(cover, w.first[1:])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, kept, sizes, lost = [], [], [], []
-            for i, t, places in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                if after is not None and (i is None or i <= after):
-                    continue
-                words = (t.as_py() or b"").split()
-                gone = np.zeros(len(words) + 1, np.int32)
-                for x in places.as_py() or ():
-                    start, mask = x["_start"], x["_mask"]
-                    while mask:
-                        j = (mask & -mask).bit_length() - 1
-                        if start + j + WINDOW <= len(words):
-                            gone[start + j] += 1
-                            gone[start + j + WINDOW] -= 1
-                        mask &= mask - 1
-                cover = np.cumsum(gone[:-1]) > 0
-                n = int(cover.sum())
-                ids.append(i)
-                sizes.append(len(words))
-                lost.append(n)
-                kept.append(b" ".join([w for w, c in zip(words, cover.tolist(), strict=True) if not c] if n else words).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(lost, pa.int64())], names=[id_col, "_kept", "_n_words", "_n_removed"])
+            for p in pieces(b, 2):
+                split = _split(p.column(2))
+                some = np.flatnonzero(p.column(3).is_valid().to_numpy(zero_copy_only=False))
+                at = pa.array(some)
+                empty = pa.array([[]] * len(some), p.column(4).type)
+                firsts = p.column(4).take(at)
+                firsts = pa.array([x or [] for x in firsts.to_pylist()], firsts.type) if firsts.null_count else firsts
+                cover = dict(zip(some.tolist(), covered([split[i] for i in some], p.column(3).take(at), firsts if len(some) else empty), strict=True)) if len(some) else {}
+                lost = [int(cover[i].sum()) if i in cover else 0 for i in range(len(split))]
+                kept = [b" ".join([x for x, c in zip(words, cover[i].tolist(), strict=True) if not c] if lost[i] else words).decode() for i, words in enumerate(split)]
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(kept, pa.string()), pa.array(map(len, split), pa.int64()), pa.array(lost, pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
-class FingerprintIndex:
-    """Sorted, immutable runs of fingerprints in the shared folder; ``runs`` reopens earlier ones."""
+def _verified(docs: DataFrame, met: DataFrame, wanted: DataFrame, frequent: tuple[int, ...], id_col: str) -> DataFrame:
+    places = materialise(met.groupBy("_id", "_tv").agg(F.collect_set("_at").alias("_places")), "places")
+    firsts = _firsts(_stretches(_next_to(docs, places, "inner", "_places"), frequent))
+    firsts = firsts.groupBy("_id", "_tv").agg(F.collect_list(F.struct("_start", "_mask")).alias("_firsts"))
+    lists = places.withColumnsRenamed({"_id": "_lid", "_tv": "_ltv"})
+    both = lists.join(firsts, lists["_lid"].eqNullSafe(firsts["_id"]) & (lists["_ltv"] == firsts["_tv"]), "left").select(F.col("_lid").alias("_id"), F.col("_ltv").alias("_tv"), "_places", "_firsts")
+    return _without(_next_to(wanted, both, "left", "_places", "_firsts"), id_col)
 
-    def __init__(self, spark: SparkSession, root: str | None = None, runs: tuple[str, ...] = (), max_runs: int = 8):
-        self.spark, self.root, self.runs, self.max_runs = spark, root or scratch_root(spark), list(runs), max_runs
 
-    def rows(self) -> DataFrame | None:
-        return self.spark.read.parquet(*self.runs) if self.runs else None
-
-    def _write(self, rows: DataFrame) -> str:
-        path = f"{self.root}/run-{uuid.uuid4().hex}"
-        rows.repartition("_fp").sortWithinPartitions("_fp", "_id", "_at").write.parquet(path)
-        return path
-
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Writes the fingerprints of ``docs`` as a new run; too many runs are merged into one."""
-        self.runs.append(self._write(fingerprints(docs, id_col, text_col)))
-        if len(self.runs) > self.max_runs:
-            self.compact()
-
-    def compact(self) -> None:
-        """Merges all runs into one. The old files stay until their owner removes them: a reader may hold them."""
-        if len(self.runs) > 1:
-            self.runs = [self._write(self.rows())]
-
-
-def dedup_batch(docs: DataFrame, index: FingerprintIndex | None = None, after=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, _kept, _n_words, _n_removed`` for the rows of ``docs`` with ids above ``after`` (all if None).
+def dedup_batch(docs: DataFrame, index: FingerprintIndex, after=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, _kept, _n_words, _n_removed`` for the rows of ``docs`` with ids above ``after`` (all if
+    None), which become a run of ``index``.
 
     ``docs`` holds the new documents and those of the index, which have ids up to ``after``. Every word
     is removed that a window covers whose words also start earlier: in a document of smaller id, or
-    before in the same one. Windows are judged on the input. Kept words are joined by one space.
+    before in the same one. Windows are judged on the input, by their words. Kept words are joined by
+    one space.
 
     Null, empty and blank texts have no words; texts shorter than a window stay whole. Rows that share
-    an id are versions of one document: windows at one position are the same, and a position found
-    repeated in one is removed in all. A null id is the smallest. Other columns are left out.
+    an id but not a text come one after another in an order by a hash of the text; rows equal in
+    both are one document and get equal results. Ids are of any type that sorts; a null id is the
+    smallest. An empty table gives an empty table; other columns are left out, whatever their names.
 
-    The texts are shuffled once, fingerprints (about one for six words) once and those met again a
-    second time with the hashes of their windows.
+    The texts are shuffled once, fingerprints (about one for seven words) once and words around those
+    met again a second time.
     """
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     new = docs if after is None else docs.filter(F.col(id_col) > F.lit(after))
-    rows = fingerprints(new, id_col, text_col).withColumn("_new", F.lit(True))
-    old = index.rows() if index else None
-    if old is not None:
-        rows = rows.union(old.select("_fp", "_id", "_at", F.lit(False).alias("_new")))
-    met = _met_again(rows).groupBy("_id").agg(F.collect_list("_at").alias("_places"))
-    again = _repeated(_window_rows(_with_places(d, met, "inner")))
-    gone = again.groupBy("_id").agg(F.collect_list(F.struct("_start", "_mask")).alias("_places"))
-    return _without(_with_places(d, gone, "left"), id_col, text_col, after)
-
-
-def dedup_substrings(docs: DataFrame, first_share: float = 0.125, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``dedup_batch`` of a whole table in two batches by id: the first ``first_share`` of the ids
-    becomes the index's first run, and the rest is merged with it. The result does not depend on the share.
-    """
-    cut = docs.agg(F.percentile_approx(id_col, first_share)).first()[0]
-    if cut is None:
-        return dedup_batch(docs, None, None, id_col, text_col)
-    early = docs.filter(F.col(id_col).isNull() | (F.col(id_col) <= F.lit(cut)))
-    index = FingerprintIndex(docs.sparkSession)
-    index.add(early, id_col, text_col)
-    return dedup_batch(early, None, None, id_col, text_col).unionByName(dedup_batch(docs, index, cut, id_col, text_col))
+    met = index.add(new, id_col, text_col)
+    d = _versions(docs, id_col, text_col)
+    return _verified(d, met, d if after is None else _versions(new, id_col, text_col), index.frequent, id_col)
+
+
+def dedup_substrings(docs: DataFrame, batches: int = 4, max_runs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``dedup_batch`` of a whole table in ``batches`` by ranges of ids, one after another through one
+    index, which is compacted on the way. What they met is verified in one pass over the texts. The
+    result depends on neither number. The range borders come from 1000 ids."""
+    ids = docs.select(id_col).filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col)).limit(1000)
+    some = sorted(r[0] for r in ids.collect())
+    borders = sorted({some[len(some) * k // batches] for k in range(1, batches)}) if some else []
+    index = FingerprintIndex(docs.sparkSession, max_runs=max_runs)
+    index.frequent = frequent_fingerprints(docs, id_col, text_col)
+    i, met = F.col(id_col), None
+    for lo, hi in zip([None, *borders], [*borders, None], strict=True):
+        inside = F.lit(True) if hi is None else (i < F.lit(hi)) | i.isNull() if lo is None else i < F.lit(hi)
+        part = docs.filter(inside if lo is None else inside & (i >= F.lit(lo)))
+        found = index.add(part, id_col, text_col, known_frequent=True)
+        met = found if met is None else met.unionByName(found)
+    d = _versions(docs, id_col, text_col)
+    return _verified(d, met, d, index.frequent, id_col)
