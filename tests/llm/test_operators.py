@@ -45,14 +45,28 @@ def docs():
     return corpus()
 
 
+def own_columns(df, *names):
+    return df.withColumns({c: F.lit("own") for c in names})
+
+
 def test_line_dedup(spark, docs):
-    got = {r["doc_id"]: (r["_n_lines"], r["_n_dropped"], r["_kept"]) for r in line_dedup.dedup_lines(frame(spark, docs).drop("_lines")).collect()}
+    names = ("_lines", "_id", "_th", "_h1", "_by", "_pos", "_n_lines")
+    out = line_dedup.dedup_lines(own_columns(frame(spark, docs), *names))
+    got = {r["doc_id"]: (r["_n_lines"], r["_n_dropped"], r["_kept"]) for r in out.collect()}
     assert got == brute.line_dedup(docs)
     assert any(v[1] for v in got.values())
+    assert len(set(out.columns)) == len(out.columns) and {r["_id"] + r["_by"] for r in out.collect()} == {"ownown"}
+
+
+@pytest.mark.parametrize("share", [0, 1 << 30])
+def test_line_dedup_frequent_lines_change_nothing(spark, docs, monkeypatch, share):
+    monkeypatch.setattr(line_dedup, "SHARE", share)
+    got = {r["doc_id"]: (r["_n_lines"], r["_n_dropped"], r["_kept"]) for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert got == brute.line_dedup(docs)
 
 
 def test_line_dedup_repeated_rows_and_empty(spark, docs):
-    d = frame(spark, docs[:20]).drop("_lines")
+    d = frame(spark, docs[:20])
     assert line_dedup.dedup_lines(d.limit(0)).count() == 0
     both = line_dedup.dedup_lines(d.union(d)).collect()
     assert len(both) == 40
@@ -64,23 +78,40 @@ def test_decontamination(spark, docs):
     long = docs[10][1] or ""
     items = [(1, docs[-1][1].split("\n")[1]), (2, "thea berin"), (3, ""), (4, None), (5, "nothing of this occurs anywhere in the texts at all ever"), (None, "thea"), (6, long[:200]), (7, docs[-1][1].split("\n")[1]), (8, "thea " * 12)]
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: (r["_n_words"], sorted(r["_hits"]), r["_items"]) for r in decontamination.exact_matches(frame(spark, docs), b).collect()}
+    out = decontamination.exact_matches(own_columns(frame(spark, docs), "_id", "_w", "_th", "_hits", "_cid"), b)
+    got = {r["doc_id"]: (r["_n_words"], sorted(r["_hits"]), r["_items"]) for r in out.collect()}
     assert got == brute.decontaminate(docs, items)
     assert any(v[2] for v in got.values())
+    assert len(set(out.columns)) == len(out.columns) and {r["_id"] + r["_w"] for r in out.collect()} == {"ownown"}
+
+
+def test_decontamination_index_serves_several_benchmarks(spark, docs, tmp_path):
+    path = str(tmp_path / "index")
+    decontamination.PositionalIndex.build(frame(spark, docs), path=path)
+    index = decontamination.PositionalIndex(spark, path)
+    for items in ([(1, docs[10][1][:150])], [(2, docs[-1][1].split("\n")[1]), (3, "thea")]):
+        b = spark.createDataFrame(items, "item_id long, text string")
+        got = {r["doc_id"]: (r["_n_words"], sorted(r["_hits"]), r["_items"]) for r in decontamination.exact_matches(frame(spark, docs), b, index=index).collect()}
+        assert got == brute.decontaminate(docs, items)
 
 
-def test_decontamination_empty_tables(spark, docs):
+def test_decontamination_empty_tables_and_repeated_rows(spark, docs):
     b = spark.createDataFrame([], "item_id long, text string")
     got = decontamination.exact_matches(frame(spark, docs), b).collect()
     assert len(got) == len(docs) and all(r["_hits"] == [] and r["_items"] == [] for r in got)
-    assert decontamination.exact_matches(frame(spark, []), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+    some = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert decontamination.exact_matches(frame(spark, []), some).count() == 0
+    rows = [(7, "x a b"), (7, "x a b"), (7, "b a"), (None, "a b a b"), (None, None)]
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["_n_words"], sorted(r["_hits"])) for r in decontamination.exact_matches(spark.createDataFrame(rows, "doc_id long, text string"), some).collect())
+    assert got == [(0, "", 0, []), (0, "a b a b", 4, [0, 1, 2, 3]), (7, "b a", 2, []), (7, "x a b", 3, [1, 2]), (7, "x a b", 3, [1, 2])]
 
 
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "a x b y c"), (2, "a x x x x x x b c"), (3, "c b a"), (4, None)], "doc_id long, text string")
-    b = spark.createDataFrame([("i", "a b c"), ("j", "zz a")], "item_id string, text string")
-    got = {(r["_id"], r["_item"], r["_first"], r["_last"]) for r in decontamination.proximity_matches(d, b, 5).collect()}
-    assert got == {(1, "i", 0, 4), (3, "i", 0, 2)}
+    d = spark.createDataFrame([(1, "a x b y c"), (2, "a x x x x x x b c"), (3, "c b a"), (3, "c b a"), (4, None), (5, "x a a b b c c b a")], "doc_id long, text string")
+    b = spark.createDataFrame([("i", "a b c"), ("j", "zz a"), ("k", None)], "item_id string, text string")
+    got = sorted((r["_id"], r["_item"], r["_first"], r["_last"]) for r in decontamination.proximity_matches(d, b, 5).collect())
+    assert got == [(1, "i", 0, 4), (3, "i", 0, 2), (5, "i", 1, 5)]
+    assert decontamination.proximity_matches(d.limit(0), b, 5).count() == 0
 
 
 def substring_rows(df):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmill.scratch import materialise, scratch_root
 
-__all__ = ["materialise", "scratch_root", "ascii_lower", "broadcast_if_small", "tokenizer_path", "pieces"]
+__all__ = ["materialise", "scratch_root", "ascii_lower", "broadcast_if_small", "without_clash", "with_own_names", "tokenizer_path", "pieces"]
 
 #: The six bytes that count as white space: 20 and 09 to 0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -26,13 +26,28 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
 
 
-def broadcast_if_small(df: DataFrame, text_col: str | None = None) -> DataFrame:
-    """Hints a broadcast if the measured size is below the bounds; else leaves the join to a shuffle."""
-    size = F.sum(F.octet_length(text_col)) if text_col else F.lit(0)
-    n, b = df.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Hints a broadcast if the measured size, of all columns and array elements, is below the bounds;
+    else leaves the join to a shuffle. ``df`` should be a written table: it is read once for this."""
+    n, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
     return F.broadcast(df) if n <= BROADCAST_ROWS and b <= BROADCAST_BYTES else df
 
 
+def without_clash(docs: DataFrame, *outputs: str) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """``docs`` with its columns renamed ``_c0, _c1, ..``, so that no name inside an operator clashes with
+    them; their own names; and own name to new one. Columns named like an output are left out: the
+    output takes their place."""
+    names = [c for c in docs.columns if c not in outputs]
+    new = {c: f"_c{i}" for i, c in enumerate(names)}
+    return docs.select(*(docs[f"`{c}`"].alias(n) for c, n in new.items())), names, new
+
+
+def with_own_names(df: DataFrame, names: list[str], new: dict[str, str], outputs: dict[str, Column]) -> DataFrame:
+    """What ``without_clash`` renamed under its own names, and the outputs under theirs."""
+    out = df.select(*(F.col(new[c]) for c in names), *(v.alias(f"_o{i}") for i, v in enumerate(outputs.values())))
+    return out.toDF(*names, *outputs)
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """Place of a public vocabulary file; ``folder`` overrides the installed one."""
     if folder:

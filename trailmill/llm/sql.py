@@ -63,6 +63,19 @@ select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coale
 from d left join hits using (doc_id) left join items using (doc_id)
 """
 
+PROXIMITY = f"""
+with d as (select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from documents),
+i as (select cast(item_id as varchar) item_id, list_distinct({_WORDS.format(_LOWER.format("coalesce(text, '')"))}) w from benchmark),
+sought as (select item_id, unnest(w) word, len(w) k from i where len(w) <= 60),
+flat as (select doc_id, unnest(w) word, generate_subscripts(w, 1) - 1 p from d),
+met as (select doc_id, item_id, k, p, word from flat join sought using (word)),
+enough as (select doc_id, item_id from met group by all having count(distinct word) = any_value(k)),
+next as (select *, count(distinct word) over (partition by doc_id, item_id order by p range between current row and 59 following) c from met semi join enough using (doc_id, item_id)),
+firsts as (select doc_id, item_id, min(p) first_word from next where c = k group by all),
+lasts as (select doc_id, item_id, first_word, word, min(p) p from firsts join met using (doc_id, item_id) where p between first_word and first_word + 59 group by all)
+select doc_id, item_id, first_word, max(p) last_word from lasts group by all
+"""
+
 SUBSTRING_DEDUP = """
 with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
 windows as (select doc_id, s, list_slice(w, s, s + 19) g from (select doc_id, w, unnest(range(1, len(w) - 18)) s from d where len(w) >= 20)),
@@ -94,4 +107,4 @@ select conv_id, n_turns, n_copies, cast(octet_length(encode(so_far)) as bigint)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": _licenses(), "op3_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRING_DEDUP, "op8_line_dedup": LINE_DEDUP, "op9_chat": CHAT}
+    return {"op1_licenses": _licenses(), "op3_decontamination": DECONTAMINATION, "op3_proximity": PROXIMITY, "op5_substring_dedup": SUBSTRING_DEDUP, "op8_line_dedup": LINE_DEDUP, "op9_chat": CHAT}
