@@ -142,7 +142,7 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
         dealt = rows.repartition(self.buckets, "_key")
-        dealt.write.bucketBy(self.buckets, "_key").sortBy("_key").option("path", f"{self.root}/{name}").format("parquet").saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, "_key").sortBy("_key").option("path", f"{self.root}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
         return name
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known_frequent: bool = False) -> DataFrame:
@@ -152,8 +152,10 @@ class FingerprintIndex:
 
         Each earlier run is merge-joined with the new one bucket by bucket: nothing of them is shuffled.
         Places of frequent fingerprints are returned without such a join; with ``known_frequent`` the
-        index knows them already.
+        index knows them already. Where more than ``max_runs`` stand already, they are compacted first.
         """
+        if len(self.runs) > self.max_runs:
+            self.compact()
         known = self.frequent
         if not known_frequent:
             self.frequent = tuple({*known, *frequent_fingerprints(docs, id_col, text_col)})
@@ -173,8 +175,6 @@ class FingerprintIndex:
             met = met.unionByName(x.select(*place))
         met = materialise(met, "met")
         self.runs.append(name)
-        if len(self.runs) > self.max_runs:
-            self.compact()
         return met
 
     def compact(self) -> None:
@@ -233,7 +233,7 @@ def _stretches(joined: DataFrame, frequent: tuple[int, ...]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in pieces(b, 2):
+            for p in pieces(b, 2, 8 << 20):
                 yield rows(p)
 
     return joined.mapInArrow(run, schema)
@@ -341,7 +341,7 @@ def dedup_batch(docs: DataFrame, index: FingerprintIndex, after=None, id_col: st
     return _verified(d, met, d if after is None else _versions(new, id_col, text_col), index.frequent, id_col)
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 4, max_runs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, batches: int = 3, max_runs: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``dedup_batch`` of a whole table in ``batches`` by ranges of ids, one after another through one
     index, which is compacted on the way. What they met is verified in one pass over the texts. The
     result depends on neither number. The range borders come from 1000 ids."""
