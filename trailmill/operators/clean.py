@@ -183,6 +183,25 @@ def driving(points: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
     return fill_heading_and_speed(filter_groups(fill_heading_and_speed(accurate(points, p.driving_accuracy)), KEYS, ORDER, keep))
 
 
+def walking(points: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
+    """``trip_id, id, ts, lat, lng, accuracy_m, heading_deg, speed_mps``: accuracy, fill, repeats, fast steps out and
+    back, fill, smoothing, stays as their means, places that say nothing new, fill. A trip of one
+    point is that point."""
+    from trailmill.operators import motion  # it builds on this module
+
+    valid = points.filter(geo.valid("lat", "lng") & (F.col("accuracy_m").isNull() | (F.col("accuracy_m") <= p.walking_accuracy)))
+
+    def keep(g: Group) -> np.ndarray:
+        a = keep_after_dedup(g, p)
+        a[np.flatnonzero(a)] = keep_without_walk_spikes({c: v[a] for c, v in g.items()}, p)
+        return a
+
+    w = motion.smooth(fill_heading_and_speed(filter_groups(fill_heading_and_speed(valid), KEYS, ORDER, keep)), walking=True)
+    w = filter_groups(motion.stay_centroids(w, p), KEYS, ORDER, lambda g: keep_simplified_walk(g, p))
+    none = F.lit(None).cast("double")
+    return fill_heading_and_speed(w.select("trip_id", "id", "ts", "lat", "lng", "accuracy_m", none.alias("heading_deg"), none.alias("speed_mps")))
+
+
 def thin(points: DataFrame, most: int = 50_000, keys: tuple[str, ...] = ("trip_id",)) -> DataFrame:
     """Every k-th point in order, and the last, where a group has more than ``most``."""
     w = Window.partitionBy(*keys)

@@ -1,296 +1,342 @@
 """Map matching: candidates by joins and windows, the choice among them by a hidden Markov model.
 
-Simple stretches take a first-order model over candidates, complex ones a second-order model over
-pairs of candidates. Both run group by group where Spark has brought the candidates together.
+Stays are drawn together first. Simple stretches take a first-order model over candidates, complex
+ones a second-order model over pairs of candidates. Both run where Spark has brought the candidates
+of a region together with its roads.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmill.functions import arrays, geo
-from trailmill.operators import roads
-from trailmill.operators.grouped import Group, map_groups
-from trailmill.operators.routing import FAR, RoadGraph, collect_graph
+from trailmill.operators import motion, roads
+from trailmill.operators.grouped import Group
+from trailmill.operators.regions import map_with_roads
+from trailmill.operators.routing import FAR, FIELDS, RoadGraph
 from trailmill.params import DEFAULTS, MatchParams
 from trailmill.scratch import materialise
 
-NEVER = -1e30
-
 
 def candidates(points: DataFrame, edges: DataFrame, most: int, p: MatchParams = DEFAULTS) -> DataFrame:
     """For each point its ``most`` likeliest edges: ``trip_id, id, ts, lat, lng, rank, edge_id, p_lat, p_lng,
     distance, theta`` (-1 without a heading), ``offset, direction, raw_prob, prob`` (of a sum of 1).
 
-    One search covers all radii: an edge within the largest normal radius counts as found there; the
-    wider ones matter only to points without such an edge, and then at a penalty and under a limit on
-    the heading.
+    An edge within the largest normal radius counts as found there; the wider search runs only for
+    points without such an edge, and then edges have a penalty and a limit on the heading.
     """
-    near = roads.within(points.select("trip_id", "id", "ts", "lat", "lng", "heading_deg"), edges, max(p.fallback_radii))
+    pts = points.select("trip_id", "id", "ts", "lat", "lng", "heading_deg")
+    normal = materialise(roads.within(pts, edges, max(p.radii)).withColumn("_wide", F.lit(False)), "near")
+    alone = pts.join(normal.select("id").distinct(), "id", "left_anti").select(*pts.columns)
+    near = normal.unionByName(roads.within(alone, edges, max(p.fallback_radii)).withColumn("_wide", F.lit(True)))
     theta = F.when(F.col("heading_deg").isNull(), -1.0).otherwise(geo.heading_to_road("heading_deg", "direction", "one_way"))
     near = near.withColumn("theta", theta).withColumn("distance", F.col("pr.distance"))
     plain = F.greatest(geo.gaussian("distance", p.sigma_distance) * F.when(F.col("theta") < 0, 1.0).otherwise(geo.gaussian("theta", p.sigma_heading)), F.lit(p.least_prob))
     by_point = Window.partitionBy("id")
-    near = near.withColumn("_wide", F.min("distance").over(by_point) > max(p.radii))
-    off = (F.col("theta") >= 0) & (F.col("distance") > p.complexity_radius) & (F.col("theta") > p.fallback_heading)
-    near = near.filter(F.when(F.col("_wide"), ~off).otherwise(F.col("distance") <= max(p.radii)))
+    near = near.filter(~F.col("_wide") | (F.col("theta") < 0) | (F.col("distance") <= p.complexity_radius) | (F.col("theta") <= p.fallback_heading))
     near = near.withColumn("raw_prob", plain * F.when(F.col("_wide"), p.fallback_penalty).otherwise(1.0))
     near = near.withColumn("rank", F.row_number().over(by_point.orderBy(F.desc("raw_prob"), "distance", "edge_id"))).filter(F.col("rank") <= most)
-    prob = F.greatest(F.col("raw_prob"), F.lit(p.least_prob)) / F.sum(F.greatest(F.col("raw_prob"), F.lit(p.least_prob))).over(by_point)
-    return near.select("trip_id", "id", "ts", "lat", "lng", "rank", "edge_id", F.col("pr.lat").alias("p_lat"), F.col("pr.lng").alias("p_lng"), "distance", "theta", F.col("pr.offset").alias("offset"), "direction", "raw_prob", prob.alias("prob"))
+    return near.select("trip_id", "id", "ts", "lat", "lng", "rank", "edge_id", F.col("pr.lat").alias("p_lat"), F.col("pr.lng").alias("p_lng"), "distance", "theta", F.col("pr.offset").alias("offset"), "direction", "raw_prob", _share(p).alias("prob"))
+
+
+def _share(p: MatchParams) -> Column:
+    """The probability of a candidate among those of its point."""
+    raw = F.greatest(F.col("raw_prob"), F.lit(p.least_prob))
+    return raw / F.sum(raw).over(Window.partitionBy("id"))
 
 
-class _Layers:
-    """Candidates of consecutive points, and the probabilities of moves between them."""
+class _Moves:
+    """Candidates of consecutive points, in stretches, and what is to be said of moves between them.
+
+    Rows are candidates by stretch, time and rank; ``first`` and ``last`` bound the rows of each point and
+    ``start`` its stretch. All moves of a part of a region are worked out at once.
+    """
 
     def __init__(self, g: Group, graph: RoadGraph, p: MatchParams):
-        self.graph, self.p = graph, p
-        cuts = [0, *(np.flatnonzero(g["id"][1:] != g["id"][:-1]) + 1).tolist(), len(g["id"])]
-        self.spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        self.g = g
-        self.edge = np.array([-1 if e is None or e != e else graph.index[int(e)] for e in g["edge_id"]])
-        self.steps = [float(arrays.haversine(g["lat"][a], g["lng"][a], g["lat"][b], g["lng"][b])) for (a, _), (b, _) in zip(self.spans[:-1], self.spans[1:], strict=True)]
-        self.seen: dict[tuple[int, int], float] = {}
-
-    def whole(self) -> bool:
-        return bool((self.edge >= 0).all())
-
-    def _turn(self, a: int, b: int) -> float:
-        c, g = self.graph.c, self.g
-        da = [g["direction"][a]] if c["one_way"][self.edge[a]] else [g["direction"][a], g["direction"][a] + 180.0]
-        db = [g["direction"][b]] if c["one_way"][self.edge[b]] else [g["direction"][b], g["direction"][b] + 180.0]
-        return min(float(arrays.angle_difference(x, y)) for x in da for y in db)
-
-    def route(self, a: int, b: int) -> float:
-        """Metres by road between two candidates, with stand-ins where there is no way."""
-        if (a, b) not in self.seen:
-            self.seen[a, b] = self._route(a, b)
-        return self.seen[a, b]
-
-    def _route(self, a: int, b: int) -> float:
+        self.g, self.graph, self.p = g, graph, p
+        point = np.concatenate(([True], (g["id"][1:] != g["id"][:-1]) | (g["stretch"][1:] != g["stretch"][:-1])))
+        self.first = np.flatnonzero(point)
+        self.last = np.append(self.first[1:], len(point))
+        stretch = g["stretch"][self.first]
+        starts = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1])))
+        self.stretches = list(zip(starts.tolist(), [*starts[1:].tolist(), len(stretch)], strict=True))
+        self.edge = np.array([-1 if np.isnan(e) else graph.index.get(int(e), -1) for e in g["edge_id"].astype(float)], np.int64)
+        lat, lng = g["lat"][self.first], g["lng"][self.first]
+        self.steps = np.append(arrays.haversine(lat[:-1], lng[:-1], lat[1:], lng[1:]), 0.0)  # to the next point
+        follows = np.append(stretch[1:] == stretch[:-1], False)
+        whole = np.logical_and.reduceat(self.edge >= 0, self.first)
+        self.whole = whole
+        t = np.flatnonzero(follows & whole & np.append(whole[1:], False))
+        a, b = self._pairs(t, t + 1)
+        step = np.repeat(self.steps[t], self._sizes(t) * self._sizes(t + 1))
+        self.route = self._routes(a, b)
+        self.same = self.graph.structure[self.edge[a]] == self.graph.structure[self.edge[b]]
+        turn = self._turn(a, b)
+        self.family = self._family(a, b, turn)
+        self.evidence = self._evidence(a, b, step)
+        rates, least = p.change_rates, p.least_factors
+        changed = self.family & ~self.same
+        factor = np.where(changed, np.maximum(least[0], np.exp(-rates[0] * (1.0 - self.evidence))), 1.0)
+        self.reward = np.where(changed, factor, np.where(self.family, np.minimum(1.0 + p.stay_reward, 1.0 + p.stay_reward * self.evidence), 1.0))
+        move = np.exp(-np.abs(step - self.route) / p.route_beta) * np.exp(-p.angle_lambda * turn / 180.0)
+        self.move = np.maximum(move * factor, p.least_prob)
+        at = np.cumsum(self._sizes(t) * self._sizes(t + 1))
+        self.at = dict(zip(t.tolist(), (at - self._sizes(t) * self._sizes(t + 1)).tolist(), strict=True))
+        two = t[np.isin(t + 1, t)]
+        a, b = self._pairs(two, two + 2)
+        self.far_family = self._family(a, b, self._turn(a, b))
+        at = np.cumsum(self._sizes(two) * self._sizes(two + 2))
+        self.far_at = dict(zip(two.tolist(), (at - self._sizes(two) * self._sizes(two + 2)).tolist(), strict=True))
+
+    def _sizes(self, t):
+        return self.last[t] - self.first[t]
+
+    def _pairs(self, s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all pairs of a candidate of point ``s`` and one of point ``t``, the first the slower."""
+        m, n = self._sizes(s), self._sizes(t)
+        k = np.arange((m * n).sum()) - np.repeat(np.cumsum(m * n) - m * n, m * n)
+        n_ = np.repeat(n, m * n)
+        return np.repeat(self.first[s], m * n) + k // np.maximum(n_, 1), np.repeat(self.first[t], m * n) + k % np.maximum(n_, 1)
+
+    def table(self, values: np.ndarray, t: int) -> np.ndarray:
+        """Values of the moves from point ``t`` to the next as a matrix."""
+        m, n = int(self._sizes(t)), int(self._sizes(t + 1))
+        return values[self.at[t] : self.at[t] + m * n].reshape(m, n)
+
+    def far_table(self, t: int) -> np.ndarray:
+        m, n = int(self._sizes(t)), int(self._sizes(t + 2))
+        return self.far_family[self.far_at[t] : self.far_at[t] + m * n].reshape(m, n)
+
+    def _turn(self, a, b):
+        d, one = self.g["direction"], self.graph.c["one_way"].astype(bool)
+        best = arrays.angle_difference(d[a], d[b])
+        back_a, back_b = ~one[self.edge[a]], ~one[self.edge[b]]
+        best = np.where(back_b, np.minimum(best, arrays.angle_difference(d[a], d[b] + 180.0)), best)
+        best = np.where(back_a, np.minimum(best, arrays.angle_difference(d[a] + 180.0, d[b])), best)
+        return np.where(back_a & back_b, np.minimum(best, arrays.angle_difference(d[a] + 180.0, d[b] + 180.0)), best)
+
+    def _routes(self, a, b):
+        """Metres by road between candidates, with stand-ins where there is no way."""
         g, graph, p = self.g, self.graph, self.p
-        i, j, oi, oj = self.edge[a], self.edge[b], float(g["offset"][a]), float(g["offset"][b])
-        if i == j:
-            length = max(float(graph.c["length_m"][i]), 1.0)
-            ahead = min(max(oj, 0.0), length) - min(max(oi, 0.0), length)
-            if ahead >= 0 or not graph.c["one_way"][i]:
-                return abs(ahead)
-            loop = graph.between(i, oi, i, oj, p)
-            return loop[0] if loop else length - ahead + 500.0
-        direct = float(arrays.haversine(g["p_lat"][a], g["p_lng"][a], g["p_lat"][b], g["p_lng"][b]))
-        corridor = direct <= p.corridor_m and (graph.continues(i, j, p.corridor_angle))
-        stand_in = max(direct, min(direct * 1.25 + 8.0, abs(oj - oi) + 12.0))
-        way = graph.between(i, oi, j, oj, p)
-        if way is None:
-            return stand_in if corridor else FAR if direct <= p.hard_block else max(direct * 8.0, 800.0)
-        best = max(way[0], 0.0)
-        return min(best, stand_in) if corridor and best > max(direct * 4.0, direct + 250.0) else best
-
-    def _family(self, a: int, b: int) -> bool:
+        i, j, oi, oj = self.edge[a], self.edge[b], g["offset"][a], g["offset"][b]
+        length = np.maximum(graph.c["length_m"][i], 1.0)
+        ahead = np.clip(oj, 0.0, length) - np.clip(oi, 0.0, length)
+        along = (i == j) & ((ahead >= 0) | ~graph.c["one_way"][i].astype(bool))
+        way = np.full(len(a), np.inf)
+        k = np.flatnonzero(~along)
+        way[k] = graph.ways(i[k], oi[k], j[k], oj[k], p)[0]
+        direct = arrays.haversine(g["p_lat"][a], g["p_lng"][a], g["p_lat"][b], g["p_lng"][b])
+        corridor = (direct <= p.corridor_m) & graph.continues(i, j, p.corridor_angle)
+        stand_in = np.maximum(direct, np.minimum(direct * 1.25 + 8.0, np.abs(oj - oi) + 12.0))
+        none = np.where(corridor, stand_in, np.where(direct <= p.hard_block, FAR, np.maximum(direct * 8.0, 800.0)))
+        best = np.maximum(way, 0.0)
+        long_ = corridor & (best > np.maximum(direct * 4.0, direct + 250.0))
+        other = np.where(np.isinf(way), none, np.where(long_, np.minimum(best, stand_in), best))
+        loop = np.where(np.isinf(way), length - ahead + 500.0, way)
+        return np.where(along, np.abs(ahead), np.where(i == j, loop, other))
+
+    def _family(self, a, b, turn):
         """Whether two candidates are on one corridor."""
-        if self._turn(a, b) > 15.0:
-            return False
-        graph, i, j = self.graph, self.edge[a], self.edge[b]
-        c = graph.c
-        if c["way_id"][i] == c["way_id"][j] or (graph.names[i] and graph.names[i] == graph.names[j]) or graph.share_node(i, j):
-            return True
-        if c["type"][i] != c["type"][j]:
-            return False
-        apart = lambda x, e: float(arrays.segment_projection(self.g["p_lat"][x], self.g["p_lng"][x], c["lat1"][e], c["lng1"][e], c["lat2"][e], c["lng2"][e])[0])
-        return max(apart(b, i), apart(a, j)) <= 35.0
-
-    def _evidence(self, a: int, b: int, step: float) -> float:
+        graph, c, i, j = self.graph, self.graph.c, self.edge[a], self.edge[b]
+        named = (graph.names[i] == graph.names[j]) & (graph.names[i] != "")
+        apart = lambda x, e: arrays.segment_projection(self.g["p_lat"][x], self.g["p_lng"][x], c["lat1"][e], c["lng1"][e], c["lat2"][e], c["lng2"][e])[0]
+        beside = (c["type"][i] == c["type"][j]) & (np.maximum(apart(b, i), apart(a, j)) <= self.p.family_apart_m)
+        return (turn <= self.p.family_angle) & ((c["way_id"][i] == c["way_id"][j]) | named.astype(bool) | graph.share_node(i, j) | beside.astype(bool))
+
+    def _evidence(self, a, b, step):
         """How much speaks for a change of level between two candidates, 0 to 1."""
-        g, graph, i, j = self.g, self.graph, self.edge[a], self.edge[b]
-        clip = lambda x: min(1.0, max(0.0, x))
-        seen = clip(0.45 * clip(g["prob"][b]) + 0.35 * clip((25.0 - min(g["distance"][b], 25.0)) / 25.0) + 0.2 * clip((g["prob"][b] - g["prob"][a] + 0.2) / 0.4))
-        way = clip(1.0 - abs(step - self.route(a, b)) / 40.0)
-        ramp, gap = bool(graph.c["ramp"][i] or graph.c["ramp"][j]), graph.endpoint_gap(i, j)
-        joined = graph.share_node(i, j)
-        link = 1.0 if joined else 0.85 if gap <= 20.0 else 0.6 if gap <= 35.0 else 0.65 if ramp else 0.0
-        total = clip(0.45 * seen + 0.35 * way + 0.2 * link)
-        return clip(total if ramp or joined or gap <= 20.0 else 0.75 * total)
-
-    def level_factor(self, a: int, b: int, step: float, reward: bool) -> float:
-        if not self._family(a, b):
-            return 1.0
-        level = self.graph.structure
-        if level[self.edge[a]] != level[self.edge[b]]:
-            return max(0.1, float(np.exp(-2.05 * (1.0 - self._evidence(a, b, step)))))
-        return min(1.18, 1.0 + 0.18 * self._evidence(a, b, step)) if reward else 1.0
-
-    def level_factor3(self, a: int, b: int, c: int, step: float) -> float:
-        fam_ab, fam_bc = self._family(a, b), self._family(b, c)
-        if not (fam_ab and fam_bc):
-            return 1.0
-        la, lb, lc = (self.graph.structure[self.edge[x]] for x in (a, b, c))
-        e = self._evidence(b, c, step)
-        if la == lb and lb != lc:
-            return max(0.1, float(np.exp(-2.1 * (1.0 - e))))
-        if la != lb and lb != lc and la == lc and self._family(a, c):
-            return max(0.03, float(np.exp(-3.2 * (1.0 - e))))
-        return min(1.75, 1.0 + 0.75 * e) if la != lb and lb == lc else 1.0
-
-    def first_order(self, a: int, b: int, step: float) -> float:
-        p = self.p
-        move = np.exp(-abs(step - self.route(a, b)) / p.route_beta) * np.exp(-p.angle_lambda * self._turn(a, b) / 180.0)
-        return max(float(move) * self.level_factor(a, b, step, False), p.least_prob)
-
-    def second_order(self, a: int, b: int, c: int, total: float, step: float) -> float:
-        beta = self.p.second_beta
-        base = np.exp(-abs(total - self.route(a, b) - self.route(b, c)) / beta) / beta
-        return max(float(base) * self.level_factor3(a, b, c, step), self.p.least_prob)
-
-
-def viterbi_first(x: _Layers) -> tuple[list[int], float]:
-    """Indices of the likeliest candidates, and their score; the first of equals."""
-    lg = lambda v: float(np.log(max(v, x.p.least_prob)))
-    prob, spans = x.g["prob"], x.spans
-    score = [lg(prob[i]) for i in range(*spans[0])]
-    back: list[list[int]] = []
-    for t in range(1, len(spans)):
-        (ps, pe), (cs, ce) = spans[t - 1], spans[t]
-        new, ptr = [], []
-        for b in range(cs, ce):
-            best, arg = NEVER, -1
-            for k, a in enumerate(range(ps, pe)):
-                total = score[k] + lg(x.first_order(a, b, x.steps[t - 1])) + lg(prob[b])
-                if total > best:
-                    best, arg = total, k
-            new.append(best)
-            ptr.append(arg)
-        score, back = new, [*back, ptr]
-    k = int(np.argmax(score))
+        g, graph, p, i, j = self.g, self.graph, self.p, self.edge[a], self.edge[b]
+        clip = lambda x: np.clip(x, 0.0, 1.0)
+        w, v = p.seen_weights, p.evidence_weights
+        close = clip((p.seen_close_m - np.minimum(g["distance"][b], p.seen_close_m)) / p.seen_close_m)
+        seen = clip(w[0] * clip(g["prob"][b]) + w[1] * close + w[2] * clip((g["prob"][b] - g["prob"][a] + 0.2) / 0.4))
+        way = clip(1.0 - np.abs(step - self.route) / p.way_slack_m)
+        ramp = graph.c["ramp"].astype(bool)
+        ramp = ramp[i] | ramp[j]
+        gap, joined = graph.end_gaps(i, j).min(axis=0), graph.share_node(i, j)
+        joint, near, by_ramp = p.link_scores
+        link = np.select([joined, gap <= p.joint_m, gap <= p.near_joint_m, ramp], [1.0, joint, near, by_ramp], 0.0)
+        total = clip(v[0] * seen + v[1] * way + v[2] * link)
+        return clip(np.where(ramp | joined | (gap <= p.joint_m), total, p.weak_access * total))
+
+
+def _best_first(x: _Moves, s: int, e: int) -> tuple[list[int], float]:
+    """Rows of the likeliest candidates of points ``s`` to ``e``, and their score; the first of equals."""
+    prob, least = x.g["prob"], x.p.least_prob
+    lg = lambda v: np.log(np.maximum(v, least))
+    score, back = lg(prob[x.first[s] : x.last[s]]), []
+    for t in range(s + 1, e):
+        total = score[:, None] + lg(x.table(x.move, t - 1)) + lg(prob[x.first[t] : x.last[t]])
+        back.append(total.argmax(axis=0))
+        score = total.max(axis=0)
+    k = int(score.argmax())
     out = [k]
     for ptr in reversed(back):
-        out.append(max(ptr[out[-1]], 0))
-    return [spans[t][0] + k for t, k in enumerate(reversed(out))], max(score)
-
-
-def viterbi_second(x: _Layers, complexity: np.ndarray) -> tuple[list[int], float]:
-    """The same over pairs; ``complexity`` weighs the move against what is seen, point by point."""
-    p, prob, spans = x.p, x.g["prob"], x.spans
-    if len(spans) < 3:
-        return viterbi_first(x)
-    lg = lambda v: float(np.log(max(v, p.least_prob)))
-    pair = lambda a, b, t: max(prob[a] * prob[b] * x.first_order(a, b, x.steps[t - 1]), p.least_prob)
-    first, second = range(*spans[0]), range(*spans[1])
-    near = np.array([1.0 / (max(x.g["distance"][a], 1.0) * (1.0 if x.g["theta"][a] < 0 else max(x.g["theta"][a], 1.0))) for a in first])
-    near = near / near.sum()
-    score = {(a, b): lg(near[k]) + lg(pair(a, b, 1)) + lg(x.level_factor(a, b, x.steps[0], True)) for k, a in enumerate(first) for b in second}
-    back: list[dict[tuple[int, int], int]] = []
-    for t in range(2, len(spans)):
-        f = min(1.0, max(0.0, float(complexity[t])))
-        total = x.steps[t - 2] + x.steps[t - 1]
-        new, ptr = {}, {}
-        for b in range(*spans[t - 1]):
-            for c in range(*spans[t]):
-                seen, best, arg = pair(b, c, t), NEVER, -1
-                for a in range(*spans[t - 2]):
-                    move = x.second_order(a, b, c, total, x.steps[t - 1])
-                    s = score[a, b] + lg(seen ** (1.0 - f) * move**f)
-                    if s > best:
-                        best, arg = s, a
-                new[b, c], ptr[b, c] = best, arg
-        score, back = new, [*back, ptr]
-    best = max(score, key=lambda k: (score[k], -k[0], -k[1]))
-    out = [best[1], best[0]]
+        out.append(int(ptr[out[-1]]))
+    return [int(x.first[s + t]) + k for t, k in enumerate(reversed(out))], float(score.max())
+
+
+def _best_second(x: _Moves, s: int, e: int) -> tuple[list[int], float]:
+    """The same over pairs; the complexity weighs the move against what is seen, point by point."""
+    if e - s < 3:
+        return _best_first(x, s, e)
+    p, g = x.p, x.g
+    prob, least, rates, floor = g["prob"], p.least_prob, p.change_rates, p.least_factors
+    lg = lambda v: np.log(np.maximum(v, least))
+    of = lambda t: slice(int(x.first[t]), int(x.last[t]))
+    seen = lambda t: np.maximum(prob[of(t)][:, None] * prob[of(t + 1)] * x.table(x.move, t), least)
+    theta = g["theta"][of(s)]
+    near = 1.0 / (np.maximum(g["distance"][of(s)], 1.0) * np.where(theta < 0, 1.0, np.maximum(theta, 1.0)))
+    score = lg(near / near.sum())[:, None] + lg(seen(s)) + lg(x.table(x.reward, s))
+    back = []
+    for t in range(s + 2, e):
+        f = min(1.0, max(0.0, float(g["complexity"][x.first[t]])))
+        ways = x.table(x.route, t - 2)[:, :, None] + x.table(x.route, t - 1)[None]
+        base = np.exp(-np.abs(x.steps[t - 2] + x.steps[t - 1] - ways) / p.second_beta) / p.second_beta
+        both = x.table(x.family, t - 2)[:, :, None] & x.table(x.family, t - 1)[None]
+        same1, same2 = x.table(x.same, t - 2)[:, :, None], x.table(x.same, t - 1)[None]
+        calm = 1.0 - x.table(x.evidence, t - 1)[None]
+        factor = np.where(both & same1 & ~same2, np.maximum(floor[0], np.exp(-rates[1] * calm)), 1.0)
+        back_again = both & ~same1 & ~same2 & x.far_table(t - 2)[:, None, :]
+        factor = np.where(back_again, np.maximum(floor[1], np.exp(-rates[2] * calm)), factor)
+        factor = np.where(both & ~same1 & same2, 1.0 + p.settle_reward * (1.0 - calm), factor)
+        move = np.maximum(base * factor, least)
+        total = score[:, :, None] + lg(seen(t - 1)[None] ** (1.0 - f) * move**f)
+        back.append(total.argmax(axis=0))
+        score = total.max(axis=0)
+    b, c = np.unravel_index(int(score.argmax()), score.shape)
+    out = [int(c), int(b)]
     for ptr in reversed(back):
-        out.append(ptr[out[-1], out[-2]])
-    return out[::-1], score[best]
-
+        out.append(int(ptr[out[-1], out[-2]]))
+    return [int(x.first[s + t]) + k for t, k in enumerate(reversed(out))], float(score.max())
 
-def match(points: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS, order: str = "adaptive", graph: RoadGraph | None = None) -> DataFrame:
-    """``trip_id, id, ts, lat, lng, edge_id, road, m_lat, m_lng, m_offset, snap_m, confidence, complex``.
 
-    ``points`` are cleaned, with headings; ``edges`` are finished. ``order`` is first, second or adaptive:
-    by the complexity around each point, in stretches. A stretch with a point without candidates
-    takes each point's best one; such a point itself keeps its place, at a confidence of 0.1.
-    """
-    points, edges = materialise(points, "points"), materialise(edges, "edges")
-    graph = graph or collect_graph(edges)
+def match_representatives(points: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS, order: str = "adaptive") -> DataFrame:
+    """``trip_id, id, edge_id, road, m_lat, m_lng, m_offset, confidence, complex`` of points that are each
+    matched for themselves, as stretches of one order."""
     shape = roads.complexity(points, edges, p.complexity_radius, p.complex_degree).select("trip_id", "id", "complexity", "complex_segment", "segment")
     if order != "adaptive":
         shape = shape.withColumns({"complex_segment": F.lit(order == "second"), "segment": F.lit(0)})
-    cand = candidates(points, edges, p.top_complex, p).drop("trip_id", "ts", "lat", "lng")
+    shape = shape.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("trip_id", "segment"))).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("trip_id")))
+    cand = candidates(points, edges, p.top_complex, p).drop("trip_id", "ts", "lat", "lng", "prob")
     rows = points.select("trip_id", "id", "ts", "lat", "lng").join(shape, ["trip_id", "id"]).join(cand, "id", "left")
-    rows = rows.filter(F.col("complex_segment") | F.col("rank").isNull() | (F.col("rank") <= p.top_simple))
-    total = F.sum("raw_prob").over(Window.partitionBy("id"))
-    rows = rows.withColumn("prob", F.col("raw_prob") / total)
-    sent = points.sparkSession.sparkContext.broadcast(graph)
-
-    def fn(g: Group) -> dict:
-        x = _Layers(g, sent.value, p)
-        firsts = [s for s, _ in x.spans]
-        if not x.whole():
-            chosen = firsts
-        elif g["complex_segment"][0]:
-            chosen = viterbi_second(x, g["complexity"][firsts])[0]
-        else:
-            chosen = viterbi_first(x)[0]
+    # A point alone in its trip is taken as it is; a complex stretch of fewer than three is a simple one.
+    second = F.col("complex_segment") & (F.col("_n") >= 3)
+    rows = rows.filter(F.col("rank").isNull() | second | (F.col("rank") <= p.top_simple)).withColumn("edge_id", F.when(F.col("_all") > 1, F.col("edge_id")))
+    rows = rows.withColumn("prob", _share(p)).withColumn("second", second).drop("_n", "_all", "raw_prob")
+
+    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({c: [] for c in names})
+        left = left.sort_by([("trip_id", "ascending"), ("segment", "ascending"), ("ts", "ascending"), ("id", "ascending"), ("rank", "ascending")])
+        g = {c: left.column(c).to_numpy() for c in left.column_names}
+        change = (g["trip_id"][1:] != g["trip_id"][:-1]) | (g["segment"][1:] != g["segment"][:-1])
+        g["stretch"] = np.concatenate(([0], np.cumsum(change)))
+        graph = RoadGraph({c: right.column(c).to_numpy() for c in FIELDS})
+        x = _Moves(g, graph, p)
+        chosen: list[int] = []
+        for s, e in x.stretches:
+            if not x.whole[s:e].all():
+                chosen += x.first[s:e].tolist()
+            else:
+                chosen += (_best_second if g["second"][x.first[s]] else _best_first)(x, s, e)[0]
         i = np.array(chosen)
-        lost = x.edge[i] < 0
-        c = sent.value.c
-        pick = lambda a, b: np.where(lost, b, a)
-        m_lat, m_lng = pick(g["p_lat"][i], g["lat"][i]), pick(g["p_lng"][i], g["lng"][i])
-        return {
-            "trip_id": g["trip_id"][i], "id": g["id"][i], "ts": g["ts"][i], "lat": g["lat"][i], "lng": g["lng"][i],
-            "edge_id": [None if v else int(c["edge_id"][e]) for v, e in zip(lost, x.edge[i], strict=True)],
-            "road": [None if v else c["name"][e] for v, e in zip(lost, x.edge[i], strict=True)],
-            "m_lat": m_lat, "m_lng": m_lng, "m_offset": pick(g["offset"][i], np.nan), "snap_m": arrays.haversine(g["lat"][i], g["lng"][i], m_lat, m_lng),
-            "confidence": pick(g["prob"][i], 0.1), "complex": [bool(v) for v in g["complex_segment"][i]],
-        }
-
-    schema = "trip_id long, id long, ts long, lat double, lng double, edge_id long, road string, m_lat double, m_lng double, m_offset double, snap_m double, confidence double, complex boolean"
-    return materialise(map_groups(rows, ["trip_id", "segment"], ["ts", "id", "rank"], fn, schema), "matched")
+        edge = x.edge[i]
+        lost = edge < 0
+        own = lambda a, b: np.where(lost, b, a)
+        road = np.array([None if v else graph.c["name"][k] for v, k in zip(lost, edge, strict=True)], dtype=object)
+        columns = (g["trip_id"][i], g["id"][i], pa.array([None if v else int(graph.c["edge_id"][k]) for v, k in zip(lost, edge, strict=True)], pa.int64()), pa.array(road, pa.string()), own(g["p_lat"][i], g["lat"][i]), own(g["p_lng"][i], g["lng"][i]), pa.array(g["offset"][i], pa.float64(), mask=lost), own(g["prob"][i], 0.1), g["complex_segment"][i].astype(bool))
+        return pa.table(dict(zip(names, columns, strict=True)))
+
+    schema = "trip_id long, id long, edge_id long, road string, m_lat double, m_lng double, m_offset double, confidence double, complex boolean"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return map_with_roads(rows, points, edges, fn, schema, p)
+
+
+def match(points: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS, order: str = "adaptive") -> DataFrame:
+    """``trip_id, id, ts, lat, lng, edge_id, road, m_lat, m_lng, m_offset, snap_m, confidence, complex``.
+
+    ``points`` are cleaned, with headings; ``edges`` are finished. Stays are drawn together first: their
+    middle points stand for them, and what is found for these holds for all their members. ``order`` is
+    first, second or adaptive: by the complexity around each point, in stretches. A stretch with a
+    point without candidates takes each point's best one; such a point itself, and one that is all of
+    its trip, keeps its place at a confidence of 0.1.
+    """
+    points, edges = materialise(points, "points"), materialise(edges, "edges")
+    windows = materialise(motion.stay_members(points, p), "windows")
+    middle = windows.filter("middle").select("id")
+    reps = materialise(points.join(middle, "id", "left_semi").select(*points.columns), "representatives")
+    found = match_representatives(reps, edges, p, order)
+    by_window = windows.filter("middle").select("trip_id", "id", "window").join(found, ["trip_id", "id"]).drop("id")
+    members = points.select("trip_id", "id", "ts", "lat", "lng").join(windows.select("trip_id", "id", "window"), ["trip_id", "id"])
+    out = members.join(by_window, ["trip_id", "window"]).withColumn("snap_m", geo.haversine("lat", "lng", "m_lat", "m_lng"))
+    cols = ("trip_id", "id", "ts", "lat", "lng", "edge_id", "road", "m_lat", "m_lng", "m_offset", "snap_m", "confidence", "complex")
+    return materialise(out.select(*cols), "matched")
 
 
 def _line(a: tuple[float, float], b: tuple[float, float], steps: int) -> list[tuple[float, float]]:
     return [a, *((a[0] + (b[0] - a[0]) * k / steps, a[1] + (b[1] - a[1]) * k / steps) for k in range(1, steps + 1))]
 
 
-def reconstruct(matched: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS, graph: RoadGraph | None = None) -> DataFrame:
+def _way(g: Group, i: int, graph: RoadGraph, p: MatchParams) -> list[tuple[float, float]]:
+    """Places from one matched point to the next."""
+    a, b = ((float(g["m_lat"][k]), float(g["m_lng"][k])) for k in (i, i + 1))
+    e, f = (graph.index.get(int(g["edge_id"][k]), -1) if not np.isnan(g["edge_id"][k]) else -1 for k in (i, i + 1))
+    if e < 0 or f < 0:
+        return _line(a, b, p.line_steps)
+    oe, of = float(g["m_offset"][i]), float(g["m_offset"][i + 1])
+    if e == f:
+        return _line(a, b, p.line_steps if graph.c["one_way"][e] and of < oe else p.same_road_steps)
+    direct = float(arrays.haversine(*a, *b))
+    best = graph.way(e, oe, f, of, p)
+    if best is None or best[0] > max(direct * p.detour_ratio, direct + p.detour_extra) or len(best[1]) > p.most_nodes:
+        return _line(a, b, p.line_steps)
+    out = [a]
+    for q in [*(graph.at[n] for n in best[1]), b]:
+        if arrays.haversine(*out[-1], *q) >= p.least_step_m:
+            out.append(q)
+    return out
+
+
+def reconstruct(matched: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
     """``trip_id, pos, ts, lat, lng``: the way between matched points, over nodes where the graph gives a
-    reasonable one, else a straight line. Points equal in six decimals and second are given once."""
-    sent = matched.sparkSession.sparkContext.broadcast(graph or collect_graph(edges))
-
-    def way(g: Group, i: int, graph: RoadGraph) -> list[tuple[float, float]]:
-        a, b = ((float(g["m_lat"][k]), float(g["m_lng"][k])) for k in (i, i + 1))
-        if np.isnan(g["edge_id"][i]) or np.isnan(g["edge_id"][i + 1]):
-            return _line(a, b, p.line_steps)
-        e, f = (graph.index[int(g["edge_id"][k])] for k in (i, i + 1))
-        oe, of = float(g["m_offset"][i]), float(g["m_offset"][i + 1])
-        if e == f:
-            return _line(a, b, p.line_steps if graph.c["one_way"][e] and of < oe else p.same_road_steps)
-        direct = float(arrays.haversine(*a, *b))
-        best = graph.between(e, oe, f, of, p)
-        if best is None or best[0] > max(direct * p.detour_ratio, direct + p.detour_extra) or len(best[1]) > p.most_nodes:
-            return _line(a, b, p.line_steps)
-        out = [a]
-        for q in [*(graph.at[n] for n in best[1]), b]:
-            if arrays.haversine(*out[-1], *q) >= 2.0:
-                out.append(q)
-        return out
+    reasonable one, else a straight line. Points equal in six decimals and second are given once. A
+    trip of one point is that point."""
 
-    def fn(g: Group) -> dict:
-        g = g | {"edge_id": g["edge_id"].astype(float)}
+    def trip(g: Group, graph: RoadGraph) -> list[tuple[int, float, float]]:
+        if len(g["id"]) == 1:
+            return [(int(g["ts"][0]), float(g["m_lat"][0]), float(g["m_lng"][0]))]
         out, seen = [], set()
         for i in range(len(g["id"]) - 1):
-            pts = way(g, i, sent.value)
+            pts = _way(g, i, graph, p)
             took = max(int(g["ts"][i + 1] - g["ts"][i]), 1)
-            for j, (lat, lng) in enumerate(pts):
-                if j or not i:
-                    ts = int(g["ts"][i]) + int(took * (j / (len(pts) - 1) if len(pts) > 1 else 0.0))
-                    key = (f"{lat:.6f}", f"{lng:.6f}", ts // 1000)
-                    if key not in seen:
-                        seen.add(key)
-                        out.append((ts, lat, lng))
-        ts, lat, lng = zip(*out, strict=True) if out else ((), (), ())
-        return {"trip_id": [int(g["trip_id"][0])] * len(out), "pos": range(len(out)), "ts": ts, "lat": lat, "lng": lng}
-
-    return map_groups(matched, ["trip_id"], ["ts", "id"], fn, "trip_id long, pos int, ts long, lat double, lng double")
+            for j in range(1 if i else 0, len(pts)):
+                ts = int(g["ts"][i]) + int(took * (j / (len(pts) - 1) if len(pts) > 1 else 0.0))
+                key = (f"{pts[j][0]:.6f}", f"{pts[j][1]:.6f}", ts // 1000)
+                if key not in seen:
+                    seen.add(key)
+                    out.append((ts, *pts[j]))
+        return out
+
+    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by([("trip_id", "ascending"), ("ts", "ascending"), ("id", "ascending")])
+        g = {c: left.column(c).to_numpy() for c in left.column_names}
+        g["edge_id"] = g["edge_id"].astype(float)
+        graph = RoadGraph({c: right.column(c).to_numpy() for c in FIELDS})
+        cuts = np.flatnonzero(g["trip_id"][1:] != g["trip_id"][:-1]) + 1
+        rows = []
+        for s, e in zip([0, *cuts], [*cuts, len(g["id"])], strict=True):
+            if e > s:
+                rows += [(int(g["trip_id"][s]), k, *x) for k, x in enumerate(trip({c: v[s:e] for c, v in g.items()}, graph))]
+        cols = zip(*rows, strict=True) if rows else ((),) * 5
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("trip_id", "pos", "ts", "lat", "lng"), cols, types, strict=True)})
+
+    rows = matched.select("trip_id", "id", "ts", "edge_id", "m_lat", "m_lng", "m_offset")
+    return map_with_roads(rows, matched, edges, fn, "trip_id long, pos int, ts long, lat double, lng double", p)
 
 
 def quality(matched: DataFrame, rebuilt: DataFrame) -> DataFrame:

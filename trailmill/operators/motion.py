@@ -63,7 +63,6 @@ def evidence(points: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
 def decide_modes(g: Group) -> np.ndarray:
     """True for driving. The evidence decides where it is clear, else the mode before, at first walking."""
     near, off, stay, med = g["near_ratio"], g["off_ratio"], g["stay_ratio"], g["median_speed"]
-    lead = g["drive_score"] - g["walk_score"]
     out, drives = np.zeros(len(near), bool), False
     for i in range(len(near)):
         if (g["max_speed"][i] >= 9.0 and near[i] >= 0.4) or g["drive_score"][i] >= g["walk_score"][i] + 0.7:
@@ -77,7 +76,6 @@ def decide_modes(g: Group) -> np.ndarray:
         else:
             drives = bool(near[i] >= 0.75 and med[i] >= 3.2)
         out[i] = drives
-    del lead
     return out
 
 
@@ -171,6 +169,19 @@ def compress_stays(points: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
     return map_groups(points, KEYS, ORDER, fn, "trip_id long, window int, from_ts long, to_ts long, members int, id long, lat double, lng double")
 
 
+def stay_members(points: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
+    """``trip_id, id, window, middle``: the window of every point, and whether it stands for the window."""
+
+    def fn(g: Group) -> dict:
+        w = np.array(stay_windows(g, p.stay_m, p.stay_ms, p.stay_speed))
+        size = w[:, 1] - w[:, 0]
+        middle = np.zeros(len(g["id"]), bool)
+        middle[w[:, 0] + size // 2] = True
+        return {"trip_id": g["trip_id"], "id": g["id"], "window": np.repeat(np.arange(len(w)), size), "middle": middle}
+
+    return map_groups(points, KEYS, ORDER, fn, "trip_id long, id long, window int, middle boolean")
+
+
 def stay_centroids(points: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
     """``trip_id, id, ts, lat, lng, accuracy_m``: walking stays as means on their middle member."""
 

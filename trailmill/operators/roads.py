@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +13,8 @@ VEHICLE = ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "prima
 #: Types whose short one-way pieces at junctions count as ramps.
 RAMP_TYPES = ("trunk", "primary", "secondary", "unclassified", "service")
 RAMP_M, RAMP_DEGREE = 220.0, 3
+#: Bits of an edge's id that number the pieces of a way.
+WAY_BITS = 20
 
 
 def highway_type(tags: Column) -> Column:
@@ -60,8 +60,9 @@ def extract_network(nodes: DataFrame, ways: DataFrame, south: float, north: floa
     at = lambda p: nodes.select(F.col("id").alias(f"{p}_node"), F.col("lat").alias(f"lat{1 if p == 'start' else 2}"), F.col("lng").alias(f"lng{1 if p == 'start' else 2}"))
     e = pieces.withColumnsRenamed({"node_id": "start_node", "next_id": "end_node"}).join(at("start"), "start_node").join(at("end"), "end_node")
     e = e.filter(geo.boxes_meet(F.least("lat1", "lat2"), F.greatest("lat1", "lat2"), F.least("lng1", "lng2"), F.greatest("lng1", "lng2"), south, north, west, east))
-    # The id comes from the way and the place in it: no global numbering, so no single partition.
-    e = e.select((F.col("way_id") * 100_000 + F.col("seq")).alias("edge_id"), "way_id", "start_node", "end_node", "lat1", "lng1", "lat2", "lng2", *road_attributes(F.col("tags")))
+    # The id comes from the way and the place in it: no global numbering, so no single partition. A way has
+    # 2000 nodes at most; 20 bits leave room for more.
+    e = e.select((F.shiftleft("way_id", WAY_BITS) + F.col("seq")).alias("edge_id"), "way_id", "start_node", "end_node", "lat1", "lng1", "lat2", "lng2", *road_attributes(F.col("tags")))
     return finish_edges(e)
 
 
@@ -81,25 +82,29 @@ def finish_edges(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """``edge_id, from_node, to_node, length_m``: edges, and two-way ones backwards as well."""
-    both = edges.select("edge_id", F.col("start_node").alias("from_node"), F.col("end_node").alias("to_node"), "length_m")
-    back = edges.filter(~F.col("one_way")).select((F.col("edge_id") + 1_000_000).alias("edge_id"), F.col("end_node").alias("from_node"), F.col("start_node").alias("to_node"), "length_m")
+    """``edge_id, reverse, from_node, to_node, length_m``: edges, and two-way ones backwards as well."""
+    both = edges.select("edge_id", F.lit(False).alias("reverse"), F.col("start_node").alias("from_node"), F.col("end_node").alias("to_node"), "length_m")
+    back = edges.filter(~F.col("one_way")).select("edge_id", F.lit(True).alias("reverse"), F.col("end_node").alias("from_node"), F.col("start_node").alias("to_node"), "length_m")
     return both.unionAll(back)
 
 
-def within(points: DataFrame, edges: DataFrame, radius: float, most_latitude: float = 60.0) -> DataFrame:
+def within(points: DataFrame, edges: DataFrame, radius: float) -> DataFrame:
     """Pairs of points and edges within ``radius`` metres: the columns of both and ``pr``, the projection.
 
     Edges go to every grid cell that their box, grown by the radius, covers, and a point to its own:
     an equality join, where a comparison of coordinates would meet every point with every edge. Cells
-    are as wide as the radius at ``most_latitude``.
+    are as high as the radius; how wide the ones of a row are depends on its latitude, so that no pair
+    is lost anywhere.
     """
-    size = radius / geo.DEGREE_M / math.cos(math.radians(most_latitude))
-    cell = lambda c: F.floor(c / size)
-    lo = lambda a, b: cell(F.least(a, b) - size)
-    hi = lambda a, b: cell(F.greatest(a, b) + size)
-    e = edges.withColumn("_y", F.explode(F.sequence(lo("lat1", "lat2"), hi("lat1", "lat2")))).withColumn("_x", F.explode(F.sequence(lo("lng1", "lng2"), hi("lng1", "lng2"))))
-    p = points.withColumns({"_y": cell(F.col("lat")), "_x": cell(F.col("lng"))})
+    high = radius / geo.DEGREE_M * 1.01  # a little more than a degree's metres differ
+    row = lambda c: F.floor(c / high)
+    # Towards a pole cells are as wide as the far side of their row needs; at the pole one is the whole row.
+    edge_of_row = F.least(F.greatest(F.abs("_y"), F.abs(F.col("_y") + 1)) * high, F.lit(89.9))
+    wide = high / F.cos(F.radians(edge_of_row))
+    col = lambda c: F.floor(c / wide)
+    e = edges.withColumn("_y", F.explode(F.sequence(row(F.least("lat1", "lat2") - high), row(F.greatest("lat1", "lat2") + high))))
+    e = e.withColumn("_x", F.explode(F.sequence(col(F.least("lng1", "lng2") - wide), col(F.greatest("lng1", "lng2") + wide))))
+    p = points.withColumn("_y", row(F.col("lat"))).withColumn("_x", col(F.col("lng")))
     near = p.join(e, ["_y", "_x"]).drop("_y", "_x").withColumn("pr", geo.segment_projection("lat", "lng", "lat1", "lng1", "lat2", "lng2"))
     return near.filter(F.col("pr.distance") <= radius)
 
@@ -155,7 +160,7 @@ def complexity(points: DataFrame, edges: DataFrame, radius: float = 40.0, degree
     trip = Window.partitionBy("trip_id")
     mu, sd = F.avg("variance").over(trip), F.stddev_pop("variance").over(trip)
     directional = F.when(F.col("variance").isNull(), 0.0).when(F.col("_sd") < 1e-9, geo.clamp(1.0 - 0.5 * F.col("variance"), 0.0, 1.0)).otherwise(geo.clamp(1.0 - 0.5 * F.abs((F.col("variance") - F.col("_mu")) / F.col("_sd")), 0.0, 1.0))
-    linked = F.coalesce(geo.clamp(0.5 * (1.0 + 2.0 * F.col("_k") / F.col("_nodes") / F.col("_k")), 0.0, 1.0), F.lit(0.0))
+    linked = F.when(F.col("_k").isNull(), 0.0).otherwise(geo.clamp(0.5 * (1.0 + 2.0 * F.col("_k") / F.col("_nodes") / F.col("_k")), 0.0, 1.0))
     p = p.withColumns({"_mu": mu, "_sd": F.coalesce(sd, F.lit(0.0))}).withColumns({"directional": directional, "connectivity": linked})
     p = p.withColumn("complexity", F.greatest("directional", "connectivity")).withColumn("is_complex", F.coalesce(((F.col("variance") > 0) & (F.col("variance") < 0.5)) | (F.col("_degree") >= degree), F.lit(False)))
     along = Window.partitionBy("trip_id").orderBy("ts", "id")

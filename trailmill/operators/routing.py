@@ -1,4 +1,4 @@
-"""Routes between places on roads, for a road graph that fits a worker."""
+"""Routes between places on roads, for the roads of one region."""
 
 from __future__ import annotations
 
@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 
 from trailmill.functions import arrays
 from trailmill.functions.text import FAST, UNNAMED
-from trailmill.params import MatchParams
+from trailmill.params import DEFAULTS, MatchParams
 from trailmill.scratch import materialise
 
-#: A graph goes to the workers whole if it has at most so many edges (about 200 bytes each).
-GRAPH_EDGES = 2_000_000
 FIELDS = ("edge_id", "way_id", "start_node", "end_node", "lat1", "lng1", "lat2", "lng2", "name", "type", "one_way", "layer", "bridge", "tunnel", "ramp", "length_m", "direction", "node_degree")
 FAR = 1_000_000.0
 
@@ -26,102 +24,147 @@ class RoadGraph:
     MEMORY = 20_000
 
     def __init__(self, columns: dict[str, np.ndarray]):
-        self.c = columns
-        self.index = {int(e): i for i, e in enumerate(columns["edge_id"])}
-        self.names = ["" if n is None or n.strip() in ("", UNNAMED) else n.strip() for n in columns["name"]]
-        self.fast = [bool(r) or t in FAST for r, t in zip(columns["ramp"], columns["type"], strict=True)]
-        self.structure = (columns["layer"] > 0) | columns["bridge"] | columns["tunnel"]
+        first = np.unique(columns["edge_id"], return_index=True)[1]
+        self.c = c = {k: v[first] for k, v in columns.items()}
+        self.index = {int(e): i for i, e in enumerate(c["edge_id"])}
+        self.names = np.array(["" if n is None or n.strip() in ("", UNNAMED) else n.strip() for n in c["name"]], dtype=object)
+        self.fast = c["ramp"].astype(bool) | np.isin(c["type"].astype(str), list(FAST))
+        self.structure = (c["layer"] > 0) | c["bridge"].astype(bool) | c["tunnel"].astype(bool)
         self.at: dict[int, tuple[float, float]] = {}
         self.next: dict[int, dict[int, float]] = {}
-        for s, e, a, b, c, d, m, one in zip(*(columns[k].tolist() for k in ("start_node", "end_node", "lat1", "lng1", "lat2", "lng2", "length_m", "one_way")), strict=True):
-            self.at[s], self.at[e] = (a, b), (c, d)
-            for x, y in ((s, e),) if one else ((s, e), (e, s)):
-                out = self.next.setdefault(x, {})
-                out[y] = min(m, out.get(y, m))
-        self.paths: OrderedDict[tuple[int, int], tuple[float, list[int]] | None] = OrderedDict()
-
-    def path(self, a: int, b: int) -> tuple[float, list[int]] | None:
-        """(metres, nodes) of the shortest path, by a search that ends at ``b``."""
-        if a == b:
-            return 0.0, [a]
-        if (a, b) in self.paths:
-            self.paths.move_to_end((a, b))
-            return self.paths[a, b]
-        best, before, heap, found = {a: 0.0}, {}, [(0.0, a)], None
-        while heap:
+        self.by_ends: dict[tuple[int, int], int] = {}
+        ends = (c[k].tolist() for k in ("start_node", "end_node", "lat1", "lng1", "lat2", "lng2", "length_m", "one_way"))
+        for i, (s, e, a, b, x, y, m, one) in enumerate(zip(*ends, strict=True)):
+            self.at[s], self.at[e] = (a, b), (x, y)
+            for n, o in ((s, e),) if one else ((s, e), (e, s)):
+                out = self.next.setdefault(n, {})
+                out[o] = min(m, out.get(o, m))
+                self.by_ends.setdefault((n, o), i)
+        self.trees: OrderedDict[int, tuple[dict, dict, list, set]] = OrderedDict()
+
+    def _search(self, a: int, targets: set[int]) -> tuple[dict[int, float], dict[int, int]]:
+        """(metres, node before) from ``a``, settled for all of ``targets`` that can be reached. A search
+        goes on where the last one from the same node stopped."""
+        if a not in self.trees:
+            self.trees[a] = ({a: 0.0}, {}, [(0.0, a)], set())
+            if len(self.trees) > self.MEMORY:
+                self.trees.popitem(last=False)
+        self.trees.move_to_end(a)
+        best, before, heap, done = self.trees[a]
+        left = targets - done
+        while heap and left:
             d, n = heapq.heappop(heap)
-            if n == b:
-                nodes = [b]
-                while nodes[-1] != a:
-                    nodes.append(before[nodes[-1]])
-                found = (d, nodes[::-1])
-                break
-            if d > best[n]:
+            if n in done:
                 continue
+            done.add(n)
+            left.discard(n)
             for m, w in self.next.get(n, {}).items():
                 if d + w < best.get(m, float("inf")):
                     best[m], before[m] = d + w, n
                     heapq.heappush(heap, (d + w, m))
-        self.paths[a, b] = found
-        if len(self.paths) > self.MEMORY:
-            self.paths.popitem(last=False)
-        return found
+        return best, before
+
+    def metres(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lengths of the shortest paths between pairs of nodes, infinite where there is none: one
+        search for each distinct first node."""
+        out = np.full(len(a), np.inf)
+        order = np.argsort(a, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(a) else ():
+            targets = b[part].tolist()
+            best, _ = self._search(int(a[part[0]]), set(targets))
+            out[part] = [best.get(t, np.inf) for t in targets]
+        return out
+
+    def path(self, a: int, b: int) -> tuple[float, list[int]] | None:
+        """(metres, nodes) of the shortest path."""
+        best, before = self._search(a, {b})
+        if b not in best:
+            return None
+        nodes = [b]
+        while nodes[-1] != a:
+            nodes.append(before[nodes[-1]])
+        return best[b], nodes[::-1]
 
     def gap(self, a: int, b: int) -> float:
         return 0.0 if a == b else float(arrays.haversine(*self.at[a], *self.at[b]))
 
-    def share_node(self, i: int, j: int) -> bool:
-        c = self.c
-        return bool({c["start_node"][i], c["end_node"][i]} & {c["start_node"][j], c["end_node"][j]})
+    def share_node(self, i, j):
+        s, e = self.c["start_node"], self.c["end_node"]
+        return (s[i] == s[j]) | (s[i] == e[j]) | (e[i] == s[j]) | (e[i] == e[j])
 
-    def endpoint_gap(self, i: int, j: int) -> float:
+    def end_gaps(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Metres between the ends of two edges: start to start, start to end, end to start, end to end."""
         c = self.c
-        return min(self.gap(int(c[a][i]), int(c[b][j])) for a in ("start_node", "end_node") for b in ("start_node", "end_node"))
+        ends = ("start_node", "lat1", "lng1"), ("end_node", "lat2", "lng2")
+        return np.stack([np.where(c[n][i] == c[m][j], 0.0, arrays.haversine(c[a][i], c[b][i], c[x][j], c[y][j])) for n, a, b in ends for m, x, y in ends])
 
-    def continues(self, i: int, j: int, angle: float) -> bool:
+    def continues(self, i, j, angle: float):
         """Of one way, of one name and both fast, or nearly of one direction."""
         c = self.c
-        if c["way_id"][i] == c["way_id"][j] or (self.names[i] and self.names[i] == self.names[j] and self.fast[i] and self.fast[j]):
-            return True
-        return float(arrays.angle_difference(c["direction"][i], c["direction"][j])) <= angle
-
-    def ends(self, i: int, offset: float, leaving: bool) -> list[tuple[int, float]]:
-        """(node, metres) by which a place on an edge is left or reached."""
-        length = max(float(self.c["length_m"][i]), 1.0)
-        o = min(max(offset, 0.0), length)
-        start, end = (int(self.c["start_node"][i]), o), (int(self.c["end_node"][i]), length - o)
-        return [end if leaving else start] if self.c["one_way"][i] else [start, end]
-
-    def between(self, i: int, oi: float, j: int, oj: float, p: MatchParams) -> tuple[float, list[int]] | None:
-        """(metres, nodes) of the best way from a place on one edge to a place on another: along the
-        graph, or handed over directly where the edges go on from one another."""
-        same = self.c["way_id"][i] == self.c["way_id"][j]
-        strong = self.continues(i, j, p.corridor_angle)
-        most = p.same_way_handoff_m if same or strong else p.handoff_m if self.share_node(i, j) else -1.0
-        best = None
-        leave, reach = self.ends(i, oi, True), self.ends(j, oj, False)
-        for a, ca in leave:
-            for b, cb in reach:
-                if (way := self.path(a, b)) and (best is None or ca + way[0] + cb < best[0]):
-                    best = (ca + way[0] + cb, way[1])
-        for a, ca in leave:
-            for b, cb in reach:
-                g = self.gap(a, b)
-                if g <= most:
-                    total = (ca + g + cb) * (0.92 if strong and g <= p.same_way_handoff_m else 1.0)
-                    if best is None or total < best[0]:
-                        best = (total, [a] if a == b else [a, b])
-        return best
-
-
-def collect_graph(edges: DataFrame) -> RoadGraph:
-    """The graph of ``edges`` (as ``roads.finish_edges`` leaves them); too large a one is refused, and
-    then tracks must be matched region by region, each with the edges of its box."""
-    n = edges.count()
-    if n > GRAPH_EDGES:
-        raise ValueError(f"{n} edges are more than a worker's graph of {GRAPH_EDGES}: match region by region")
-    pdf = edges.select(*FIELDS).orderBy("edge_id").toPandas()
-    return RoadGraph({c: pdf[c].to_numpy() for c in FIELDS})
+        named = (self.names[i] == self.names[j]) & (self.names[i] != "") & self.fast[i] & self.fast[j]
+        return (c["way_id"][i] == c["way_id"][j]) | named.astype(bool) | (arrays.angle_difference(c["direction"][i], c["direction"][j]) <= angle)
+
+    def _places(self, i, offset):
+        """(metres to the start, metres to the end) of places on edges."""
+        length = np.maximum(self.c["length_m"][i], 1.0)
+        o = np.clip(offset, 0.0, length)
+        return o, length - o
+
+    def ways(self, i: np.ndarray, oi: np.ndarray, j: np.ndarray, oj: np.ndarray, p: MatchParams = DEFAULTS) -> tuple[np.ndarray, np.ndarray]:
+        """(metres, kind) of the best ways from places on edges to places on others; infinite where there
+        is none. Kinds 0 to 3 go along the graph, 4 to 7 are handed over directly where edges go on from
+        one another: by start or end (2) of the first and start or end (1) of the second."""
+        c = self.c
+        out, reach = self._places(i, oi), self._places(j, oj)
+        nodes = (c["start_node"], c["end_node"])
+        same, strong = c["way_id"][i] == c["way_id"][j], self.continues(i, j, p.corridor_angle)
+        most = np.where(same | strong, p.same_way_handoff_m, np.where(self.share_node(i, j), p.handoff_m, -1.0))
+        gaps, totals = self.end_gaps(i, j), np.full((8, len(i)), np.inf)
+        for a in (0, 1):
+            for b in (0, 1):
+                # A one-way edge is left by its end and reached by its start.
+                open_ = ~((a == 0) & c["one_way"][i].astype(bool)) & ~((b == 1) & c["one_way"][j].astype(bool))
+                at = np.flatnonzero(open_)
+                k = 2 * a + b
+                cost = out[a] + reach[b]
+                totals[k, at] = cost[at] + self.metres(nodes[a][i[at]], nodes[b][j[at]])
+                near = open_ & (gaps[k] <= most)
+                handed = (cost + gaps[k]) * np.where(strong & (gaps[k] <= p.same_way_handoff_m), p.handoff_share, 1.0)
+                totals[4 + k] = np.where(near, handed, np.inf)
+        kind = totals.argmin(axis=0)
+        return totals[kind, np.arange(len(i))], kind
+
+    def way(self, i: int, oi: float, j: int, oj: float, p: MatchParams = DEFAULTS) -> tuple[float, list[int]] | None:
+        """(metres, nodes) of one of these ways."""
+        metres, kind = (x[0] for x in self.ways(*(np.array([x]) for x in (i, oi, j, oj)), p))
+        if not np.isfinite(metres):
+            return None
+        a, b = (int(self.c[("start_node", "end_node")[k]][e]) for k, e in ((kind % 4 // 2, i), (kind % 2, j)))
+        nodes = self.path(a, b)[1] if kind < 4 else [a] if a == b else [a, b]
+        return float(metres), nodes
+
+    def edge_path(self, i: int, j: int) -> list[int]:
+        """The edges along the shortest of the paths between an end of one road and a different end of
+        another; the road itself for one and the same, none where there is no path."""
+        if i == j:
+            return [i]
+        ends = lambda e: (int(self.c["start_node"][e]), int(self.c["end_node"][e]))
+        found = [way for a in ends(i) for b in ends(j) if a != b and (way := self.path(a, b))]
+        if not found:
+            return []
+        nodes = min(found, key=lambda w: w[0])[1]
+        return [self.by_ends[n] for n in zip(nodes[:-1], nodes[1:], strict=True)]
+
+    def road_distance(self, i: int, j: int) -> float:
+        """Metres along these edges; ten times the straight distance of the middles of the roads, at
+        least 100 km, where there are none. A road is 0 from itself."""
+        if i == j:
+            return 0.0
+        c, edges = self.c, self.edge_path(i, j)
+        if edges:
+            return float(c["length_m"][edges].sum())
+        mid = lambda e: ((c["lat1"][e] + c["lat2"][e]) / 2, (c["lng1"][e] + c["lng2"][e]) / 2)
+        return max(10.0 * float(arrays.haversine(*mid(i), *mid(j))), 100_000.0)
 
 
 def hop_distances(adjacency: DataFrame, source: int, most_hops: int) -> DataFrame:

@@ -61,11 +61,31 @@ class MatchParams:
     detour_ratio: float = 3.2
     detour_extra: float = 220.0
     most_nodes: int = 12
+    least_step_m: float = 2.0
     hard_block: float = 120.0
     corridor_angle: float = 25.0
     corridor_m: float = 120.0
     handoff_m: float = 35.0
     same_way_handoff_m: float = 90.0
+    handoff_share: float = 0.92
+    # the box of roads around a track
+    least_radius_km: float = 1.5
+    box_buffer_km: float = 4.0
+    # roads of one corridor, and changes of level on it
+    family_angle: float = 15.0
+    family_apart_m: float = 35.0
+    seen_weights: tuple[float, float, float] = (0.45, 0.35, 0.2)
+    evidence_weights: tuple[float, float, float] = (0.45, 0.35, 0.2)
+    seen_close_m: float = 25.0
+    way_slack_m: float = 40.0
+    joint_m: float = 20.0
+    near_joint_m: float = 35.0
+    link_scores: tuple[float, float, float] = (0.85, 0.6, 0.65)
+    weak_access: float = 0.75
+    change_rates: tuple[float, float, float] = (2.05, 2.1, 3.2)
+    least_factors: tuple[float, float] = (0.1, 0.03)
+    stay_reward: float = 0.18
+    settle_reward: float = 0.75
     # switches
     use_sensor_fields: bool = True
     quality_fallback: bool = False

@@ -77,9 +77,9 @@ def ramp_heuristic(spark, sf):
     return _edges(spark).select("edge_id", "node_degree", "ramp")
 
 
-@register("adjacency_union", f"select edge_id, start_node from_node, end_node to_node from {EDGES} union all select edge_id + 1000000, end_node, start_node from {EDGES} where not one_way")
+@register("adjacency_union", f"select edge_id, false reverse, start_node from_node, end_node to_node from {EDGES} union all select edge_id, true, end_node, start_node from {EDGES} where not one_way")
 def adjacency_union(spark, sf):
-    return roads.adjacency(_edges(spark)).select("edge_id", "from_node", "to_node")
+    return roads.adjacency(_edges(spark)).select("edge_id", "reverse", "from_node", "to_node")
 
 
 @register("shared_nodes", f"select a.edge_id, b.edge_id other_id from {EDGES} a join {EDGES} b on a.edge_id < b.edge_id and (a.start_node in (b.start_node, b.end_node) or a.end_node in (b.start_node, b.end_node))")
@@ -246,11 +246,20 @@ def match_quality(spark, sf):
     return q.select("trip_id", "points", "poor", *(F.round(c, 3).alias(c) for c in ("avg_snap", "p90_snap", "bad_ratio", "raw_m", "road_m", "detour_ratio", "score")))
 
 
+def _digest(line: str):
+    """A line as text, six decimals and milliseconds each."""
+    at = lambda x: F.concat_ws(",", F.format_number(x["lat"], 6), F.format_number(x["lng"], 6), x["ts"].cast("string"))
+    return F.array_join(F.transform(line, at), ";")
+
+
 @register("trip_polylines")
 def trip_polylines(spark, sf):
-    return trip_map.polylines(_points(spark, sf), _edges(spark))
+    lines = trip_map.segment_lines(_points(spark, sf), _edges(spark))
+    return trip_map.segment_polylines(lines).withColumn("line", _digest("line"))
 
 
 @register("trip_map")
 def trip_map_view(spark, sf):
-    return trip_map.map_view(_points(spark, sf), _edges(spark))
+    v = trip_map.map_view(_points(spark, sf), _edges(spark), derived(spark, sf, "place"))
+    whole = [F.struct(F.col(f"{la}.points"), F.col(f"{la}.distance_m"), F.sha2(_digest(f"{la}.line"), 256).alias("line")).alias(la) for la in ("raw", "matched", "reconstructed")]
+    return v.select(*(c for c in v.columns if c not in ("raw", "matched", "reconstructed", "stretches", "markers")), *whole, F.greatest(F.size("stretches"), F.lit(0)).alias("stretches"), F.greatest(F.size("markers"), F.lit(0)).alias("markers"))
