@@ -45,11 +45,18 @@ class PositionalIndex:
         stay where they are read: each task sorts its own postings by term, so that the list of a term
         is a run in every file."""
         path = path or f"{scratch_root(docs.sparkSession)}/postings-{uuid.uuid4().hex}"
-        flat = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.posexplode(words_of(F.col(text_col))).alias("_pos", "_word"))
+        # The hash of a text is made before its words are dealt out, not once for each of them. A last word
+        # that is empty stands where the text ends.
+        whole = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.array_append(words_of(F.col(text_col)), F.lit("")).alias("_words"))
+        flat = whole.select("_id", "_th", F.posexplode("_words").alias("_pos", "_word"))
         postings = flat.select(term_of("_word").alias("_term"), "_id", "_th", "_pos")
         postings.sortWithinPartitions("_term").write.parquet(path)
         return cls(docs.sparkSession, path, postings.schema)
 
+    def sizes(self) -> DataFrame:
+        """``_id, _th, _n``: the number of words of each document."""
+        return self.postings.filter(F.col("_term") == term_of(F.lit(""))).groupBy("_id", "_th").agg(F.max("_pos").cast("long").alias("_n"))
+
     def lists(self, terms: DataFrame) -> DataFrame:
         """The postings of the terms of a written table."""
         return self.postings.join(broadcast_if_small(terms.select("_term").distinct()), "_term", "left_semi")
@@ -85,7 +92,7 @@ def _in_documents(postings: DataFrame, docs: DataFrame) -> DataFrame:
     return postings.join(d, postings["_id"].eqNullSafe(d["_wid"]) & (postings["_th"] == d["_wth"]), "left_semi")
 
 
-def phrase_candidates(index: PositionalIndex, classes: DataFrame, lists: int = 3) -> DataFrame:
+def phrase_candidates(index: PositionalIndex, classes: DataFrame, lists: int = 2) -> DataFrame:
     """Alignments ``_id, _th, _cid, _shift``: item word 0 stands at document word ``_shift``, and the
     rarest terms of at least one window of the item stand where they should."""
     terms = materialise(classes.select(F.explode("_terms").alias("_term")).distinct(), "terms")
@@ -94,12 +101,15 @@ def phrase_candidates(index: PositionalIndex, classes: DataFrame, lists: int = 3
     anchors = windows.select("_cid", F.explode("_rare").alias("_place")).distinct().join(classes, "_cid").select("_cid", "_place", F.get("_terms", F.col("_place")).alias("_term"))
     anchors = materialise(anchors, "anchors")
     shifted = index.postings.join(broadcast_if_small(anchors), "_term").select(*DOC, "_cid", (F.col("_pos") - F.col("_place")).alias("_shift"), "_place")
-    met = shifted.groupBy(*DOC, "_cid", "_shift").agg(F.collect_set("_place").alias("_met"))
-    needs = materialise(windows.groupBy("_cid").agg(F.collect_set("_rare").alias("_needs")), "needs")
-    return met.join(broadcast_if_small(needs), "_cid").filter(F.exists("_needs", lambda w: F.size(F.array_except(w, F.col("_met"))) == 0)).select(*DOC, "_cid", "_shift")
+    # Places are bits: one of 64 may stand for several places of a long item, which lets more through.
+    bit = lambda place: F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    met = shifted.groupBy(*DOC, "_cid", "_shift").agg(F.bit_or(bit(F.col("_place"))).alias("_met"))
+    need = F.aggregate("_rare", F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(bit(x)))
+    needs = materialise(windows.groupBy("_cid").agg(F.collect_set(need).alias("_needs")), "needs")
+    return met.join(broadcast_if_small(needs), "_cid").filter(F.exists("_needs", lambda w: w.bitwiseAND(F.col("_met")) == w)).select(*DOC, "_cid", "_shift")
 
 
-def occurrences(index: PositionalIndex, classes: DataFrame, lists: int = 3) -> DataFrame:
+def occurrences(index: PositionalIndex, classes: DataFrame, lists: int = 2) -> DataFrame:
     """``_id, _th, _hits, _ids``: documents with the positions of words inside an occurrence of a window,
     and the items with occurring windows. ``classes`` is a written table of ``phrases``."""
     found = materialise(phrase_candidates(index, classes, lists), "candidates")
@@ -119,7 +129,7 @@ def occurrences(index: PositionalIndex, classes: DataFrame, lists: int = 3) -> D
 
 
 def exact_matches(
-    docs: DataFrame, items: DataFrame, window: int = 10, lists: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index: PositionalIndex | None = None
+    docs: DataFrame, items: DataFrame, window: int = 10, lists: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index: PositionalIndex | None = None
 ) -> DataFrame:
     """Every row of ``docs`` with ``_n_words``, ``_hits`` (positions of words inside an occurrence of a
     window, distinct) and ``_items`` (ids, as sorted strings, of the items with occurring windows).
@@ -131,21 +141,24 @@ def exact_matches(
     an empty table. Other columns pass, whatever their names; one that is named like a result is replaced.
 
     ``index`` is the stored index of ``docs``; where there is none it is built. The lists are read three
-    times: for their lengths, for the rarest terms, and for all terms in documents that these left.
+    times: for their lengths, for the rarest terms, and for all terms in documents that these left. The
+    texts are not read again.
     """
     index = index or PositionalIndex.build(docs, id_col, text_col)
     classes = materialise(phrases(items, window, item_col, item_text_col), "phrases")
     hits = broadcast_if_small(materialise(occurrences(index, classes, lists), "hits"))
     d, names, new = without_clash(docs, "_n_words", "_hits", "_items")
     i, t = F.col(new[id_col]), F.col(new[text_col])
-    d = d.withColumns({"_n": F.size(words_of(t)).cast("long"), "_dth": F.xxhash64(t)})
+    sizes = broadcast_if_small(materialise(index.sizes(), "sizes").withColumnsRenamed({"_id": "_sid", "_th": "_sth"}))
+    d = d.withColumn("_dth", F.xxhash64(t))
+    d = d.join(sizes, i.eqNullSafe(sizes["_sid"]) & (F.col("_dth") == sizes["_sth"]), "left")
     d = d.join(hits, i.eqNullSafe(hits["_id"]) & (F.col("_dth") == hits["_th"]), "left")
     none = F.array().cast("array<int>"), F.array().cast("array<string>")
     return with_own_names(d, names, new, {"_n_words": F.col("_n"), "_hits": F.coalesce("_hits", none[0]), "_items": F.coalesce("_ids", none[1])})
 
 
 def proximity_matches(
-    docs: DataFrame, items: DataFrame, span: int, lists: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index: PositionalIndex | None = None
+    docs: DataFrame, items: DataFrame, span: int, lists: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index: PositionalIndex | None = None
 ) -> DataFrame:
     """Pairs ``_id, _item, _first, _last``: the distinct words of the item all stand, in any order,
     within ``span`` consecutive words of the document, from ``_first`` to ``_last`` (the leftmost
