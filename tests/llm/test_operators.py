@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tests.llm import brute
+from tests.llm import brute, plain_jpeg
 
 from trailmill.llm import avi, bpe, chat, decontamination, language, licenses, line_dedup, pii, simhash, substring_dedup
 from trailmill.llm.common import tokenizer_path
@@ -354,6 +354,49 @@ def test_avi_round_trip(spark, docs):
         assert (r["_n_bytes"], r["_payload_bytes"], r["_payload_sha256"], r["_tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
 
 
+def test_usual_code_tables():
+    """Codes that the standard lists."""
+    table = {t: {s: format(c, f"0{n}b") for s, (c, n) in avi.canonical_codes(avi.USUAL[t][0], avi.usual_symbols(t)).items()} for t in avi.USUAL}
+    assert [table[0x00][k] for k in (0, 5, 11)] == ["00", "110", "111111110"]
+    assert [table[0x01][k] for k in (0, 2, 11)] == ["00", "10", "11111111110"]
+    assert [table[0x10][k] for k in (0x00, 0xF0, 0x01, 0x03, 0x11, 0x31, 0xFA)] == ["1010", "11111111001", "00", "100", "1100", "111010", "1111111111111110"]
+    assert [table[0x11][k] for k in (0x00, 0xF0, 0x01, 0x02, 0x11, 0xFA)] == ["00", "1111111010", "01", "100", "1011", "1111111111111110"]
+
+
+USUAL_AC = [(avi.USUAL[t][0], list(avi.usual_symbols(t))) for t in (0x10, 0x11)]
+
+
+@pytest.mark.parametrize("how", ["grey", "colour", "no tables", "restarts", "odd size"])
+def test_avi_decodes_frames_of_another_writer(how):
+    r = np.random.default_rng(3)
+    h, w = (37, 45) if how == "odd size" else (32, 48)
+    y, x = np.mgrid[0:h, 0:w]
+    luma = [np.clip(128 + 60 * np.sin(x / 5 + k) + 50 * np.cos(y / 7) + r.normal(0, 6, (h, w)), 0, 255).astype(np.uint8) for k in range(3)]
+    small = np.full((-(-h // 2), -(-w // 2)), 90, np.uint8)
+    frames = []
+    for p in luma:
+        if how in ("grey", "restarts"):
+            frames.append(plain_jpeg.write([p], [(1, 1)], USUAL_AC, restart=5 if how == "restarts" else 0))
+        else:
+            frames.append(plain_jpeg.write([p, small, small], [(2, 2), (1, 1), (1, 1)], USUAL_AC, tables=how != "no tables", restart=2 if how == "odd size" else 0))
+    files = [plain_jpeg.avi(frames), plain_jpeg.avi(frames, absolute=True), plain_jpeg.avi(frames, index=False), plain_jpeg.avi(frames, index=False, grouped=True)]
+    for fps, samples, number in avi.decode_files(files):
+        assert fps == 10 and number.tolist() == [0, 1, 2] and samples.shape == (3, h * w)
+        off = np.abs(samples.astype(int) - np.stack(luma).reshape(3, -1))
+        assert off.max() <= 6 and off.mean() < 1.0
+
+
+def test_avi_shots_of_pictures(spark):
+    r = np.random.default_rng(4)
+    picture = lambda level: np.clip(r.normal(level, 10, (16, 16)), 0, 255).astype(np.uint8)
+    frames = [plain_jpeg.write([picture(v)], [(1, 1)], USUAL_AC, tables=False) for v in [40] * 8 + [200] * 6]
+    frames[3] = b""  # repeats the frame before
+    d = spark.createDataFrame([(1, bytearray(plain_jpeg.avi(frames))), (1, bytearray(plain_jpeg.avi(frames)))], "_level long, _media binary")
+    got = sorted((x["_clip"], x["_start_s"], x["_end_s"], x["_frames"]) for x in avi.clips(d).collect())
+    assert got == [(0, 0.0, 0.8, 8), (0, 0.0, 0.8, 8), (1, 0.8, 1.4, 6), (1, 0.8, 1.4, 6)]
+    assert avi.clips(d.limit(0)).count() == 0 and avi.describe(d.limit(0)).count() == 0
+
+
 def test_avi_shots_and_bad_files(spark):
     r = np.random.default_rng(1)
     shots = np.concatenate([np.full((30, 192), 20), np.full((25, 192), 200), np.full((40, 192), 90)]) + r.integers(0, 3, (95, 192))
