@@ -129,9 +129,9 @@ def occurrences(index: PositionalIndex, classes: DataFrame, lists: int = 2) -> D
 
 
 def exact_matches(
-    docs: DataFrame, items: DataFrame, window: int = 10, lists: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index: PositionalIndex | None = None
+    docs: DataFrame, items: DataFrame, window: int = 10, lists: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index: PositionalIndex | None = None, count_words: bool = True
 ) -> DataFrame:
-    """Every row of ``docs`` with ``_n_words``, ``_hits`` (positions of words inside an occurrence of a
+    """Every row of ``docs`` with ``_n_words`` (unless ``count_words`` is off), ``_hits`` (positions of words inside an occurrence of a
     window, distinct) and ``_items`` (ids, as sorted strings, of the items with occurring windows).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
@@ -149,12 +149,13 @@ def exact_matches(
     hits = broadcast_if_small(materialise(occurrences(index, classes, lists), "hits"))
     d, names, new = without_clash(docs, "_n_words", "_hits", "_items")
     i, t = F.col(new[id_col]), F.col(new[text_col])
-    sizes = broadcast_if_small(materialise(index.sizes(), "sizes").withColumnsRenamed({"_id": "_sid", "_th": "_sth"}))
     d = d.withColumn("_dth", F.xxhash64(t))
-    d = d.join(sizes, i.eqNullSafe(sizes["_sid"]) & (F.col("_dth") == sizes["_sth"]), "left")
+    if count_words:
+        sizes = index.sizes().withColumnsRenamed({"_id": "_sid", "_th": "_sth"})
+        d = d.join(sizes, i.eqNullSafe(sizes["_sid"]) & (F.col("_dth") == sizes["_sth"]), "left")
     d = d.join(hits, i.eqNullSafe(hits["_id"]) & (F.col("_dth") == hits["_th"]), "left")
     none = F.array().cast("array<int>"), F.array().cast("array<string>")
-    return with_own_names(d, names, new, {"_n_words": F.col("_n"), "_hits": F.coalesce("_hits", none[0]), "_items": F.coalesce("_ids", none[1])})
+    return with_own_names(d, names, new, ({"_n_words": F.col("_n")} if count_words else {}) | {"_hits": F.coalesce("_hits", none[0]), "_items": F.coalesce("_ids", none[1])})
 
 
 def proximity_matches(
