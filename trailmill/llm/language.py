@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.llm.common import pieces
@@ -38,7 +38,7 @@ def training_rows(docs: DataFrame, keep: Column, docs_per_lang: int, id_col: str
     labelled = docs.filter(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     share = labelled.groupBy(F.col(lang_col).alias("_lang")).agg((F.lit(float(docs_per_lang)) / F.count(F.lit(1))).alias("_share"))
     chosen = F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(1 << 30)) < F.col("_share") * (1 << 30)
-    return labelled.join(F.broadcast(share), labelled[lang_col] == share["_lang"]).filter(chosen).select("_lang", F.col(text_col).alias("_text"))
+    return labelled.join(share, labelled[lang_col] == share["_lang"]).filter(chosen).select("_lang", F.col(text_col).alias("_text"))
 
 
 def count_features(rows: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def count_features(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies of the most frequent words and n-grams: ``features[n][text]`` is a row of ``logs``."""
+    """Log frequencies of words and n-grams: ``features[n][text]`` is a row of ``logs``."""
 
     def __init__(self, langs: list[str], counts: list[tuple[str, int, str, int]]):
         self.langs = langs
@@ -109,15 +109,13 @@ class Model:
             rest = unseen
 
 
-def train(docs: DataFrame, keep: Column | None = None, docs_per_lang: int = 1500, max_words: int = 20_000, max_grams: int = 5_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of at most ``max_words`` words and ``max_grams`` n-grams of each length for every
-    language, from about ``docs_per_lang`` labelled rows of each (where ``keep`` holds). These bounds
-    make it small enough for the driver and for a broadcast. Ties in frequency go to the smaller text.
+def train(docs: DataFrame, keep: Column | None = None, docs_per_lang: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model of all words and n-grams of about ``docs_per_lang`` labelled rows of each language (where
+    ``keep`` holds), or of all its rows if it has fewer. That bound on rows is what makes the model
+    small enough for the driver and for a broadcast; of the rows nothing is left out.
     """
     rows = training_rows(docs, F.lit(True) if keep is None else keep, docs_per_lang, id_col, text_col, lang_col)
-    w = Window.partitionBy("_lang", "_n").orderBy(F.desc("_count"), "_f")
-    top = count_features(rows).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= F.when(F.col("_n") == 0, max_words).otherwise(max_grams))
-    counts = sorted((r["_lang"], r["_n"], r["_f"], r["_count"]) for r in top.select("_lang", "_n", "_f", "_count").collect())
+    counts = sorted((r["_lang"], r["_n"], r["_f"], r["_count"]) for r in count_features(rows).collect())
     return Model(sorted({x[0] for x in counts}), counts)
 
 
@@ -150,8 +148,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     by name if several tie; the score is its mean share over the words that tell anything. A text that
     is null or has no letter is ``und`` with score 0; so is every text if no language was learned.
     Letters without any known n-gram give the first language with score 0. Equal texts get equal
-    results; other columns pass, an empty table stays empty.
+    results; other columns pass, one that is named like a result is replaced; an empty table stays empty.
     """
+    docs = docs.drop("_lang_pred", "_score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     d = docs.toDF(*names)
