@@ -116,5 +116,40 @@ def pii(t):
     return [(kind, s, e) for s, _, kind, e in sorted(out)]
 
 
+def language(labelled, asked, longest=5):
+    """Words by their log frequency, unseen ones by the mean of their longest known n-grams."""
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    cut = lambda w, n: [f"<{w}>"[i : i + n] for i in range(len(w) + 2 - n + 1)]
+    langs = sorted({x for _, _, x in labelled})
+    seen = [defaultdict(lambda: [0.5] * len(langs)) for _ in range(longest + 1)]
+    for _, t, x in labelled:
+        for w in split(t):
+            for n in range(longest + 1):
+                for f in cut(w, n) if n else [w]:
+                    if f not in seen[n]:
+                        seen[n][f] = [0.5] * len(langs)
+                    seen[n][f][langs.index(x)] += 1
+    total = [[sum(v[k] for v in s.values()) for k in range(len(langs))] for s in seen]
+    log = lambda n, f: np.array([np.log(c / t) for c, t in zip(seen[n][f], total[n], strict=True)])
+
+    def told(w):
+        if w in seen[0]:
+            return log(0, w)
+        for n in range(longest, 0, -1):
+            if known := [log(n, f) for f in cut(w, n) if f in seen[n]]:
+                return sum(known) / len(known)
+        return None
+
+    out = {}
+    for i, t, _ in asked:
+        logs = [x for w in split(t) if (x := told(w)) is not None]
+        if not logs:
+            out[i] = (langs[0] if split(t) else "und", 0.0)
+            continue
+        best = int(np.argmax(sum(logs)))
+        out[i] = (langs[best], float(np.mean([np.exp(x - x.max())[best] / np.exp(x - x.max()).sum() for x in logs])))
+    return out
+
+
 def ids_sha(ids):
     return hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()

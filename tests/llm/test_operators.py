@@ -338,10 +338,28 @@ def test_language(spark):
     assert all(0 <= s <= 1 for _, s in got.values())
 
 
-def test_language_without_labels(spark):
+def test_language_equals_plain(spark):
+    r = random.Random(12)
+    stems = {"aa": ["kal", "om", "thi", "é"], "bb": ["kal", "sch", "erg", "om"], "cc": ["thi", "sch", "ça", "lu"]}
+    word = lambda x: "".join(r.choice(stems[x]) for _ in range(r.randint(1, 3)))
+    rows = [(i, " ".join(word(x) for _ in range(r.randint(1, 12))), x) for i, x in enumerate(["aa", "bb", "cc"] * 12)]
+    asked = [(100 + i, t, None) for i, t in enumerate(["kalom thischlu", "unbekannt", "zzz 12", "KAL om, om!", "", "qqq", "ça " * 3000])]
+    d = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string").withColumn("_score", F.lit("own"))
+    out = language.predict(d, language.train(d))
+    assert out.columns == ["doc_id", "text", "lang", "_lang_pred", "_score"]
+    got = {x["doc_id"]: (x["_lang_pred"], x["_score"]) for x in out.union(out).collect()}
+    want = brute.language(rows, rows + asked)
+    assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-9) for i in want)
+    assert language.predict(d.limit(0), language.train(d)).count() == 0
+
+
+def test_language_ties_and_without_labels(spark):
     d = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     r = language.predict(d, language.train(d)).first()
     assert (r["_lang_pred"], r["_score"]) == ("und", 0.0)
+    tie = spark.createDataFrame([(1, "abc", "y"), (2, "abc", "x"), (3, "abc", None)], "doc_id long, text string, lang string")
+    assert {x["_lang_pred"] for x in language.predict(tie, language.train(tie)).collect()} == {"x"}
 
 
 def test_avi_round_trip(spark, docs):
@@ -417,16 +435,30 @@ def test_pii_equals_patterns(spark):
     bits = ["a.b+c@x-y.com", "a@b@c.de", "@", "x@y", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "01.002.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234-567", "+1", "++1 234 567 8901", "12345678901234567890", " ", "\n", "word", "é", "."]
     rows = [(i, "".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randint(0, 14)))) for i in range(400)] + [(900, None), (901, "9" * 3000), (902, "x" * 5000 + "@a.b")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in x["_spans"] if s["kind"] != "iban"] for x in pii.find_pii(d).collect()}
+    got = {x["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in x["_spans"] if s["kind"] in pii.BASE] for x in pii.find_pii(d).collect()}
     assert got == {i: brute.pii(t) for i, t in rows}
 
 
+def kinds(spark, text, *kind):
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return [(s["kind"], text[s["start"] : s["end"]], s["score"]) for s in pii.find_pii(d).first()["_spans"] if s["kind"] in kind]
+
+
 def test_pii_validators_context_and_redaction(spark):
-    d = spark.createDataFrame([(1, "my bank account DE89 3704 0044 0532 0130 00 please"), (2, "serial DE88370400440532013000"), (3, "mail me: a@b.org, or example a@b.org")], "doc_id long, text string")
-    got = {x["doc_id"]: x for x in pii.find_pii(d, redact=True).collect()}
-    assert [s["kind"] for s in got[1]["_spans"] if s["kind"] == "iban"] == ["iban"] and got[1]["_spans"][0]["score"] == 1.0
-    assert not [s for s in got[2]["_spans"] if s["kind"] == "iban"]
-    assert got[3]["_redacted"] == "mail me: [email], or example [email]"
+    good = "DE89 3704 0044 0532 0130 00"
+    assert kinds(spark, f"my bank account {good} please", "iban") == [("iban", good, 0.8)]
+    assert kinds(spark, f"plainly {good}.", "iban") == [("iban", good, 0.6)]
+    assert kinds(spark, f"the serial {good}", "iban") == []  # a word against it takes it away
+    assert kinds(spark, "DE88370400440532013000 and DE8937040044053201300 and DE893704004405320130000", "iban") == []  # checksum, too short, too long
+    assert kinds(spark, "490154203237518", "imei") == []
+    assert kinds(spark, "the imei is 49-015420-323751-8, it is", "imei") == [("imei", "49-015420-323751-8", 0.6)]  # a word for it brings it
+    # Only whole words count: neither hotel nor recall speak of a phone.
+    assert kinds(spark, "hotel recall +49 30 1234567", "phone")[0][2] == 0.6 and kinds(spark, "Tel. +49 30 1234567", "phone")[0][2] == 0.8
+    d = spark.createDataFrame([(3, "mail me: a@b.org, or example a@b.org", "own", "own"), (3, "mail me: a@b.org, or example a@b.org", "own", "own")], "doc_id long, text string, _spans string, _c0 string")
+    out = pii.find_pii(d, redact=True)
+    assert out.columns == ["doc_id", "text", "_c0", "_spans", "_redacted"]
+    assert [x["_redacted"] for x in out.collect()] == ["mail me: [email], or example [email]"] * 2
+    assert pii.find_pii(d.limit(0)).count() == 0
 
 
 def test_licenses(spark):

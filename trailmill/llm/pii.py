@@ -9,20 +9,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Kinds in the order in which spans that start together are listed.
-KINDS = ("email", "ip", "card", "phone", "iban")
-#: Score of a confirmed span before its context is read.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
-#: Words that raise or lower the score when they stand within ``REACH`` characters.
+#: Kinds in the order in which spans that start together are listed. The first four are the base: every
+#: confirmed span of them is listed, whatever its score.
+KINDS = ("email", "ip", "card", "phone", "iban", "imei")
+BASE = KINDS[:4]
+#: Score of a confirmed span before its context is read. Of the other kinds a span is listed
+#: only at ``LEAST`` or more: a device number needs a word for it nearby, an account number none against it.
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.6, "imei": 0.4}
+LEAST = 0.5
+#: Words that raise or lower the score when they stand, as words, within ``REACH`` characters.
 CONTEXT = {
-    "email": (("mail", "contact", "write to"), ("example",)),
+    "email": (("mail", "email", "contact", "write"), ("example",)),
     "ip": (("ip", "address", "host", "server", "login"), ("version", "release", "section")),
     "card": (("card", "visa", "mastercard", "amex", "credit", "payment"), ("isbn", "order", "serial", "tracking")),
     "phone": (("phone", "tel", "call", "mobile", "fax", "whatsapp"), ("isbn", "version")),
-    "iban": (("iban", "account", "bank", "transfer"), ("serial",)),
+    "iban": (("iban", "account", "bank", "transfer"), ("serial", "part", "model")),
+    "imei": (("imei", "device", "handset"), ("card", "visa", "mastercard")),
 }
 REACH = 40
 STEP = 0.2
+#: How many characters an international account number has in each country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -30,8 +42,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IMEI = re.compile(r"(?<![0-9])[0-9]{2}(?:-?[0-9]{6}){2}-?[0-9](?![0-9])")
 _NO_DIGIT = re.compile(r"[^0-9]")
+_WORD = re.compile(r"[a-z]+")
 
 
 def luhn(digits: str) -> bool:
@@ -60,17 +74,18 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """As many letters and digits as the country has, in groups that a blank may part, up to where a word ends."""
     for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        end = m.end()
-        while len(code) >= 15:  # words after the number may look like groups of it
-            if mod97(code):
-                yield m.start(), end
+        size, code, at = IBAN_LENGTHS.get(m[0][:2], 0), [], m.start()
+        while len(code) < size and at < len(text):
+            c = text[at]
+            if c.isascii() and (c.isdigit() or c.isupper()):
+                code.append(c)
+            elif c != " " or text[at - 1] == " ":
                 break
-            cut = text.rfind(" ", m.start(), end)
-            if cut < 0:
-                break
-            end, code = cut, text[m.start() : cut].replace(" ", "")
+            at += 1
+        if size and len(code) == size and not text[at : at + 1].isalnum() and mod97("".join(code)):
+            yield m.start(), at
 
 
 def spans_of(text: str) -> list[tuple[str, int, int, float]]:
@@ -85,14 +100,18 @@ def spans_of(text: str) -> list[tuple[str, int, int, float]]:
     if "+" in text:
         found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_NO_DIGIT.sub("", m[0])) <= 15]
     found += [("iban", s, e) for s, e in _ibans(text)]
+    found += [("imei", *m.span()) for m in _IMEI.finditer(text) if luhn(_NO_DIGIT.sub("", m[0]))]
     found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
-    return [(k, s, e, _score(text, k, s, e)) for k, s, e in found]
+    rated = [(k, s, e, _score(text, k, s, e)) for k, s, e in found]
+    return [x for x in rated if x[0] in BASE or x[3] >= LEAST]
 
 
 def _score(text: str, kind: str, start: int, end: int) -> float:
-    near = f"{text[max(0, start - REACH) : start]} {text[end : end + REACH]}".lower()
+    """A word counts if it stands whole within reach: what is cut off at the border does not."""
+    before, after = text[max(0, start - REACH - 1) : start].lower(), text[end : end + REACH + 1].lower()
+    near = {w[0] for w in _WORD.finditer(before) if w.start() or start <= REACH} | {w[0] for w in _WORD.finditer(after) if w.end() <= REACH}
     for_it, against = CONTEXT[kind]
-    score = PRIOR[kind] + STEP * any(w in near for w in for_it) - STEP * any(w in near for w in against)
+    score = PRIOR[kind] + STEP * (not near.isdisjoint(for_it)) - STEP * (not near.isdisjoint(against))
     return round(min(1.0, max(0.0, score)), 2)
 
 
@@ -101,14 +120,15 @@ def find_pii(docs: DataFrame, text_col: str = "text", redact: bool = False) -> D
     ``_redacted``, the text with each stretch of spans replaced by the kind of its first, in brackets.
 
     A null or empty text has no spans (and an empty ``_redacted``); spans of different kinds may
-    overlap; repeated rows get equal results; an empty table stays empty; other columns pass. Rows are
-    read where they lie, there is no shuffle.
+    overlap; repeated rows get equal results; an empty table stays empty; other columns pass, one that
+    is named like a result is replaced. Rows are read where they lie, there is no shuffle.
     """
+    kind = "array<struct<kind:string,start:long,end:long,score:double>>"
+    more = {"_spans": kind} | ({"_redacted": "string"} if redact else {})
+    docs = docs.drop(*more)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     d = docs.toDF(*names)
     at = docs.columns.index(text_col)
-    kind = "array<struct<kind:string,start:long,end:long,score:double>>"
-    more = {"_spans": kind} | ({"_redacted": "string"} if redact else {})
     schema = d.selectExpr("*", *(f"cast(null as {t}) as {n}" for n, t in more.items())).schema
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 

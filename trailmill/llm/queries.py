@@ -92,7 +92,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    base = F.filter("_spans", lambda x: x["kind"].isin("email", "ip", "card", "phone"))
+    base = F.filter("_spans", lambda x: x["kind"].isin(*pii.BASE))
     counts = [F.expr(f"cast(size(filter(_spans, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
     best = F.array_max(F.transform("_spans", lambda x: x["score"]))
     return d.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"), best.alias("best_score"))
