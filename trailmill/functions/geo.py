@@ -110,23 +110,34 @@ def polyline_length(points) -> Column:
 
 
 def polyline_projection(lat, lng, points) -> Column:
-    """The nearest of the projections on the segments of a polyline: struct(distance, lat, lng, offset, direction)."""
+    """The nearest of the projections on the segments of a polyline, the first of equals: struct(distance,
+    lat, lng, offset, direction). One walk along the line, which carries the length so far."""
     p = _c(points)
-    pairs = F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    place = lambda d, la, ln, o, di: F.struct(d.alias("distance"), la.alias("lat"), ln.alias("lng"), o.alias("offset"), di.alias("direction"))
+    zero = F.lit(0.0)
+    start = F.struct(p[0]["lat"].alias("lat"), p[0]["lng"].alias("lng"), zero.alias("run"), place(F.lit(float("inf")), zero, zero, zero, zero).alias("best"))
 
-    def placed(x: Column, i: Column) -> Column:
-        a, b = x["a"], x["b"]
-        q = segment_projection(lat, lng, a["lat"], a["lng"], b["lat"], b["lng"])
-        before = polyline_length(F.slice(p, 1, i + 1))
-        return F.struct(q["distance"].alias("distance"), i.alias("i"), q["lat"].alias("lat"), q["lng"].alias("lng"), (before + q["offset"]).alias("offset"), bearing(a["lat"], a["lng"], b["lat"], b["lng"]).alias("direction"))
+    def step(s: Column, x: Column) -> Column:
+        q = segment_projection(lat, lng, s["lat"], s["lng"], x["lat"], x["lng"])
+        here = place(q["distance"], q["lat"], q["lng"], s["run"] + q["offset"], bearing(s["lat"], s["lng"], x["lat"], x["lng"]))
+        best = F.when(q["distance"] < s["best"]["distance"], here).otherwise(s["best"])
+        return F.struct(x["lat"].alias("lat"), x["lng"].alias("lng"), (s["run"] + haversine(s["lat"], s["lng"], x["lat"], x["lng"])).alias("run"), best.alias("best"))
 
-    return F.array_min(F.transform(pairs, placed))
+    return F.aggregate(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), start, step, lambda s: s["best"])
+
+
+def running_lengths(points) -> Column:
+    """Metres from the start of a polyline to each of its points."""
+    p = _c(points)
+    n = F.greatest(F.size(p) - 1, F.lit(0))
+    steps = F.zip_with(F.slice(p, 1, n), F.slice(p, 2, n), lambda a, b: haversine(a["lat"], a["lng"], b["lat"], b["lng"]))
+    return F.aggregate(steps, F.array(F.lit(0.0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
 
 
 def slice_polyline(points, start_m, end_m) -> Column:
     """Points of a polyline between two offsets along it: the cut ends and the vertices between."""
     p = _c(points)
-    at = F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: polyline_length(F.slice(p, 1, i)))
+    at = running_lengths(p)
 
     def cut(offset) -> Column:
         segments = F.arrays_zip(F.slice(p, 1, F.size(p) - 1).alias("a"), F.slice(p, 2, F.size(p) - 1).alias("b"), F.slice(at, 1, F.size(p) - 1).alias("s"), F.slice(at, 2, F.size(p) - 1).alias("e"))

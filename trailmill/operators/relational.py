@@ -45,6 +45,12 @@ def without_trips(df: DataFrame, gone: DataFrame, key: str = "trip_id") -> DataF
     return df.join(gone.select(F.col("id").alias(key)), key, "left_anti")
 
 
+def delete_trips(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """All tables without what belongs to the trips ``gone`` (``id``): children by their ``trip_id``, the trips
+    themselves (``trip``) by their id."""
+    return {name: without_trips(df, gone, "id" if name == "trip" else "trip_id") for name, df in tables.items()}
+
+
 def or_default(trips: DataFrame, boxes: DataFrame) -> DataFrame:
     """A box for every trip, zeros where none is stored."""
     b = trips.select(F.col("id").alias("trip_id")).join(boxes, "trip_id", "left")
@@ -79,6 +85,16 @@ def anchors_by_media(anchor: DataFrame, media_id: int, kind: str) -> DataFrame:
     return anchor.filter(((F.col("photo_id") == media_id) & F.lit(kind == "PHOTO")) | ((F.col("video_id") == media_id) & F.lit(kind == "VIDEO")))
 
 
+def replay(points: DataFrame, photo: DataFrame, video: DataFrame) -> DataFrame:
+    """``trip_id, place, kind, id, time_ms``: points, photos and videos of each trip in one order of time;
+    media without a time are left out."""
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    part = lambda df, kind, t: df.select("trip_id", F.lit(kind).alias("kind"), "id", t.alias("time_ms"))
+    u = part(points, "POINT", F.col("ts")).unionByName(part(photo, "PHOTO", ms("shot_time_exif"))).unionByName(part(video, "VIDEO", ms("shot_time_exif"))).filter("time_ms is not null")
+    w = Window.partitionBy("trip_id").orderBy("time_ms", "kind", "id")
+    return u.select("trip_id", F.row_number().over(w).cast("long").alias("place"), "kind", "id", "time_ms")
+
+
 def nearest_in_time(media: DataFrame, points: DataFrame, key: str, time_ms: str) -> DataFrame:
     """Media rows with the track point of the same key that is nearest in time (``near_id``, ``near_ts``), the
     earlier of two: one sort of both tables together instead of a join on a range."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmill.functions import geo
 from trailmill.functions.text import UNNAMED
+from trailmill.scratch import materialise
 
 #: Types of roads that cars may use.
 VEHICLE = ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified", "residential", "service", "living_street", "track")
@@ -169,6 +172,29 @@ def complexity(points: DataFrame, edges: DataFrame, radius: float = 40.0, degree
     return p.select("trip_id", "id", "ts", "variance", "directional", "connectivity", "complexity", "is_complex", (F.col("_wide") == 1).alias("complex_segment"), F.sum("_new").over(along).cast("int").alias("segment"))
 
 
+def histogram(edges: DataFrame, most: int = 12) -> DataFrame:
+    """``rank, type, n``: the ``most`` frequent types of roads."""
+    n = edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return n.orderBy(F.desc("n"), "type").limit(most).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "type"))).select("rank", "type", "n")
+
+
+def around(nodes: DataFrame, ways: DataFrame, lat: float, lng: float, radius_km: float, buffer_km: float = 4.0) -> DataFrame:
+    """The network around a position."""
+    km = radius_km + buffer_km
+    dlat, dlng = km / 111.0, km / max(1e-6, 111.0 * math.cos(math.radians(lat)))
+    return extract_network(nodes, ways, lat - dlat, lat + dlat, lng - dlng, lng + dlng)
+
+
+def around_or_wider(nodes: DataFrame, ways: DataFrame, lat: float, lng: float, radius_km: float, factor: float = 1.8) -> DataFrame:
+    """The network around a position; where that is too thin for a town, one of ``factor`` times the radius
+    if it has more edges. Both are written, since they are counted before one is chosen."""
+    first = materialise(around(nodes, ways, lat, lng, radius_km), "network")
+    if not sparse(first, radius_km).first()["sparse"]:
+        return first
+    second = materialise(around(nodes, ways, lat, lng, radius_km * factor), "network")
+    return second if second.count() > first.count() else first
+
+
 def in_region(boxes: DataFrame, lat: float, lng: float) -> DataFrame:
     """The smallest of the overlapping boxes (``name, south, north, west, east``) that holds a position."""
     inside = boxes.filter(geo.in_box(F.lit(lat), F.lit(lng), F.col("south"), F.col("north"), F.col("west"), F.col("east")))

@@ -125,6 +125,47 @@ def place_text(p: Column | None = None) -> Column:
     return F.concat(name, stay, part("photo_count", "，拍摄了", "张照片"), part("video_count", "，录制了", "个视频"), F.lit("。"))
 
 
+#: What is suggested where nothing else is.
+SUGGESTIONS = ("建议在最佳时间游览景点，避开人流高峰", "推荐尝试当地特色美食", "建议提前规划路线，节省时间", "推荐购买当地特色纪念品", "建议使用公共交通，方便又环保")
+NOWHERE = "未知目的地"
+
+
+def suggestions(trips: DataFrame, place: DataFrame, told: DataFrame) -> DataFrame:
+    """``id, destination, suggestions``: the first word of the trip's first named place, and the lines of more
+    than five characters of ``told`` (``trip_id, answer``), else the usual ones."""
+    first = place.filter("poi_name is not null").groupBy(F.col("trip_id").alias("id")).agg(F.min_by("poi_name", "id").alias("_name"))
+    t = trips.join(first, "id", "left").join(told.select(F.col("trip_id").alias("id"), "answer"), "id", "left")
+    lines = F.filter(F.transform(F.split(F.coalesce("answer", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 5)
+    usual = F.array(*(F.lit(x) for x in SUGGESTIONS))
+    return t.select("id", F.coalesce(F.get(F.split("_name", " "), F.lit(0)), F.lit(NOWHERE)).alias("destination"), F.when(F.size(lines) > 0, lines).otherwise(usual).alias("suggestions"))
+
+
+#: Title and text of a story block of each type; a place is named in its text.
+BLOCKS = {
+    "TEXT": ("文本记录", None), "PLACE_SUMMARY": ("地点总结", None), "PHOTO": ("照片记录", "拍摄了美丽的照片"), "VIDEO": ("视频记录", "录制了精彩的视频"), "PHOTO_TEXT": ("图文记录", "图文结合的美好回忆"),
+    "VIDEO_TEXT": ("视频文字记录", "视频与文字的双重记录"), "MIXED": ("混合记录", "多种形式的记录"), "AI_SUMMARY": ("AI 总结", "AI 生成的行程总结"),
+}
+OTHER_BLOCK = ("其他记录", "这是一条其他类型的记录")
+
+
+def story_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (``block_type, answer, content, place_name`` and others) with ``title`` and ``text``: what was
+    answered, else what the type says by itself."""
+    title, body = F.lit(OTHER_BLOCK[0]), F.lit(OTHER_BLOCK[1])
+    own = {"TEXT": F.coalesce("content", F.lit("")), "PLACE_SUMMARY": F.concat(F.lit("在"), F.coalesce("place_name", F.lit("未知地点")), F.lit("的美好时光"))}
+    for kind, (name, said) in BLOCKS.items():
+        title = F.when(F.col("block_type") == kind, name).otherwise(title)
+        body = F.when(F.col("block_type") == kind, own.get(kind, F.lit(said))).otherwise(body)
+    return rows.withColumns({"title": title, "text": F.when(F.coalesce("answer", F.lit("")) != "", F.col("answer")).otherwise(body)})
+
+
+def replace_summaries(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored summaries with those of ``new`` in place of the ones of the same trips. ``new`` has
+    ``highlights`` as lines in an array; they are stored as one text."""
+    rows = new.withColumn("highlights", F.array_join("highlights", "\n")).withColumn("model_name", F.lit("AI Travel Assistant"))
+    return stored.join(new.select("trip_id").distinct(), "trip_id", "left_anti").unionByName(rows, allowMissingColumns=True)
+
+
 def timeline(trips: DataFrame, place: DataFrame, photo: DataFrame, video: DataFrame, note: DataFrame) -> DataFrame:
     """``trip_id, sort_index, sort_time, block_type, ref_type, ref_id, title, text, cover``: start, places, one photo for
     each place (the trip's first), videos, notes (latest first) and end, those with a time; numbered in

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trailmill.queries import journal, roads, scalars, tracks
+from trailmill.queries import composites, journal, roads, scalars, tracks
 
-MODULES = (tracks, scalars, journal, roads)
+MODULES = (tracks, scalars, journal, roads, composites)
 
 
 def queries() -> dict:

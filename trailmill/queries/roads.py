@@ -118,9 +118,9 @@ def _cand(spark, sf):
     return matching.candidates(clean.fill_heading_and_speed(_points(spark, sf)), _edges(spark), 4)
 
 
-@register("candidates_topk", f"with {CAND} select id, edge_id, round(pd, 3) distance, round(theta, 3) theta, round(off, 3) \"offset\" from c4 where raw_prob > 1e-11")
+@register("candidates_topk", f"with {CAND} select id, edge_id, round(pd, 3) distance, round(theta, 3) theta, round(off, 3) \"offset\" from c4")
 def candidates_topk(spark, sf):
-    return _cand(spark, sf).filter("raw_prob > 1e-11").select("id", "edge_id", *(F.round(c, 3).alias(c) for c in ("distance", "theta", "offset")))
+    return _cand(spark, sf).select("id", "edge_id", *(F.round(c, 3).alias(c) for c in ("distance", "theta", "offset")))
 
 
 @register("candidate_prob_norm", f"with {CAND} select id, cast(rank as int) rank, round(prob, 6) prob from c4")
@@ -140,16 +140,30 @@ def heading_gate(spark, sf):
     return c.groupBy("id").agg(F.count(F.lit(1)).alias("n"), (F.min("distance") > 120).alias("wide"))
 
 
-@register("complexity", f"""with {_Q}, dg as (select node_id, count(*) degree from (select unnest([start_node, end_node]) node_id from {EDGES}) group by node_id), {NEAR},
+_GRADES = f"""{_Q}, dg as (select node_id, count(*) degree from (select unnest([start_node, end_node]) node_id from {EDGES}) group by node_id), {NEAR},
  k as (select near.*, greatest(a.degree, b.degree) dgr from near join dg a on a.node_id = start_node join dg b on b.node_id = end_node where pd <= 40),
  pr as (select a.id, abs(least({_diff('a.direction', 'b.direction')}, 180 - {_diff('a.direction', 'b.direction')})) d from k a join k b on a.id = b.id and a.edge_id < b.edge_id),
- v as (select id, var_pop(d) variance from pr group by id), m as (select id, max(dgr) dgr, count(*) n, (select count(distinct x) from (select unnest(list(start_node) || list(end_node)) x)) nodes from k group by id)
- select q.trip_id, q.id, round(variance, 4) variance, coalesce((variance > 0 and variance < 0.5) or dgr >= 4, false) is_complex from q left join v using (id) left join m using (id)""")
+ v as (select id, var_pop(d) variance from pr group by id), m as (select id, max(dgr) dgr, count(*) n from k group by id),
+ nd as (select id, count(distinct x) nodes from (select id, unnest([start_node, end_node]) x from k) group by id),
+ g0 as (select q.trip_id, q.id, q.ts, variance, coalesce((variance > 0 and variance < 0.5) or dgr >= 4, false) is_complex, case when n is null then 0e0 else greatest(0e0, least(1e0, 0.5e0 * (1 + 2e0 * n / nodes / n))) end connectivity,
+  avg(variance) over (partition by q.trip_id) mu, coalesce(stddev_pop(variance) over (partition by q.trip_id), 0) sd from q left join v using (id) left join m using (id) left join nd using (id)),
+ g1 as (select *, case when variance is null then 0e0 when sd < 1e-9 then greatest(0e0, least(1e0, 1 - 0.5e0 * variance)) else greatest(0e0, least(1e0, 1 - 0.5e0 * abs((variance - mu) / sd))) end directional from g0),
+ g2 as (select *, greatest(directional, connectivity) complexity, max(cast(is_complex as int)) over (partition by trip_id order by ts, id rows between 2 preceding and 2 following) = 1 complex_segment from g1),
+ g3 as (select *, sum(new) over (partition by trip_id order by ts, id rows between unbounded preceding and current row) segment from (select *, case when complex_segment <> lag(complex_segment) over (partition by trip_id order by ts, id) then 1 else 0 end new from g2))"""
+
+
+@register("complexity", f"with {_GRADES} select trip_id, id, round(variance, 4) variance, is_complex from g3")
 def complexity(spark, sf):
     return roads.complexity(_points(spark, sf), _edges(spark)).select("trip_id", "id", F.round("variance", 4).alias("variance"), "is_complex")
 
 
-@register("complex_segments")
+@register("complexity_grades", f"with {_GRADES} select trip_id, id, round(directional, 6) directional, round(connectivity, 6) connectivity, round(complexity, 6) complexity, complex_segment, cast(segment as int) segment from g3")
+def complexity_grades(spark, sf):
+    c = roads.complexity(_points(spark, sf), _edges(spark))
+    return c.select("trip_id", "id", *(F.round(x, 6).alias(x) for x in ("directional", "connectivity", "complexity")), "complex_segment", "segment")
+
+
+@register("complex_segments", f"with {_GRADES} select trip_id, cast(segment as int) segment, complex_segment, count(*) points, round(avg(complexity), 6) mean_complexity from g3 group by trip_id, segment, complex_segment")
 def complex_segments(spark, sf):
     c = roads.complexity(_points(spark, sf), _edges(spark))
     return c.groupBy("trip_id", "segment", "complex_segment").agg(F.count(F.lit(1)).alias("points"), F.round(F.avg("complexity"), 6).alias("mean_complexity"))
@@ -175,10 +189,34 @@ _DRIVABLE = "((tags['highway'] = 'primary') or (tags['highway'] = 'construction'
 _PIECES = f"(select id way_id, tags, unnest(node_ids[:-2]) start_node, unnest(node_ids[2:]) end_node from {_WAYS} where {_DRIVABLE})"
 
 
-@register("osm_tag_parse", f"""select id, coalesce(tags['name'], '未命名道路') name, case when tags['highway'] = 'construction' then tags['construction'] else tags['highway'] end type, coalesce(tags['oneway'] = 'yes', false) one_way, case when tags['maxspeed'] is not null then 60 else 50 end max_speed, 0 layer, tags['bridge'] is not null bridge, {_DRIVABLE} drivable from {_WAYS}""")
+#: Tags of one way for each case that the rules tell apart: key, value, key, value.
+_TAGGED = (
+    ("highway", "motorway", "oneway", "1", "maxspeed", "120", "tunnel", "yes", "layer", "-1"),
+    ("highway", " trunk_link ", "junction", "roundabout", "bridge", "no"),
+    ("highway", "trunk_link", "bridge", "viaduct", "layer", " 2 "),
+    ("highway", "service", "junction", "slip_road", "access", "no"),
+    ("highway", "service", "access", "NO", "service", "destination"),
+    ("highway", "tertiary", "motor_vehicle", "no", "tunnel", "NO"),
+    ("highway", "track", "maxspeed", "none", "oneway", "true", "junction", "Ramp"),
+    ("highway", "Construction", "construction", "footway"),
+    ("highway", "construction", "construction", "living_street", "oneway", "-1", "layer", "x"),
+    ("highway", "", "name", "nameless kind"),
+    ("name", "no kind at all"),
+)
+_LIST = ", ".join(f"({k}, map {{{', '.join(f"'{a}': '{b}'" for a, b in zip(t[::2], t[1::2], strict=True))}}})" for k, t in enumerate(_TAGGED))
+_T = {k: f"tags['{k}']" for k in ("highway", "construction", "motor_vehicle", "access", "service", "name", "oneway", "maxspeed", "layer", "bridge", "tunnel", "junction")}
+_KINDS = ", ".join(f"'{x}'" for x in roads.VEHICLE)
+_TYPE = f"(case when trim({_T['highway']}) = '' then null when lower(trim({_T['highway']})) <> 'construction' then trim({_T['highway']}) when trim({_T['construction']}) in ({_KINDS}) then trim({_T['construction']}) end)"
+
+
+@register("osm_tag_parse", f"""select id, coalesce({_T['name']}, '未命名道路') name, {_TYPE} type, coalesce(lower({_T['oneway']}) in ('yes', '1', 'true'), false) one_way, coalesce(try_cast(regexp_replace({_T['maxspeed']}, '[^0-9]', '', 'g') as int), 50) max_speed, coalesce(try_cast(trim({_T['layer']}) as int), 0) layer,
+ coalesce(lower({_T['bridge']}) <> 'no', false) bridge, coalesce(lower({_T['tunnel']}) <> 'no', false) tunnel, coalesce({_T['highway']} like '%!_link' escape '!', false) or coalesce(lower({_T['junction']}) in ('slip_road', 'ramp'), false) ramp,
+ coalesce({_TYPE} in ({_KINDS}), false) and coalesce(lower({_T['motor_vehicle']}), '') <> 'no' and (coalesce(lower({_T['access']}), '') <> 'no' or coalesce(lower({_T['service']}), '') = 'destination') drivable
+ from (select id, tags from {_WAYS} union all select * from (values {_LIST}) v(id, tags))""")
 def osm_tag_parse(spark, sf):
-    t = F.col("tags")
-    return _ways(spark).select("id", *[c for c in roads.road_attributes(t)][:6], roads.drivable(t).alias("drivable"))
+    rows = [(k, dict(zip(t[::2], t[1::2], strict=True))) for k, t in enumerate(_TAGGED)]
+    more = spark.createDataFrame(rows, "id long, tags map<string, string>")
+    return _ways(spark).select("id", "tags").unionByName(more).select("id", *roads.road_attributes(F.col("tags")), roads.drivable(F.col("tags")).alias("drivable"))
 
 
 @register("extract_network", f"""select way_id, start_node, end_node, round({hav('a.lat', 'a.lng', 'b.lat', 'b.lng')}, 3) length_m from {_PIECES} p join {NODES} a on a.node_id = start_node join {NODES} b on b.node_id = end_node

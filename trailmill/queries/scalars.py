@@ -77,27 +77,27 @@ def _wave(v: str, *parts: tuple[str, str]) -> str:
     return "(" + " + ".join(f"{a} * sin({v} * pi() * {k})" for a, k in parts) + ") * 2e0 / 3"
 
 
-def _gcj_sql(sign: str) -> str:
+def gcj_sql(sign: str, source: str = f"(select id, lat + (id % 50) * 0.5e0 lat, lng - (id % 70) lng from {TP})", apply: str = "true", more: str = "") -> str:
     x, y = "(lng - 105e0)", "(lat - 35e0)"
     ripple = _wave(x, ("20e0", "6"), ("20e0", "2"))
     north = f"(-100e0 + 2 * {x} + 3 * {y} + 0.2e0 * {y} * {y} + 0.1e0 * {x} * {y} + 0.2e0 * sqrt(abs({x})) + {ripple} + {_wave(y, ('20e0', '1'), ('40e0', '(1e0 / 3)'), ('160e0', '(1e0 / 12)'), ('320e0', '(1e0 / 30)'))})"
     east = f"(300e0 + {x} + 2 * {y} + 0.1e0 * {x} * {x} + 0.1e0 * {x} * {y} + 0.1e0 * sqrt(abs({x})) + {ripple} + {_wave(x, ('20e0', '1'), ('40e0', '(1e0 / 3)'), ('150e0', '(1e0 / 12)'), ('300e0', '(1e0 / 30)'))})"
     w = "(1 - 0.00669342162296594323e0 * pow(sin(radians(lat)), 2))"
-    return f"""select id, case when lng between 72.004 and 137.8347 and lat between 0.8293 and 55.8271 then round(lat {sign} {north} * 180 / ((6378245e0 * (1 - 0.00669342162296594323e0)) / ({w} * sqrt({w})) * pi()), 6) else round(lat, 6) end lat,
- case when lng between 72.004 and 137.8347 and lat between 0.8293 and 55.8271 then round(lng {sign} {east} * 180 / (6378245e0 / sqrt({w}) * cos(radians(lat)) * pi()), 6) else round(lng, 6) end lng
- from (select id, lat + (id % 50) * 0.5e0 lat, lng - (id % 70) lng from {TP})"""
+    return f"""select id{more}, case when {apply} and lng between 72.004 and 137.8347 and lat between 0.8293 and 55.8271 then round(lat {sign} {north} * 180 / ((6378245e0 * (1 - 0.00669342162296594323e0)) / ({w} * sqrt({w})) * pi()), 6) else round(lat, 6) end lat,
+ case when {apply} and lng between 72.004 and 137.8347 and lat between 0.8293 and 55.8271 then round(lng {sign} {east} * 180 / (6378245e0 / sqrt({w}) * cos(radians(lat)) * pi()), 6) else round(lng, 6) end lng
+ from {source}"""
 
 
 def _spread(spark, sf):
     return derived(spark, sf, "track").select("id", (F.col("lat") + (F.col("id") % 50) * 0.5).alias("lat"), (F.col("lng") - F.col("id") % 70).alias("lng"))
 
 
-@register("gcj02_forward", _gcj_sql("+"))
+@register("gcj02_forward", gcj_sql("+"))
 def gcj02_forward(spark, sf):
     return _spread(spark, sf).withColumn("g", geo.wgs_to_gcj("lat", "lng")).select("id", F.round("g.lat", 6).alias("lat"), F.round("g.lng", 6).alias("lng"))
 
 
-@register("gcj02_inverse", _gcj_sql("-"))
+@register("gcj02_inverse", gcj_sql("-"))
 def gcj02_inverse(spark, sf):
     return _spread(spark, sf).withColumn("g", geo.gcj_to_wgs("lat", "lng")).select("id", F.round("g.lat", 6).alias("lat"), F.round("g.lng", 6).alias("lng"))
 
@@ -127,9 +127,19 @@ def polyline_length(spark, sf):
     return g.select("trip_id", F.round(geo.polyline_length("p"), 3).alias("m"))
 
 
-@register("polyline_projection")
+_WHOLE = f"""
+s as (select trip_id, row_number() over (partition by trip_id order by ts, id) i, lat, lng, lead(lat) over (partition by trip_id order by ts, id) lat1, lead(lng) over (partition by trip_id order by ts, id) lng1, avg(lat) over (partition by trip_id) qa, avg(lng) over (partition by trip_id) qb from {TP}),
+m as (select *, coalesce({hav('lat', 'lng', 'lat1', 'lng1')}, 0) len, cos(radians((qa + lat + lat1) / 3)) * 111320e0 e from s),
+c as (select *, coalesce(sum(len) over (partition by trip_id order by i rows between unbounded preceding and 1 preceding), 0e0) run, sum(len) over (partition by trip_id) whole, (lng1 - lng) * e dx, (lat1 - lat) * 111320e0 dy, (qb - lng) * e px, (qa - lat) * 111320e0 py from m),
+t as (select *, case when dx * dx + dy * dy > 0 then greatest(0e0, least(1e0, (px * dx + py * dy) / (dx * dx + dy * dy))) else 0e0 end t from c where lat1 is not null),
+d as (select *, case when dx * dx + dy * dy > 0 then sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) else {hav('qa', 'qb', 'lat', 'lng')} end dist, run + sqrt(dx * dx + dy * dy) * t off from t),
+b as (select * from (select *, row_number() over (partition by trip_id order by dist, i) k from d) where k = 1)"""
+
+
+@register("polyline_projection", f"""with {_WHOLE} select b.trip_id, round(dist, 3) distance, round(off, 3) "offset", cast(2 + (select count(*) from c where c.trip_id = b.trip_id and c.run > least(5e0, b.whole) and c.run < least(greatest(off, 0e0), b.whole)) as int) cut from b""")
 def polyline_projection(spark, sf):
-    g = derived(spark, sf, "track").groupBy("trip_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ts", "id", "lat", "lng"))), 1, 12), lambda x: F.struct(x["lat"].alias("lat"), x["lng"].alias("lng"))).alias("p"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "lat", "lng"))), lambda x: F.struct(x["lat"].alias("lat"), x["lng"].alias("lng")))
+    g = derived(spark, sf, "track").groupBy("trip_id").agg(line.alias("p"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
     g = g.filter(F.size("p") > 1).withColumn("q", geo.polyline_projection("lat", "lng", "p"))
     return g.select("trip_id", F.round("q.distance", 3).alias("distance"), F.round("q.offset", 3).alias("offset"), F.size(geo.slice_polyline("p", F.lit(5.0), F.col("q.offset"))).alias("cut"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trailmill.functions import geo
 from trailmill.operators import clean, heatmap, motion, roads, trips
 from trailmill.operators.grouped import filter_groups
+from trailmill.queries.scalars import gcj_sql
 from trailmill.queries.sqltext import DOUBLED, EDGES, FILL, TP, W, angle, bear, clean_where, fold, hav, spd
 from trailmill.sources.tables import derived, read, road_edges
 
@@ -280,11 +281,22 @@ def session_windows(spark, sf):
     return e.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"))
 
 
-@register("to_wgs84")
+@register("to_wgs84", gcj_sql("-", TP, "raw_coord_type = 'GCJ02'", ", 'WGS84' raw_coord_type"))
 def to_wgs84(spark, sf):
     return clean.to_wgs84(_points(spark, sf)).select("id", *_r("lat", "lng", digits=6), "raw_coord_type")
 
 
+def _bits(c: str) -> str:
+    """The bits of a double, byte by byte from the last one."""
+    return " || ".join(f"substr(cast(cast({c} as bit) as varchar), {57 - 8 * i}, 8)" for i in range(8))
+
+
+@register("coordinate_bytes", f"select id, {_bits('lat')} lat_bits, {_bits('lng')} lng_bits from {TP}")
+def coordinate_bytes(spark, sf):
+    bits = lambda c: F.concat(*(F.lpad(F.conv(F.hex(F.substring(geo.encode_double(c), i + 1, 1)), 16, 2), 8, "0") for i in range(8)))
+    return _points(spark, sf).select("id", bits("lat").alias("lat_bits"), bits("lng").alias("lng_bits"))
+
+
 @register("coordinate_codec", f"select id, lat, lng from {TP}")
 def coordinate_codec(spark, sf):
     p = _points(spark, sf).select("id", geo.encode_double("lat").alias("a"), geo.encode_double("lng").alias("b"))
