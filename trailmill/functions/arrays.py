@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from trailmill.functions.geo import DEGREE_M, EARTH_M
@@ -14,6 +16,14 @@ def haversine(lat1, lng1, lat2, lng2):
     return 2 * EARTH_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
 
 
+def metres(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
+    """``haversine`` of plain numbers, for single pairs."""
+    p1, p2 = math.radians(lat1), math.radians(lat2)
+    s, t = math.sin((p2 - p1) / 2), math.sin(math.radians(lng2 - lng1) / 2)
+    a = s * s + math.cos(p1) * math.cos(p2) * t * t
+    return 2 * EARTH_M * math.atan2(math.sqrt(a), math.sqrt(1 - a))
+
+
 def bearing(lat1, lng1, lat2, lng2):
     p1, p2, d = np.radians(lat1), np.radians(lat2), np.radians(lng2 - lng1)
     return np.degrees(np.arctan2(np.sin(d) * np.cos(p2), np.cos(p1) * np.sin(p2) - np.sin(p1) * np.cos(p2) * np.cos(d))) % 360.0

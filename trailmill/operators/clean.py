@@ -6,6 +6,8 @@ over ordered groups.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,118 +45,122 @@ def fill_heading_and_speed(points: DataFrame) -> DataFrame:
     return p.select(*(new[c].alias(c) if c in new else c for c in points.columns))
 
 
+def _scan(first: np.ndarray, again: Callable[[int, int], bool], end: int) -> np.ndarray:
+    """Which points are kept, if one is dropped by what it is to the last kept one. ``first`` says so for
+    the point before; only after a drop, and up to the next point that is kept, is ``again`` asked of
+    (last kept, point). Points from ``end`` on stay."""
+    keep = np.ones(len(first), bool)
+    at = 0
+    drops = np.flatnonzero(first[:end])
+    while at < len(drops):
+        i = int(drops[at])
+        last = i - 1
+        while i < end and (again(last, i) if i - last > 1 else True):
+            keep[i] = False
+            i += 1
+        at = int(np.searchsorted(drops, i, side="right"))
+    return keep
+
+
 def _fold(g: Group, drop) -> np.ndarray:
-    """Keeps the ends; a point between is dropped if ``drop`` says so of the last kept, it and the next."""
+    """Keeps the ends; a point between is dropped if ``drop`` says so of the last kept, it and the next: of
+    metres from the first to the second, to the third and from the first to the third, and of the times."""
     n = len(g["ts"])
-    keep = np.ones(n, bool)
     if n < 3:
-        return keep
+        return np.ones(n, bool)
     lat, lng, ts = g["lat"], g["lng"], g["ts"].astype(np.int64)
-    last = 0
-    for i in range(1, n - 1):
-        d01 = float(arrays.haversine(lat[last], lng[last], lat[i], lng[i]))
-        d12 = float(arrays.haversine(lat[i], lng[i], lat[i + 1], lng[i + 1]))
-        d02 = float(arrays.haversine(lat[last], lng[last], lat[i + 1], lng[i + 1]))
-        if drop(i, d01, d12, d02, int(ts[i] - ts[last]), int(ts[i + 1] - ts[i])):
-            keep[i] = False
-        else:
-            last = i
-    return keep
+    step, two = arrays.haversine(lat[:-1], lng[:-1], lat[1:], lng[1:]), arrays.haversine(lat[:-2], lng[:-2], lat[2:], lng[2:])
+    dt = np.diff(ts)
+    first = np.zeros(n, bool)
+    first[1:-1] = drop(np.arange(1, n - 1), step[:-1], step[1:], two, dt[:-1], dt[1:])
+    la, ln, t, s = lat.tolist(), lng.tolist(), ts.tolist(), step.tolist()
 
+    def again(last: int, i: int) -> bool:
+        return bool(drop(i, arrays.metres(la[last], ln[last], la[i], ln[i]), s[i], arrays.metres(la[last], ln[last], la[i + 1], ln[i + 1]), t[i] - t[last], t[i + 1] - t[i]))
 
-def _speed(d: float, ms: int) -> float:
-    return d / (ms / 1000.0) if ms > 0 else 0.0
+    return _scan(first, again, n - 1)
+
+
+def _speed(d, ms):
+    """Metres a second; 0 unless time passed."""
+    return np.where(np.asarray(ms) > 0, d / (np.maximum(ms, 1) / 1000.0), 0.0)
+
+
+def _close(g: Group, metres: float, in_time: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """A point is dropped within ``metres`` of the last kept one, if ``in_time`` holds for their times."""
+    lat, lng, ts = g["lat"], g["lng"], g["ts"].astype(np.int64)
+    first = np.zeros(len(lat), bool)
+    first[1:] = arrays.haversine(lat[:-1], lng[:-1], lat[1:], lng[1:]) < metres
+    if in_time:
+        first[1:] &= in_time(ts[:-1], ts[1:])
+    la, ln, t = lat.tolist(), lng.tolist(), ts.tolist()
+    return _scan(first, lambda last, i: (in_time is None or bool(in_time(t[last], t[i]))) and arrays.metres(la[last], ln[last], la[i], ln[i]) < metres, len(lat))
 
 
 def keep_after_dedup(g: Group, p: MatchParams = DEFAULTS) -> np.ndarray:
     """A point is dropped that follows the last kept one closely in both time and place."""
-    n = len(g["ts"])
-    keep, last = np.ones(n, bool), 0
-    for i in range(1, n):
-        if g["ts"][i] - g["ts"][last] < p.dedup_ms and arrays.haversine(g["lat"][last], g["lng"][last], g["lat"][i], g["lng"][i]) < p.dedup_m:
-            keep[i] = False
-        else:
-            last = i
-    return keep
+    return _close(g, p.dedup_m, lambda a, b: b - a < p.dedup_ms)
 
 
 def keep_without_jumps(g: Group, p: MatchParams = DEFAULTS) -> np.ndarray:
     """Isolated jumps: fast there and fast back to nearly the same place."""
-    return _fold(g, lambda i, a, b, c, s, t: _speed(a, s) > p.jump_speed and _speed(b, t) > p.jump_speed and c < max(20.0, 0.4 * (a + b)))
+    return _fold(g, lambda i, a, b, c, s, t: (_speed(a, s) > p.jump_speed) & (_speed(b, t) > p.jump_speed) & (c < np.maximum(20.0, 0.4 * (a + b))))
 
 
 def keep_without_drive_spikes(g: Group, p: MatchParams = DEFAULTS) -> np.ndarray:
     """Steps that no car makes, if leaving the point out leaves a step that one does."""
 
     def drop(i, a, b, c, s, t):
-        fast = a / (max(1, s) / 1000.0) > p.driving_speed or b / (max(1, t) / 1000.0) > p.driving_speed
-        return (fast or a > p.driving_step or b > p.driving_step) and c <= p.driving_step
+        fast = (a / (np.maximum(1, s) / 1000.0) > p.driving_speed) | (b / (np.maximum(1, t) / 1000.0) > p.driving_speed)
+        return (fast | (a > p.driving_step) | (b > p.driving_step)) & (c <= p.driving_step)
 
     return _fold(g, drop)
 
 
 def keep_without_walk_spikes(g: Group, p: MatchParams = DEFAULTS) -> np.ndarray:
     """Fast out and back, or far out and back at a poor accuracy."""
-    acc = np.nan_to_num(g["accuracy_m"])
+    acc = np.nan_to_num(g["accuracy_m"].astype(float))
 
     def drop(i, a, b, c, s, t):
-        spike = _speed(a, s) > p.walk_spike_speed and _speed(b, t) > p.walk_spike_speed and c < max(12.0, 0.45 * (a + b))
-        return spike or (acc[i] > 60.0 and a > 35.0 and b > 35.0 and c < 15.0)
+        spike = (_speed(a, s) > p.walk_spike_speed) & (_speed(b, t) > p.walk_spike_speed) & (c < np.maximum(12.0, 0.45 * (a + b)))
+        return spike | ((acc[i] > 60.0) & (a > 35.0) & (b > 35.0) & (c < 15.0))
 
     return _fold(g, drop)
 
 
 def keep_simplified_walk(g: Group, p: MatchParams = DEFAULTS) -> np.ndarray:
     """Ends, and points that moved, waited or turned enough since the last kept one."""
-    lat, lng = g["lat"], g["lng"]
+    lat, lng, ts = g["lat"], g["lng"], g["ts"].astype(np.int64)
     n = len(lat)
-    keep = np.ones(n, bool)
-    last = 0
-    for i in range(1, n - 1):
-        moved = arrays.haversine(lat[last], lng[last], lat[i], lng[i]) >= p.walk_move_m
-        waited = g["ts"][i] - g["ts"][last] >= p.walk_idle_ms
-        turned = arrays.angle_difference(arrays.bearing(lat[last], lng[last], lat[i], lng[i]), arrays.bearing(lat[i], lng[i], lat[i + 1], lng[i + 1])) >= p.walk_turn
-        if moved or waited or turned:
-            last = i
-        else:
-            keep[i] = False
-    return keep
+    if n < 3:
+        return np.ones(n, bool)
+    way = arrays.bearing(lat[:-1], lng[:-1], lat[1:], lng[1:])
+    first = np.zeros(n, bool)
+    moved = arrays.haversine(lat[:-1], lng[:-1], lat[1:], lng[1:]) >= p.walk_move_m
+    first[1:-1] = ~(moved[:-1] | (np.diff(ts)[:-1] >= p.walk_idle_ms) | (arrays.angle_difference(way[:-1], way[1:]) >= p.walk_turn))
+    la, ln, t = lat.tolist(), lng.tolist(), ts.tolist()
+
+    def again(last: int, i: int) -> bool:
+        if arrays.metres(la[last], ln[last], la[i], ln[i]) >= p.walk_move_m or t[i] - t[last] >= p.walk_idle_ms:
+            return False
+        return bool(arrays.angle_difference(arrays.bearing(lat[last], lng[last], lat[i], lng[i]), way[i]) < p.walk_turn)
+
+    return _scan(first, again, n - 1)
 
 
 def keep_moved(g: Group, metres: float) -> np.ndarray:
     """Points at least ``metres`` from the last kept one; the first stays."""
-    lat, lng = g["lat"], g["lng"]
-    keep, last = np.ones(len(lat), bool), 0
-    for i in range(1, len(lat)):
-        if arrays.haversine(lat[last], lng[last], lat[i], lng[i]) < metres:
-            keep[i] = False
-        else:
-            last = i
-    return keep
+    return _close(g, metres)
 
 
 def keep_for_heatmap(g: Group) -> np.ndarray:
     """Of points of one time, those within 3 m of the last kept one go."""
-    lat, lng, ts = g["lat"], g["lng"], g["ts"]
-    keep, last = np.ones(len(lat), bool), 0
-    for i in range(1, len(lat)):
-        if ts[i] == ts[last] and arrays.haversine(lat[last], lng[last], lat[i], lng[i]) < 3.0:
-            keep[i] = False
-        else:
-            last = i
-    return keep
+    return _close(g, 3.0, lambda a, b: a == b)
 
 
 def keep_for_display(g: Group) -> np.ndarray:
     """Of points of one time, those within 1.5 m of the last kept one go."""
-    lat, lng, ts = g["lat"], g["lng"], g["ts"]
-    keep, last = np.ones(len(lat), bool), 0
-    for i in range(1, len(lat)):
-        if ts[i] == ts[last] and arrays.haversine(lat[last], lng[last], lat[i], lng[i]) < 1.5:
-            keep[i] = False
-        else:
-            last = i
-    return keep
+    return _close(g, 1.5, lambda a, b: a == b)
 
 
 def dedup(points: DataFrame) -> DataFrame:

@@ -41,9 +41,12 @@ def evidence(points: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
     w = along().rowsBetween(-2, 2)
     far = F.coalesce("road_m", F.lit(float("inf")))
     ratio = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0)).over(w)
+    five = F.array_sort(F.array_compact(F.array(*(F.lag("speed_mps", k).over(along()) for k in (2, 1)), "speed_mps", *(F.lead("speed_mps", k).over(along()) for k in (1, 2)))))
+    points = points.withColumn("_five", five)
+    middle = (F.get("_five", F.floor((F.size("_five") - 1) / 2).cast("int")) + F.get("_five", F.floor(F.size("_five") / 2).cast("int"))) / 2
     e = points.withColumns(
         {
-            "median_speed": F.expr("percentile(speed_mps, 0.5D) over (partition by trip_id order by ts, id rows between 2 preceding and 2 following)"),
+            "median_speed": middle,
             "max_speed": F.greatest(F.lit(0.0), F.max("speed_mps").over(w)),
             "near_ratio": ratio(far <= p.near_road),
             "off_ratio": ratio(far >= p.off_road),
@@ -52,7 +55,7 @@ def evidence(points: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
             "_to": F.last(F.struct("lat", "lng", "ts")).over(w),
         }
     )
-    e = e.withColumn("avg_speed", geo.speed(geo.haversine(F.col("_from.lat"), F.col("_from.lng"), F.col("_to.lat"), F.col("_to.lng")), F.greatest(F.lit(1), F.col("_to.ts") - F.col("_from.ts")))).drop("_from", "_to")
+    e = e.withColumn("avg_speed", geo.speed(geo.haversine(F.col("_from.lat"), F.col("_from.lng"), F.col("_to.lat"), F.col("_to.lng")), F.greatest(F.lit(1), F.col("_to.ts") - F.col("_from.ts")))).drop("_from", "_to", "_five")
     score = lambda *rules: sum((F.when(c, v).otherwise(0.0) for c, v in rules), F.lit(0.0))
     m, x, near, off, avg = (F.col(c) for c in ("median_speed", "max_speed", "near_ratio", "off_ratio", "avg_speed"))
     drive = score((m >= p.drive_median, 1.2), (x >= p.drive_max, 1.4), (avg >= 4.2, 0.8), (near >= 0.6, 0.8), ((near >= 0.8) & (m >= 2.8), 0.8))
@@ -63,19 +66,14 @@ def evidence(points: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
 def decide_modes(g: Group) -> np.ndarray:
     """True for driving. The evidence decides where it is clear, else the mode before, at first walking."""
     near, off, stay, med = g["near_ratio"], g["off_ratio"], g["stay_ratio"], g["median_speed"]
-    out, drives = np.zeros(len(near), bool), False
-    for i in range(len(near)):
-        if (g["max_speed"][i] >= 9.0 and near[i] >= 0.4) or g["drive_score"][i] >= g["walk_score"][i] + 0.7:
-            drives = True
-        elif g["walk_score"][i] >= g["drive_score"][i] + 0.4:
-            drives = False
-        elif drives and near[i] >= 0.55 and med[i] >= 2.8:
-            drives = True
-        elif not drives and (med[i] <= 2.6 or off[i] >= 0.35 or stay[i] >= 0.45):
-            drives = False
-        else:
-            drives = bool(near[i] >= 0.75 and med[i] >= 3.2)
-        out[i] = drives
+    drive = ((g["max_speed"] >= 9.0) & (near >= 0.4)) | (g["drive_score"] >= g["walk_score"] + 0.7)
+    walk = ~drive & (g["walk_score"] >= g["drive_score"] + 0.4)
+    fast = (near >= 0.75) & (med >= 3.2)
+    stays_driving = ((near >= 0.55) & (med >= 2.8)) | fast
+    starts_driving = ~((med <= 2.6) | (off >= 0.35) | (stay >= 0.45)) & fast
+    out = drive.copy()
+    for i in np.flatnonzero(~drive & ~walk).tolist():
+        out[i] = stays_driving[i] if i and out[i - 1] else starts_driving[i]
     return out
 
 
@@ -140,12 +138,15 @@ def segments(ev: DataFrame, modes: DataFrame) -> DataFrame:
 def stay_windows(g: Group, metres: float, least_ms: int, most_speed: float) -> list[tuple[int, int]]:
     """(start, end) of windows: points that stay within ``metres`` of their first for long enough and
     slowly; every other point is a window of its own."""
-    lat, lng, ts, v = g["lat"], g["lng"], g["ts"].astype(np.int64), g["speed_mps"]
+    lat, lng, ts, v = g["lat"].tolist(), g["lng"].tolist(), g["ts"].astype(np.int64).tolist(), g["speed_mps"].astype(float)
+    near = np.append(arrays.haversine(g["lat"][:-1], g["lng"][:-1], g["lat"][1:], g["lng"][1:]) <= metres, False).tolist()
     out, i, n = [], 0, len(lat)
     while i < n:
         end = i + 1
-        while end < n and arrays.haversine(lat[i], lng[i], lat[end], lng[end]) <= metres:
+        if near[i]:
             end += 1
+            while end < n and arrays.metres(lat[i], lng[i], lat[end], lng[end]) <= metres:
+                end += 1
         if end - i > 1 and ts[end - 1] - ts[i] >= least_ms:
             known = v[i:end][~np.isnan(v[i:end])]
             if (known.mean() if len(known) else 0.0) <= most_speed:
