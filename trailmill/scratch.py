@@ -9,14 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """This application's part of the shared folder of ``spark.checkpoint.dir``. Only where none is set
+    and the session runs on one machine (tests), a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not root:
-        sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="trailmill-"))
         root = sc._jsc.sc().getCheckpointDir().get()
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/trailmill-{sc.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes all that this application has written there. What was returned before can't be read then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
