@@ -38,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Near-duplicates have a resemblance of 0.8 or more on shingles of five words.
     """
-    return simhash.keep_one(docs, simhash.similar_groups(docs))
+    return simhash.keep_one(docs, simhash.similar_roots(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -486,3 +486,12 @@ def test_chat(spark):
     assert got[2] == (2, 2, "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n")
     assert got[5][2] == "<|im_start|>\n<|im_end|>\n"
     assert chat.collapse_and_render(t.limit(0)).count() == 0
+
+
+def test_chat_long_and_clashing(spark):
+    turns = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k}", "own") for k in range(400)]
+    rows = [*turns, *((2, *t[1:]) for t in turns[:399]), *((3, *t[1:]) for t in turns), (4, 0, "user", "y" * 200_000, "own")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, _n string").withColumn("_line", F.lit("own"))
+    got = {x["conv_id"]: (x["n_turns"], x["n_copies"], len(x["rendered"])) for x in chat.collapse_and_render(d).collect()}
+    assert set(got) == {1, 4} and got[1][:2] == (400, 2) and got[4][2] > 200_000
+    assert chat.collapse_and_render(d).columns == ["conv_id", "n_turns", "n_copies", "rendered"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmill.scratch import materialise, scratch_root
 
-__all__ = ["materialise", "scratch_root", "ascii_lower", "broadcast_if_small", "without_clash", "with_own_names", "tokenizer_path", "pieces"]
+__all__ = ["materialise", "scratch_root", "ascii_lower", "broadcast_if_small", "join_counted", "without_clash", "with_own_names", "tokenizer_path", "pieces"]
 
 #: The six bytes that count as white space: 20 and 09 to 0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -33,6 +33,21 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS and b <= BROADCAST_BYTES else df
 
 
+#: A key is frequent if it has one in so many of all rows: there are at most so many such keys.
+FREQUENT_SHARE = 2000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join with a table of one row for each key, in which ``count`` says how many rows of ``left``
+    have it. Frequent keys, at most ``FREQUENT_SHARE``, are met by a broadcast, so that no task gets all
+    rows of one; the others by a shuffle. Both sides should be written tables."""
+    total = right.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) * FREQUENT_SHARE >= total
+    hot = F.broadcast(right.filter(often).drop(count))
+    rest = left.join(F.broadcast(right.filter(often).select(key)), key, "left_anti").join(right.filter(~often).drop(count), key)
+    return left.join(hot, key).unionByName(rest)
+
+
 def without_clash(docs: DataFrame, *outputs: str) -> tuple[DataFrame, list[str], dict[str, str]]:
     """``docs`` with its columns renamed ``_c0, _c1, ..``, so that no name inside an operator clashes with
     them; their own names; and own name to new one. Columns named like an output are left out: the

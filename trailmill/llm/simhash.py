@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.llm.common import materialise
+from trailmill.llm.common import join_counted, materialise
 
 SHINGLE = 4
 RADIUS = 4
@@ -386,11 +386,10 @@ def components(links: DataFrame) -> DataFrame:
     return root
 
 
-def _grouped(rows: DataFrame, links: DataFrame, fps: DataFrame, id_col: str) -> DataFrame:
-    roots = materialise(components(links), "roots")
-    of = fps.join(roots, fps["_fp"] == roots["_node"], "left").select("_fp", "_least", F.coalesce("_root", "_fp").alias("_root"))
-    least = of.groupBy("_root").agg(F.min("_least").alias("_group"))
-    return rows.join(of.join(least, "_root").select("_fp", "_group", "_root"), "_fp").select(id_col, "_th", "_fp", "_group", "_root")
+def _with_least(rows: DataFrame, least: str) -> DataFrame:
+    """``rows`` with ``_group``, the smallest ``least`` of its ``_root``."""
+    of = materialise(rows.groupBy("_root").agg(F.min(least).alias("_group"), F.count(F.lit(1)).alias("_n")), "least")
+    return join_counted(rows, of, "_root", "_n")
 
 
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -405,10 +404,13 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, shingle: int =
     Equal fingerprints become one row before the search, so copies cost nothing there.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    fps = materialise(rows.groupBy("_fp").agg(F.min(id_col).alias("_least")), "distinct")
+    fps = materialise(rows.groupBy("_fp").agg(F.min(id_col).alias("_least"), F.count(F.lit(1)).alias("_n")), "distinct")
     keep = blocks_kept(fps.count(), radius)
     links = shard_links(keyed_by_blocks(fps, radius, keep), keyed_by_blocks(sampled(fps), radius, keep), radius)
-    return _grouped(rows, links, fps, id_col)
+    roots = materialise(components(links), "roots")
+    of = fps.join(roots, fps["_fp"] == roots["_node"], "left").select("_fp", "_least", "_n", F.coalesce("_root", "_fp").alias("_root"))
+    of = materialise(_with_least(materialise(of, "rooted"), "_least").drop("_least"), "grouped")
+    return join_counted(rows, of, "_fp", "_n").select(id_col, "_th", "_fp", "_group", "_root")
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -476,9 +478,14 @@ def resembling(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, _th, _fp, _group, _root`` for every row: texts are linked whose resemblance, the share of
-    their distinct shingles that both have, is at least ``similarity``; ``_group``
-    and ``_root`` as in ``near_duplicate_groups``. Every link is confirmed on the shingles themselves.
+    """``similar_roots`` with ``_group``, the smallest id of each root."""
+    return _with_least(similar_roots(docs, similarity, shingle, id_col, text_col), id_col).select(id_col, "_th", "_fp", "_group", "_root")
+
+
+def similar_roots(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, _th, _fp, _root`` for every row: texts are linked whose resemblance, the share of
+    their distinct shingles that both have, is at least ``similarity``; groups of linked ones share a
+    ``_root``. Every link is confirmed on the shingles themselves.
 
     Fingerprints only say which texts to compare. A resemblance of 0.8 moves about a seventh of the
     bits, too many to tell with 64 of them: these have 256 bits, of distinct shingles, and ``radius_of``
@@ -503,9 +510,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     shared = near.groupBy("_near").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     sets = materialise(shingle_sets(docs, near.join(shared, "_near"), shingle, text_col), "sets")
     labels = resembling(sets, similarity)
-    found = materialise(rows.join(labels, "_th", "left").withColumn("_root", F.coalesce("_label", "_th")).drop("_label"), "found")
-    least = found.groupBy("_root").agg(F.min(id_col).alias("_group"))
-    return found.join(least, "_root").select(id_col, "_th", "_fp", "_group", "_root")
+    copies = rows.groupBy("_th").agg(F.count(F.lit(1)).alias("_n"))
+    of = materialise(copies.join(labels, "_th", "left").select("_th", "_n", F.coalesce("_label", "_th").alias("_root")), "roots")
+    return materialise(join_counted(rows, of, "_th", "_n").select(id_col, "_th", "_fp", "_root"), "found")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
