@@ -116,6 +116,20 @@ def pii(t):
     return [(kind, s, e) for s, _, kind, e in sorted(out)]
 
 
+def licenses(ids, rules):
+    """Names of the rules that match, each once: rules in order take what follows one another, from the left."""
+    left, out = list(ids), []
+    for name, wanted in rules:
+        i = 0
+        while i <= len(left) - len(wanted):
+            if tuple(left[i : i + len(wanted)]) == tuple(wanted):
+                left[i : i + len(wanted)] = [None]
+                if name not in out:
+                    out.append(name)
+            i += 1
+    return out
+
+
 def language(labelled, asked, longest=5):
     """Words by their log frequency, unseen ones by the mean of their longest known n-grams."""
     split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())

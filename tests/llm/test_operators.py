@@ -461,21 +461,97 @@ def test_pii_validators_context_and_redaction(spark):
     assert pii.find_pii(d.limit(0)).count() == 0
 
 
+MIT_FILE = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE_HEADER = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+"""
+LGPL_HEADER = """# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version.
+"""
+GPL_HEADER = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+BSD_FILE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
 def test_licenses(spark):
     rows = [
         (1, "Intro words.\nReleased under the MIT License.\nEnd."),
-        (2, "Licensed under the Apache License, Version 2.0. You may not use this file except in\ncompliance with the License. You may obtain a copy of the License at"),
+        (2, APACHE_HEADER),
         (3, "Licensed under CC BY-NC 4.0.\nAll rights reserved.\nLicensed under CC BY-NC 4.0."),
         (4, None),
         (5, ""),
-        (6, "Permission granted to nobody."),
+        (6, "Permission granted to nobody. Redistribution and use in source and binary forms."),
+        (7, "x " * 200_000 + ".\n" + MIT_FILE),
+        (8, LGPL_HEADER),
+        (9, GPL_HEADER + BSD_FILE),
+        (10, "// SPDX-License-Identifier: GPL-2.0-only\nint main;"),
+        (10, "// SPDX-License-Identifier: GPL-2.0-only\nint main;"),
     ]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x["doc_id"]: (x["_sentences"], x["_licenses"]) for x in licenses.scan_licenses(d).collect()}
-    assert got[1] == (["MitNote"], ["MIT"])
-    assert got[2] == (["ApacheNote", "ApacheComply", "ApacheCopy"], ["Apache-2.0"])
-    assert got[3] == (["CcByNc4Note", "AllRights", "CcByNc4Note"], ["CC-BY-NC-4.0", "Proprietary"])
-    assert got[4] == got[5] == got[6] == ([], [])
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("_left", "_ids", "_licenses")})
+    out = licenses.scan_licenses(d)
+    assert out.columns == ["doc_id", "text", "_left", "_ids", "_sentences", "_licenses"] and {x["_left"] for x in out.collect()} == {"own"}
+    got = {x["doc_id"]: (len(x["_sentences"]), x["_licenses"]) for x in out.collect()}
+    assert got == {1: (1, ["MIT"]), 2: (5, ["Apache-2.0"]), 3: (3, ["CC-BY-NC-4.0", "Proprietary"]), 4: (0, []), 5: (0, []), 6: (0, []), 7: (4, ["MIT"]), 8: (3, ["LGPL-2.1-or-later"]), 9: (5, ["BSD-2-Clause", "GPL-3.0-or-later"]), 10: (1, ["GPL-2.0-only"])}
+    assert out.count() == len(rows) and licenses.scan_licenses(d.limit(0)).count() == 0
+
+
+def test_license_rules_equal_plain(spark):
+    r = random.Random(9)
+    known = list(licenses.SENTENCES)
+    rows = []
+    for i in range(120):
+        seq = []
+        for _ in range(r.randint(0, 4)):
+            seq += list(r.choice(licenses.RULES)[1]) if r.random() < 0.7 else [r.choice(list(licenses.SENTENCES.values()))]
+        by_id = {v: k for k, v in licenses.SENTENCES.items()}
+        rows.append((i, "\n\n".join(f"Note {k}.\n\n{by_id[x].capitalize()}." for k, x in enumerate(seq))))
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(known) == len(set(known)) and sum(len(x["_licenses"]) > 1 for x in got) > 20
+    for x in got:
+        assert x["_licenses"] == brute.licenses(x["_sentences"], licenses.RULES), x["doc_id"]
 
 
 def test_chat(spark):

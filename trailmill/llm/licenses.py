@@ -5,106 +5,61 @@ Only built-in functions run here, row by row: there is no shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.llm.common import ascii_lower
-
-#: Normalised sentences of well-known licenses and their identifiers.
-SENTENCES = {
-    # short notices
-    "released under the mit license": "MitNote",
-    "licensed under the mit license": "MitNote",
-    "this project is licensed under the mit license": "MitNote",
-    "distributed under the mit license": "MitNote",
-    "spdx license identifier mit": "MitNote",
-    "licensed under the apache license version 2.0": "ApacheNote",
-    "licensed under the apache license version 2.0 the license": "ApacheNote",
-    "released under the apache license version 2.0": "ApacheNote",
-    "spdx license identifier apache 2.0": "ApacheNote",
-    "this work is licensed under the gnu general public license version 3": "Gpl3Note",
-    "licensed under the gnu general public license version 3": "Gpl3Note",
-    "released under the gnu general public license version 3": "Gpl3Note",
-    "spdx license identifier gpl 3.0 only": "Gpl3Note",
-    "spdx license identifier gpl 3.0 or later": "Gpl3PlusNote",
-    "this work is licensed under the gnu general public license version 2": "Gpl2Note",
-    "licensed under the gnu general public license version 2": "Gpl2Note",
-    "spdx license identifier gpl 2.0 only": "Gpl2Note",
-    "spdx license identifier gpl 2.0 or later": "Gpl2PlusNote",
-    "licensed under the gnu lesser general public license version 3": "Lgpl3Note",
-    "spdx license identifier lgpl 3.0 only": "Lgpl3Note",
-    "licensed under the mozilla public license version 2.0": "Mpl2Note",
-    "spdx license identifier mpl 2.0": "Mpl2Note",
-    "spdx license identifier bsd 3 clause": "Bsd3Note",
-    "spdx license identifier bsd 2 clause": "Bsd2Note",
-    "spdx license identifier isc": "IscNote",
-    "spdx license identifier unlicense": "UnlicenseNote",
-    "licensed under cc by nc 4.0": "CcByNc4Note",
-    "this work is licensed under cc by nc 4.0": "CcByNc4Note",
-    "licensed under cc by 4.0": "CcBy4Note",
-    "this work is licensed under cc by 4.0": "CcBy4Note",
-    "licensed under cc by sa 4.0": "CcBySa4Note",
-    "this work is licensed under cc by sa 4.0": "CcBySa4Note",
-    "this work is licensed under a creative commons attribution 4.0 international license": "CcBy4Note",
-    "all rights reserved": "AllRights",
-    "this file is in the public domain": "PublicDomain",
-    "this is free and unencumbered software released into the public domain": "UnlicenseGrant",
-    # sentences of full texts
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MitNotice",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MitWarranty",
-    "you may not use this file except in compliance with the license": "ApacheComply",
-    "you may obtain a copy of the license at": "ApacheCopy",
-    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "ApacheWarranty",
-    "this program is free software": "GplFree",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GplTerms",
-    "either version 3 of the license or at your option any later version": "Version3Plus",
-    "either version 2 of the license or at your option any later version": "Version2Plus",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BsdGrant",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BsdSource",
-    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BsdBinary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
-}
-
-#: Rules in the order in which they are tried; a matched sequence is used up.
-RULES = (
-    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse")),
-    ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
-    ("MIT", ("MitGrant", "MitNotice", "MitWarranty")),
-    ("MIT", ("MitGrant", "MitNotice")),
-    ("Apache-2.0", ("ApacheNote", "ApacheComply", "ApacheCopy", "ApacheWarranty")),
-    ("Apache-2.0", ("ApacheNote", "ApacheComply", "ApacheCopy")),
-    ("GPL-3.0-or-later", ("GplFree", "GplTerms", "Version3Plus")),
-    ("GPL-2.0-or-later", ("GplFree", "GplTerms", "Version2Plus")),
-    ("ISC", ("IscGrant",)),
-    ("Unlicense", ("UnlicenseGrant",)),
-    ("MIT", ("MitNote",)),
-    ("Apache-2.0", ("ApacheNote",)),
-    ("GPL-3.0-or-later", ("Gpl3PlusNote",)),
-    ("GPL-3.0-only", ("Gpl3Note",)),
-    ("GPL-2.0-or-later", ("Gpl2PlusNote",)),
-    ("GPL-2.0-only", ("Gpl2Note",)),
-    ("LGPL-3.0-only", ("Lgpl3Note",)),
-    ("MPL-2.0", ("Mpl2Note",)),
-    ("BSD-3-Clause", ("Bsd3Note",)),
-    ("BSD-2-Clause", ("Bsd2Note",)),
-    ("ISC", ("IscNote",)),
-    ("Unlicense", ("UnlicenseNote",)),
-    ("CC-BY-NC-4.0", ("CcByNc4Note",)),
-    ("CC-BY-SA-4.0", ("CcBySa4Note",)),
-    ("CC-BY-4.0", ("CcBy4Note",)),
-    ("Public-Domain", ("PublicDomain",)),
-    ("Proprietary", ("AllRights",)),
-)
-
-#: A line break before a small letter continues a sentence; the others, and marks before a blank, end it.
-CONTINUES, ENDS, OTHER = r"\r?\n[ \t]*([a-z])", r"[.!?;:]+[ \t]+|[\r\n]+", r"[^a-z0-9.+\n]+"
+from trailmill.llm import license_texts
+from trailmill.llm.common import ascii_lower, with_own_names, without_clash
+
+#: A line break before a small letter, an opening bracket, a quote or a word of a license's name continues
+#: a sentence, as does one between capitals; comment marks at the start of such a line go. Other
+#: breaks, and marks before a blank, end it. The short name after a tag is all of its sentence.
+CONTINUES, IN_CAPITALS = r"\r?\n[ \t]*(?://+|[*#;]+|--)?[ \t]*([a-z(\"]|(?:License|General|Lesser|Affero|Public|Foundation)\b)", r"([A-Z,)\"])[ \t]*\r?\n[ \t]*(?://+|[*#;]+|--)?[ \t]*([A-Z][A-Z])"
+TAGGED = rf"{license_texts.TAG}:[ \t]*(\S+)"
+ENDS, OTHER = r"[.!?;:]+[ \t]+|[\r\n]+", r"[^a-z0-9.+\n]+"
+
+
+def normal(sentence: str) -> str:
+    """A sentence as it is compared: lower case, runs of other characters than a-z, 0-9, dot and plus as one blank."""
+    return re.sub(OTHER, " ", sentence.lower()).strip(" .")
+
+
+def _known() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
+    """Identifiers of normalised sentences, and rules in the order in which they are tried: whole texts,
+    the longest first, then their cores, then single phrases."""
+    known: dict[str, str] = {}
+    whole, cores = [], []
+    for name, text in license_texts.TEXTS.items():
+        lines = [normal(x) for x in text.strip().split("\n")]
+        ids = tuple(known.setdefault(x, f"{name.replace(' ', '_')}.{k}") for k, x in enumerate(lines, 1))
+        license_name = name.removesuffix(" text")
+        license_name = {"GPL-3.0": "GPL-3.0-only", "GPL-2.0": "GPL-2.0-only"}.get(license_name, license_name)
+        whole.append((license_name, ids))
+        if name in license_texts.CORES:
+            cores.append((license_name, ids[: license_texts.CORES[name]]))
+    phrases = {}
+    for name, license_name in license_texts.NAMES.items():
+        for phrase in license_texts.PHRASES:
+            phrases[normal(f"{phrase} {name}")] = license_name
+    for license_name in license_texts.SPDX:
+        phrases[normal(f"{license_texts.TAG} {license_name}")] = license_name
+    phrases |= {normal(x): license_name for x, license_name in license_texts.OTHERS.items()}
+    for x, license_name in phrases.items():
+        known.setdefault(x, f"Says.{license_name}")
+    longest = lambda rules: sorted(rules, key=lambda r: -len(r[1]))
+    return known, [*longest(whole), *longest(cores), *((n, (f"Says.{n}",)) for n in sorted(set(phrases.values())))]
+
+
+SENTENCES, RULES = _known()
 
 
 def sentences_of(text: Column) -> Column:
-    """Normalised sentences: lower case, runs of other characters than a-z, 0-9, dot and plus as one blank."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), CONTINUES, " $1")
+    """Normalised sentences."""
+    t = F.coalesce(text, F.lit(""))
+    t = F.when(F.contains(t, F.lit(license_texts.TAG)), F.regexp_replace(t, TAGGED, f"{license_texts.TAG} $1. ")).otherwise(t)
+    t = F.regexp_replace(F.regexp_replace(t, CONTINUES, " $1"), IN_CAPITALS, "$1 $2")
     t = F.regexp_replace(F.regexp_replace(ascii_lower(t), ENDS, "\n"), OTHER, " ")
     return F.split(t, "\n")
 
@@ -122,18 +77,18 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     once, in the order of the rules).
 
     Null and empty texts have none of either; repeated rows get equal results; an empty table stays
-    empty; other columns pass. A rule matches identifiers that follow one another, whatever unknown
-    sentences stand between them; every place is used by the first rule that fits.
+    empty. Other columns pass, whatever their names; one that is named like a result is replaced. A rule
+    matches identifiers that follow one another, whatever unknown sentences stand between them; every
+    place is used by the first rule that fits.
     """
-    d = docs.withColumn("_sentences", identifiers_of(sentences_of(F.col(text_col))))
+    docs, names, new = without_clash(docs, "_sentences", "_licenses")
+    d = docs.withColumn("_ids", identifiers_of(sentences_of(F.col(new[text_col]))))
     # Each identifier is marked on both sides, so that repeated ones don't share a mark.
-    left = F.array_join(F.transform("_sentences", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), "")
-    d = d.withColumn("_left", left)
-    none = F.size("_sentences") == 0
-    names, rest = [], F.col("_left")
+    d = d.withColumn("_left", F.array_join(F.transform("_ids", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), ""))
+    found, rest = [], F.col("_left")
     for name, ids in RULES:
         mark = "".join(f"<{i}>" for i in ids)
-        names.append(F.when(F.contains(rest, F.lit(mark)), F.lit(name)))
+        found.append(F.when(F.contains(rest, F.lit(mark)), F.lit(name)))
         rest = F.replace(rest, F.lit(mark), F.lit("|"))
-    found = F.when(none, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(*names))))
-    return d.select(*docs.columns, "_sentences", found.alias("_licenses"))
+    told = F.when(F.size("_ids") == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(*found))))
+    return with_own_names(d, names, new, {"_sentences": F.col("_ids"), "_licenses": told})

@@ -2,49 +2,28 @@
 
 from __future__ import annotations
 
-from trailmill.llm.licenses import RULES, SENTENCES
+from trailmill.llm.license_texts import TAG
+from trailmill.llm.licenses import CONTINUES, ENDS, IN_CAPITALS, OTHER, RULES, SENTENCES, TAGGED
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def _licenses() -> str:
+    """Sentences by their place, and the rules one after another over what the earlier ones left."""
     known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-    rest, parts = "s0", []
-    for k, (name, ids) in enumerate(RULES):
-        mark = "".join(f"<{i}>" for i in ids)
-        parts.append(f"case when contains({rest}, '{mark}') then '{name}' end")
-        rest = f"replace({rest}, '{mark}', '|')"
-        if k % 6 == 5:  # keeps the expressions short
-            parts.append(None)
-            parts.append(rest)
-            rest = f"s{k}"
-    steps, names, current, at = [], [], "s0", 0
-    columns: list[str] = []
-    for p in parts:
-        if p is None:
-            continue
-        if p.startswith("case"):
-            names.append(f"n{len(names)}")
-            columns.append(f"{p} {names[-1]}")
-        else:
-            new = f"s{(at + 1) * 6 - 1}"
-            prev = f"r{at - 1}" if at else "start"
-            steps.append(f"r{at} as (select *, {', '.join(columns)}, {p} {new} from {prev})")
-            columns, at, current = [], at + 1, new
-    del current
-    steps.append(f"r{at} as (select *, {', '.join(columns)} from r{at - 1})")
-    lower = _LOWER.format(r"regexp_replace(coalesce(text, ''), '\r?\n[ \t]*([a-z])', ' \1', 'g')")
-    return rf"""
-with known(sentence, id) as (values {known}),
-parts as (select doc_id, unnest(string_split(regexp_replace(regexp_replace({lower}, '[.!?;:]+[ \t]+|[\r\n]+', chr(10), 'g'), '[^a-z0-9.+\n]+', ' ', 'g'), chr(10))) part,
-  generate_subscripts(string_split(regexp_replace(regexp_replace({lower}, '[.!?;:]+[ \t]+|[\r\n]+', chr(10), 'g'), '[^a-z0-9.+\n]+', ' ', 'g'), chr(10)), 1) pos from documents),
+    rules = ", ".join(f"({k}, '{name}', '{''.join(f'<{i}>' for i in ids)}')" for k, (name, ids) in enumerate(RULES, 1))
+    joined = f"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{TAGGED}', '{TAG} \\1. ', 'g'), '{CONTINUES}', ' \\1', 'g'), '{IN_CAPITALS}', '\\1 \\2', 'g')"
+    parts = f"string_split(regexp_replace(regexp_replace({_LOWER.format(joined)}, '{ENDS}', chr(10), 'g'), '{OTHER}', ' ', 'g'), chr(10))"
+    return f"""
+with recursive known(sentence, id) as (values {known}), rules(k, name, mark) as (values {rules}),
+parts as (select doc_id, unnest({parts}) part, generate_subscripts({parts}, 1) pos from documents),
 ids as (select doc_id, count(*) n, string_agg(id, ',' order by pos) sentences, string_agg('<' || id || '>', '' order by pos) marks from parts join known on trim(part, ' .') = sentence group by doc_id),
-start as (select d.doc_id, coalesce(n, 0) n_sentences, coalesce(sentences, '') sentences, coalesce(marks, '') s0 from documents d left join ids using (doc_id)),
-{', '.join(steps)},
-named as (select doc_id, unnest([{', '.join(names)}]) name, unnest(range({len(names)})) k from r{at}),
-firsts as (select doc_id, name, min(k) k from named where name is not null group by doc_id, name),
-lists as (select doc_id, string_agg(name, ',' order by k) licenses from firsts group by doc_id)
-select s.doc_id, n_sentences, sentences, coalesce(licenses, '') licenses from start s left join lists using (doc_id)
+steps as (
+  select doc_id, 0 k, marks left_over, cast(null as varchar) as name from ids
+  union all
+  select doc_id, rules.k, replace(left_over, mark, '|'), case when contains(left_over, mark) then rules.name end from steps join rules on rules.k = steps.k + 1),
+lists as (select doc_id, string_agg(name, ',' order by k) licenses from (select doc_id, name, min(k) k from steps where name is not null group by all) group by doc_id)
+select d.doc_id, coalesce(n, 0) n_sentences, coalesce(sentences, '') sentences, coalesce(licenses, '') licenses from documents d left join ids using (doc_id) left join lists using (doc_id)
 """
 
 
