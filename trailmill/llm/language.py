@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.llm.common import pieces
+from trailmill.llm.common import broadcast_if_small, materialise, pieces
 
 MAX_GRAM = 5
 #: What a worker remembers of words; beyond it the memory starts anew.
@@ -37,6 +37,7 @@ def training_rows(docs: DataFrame, keep: Column, docs_per_lang: int, id_col: str
     """A sample of the labelled rows: all of a language, or about ``docs_per_lang`` chosen by a hash of the id."""
     labelled = docs.filter(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     share = labelled.groupBy(F.col(lang_col).alias("_lang")).agg((F.lit(float(docs_per_lang)) / F.count(F.lit(1))).alias("_share"))
+    share = broadcast_if_small(materialise(share, "shares"))
     chosen = F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(1 << 30)) < F.col("_share") * (1 << 30)
     return labelled.join(share, labelled[lang_col] == share["_lang"]).filter(chosen).select("_lang", F.col(text_col).alias("_text"))
 
