@@ -1 +1 @@
-
+"""Points that arrive as a stream."""
