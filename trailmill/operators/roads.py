@@ -202,6 +202,17 @@ def in_region(boxes: DataFrame, lat: float, lng: float) -> DataFrame:
     return inside.orderBy(area, "name").limit(1)
 
 
+def region_of_points(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``points`` with ``region``, the name of the smallest of the overlapping boxes that holds each, or null.
+    Boxes go to every degree cell that they cover, a point to its own."""
+    size = (F.col("north") - F.col("south")) * (F.col("east") - F.col("west"))
+    b = boxes.withColumn("_size", size).withColumn("_y", F.explode(F.sequence(F.floor("south"), F.floor("north")))).withColumn("_x", F.explode(F.sequence(F.floor("west"), F.floor("east"))))
+    p = points.withColumns({"_y": F.floor("lat"), "_x": F.floor("lng")})
+    inside = p.join(b, ["_y", "_x"]).filter(geo.in_box("lat", "lng", F.col("south"), F.col("north"), F.col("west"), F.col("east")))
+    best = inside.groupBy("id").agg(F.min_by("name", F.struct("_size", "name")).alias("region"))
+    return points.join(best, "id", "left")
+
+
 def sparse(edges: DataFrame, radius_km: float, least_edges: int = 2000, least_nodes: int = 1500) -> DataFrame:
     """One row ``sparse``: whether a network loaded for 2 km or more is too thin for a town."""
     nodes = node_degrees(edges).agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmill.operators import clean, matching, roads, routing
 from trailmill.plans import trip_map
-from trailmill.queries.sqltext import EDGES, FILL, NODES, TP, bear, hav
+from trailmill.queries.sqltext import EDGES, FILL, NODES, PLACE, TP, bear, hav
 from trailmill.queries.tracks import NEAR
 from trailmill.sources.tables import derived, road_edges, road_nodes
 
@@ -240,6 +240,16 @@ def region_of_position(spark, sf):
     return roads.in_region(boxes, 30.59, 114.3).select("name")
 
 
+_BOXES = (("hubei", 29.0, 33.3, 108.2, 116.1), ("hunan", 24.6, 30.1, 108.8, 114.7), ("henan", 31.4, 36.4, 110.4, 116.6), ("town", 30.2, 30.6, 114.1, 114.4), ("quarter", 30.35, 30.45, 114.3, 114.6), ("far", 40.0, 41.0, 10.0, 11.0))
+
+
+@register("region_of_places", f"""select p.id, name region from {PLACE} p left join (select * from (select p.id, name, row_number() over (partition by p.id order by (n - s) * (e - w), name) k from {PLACE} p
+ join (values {', '.join(map(str, _BOXES))}) v(name, s, n, w, e) on lat + id % 3 between s and n and lng between w and e) where k = 1) b on b.id = p.id""")
+def region_of_places(spark, sf):
+    p = derived(spark, sf, "place").select("id", (F.col("lat") + F.col("id") % 3).alias("lat"), "lng")
+    return roads.region_of_points(p, spark.createDataFrame(list(_BOXES), "name string, south double, north double, west double, east double")).select("id", "region")
+
+
 @register("sparse_network", f"select count(*) < 2000 or (select count(*) from {NODES}) < 1500 sparse from {EDGES}")
 def sparse_network(spark, sf):
     return roads.sparse(road_edges(spark), 2.5)
