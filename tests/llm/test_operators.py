@@ -323,6 +323,17 @@ def test_bpe_equals_library(spark, texts):
     assert bpe.encode(d.limit(0)).count() == 0
 
 
+def test_bpe_repeated_rows_and_clashing_columns(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    long = "long words, " * 60_000
+    d = own_columns(spark.createDataFrame([(1, "same text"), (1, "same text"), (None, long)], "doc_id long, text string"), "_text", "_ids", "_n_tokens")
+    got = bpe.encode(d)
+    assert got.columns == ["doc_id", "_n_tokens", "_ids", "_ids_sha256", "_decoded_sha256"]
+    assert sorted((r["doc_id"] or 0, r["_n_tokens"]) for r in got.collect()) == sorted([(1, len(t.encode("same text").ids))] * 2 + [(0, len(t.encode(long).ids))])
+
+
 def test_language(spark):
     r = random.Random(2)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["schu", "berg", "tz"], "cc": ["éx", "oùi", "ça"]}
@@ -372,6 +383,15 @@ def test_avi_round_trip(spark, docs):
         assert (r["_n_bytes"], r["_payload_bytes"], r["_payload_sha256"], r["_tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
 
 
+def test_avi_repeated_rows_and_clashing_columns(spark):
+    d = own_columns(spark.createDataFrame([(1, "text"), (1, "text"), (None, "z" * 300_000)], "doc_id long, text string"), "_media", "_text", "_feature")
+    stored = avi.store_texts(d)
+    assert stored.columns == ["doc_id", "_n_bytes", "_media"]
+    rows = [tuple(r) for r in avi.describe(stored.withColumn("_feature", F.lit("own"))).collect()]
+    assert len(rows) == 3 and len(set(rows)) == 2 and all("own" not in r for r in rows)
+    assert avi.store_texts(d.limit(0)).count() == 0
+
+
 def test_usual_code_tables():
     """Codes that the standard lists."""
     table = {t: {s: format(c, f"0{n}b") for s, (c, n) in avi.canonical_codes(avi.USUAL[t][0], avi.usual_symbols(t)).items()} for t in avi.USUAL}
