@@ -140,6 +140,8 @@ def heading_gate(spark, sf):
     return c.groupBy("id").agg(F.count(F.lit(1)).alias("n"), (F.min("distance") > 120).alias("wide"))
 
 
+#: Grades are compared to three decimals: they are distances from a mean in deviations of variances, and the
+#: engines sum these in orders of their own.
 _GRADES = f"""{_Q}, dg as (select node_id, count(*) degree from (select unnest([start_node, end_node]) node_id from {EDGES}) group by node_id), {NEAR},
  k as (select near.*, greatest(a.degree, b.degree) dgr from near join dg a on a.node_id = start_node join dg b on b.node_id = end_node where pd <= 40),
  pr as (select a.id, abs(least({_diff('a.direction', 'b.direction')}, 180 - {_diff('a.direction', 'b.direction')})) d from k a join k b on a.id = b.id and a.edge_id < b.edge_id),
@@ -157,16 +159,16 @@ def complexity(spark, sf):
     return roads.complexity(_points(spark, sf), _edges(spark)).select("trip_id", "id", F.round("variance", 4).alias("variance"), "is_complex")
 
 
-@register("complexity_grades", f"with {_GRADES} select trip_id, id, round(directional, 6) directional, round(connectivity, 6) connectivity, round(complexity, 6) complexity, complex_segment, cast(segment as int) segment from g3")
+@register("complexity_grades", f"with {_GRADES} select trip_id, id, round(directional, 3) directional, round(connectivity, 3) connectivity, round(complexity, 3) complexity, complex_segment, cast(segment as int) segment from g3")
 def complexity_grades(spark, sf):
     c = roads.complexity(_points(spark, sf), _edges(spark))
-    return c.select("trip_id", "id", *(F.round(x, 6).alias(x) for x in ("directional", "connectivity", "complexity")), "complex_segment", "segment")
+    return c.select("trip_id", "id", *(F.round(x, 3).alias(x) for x in ("directional", "connectivity", "complexity")), "complex_segment", "segment")
 
 
-@register("complex_segments", f"with {_GRADES} select trip_id, cast(segment as int) segment, complex_segment, count(*) points, round(avg(complexity), 6) mean_complexity from g3 group by trip_id, segment, complex_segment")
+@register("complex_segments", f"with {_GRADES} select trip_id, cast(segment as int) segment, complex_segment, count(*) points, round(avg(complexity), 3) mean_complexity from g3 group by trip_id, segment, complex_segment")
 def complex_segments(spark, sf):
     c = roads.complexity(_points(spark, sf), _edges(spark))
-    return c.groupBy("trip_id", "segment", "complex_segment").agg(F.count(F.lit(1)).alias("points"), F.round(F.avg("complexity"), 6).alias("mean_complexity"))
+    return c.groupBy("trip_id", "segment", "complex_segment").agg(F.count(F.lit(1)).alias("points"), F.round(F.avg("complexity"), 3).alias("mean_complexity"))
 
 
 # --- building a network from ways
