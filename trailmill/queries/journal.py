@@ -227,12 +227,12 @@ def first_photo_cross(spark, sf):
     return derived(spark, sf, "place").select("trip_id", F.col("id").alias("place_id")).join(f, "trip_id")
 
 
-_M = f"(select event_id id, user_id, user_id * 1000 trip_id, 1704067200000 + event_id % 700 * 1000 + 300 time_ms from events where event_id % 13 = 0)"
+_M = f"(select event_id id, user_id, user_id * 1000 trip_id, 1704067200000 + event_id % 700 * 1000 + 300 time_ms from events)"
 
 
 @register("asof_media_anchor", f"""select id, time_ms, near_id, near_ts from (select m.id, time_ms, p.id near_id, p.ts near_ts, row_number() over (partition by m.id order by abs(p.ts - time_ms), p.ts) k from {_M} m join {TP} p using (trip_id)) where k = 1""")
 def asof_media_anchor(spark, sf):
-    m = read(spark, sf, "events").filter("event_id % 13 = 0").select(F.col("event_id").alias("id"), (F.col("user_id") * 1000).alias("trip_id"), (F.lit(1704067200000) + F.col("event_id") % 700 * 1000 + 300).alias("time_ms"))
+    m = read(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("user_id") * 1000).alias("trip_id"), (F.lit(1704067200000) + F.col("event_id") % 700 * 1000 + 300).alias("time_ms"))
     return rel.nearest_in_time(m, derived(spark, sf, "track"), "trip_id", "time_ms").filter("near_id is not null")
 
 
