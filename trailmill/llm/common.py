@@ -73,11 +73,17 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
 
 
 def pieces(batch, text_at: int, most: int = 4 << 20):
-    """Slices of an Arrow batch with about ``most`` bytes of text each, at least one row."""
+    """Slices of an Arrow batch with about ``most`` bytes of text (or of listed pieces) each, at least one row."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    texts = batch.column(text_at)
+    if pa.types.is_list(texts.type):
+        lengths = np.array([sum(map(len, t)) for t in texts.to_pylist()])
+    else:
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    size = np.cumsum(lengths.astype(np.int64))
     start = 0
     while start < batch.num_rows:
         base = size[start - 1] if start else 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmill.llm import avi, bpe, chat, decontamination, language, licenses, line_dedup, pii, simhash, substring_dedup
+from trailmill.llm import avi, bpe, byte_bpe, chat, decontamination, language, licenses, line_dedup, periodic_runs, pii, simhash, substring_dedup, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,49 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"), best.alias("best_score"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    d = whitening.whiten(vectors, model)
+    explained = F.array(*(F.lit(float(e)) for e in model.explained)) if model else F.lit(None).cast("array<double>")
+    d = d.select("vec_id", "_deviation", F.posexplode("_whitened").alias("_at", "whitened"))
+    return d.select(
+        "vec_id",
+        (F.col("_at") + 1).alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        F.col("_deviation").cast("long").alias("deviation"),
+        "whitened",
+        F.get(explained, F.col("_at")).alias("explained"),
+        F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = byte_bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
+    return d.toDF("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; of one text in ten, told by its id, the rest from some word on repeats with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    d = docs.select("doc_id", "text", words.alias("_w"), F.expr("crc32(cast(doc_id as string)) div 10").alias("_g")).withColumn("_n", F.size("_w"))
+    d = d.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).cast("int"))
+    d = d.withColumn("_p", F.expr("cast(1 + (_n - _a) div (3 + _g % 8) as int)"))
+    rest = F.slice(F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), F.ceil((F.col("_n") - F.col("_a")) / F.col("_p")).cast("int"))), F.lit(1), F.col("_n") - F.col("_a"))
+    planted = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), rest), " ")
+    return d.select("doc_id", F.when(F.col("_a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = periodic_runs.find_runs(with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.expr("array_sort(_runs, (a, b) -> case when a.length <> b.length then b.length - a.length when a.start <> b.start then a.start - b.start else a.period - b.period end)[0]")
+    lines = F.array_join(F.transform("_runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    d = d.select("doc_id", F.size("_runs").cast("long").alias("n_runs"), F.when(F.size("_runs") > 0, longest).alias("_best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("_collapsed", 256).alias("collapsed_sha256"))
+    best = [F.col(f"_best.{c}").cast("long").alias(c) for c in ("start", "length", "period")]
+    return d.select("doc_id", "n_runs", *best, F.expr("_best.length * 1000L div _best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ours = (op1_licenses, op2_avi, op2_clips, op3_decontamination, op3_proximity, op4_bpe, op5_substring_dedup, op6_simhash, op7_language, op8_line_dedup, op9_chat, op10_pii)
+    ours = (op1_licenses, op2_avi, op2_clips, op3_decontamination, op3_proximity, op4_bpe, op5_substring_dedup, op6_simhash, op7_language, op8_line_dedup, op9_chat, op10_pii, op11_whitening, op12_byte_bpe, op13_periodic_runs)
     return {f.__name__: f for f in ours}
