@@ -84,9 +84,17 @@ def test_seams_by_hand(text, size, overlap):
             assert min(common) + k * size in whole
 
 
-def test_merge_against_the_library(library):
+def test_merges_against_the_library(library, monkeypatch):
+    """Word by word and all at once, and with a memory that is always full."""
     r = random.Random(9)
     v = byte_bpe.ranks(PATH)
-    for _ in range(300):
-        w = bytes(r.choice(b"theand \xc3\xa9s") for _ in range(r.randint(1, 60)))
-        assert v.merge(w) == library._encode_single_piece(w) or v.rank.get(w) is not None
+    words = sorted({bytes(r.choice(b"theand \xc3\xa9s") for _ in range(r.randint(1, 60))) for _ in range(2000)})
+    want = [library._encode_single_piece(w) for w in words]
+    assert [v.merge(w) for w in words] == want
+    assert [np.frombuffer(p, "<u4").tolist() for p in v.merge_all(words)] == want
+    assert v.merge_all([]) == []
+    monkeypatch.setattr(byte_bpe, "MEMORY", 3)
+    texts = [[f"w{k}", "the", "x" * 100 + str(k)] for k in range(20)]
+    for t in texts:
+        table = v.table([t])
+        assert [np.frombuffer(table[w], "<u4").tolist() for w in t] == [library.encode_ordinary(w) for w in t]
