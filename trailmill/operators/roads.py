@@ -56,17 +56,32 @@ def extract_network(nodes: DataFrame, ways: DataFrame, south: float, north: floa
     with the seeds, and two of the pieces with the nodes.
     """
     seeds = nodes.filter(geo.in_box("lat", "lng", south - margin, north + margin, west - margin, east + margin)).select("id")
-    road = ways.filter(drivable(F.col("tags")))
-    flat = road.select(F.col("id").alias("way_id"), "tags", F.posexplode("node_ids").alias("seq", "node_id"))
+    flat = _flat(ways)
     touched = flat.join(seeds, flat["node_id"] == seeds["id"], "left_semi").select("way_id").distinct()
-    pieces = flat.join(touched, "way_id", "left_semi").withColumn("next_id", F.lead("node_id").over(Window.partitionBy("way_id").orderBy("seq"))).filter("next_id is not null")
-    at = lambda p: nodes.select(F.col("id").alias(f"{p}_node"), F.col("lat").alias(f"lat{1 if p == 'start' else 2}"), F.col("lng").alias(f"lng{1 if p == 'start' else 2}"))
-    e = pieces.withColumnsRenamed({"node_id": "start_node", "next_id": "end_node"}).join(at("start"), "start_node").join(at("end"), "end_node")
-    e = e.filter(geo.boxes_meet(F.least("lat1", "lat2"), F.greatest("lat1", "lat2"), F.least("lng1", "lng2"), F.greatest("lng1", "lng2"), south, north, west, east))
-    # The id comes from the way and the place in it: no global numbering, so no single partition. A way has
-    # 2000 nodes at most; 20 bits leave room for more.
-    e = e.select((F.shiftleft("way_id", WAY_BITS) + F.col("seq")).alias("edge_id"), "way_id", "start_node", "end_node", "lat1", "lng1", "lat2", "lng2", *road_attributes(F.col("tags")))
-    return finish_edges(e)
+    e = _pieces(flat.join(touched, "way_id", "left_semi"), nodes)
+    return finish_edges(e.filter(geo.boxes_meet(F.least("lat1", "lat2"), F.greatest("lat1", "lat2"), F.least("lng1", "lng2"), F.greatest("lng1", "lng2"), south, north, west, east)))
+
+
+def whole_network(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """Edges of all ways that cars may use."""
+    return finish_edges(_pieces(_flat(ways), nodes))
+
+
+def _flat(ways: DataFrame) -> DataFrame:
+    """``way_id, tags, seq, node_id`` of ways that cars may use."""
+    return ways.filter(drivable(F.col("tags"))).select(F.col("id").alias("way_id"), "tags", F.posexplode("node_ids").alias("seq", "node_id"))
+
+
+def _pieces(flat: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between consecutive nodes of ways, without degree and length; pieces with an unknown node are left out.
+
+    The id comes from the way and the place in it: no global numbering, so no single partition. A way has
+    2000 nodes at most; 20 bits leave room for more.
+    """
+    pieces = flat.withColumn("next_id", F.lead("node_id").over(Window.partitionBy("way_id").orderBy("seq"))).filter("next_id is not null")
+    at = lambda p, k: nodes.select(F.col("id").alias(f"{p}_node"), F.col("lat").alias(f"lat{k}"), F.col("lng").alias(f"lng{k}"))
+    e = pieces.withColumnsRenamed({"node_id": "start_node", "next_id": "end_node"}).join(at("start", 1), "start_node").join(at("end", 2), "end_node")
+    return e.select((F.shiftleft("way_id", WAY_BITS) + F.col("seq")).alias("edge_id"), "way_id", "start_node", "end_node", "lat1", "lng1", "lat2", "lng2", *road_attributes(F.col("tags")))
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from trailmill.functions import geo
 from trailmill.operators import clean, ingest, roads, trips
 from trailmill.operators import relational as rel
 from trailmill.plans import trip_map
-from trailmill.queries.sqltext import ANCHOR, EDGES, NOTE, PHOTO, PLACE, STORY, SUMMARY, TP, TRIP, VIDEO
-from trailmill.sources.tables import derived, read, road_edges
+from trailmill.queries.sqltext import ANCHOR, EDGES, NOTE, PHOTO, PLACE, STORY, SUMMARY, TOWN_EDGES, TP, TRIP, VIDEO
+from trailmill.sources.tables import derived, read, road_edges, town_ways
 
 QUERIES: dict = {}
 
@@ -69,9 +69,9 @@ def replay_points(spark, sf):
     return rel.replay(*(derived(spark, sf, n) for n in ("track", "photo", "video")))
 
 
-@register("highway_top", f"select cast(row_number() over (order by n desc, type) as int) rank, type, n from (select type, count(*) n from {EDGES} group by type) order by rank limit 12")
+@register("highway_top", f"select cast(row_number() over (order by n desc, type) as int) rank, type, n from (select type, count(*) n from {TOWN_EDGES} group by type) order by rank limit 12")
 def highway_top(spark, sf):
-    return roads.histogram(road_edges(spark))
+    return roads.histogram(roads.whole_network(derived(spark, sf, "town_node"), town_ways(spark, sf)))
 
 
 _TOLD = "select id trip_id, case id % 3 when 0 then 'short' || chr(10) || '  建议早些出发避开高峰 ' || cast(id as varchar(20)) || '  ' || chr(10) || '  ' when 1 then 'short' end answer from {trip}"

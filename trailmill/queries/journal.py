@@ -31,7 +31,7 @@ FILTERS = {
     "boolean_true": ("anchor", ANCHOR, "manual_override"),
     "file_hash_equals": ("photo", PHOTO, "file_hash = 'h17'"),
     "cover_true": ("photo", PHOTO, "is_cover"),
-    "privacy_equals": ("photo", PHOTO, "privacy_mode = 'PRIVATE' and user_id % 10 = 3"),
+    "privacy_equals": ("photo", PHOTO, "privacy_mode = 'PRIVATE'"),
     "created_between": ("photo", PHOTO, "created_at between timestamp '1995-01-01 00:00:00' and timestamp '1995-12-31 00:00:00'"),
     "processing_status": ("video", VIDEO, "processing_status = 'FAILED'"),
     "city_equals": ("place", PLACE, "city = 'city3' and district = 'district5'"),
@@ -40,7 +40,7 @@ FILTERS = {
     "geo_bounds": ("place", PLACE, "lat between 30.2e0 and 30.4e0 and lng between 114.1e0 and 114.5e0"),
     "in_list": ("story", STORY, "block_type in ('PHOTO', 'VIDEO')"),
     "hidden_blocks": ("story", STORY, "is_hidden"),
-    "ref_equals": ("story", STORY, "ref_type = 'VIDEO' and ref_id % 1000 = 202"),
+    "ref_equals": ("story", STORY, "ref_type = 'VIDEO'"),
     "points_between": ("track", TP, "ts between 1704067300000 and 1704067500000"),
     "points_by_source": ("track", TP, "source = 'click'"),
     "anchor_not_null": ("note", NOTE, "anchor_ts is not null"),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from trailmill.operators import clean, matching, roads, routing
+from trailmill.operators import clean, matching, roads, routing, trips
 from trailmill.plans import trip_map
-from trailmill.queries.sqltext import EDGES, FILL, NODES, PLACE, TP, bear, hav
+from trailmill.queries.sqltext import EDGES, FILL, PLACE, TOWN_EDGES, TOWN_NODES, TOWN_WAYS, TP, TYPE, hav
 from trailmill.queries.tracks import NEAR
-from trailmill.sources.tables import derived, road_edges, road_nodes
+from trailmill.scratch import materialise, scratch_root
+from trailmill.sources import pbf
+from trailmill.sources.tables import derived, road_edges, town_ways
 
 QUERIES: dict = {}
 
@@ -64,34 +68,43 @@ def coverage_percentiles(spark, sf):
     return c.withColumns({x: F.round(x, 3) for x in ("p50", "p90", "p95", "p99")})
 
 
-_DEG = f"dg as (select node_id, count(*) degree from (select unnest([start_node, end_node]) node_id from {EDGES}) group by node_id)"
+# --- the town: a network of the orders, which grows with them
+
+
+def _town(spark, sf):
+    """Finished edges of the town, written once."""
+    return materialise(roads.whole_network(derived(spark, sf, "town_node"), town_ways(spark, sf)), "town")
+
 
+_DEG = "dg as (select node_id, count(*) degree from (select unnest([start_node, end_node]) node_id from e) group by node_id)"
+_TOWN = f"with recursive e as materialized (select * from {TOWN_EDGES}), {_DEG}"
 
-@register("node_degree", f"with {_DEG} select node_id, degree from dg")
+
+@register("node_degree", f"{_TOWN} select node_id, degree from dg")
 def node_degree(spark, sf):
-    return roads.node_degrees(road_edges(spark))
+    return roads.node_degrees(_town(spark, sf))
 
 
-@register("ramp_heuristic", f"with {_DEG} select edge_id, cast(greatest(a.degree, b.degree) as int) node_degree, ramp or (one_way and {hav('lat1', 'lng1', 'lat2', 'lng2')} <= 220 and greatest(a.degree, b.degree) >= 3 and type in ('trunk', 'primary', 'secondary', 'unclassified', 'service')) ramp from {EDGES} e join dg a on a.node_id = start_node join dg b on b.node_id = end_node")
+@register("ramp_heuristic", f"{_TOWN} select edge_id, cast(greatest(a.degree, b.degree) as int) node_degree, ramp or (one_way and {hav('lat1', 'lng1', 'lat2', 'lng2')} <= 220 and greatest(a.degree, b.degree) >= 3 and type in ('trunk', 'primary', 'secondary', 'unclassified', 'service')) ramp from e join dg a on a.node_id = start_node join dg b on b.node_id = end_node")
 def ramp_heuristic(spark, sf):
-    return _edges(spark).select("edge_id", "node_degree", "ramp")
+    return roads.whole_network(derived(spark, sf, "town_node"), town_ways(spark, sf)).select("edge_id", "node_degree", "ramp")
 
 
-@register("adjacency_union", f"select edge_id, false reverse, start_node from_node, end_node to_node from {EDGES} union all select edge_id, true, end_node, start_node from {EDGES} where not one_way")
+@register("adjacency_union", f"{_TOWN} select edge_id, false reverse, start_node from_node, end_node to_node from e union all select edge_id, true, end_node, start_node from e where not one_way")
 def adjacency_union(spark, sf):
-    return roads.adjacency(_edges(spark)).select("edge_id", "reverse", "from_node", "to_node")
+    return roads.adjacency(_town(spark, sf)).select("edge_id", "reverse", "from_node", "to_node")
 
 
-@register("shared_nodes", f"select a.edge_id, b.edge_id other_id from {EDGES} a join {EDGES} b on a.edge_id < b.edge_id and (a.start_node in (b.start_node, b.end_node) or a.end_node in (b.start_node, b.end_node))")
+@register("shared_nodes", f"{_TOWN}, x as (select edge_id, unnest([start_node, end_node]) node_id from e) select distinct a.edge_id, b.edge_id other_id from x a join x b on a.node_id = b.node_id and a.edge_id < b.edge_id")
 def shared_nodes(spark, sf):
-    ends = road_edges(spark).select("edge_id", F.explode(F.array("start_node", "end_node")).alias("node_id"))
+    ends = _town(spark, sf).select("edge_id", F.explode(F.array("start_node", "end_node")).alias("node_id"))
     other = ends.withColumnRenamed("edge_id", "other_id")
     return ends.join(other, "node_id").filter("edge_id < other_id").select("edge_id", "other_id").distinct()
 
 
-@register("highway_histogram", f"select type, count(*) n from {EDGES} group by type")
+@register("highway_histogram", f"select type, count(*) n from {TOWN_EDGES} group by type")
 def highway_histogram(spark, sf):
-    return road_edges(spark).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return _town(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- candidates
@@ -173,76 +186,71 @@ def complex_segments(spark, sf):
 
 # --- building a network from ways
 
-_WAYS = "(select i + 100 id, list(node_id order by j) node_ids, case i % 4 when 0 then map {'highway': 'primary', 'oneway': 'yes', 'name': 'R' || i} when 1 then map {'highway': 'construction', 'construction': 'secondary', 'maxspeed': '60 km/h'} when 2 then map {'highway': 'footway'} else map {'highway': 'service', 'access': 'no', 'bridge': 'yes', 'layer': '1x'} end tags from {n} group by i)".replace("{n}", NODES)
+@register("osm_tag_parse", f"select id, name, type, one_way, max_speed, layer, bridge, tunnel, ramp, drivable from {TOWN_WAYS}")
+def osm_tag_parse(spark, sf):
+    return town_ways(spark, sf).select("id", *roads.road_attributes(F.col("tags")), roads.drivable(F.col("tags")).alias("drivable"))
+
 
+#: Half the sides of the box to extract around the middle of the town, and of the wider one, in degrees.
+_HALF, _WIDER = 0.0305, 0.02
+_IN = lambda h: f"lat between 30.59e0 - {h} and 30.59e0 + {h} and lng between 114.3e0 - {h} and 114.3e0 + {h}"
+_EXTRACT = f"""with e as materialized (select * from {TOWN_EDGES}), w as (select id, unnest(list_transform(range(n), lambda i: first + i * step)) node_id from {TOWN_WAYS} where drivable),
+ t as (select distinct w.id from w join {TOWN_NODES} x on x.id = node_id where {_IN(_HALF + _WIDER)})
+ select edge_id, way_id, start_node, end_node, round({hav('lat1', 'lng1', 'lat2', 'lng2')}, 3) length_m, name, type, one_way from e where way_id in (select id from t)
+ and least(lat1, lat2) <= 30.59e0 + {_HALF} and greatest(lat1, lat2) >= 30.59e0 - {_HALF} and least(lng1, lng2) <= 114.3e0 + {_HALF} and greatest(lng1, lng2) >= 114.3e0 - {_HALF}"""
 
-def _ways(spark):
-    from trailmill.sources.tables import _SPARK_RANGES, _lattice
 
-    n = spark.sql(_lattice("{n}", _SPARK_RANGES))
-    tag = lambda *kv: F.create_map(*(F.lit(x).cast("string") if not hasattr(x, "cast") else x for x in kv))
-    i = F.col("i") % 4
-    tags = F.when(i == 0, tag("highway", "primary", "oneway", "yes", "name", F.concat(F.lit("R"), F.col("i").cast("string")))).when(i == 1, tag("highway", "construction", "construction", "secondary", "maxspeed", "60 km/h")).when(i == 2, tag("highway", "footway")).otherwise(tag("highway", "service", "access", "no", "bridge", "yes", "layer", "1x"))
-    g = n.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "node_id"))), lambda x: x["node_id"]).alias("node_ids"))
-    return g.select((F.col("i") + 100).cast("long").alias("id"), "node_ids", tags.alias("tags"))
+def _extracted(nodes, ways):
+    e = roads.extract_network(nodes, ways, 30.59 - _HALF, 30.59 + _HALF, 114.3 - _HALF, 114.3 + _HALF, _WIDER)
+    return e.select("edge_id", "way_id", "start_node", "end_node", F.round("length_m", 3).alias("length_m"), "name", "type", "one_way")
 
 
-_DRIVABLE = "((tags['highway'] = 'primary') or (tags['highway'] = 'construction' and tags['construction'] = 'secondary'))"
-_PIECES = f"(select id way_id, tags, unnest(node_ids[:-2]) start_node, unnest(node_ids[2:]) end_node from {_WAYS} where {_DRIVABLE})"
+@register("extract_network", _EXTRACT)
+def extract_network(spark, sf):
+    return _extracted(derived(spark, sf, "town_node"), town_ways(spark, sf))
 
 
-#: Tags of one way for each case that the rules tell apart: key, value, key, value.
-_TAGGED = (
-    ("highway", "motorway", "oneway", "1", "maxspeed", "120", "tunnel", "yes", "layer", "-1"),
-    ("highway", " trunk_link ", "junction", "roundabout", "bridge", "no"),
-    ("highway", "trunk_link", "bridge", "viaduct", "layer", " 2 "),
-    ("highway", "service", "junction", "slip_road", "access", "no"),
-    ("highway", "service", "access", "NO", "service", "destination"),
-    ("highway", "tertiary", "motor_vehicle", "no", "tunnel", "NO"),
-    ("highway", "track", "maxspeed", "none", "oneway", "true", "junction", "Ramp"),
-    ("highway", "Construction", "construction", "footway"),
-    ("highway", "construction", "construction", "living_street", "oneway", "-1", "layer", "x"),
-    ("highway", "", "name", "nameless kind"),
-    ("name", "no kind at all"),
-)
-_LIST = ", ".join(f"({k}, map {{{', '.join(f"'{a}': '{b}'" for a, b in zip(t[::2], t[1::2], strict=True))}}})" for k, t in enumerate(_TAGGED))
-_T = {k: f"tags['{k}']" for k in ("highway", "construction", "motor_vehicle", "access", "service", "name", "oneway", "maxspeed", "layer", "bridge", "tunnel", "junction")}
-_KINDS = ", ".join(f"'{x}'" for x in roads.VEHICLE)
-_TYPE = f"(case when trim({_T['highway']}) = '' then null when lower(trim({_T['highway']})) <> 'construction' then trim({_T['highway']}) when trim({_T['construction']}) in ({_KINDS}) then trim({_T['construction']}) end)"
+def _map_file(spark, sf):
+    """The town as a folder of map files in the scratch folder: nodes by rows of the map, then streets."""
+    path = f"{scratch_root(spark)}/map-{uuid.uuid4().hex}"
+    pbf.write_pbf(derived(spark, sf, "town_node").repartitionByRange(8, "lat").sortWithinPartitions("lat", "lng"), path, block_rows="500")
+    pbf.write_pbf(town_ways(spark, sf), path)
+    return path
 
 
-@register("osm_tag_parse", f"""select id, coalesce({_T['name']}, '未命名道路') name, {_TYPE} type, coalesce(lower({_T['oneway']}) in ('yes', '1', 'true'), false) one_way, coalesce(try_cast(regexp_replace({_T['maxspeed']}, '[^0-9]', '', 'g') as int), 50) max_speed, coalesce(try_cast(trim({_T['layer']}) as int), 0) layer,
- coalesce(lower({_T['bridge']}) <> 'no', false) bridge, coalesce(lower({_T['tunnel']}) <> 'no', false) tunnel, coalesce({_T['highway']} like '%!_link' escape '!', false) or coalesce(lower({_T['junction']}) in ('slip_road', 'ramp'), false) ramp,
- coalesce({_TYPE} in ({_KINDS}), false) and coalesce(lower({_T['motor_vehicle']}), '') <> 'no' and (coalesce(lower({_T['access']}), '') <> 'no' or coalesce(lower({_T['service']}), '') = 'destination') drivable
- from (select id, tags from {_WAYS} union all select * from (values {_LIST}) v(id, tags))""")
-def osm_tag_parse(spark, sf):
-    rows = [(k, dict(zip(t[::2], t[1::2], strict=True))) for k, t in enumerate(_TAGGED)]
-    more = spark.createDataFrame(rows, "id long, tags map<string, string>")
-    return _ways(spark).select("id", "tags").unionByName(more).select("id", *roads.road_attributes(F.col("tags")), roads.drivable(F.col("tags")).alias("drivable"))
+@register("pbf_network", _EXTRACT.replace(f"round({hav('lat1', 'lng1', 'lat2', 'lng2')}, 3)", f"round({hav('lat1', 'lng1', 'lat2', 'lng2')}, 1)"))
+def pbf_network(spark, sf):
+    """The same network, from map files written and read again; these hold places to seven decimals."""
+    path = _map_file(spark, sf)
+    return _extracted(pbf.read_nodes(spark, path), pbf.read_ways(spark, path)).withColumn("length_m", F.round("length_m", 1))
 
 
-@register("extract_network", f"""select way_id, start_node, end_node, round({hav('a.lat', 'a.lng', 'b.lat', 'b.lng')}, 3) length_m from {_PIECES} p join {NODES} a on a.node_id = start_node join {NODES} b on b.node_id = end_node
- where way_id in (select way_id from {_PIECES} x join {NODES} n on n.node_id in (x.start_node, x.end_node) where n.lat between 30.575 and 30.605 and n.lng between 114.275 and 114.325)
- and least(a.lat, b.lat) <= 30.595 and greatest(a.lat, b.lat) >= 30.585 and least(a.lng, b.lng) <= 114.305 and greatest(a.lng, b.lng) >= 114.295""")
-def extract_network(spark, sf):
-    n = road_nodes(spark).withColumnRenamed("node_id", "id")
-    e = roads.extract_network(n, _ways(spark), 30.585, 30.595, 114.295, 114.305, 0.01 + 0.01)
-    return e.select("way_id", "start_node", "end_node", F.round("length_m", 3).alias("length_m"))
+@register("pbf_box", f"select id, round(lat, 6) lat, round(lng, 6) lng from {TOWN_NODES} where {_IN(_HALF)}")
+def pbf_box(spark, sf):
+    """Crossings of a box, from the blocks of the map files that can hold one."""
+    path = _map_file(spark, sf)
+    index = materialise(pbf.block_index(spark, path), "blocks")
+    n = pbf.read_nodes(spark, path, (30.59 - _HALF, 30.59 + _HALF, 114.3 - _HALF, 114.3 + _HALF), index)
+    return n.select("id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
-@register("shortest_path_hops", f"""with recursive ad as (select start_node a, end_node b, {hav('lat1', 'lng1', 'lat2', 'lng2')} m from {EDGES} union all select end_node, start_node, {hav('lat1', 'lng1', 'lat2', 'lng2')} from {EDGES} where not one_way),
- r as (select cast(221 as bigint) node, 0e0 m, 0 h union all select b, min(r.m + ad.m), h + 1 from r join ad on a = node where h < 5 group by b, h) select node, round(min(m), 3) metres from r group by node""")
+@register("shortest_path_hops", f"""{_TOWN}, ad as (select start_node a, end_node b, {hav('lat1', 'lng1', 'lat2', 'lng2')} m from e union all select end_node, start_node, {hav('lat1', 'lng1', 'lat2', 'lng2')} from e where not one_way),
+ r as (select min(start_node) node, 0e0 m, 0 h from e where start_node >= (select count(*) // 2 from {TOWN_NODES}) union all select b, min(r.m + ad.m), h + 1 from r join ad on a = node where h < 12 group by b, h) select node, round(min(m), 3) metres from r group by node""")
 def shortest_path_hops(spark, sf):
-    return routing.hop_distances(roads.adjacency(_edges(spark)), 221, 5).select("node", F.round("metres", 3).alias("metres"))
+    e = _town(spark, sf)
+    first = e.filter(F.col("start_node") >= derived(spark, sf, "town_node").count() // 2).agg(F.min("start_node")).first()[0]
+    return routing.hop_distances(roads.adjacency(e), first, 12).select("node", F.round("metres", 3).alias("metres"))
 
 
-@register("region_of_position", "select name from (select * from (values ('hubei', 29.0, 33.3, 108.2, 116.1), ('hunan', 24.6, 30.1, 108.8, 114.7), ('henan', 31.4, 36.4, 110.4, 116.6), ('china', 0.0, 60.0, 70.0, 140.0)) v(name, s, n, w, e) where 30.59 between s and n and 114.3 between w and e order by (n - s) * (e - w), name limit 1)")
-def region_of_position(spark, sf):
-    boxes = spark.createDataFrame([("hubei", 29.0, 33.3, 108.2, 116.1), ("hunan", 24.6, 30.1, 108.8, 114.7), ("henan", 31.4, 36.4, 110.4, 116.6), ("china", 0.0, 60.0, 70.0, 140.0)], "name string, south double, north double, west double, east double")
-    return roads.in_region(boxes, 30.59, 114.3).select("name")
+_BOXES = (("hubei", 29.0, 33.3, 108.2, 116.1), ("hunan", 24.6, 30.1, 108.8, 114.7), ("henan", 31.4, 36.4, 110.4, 116.6), ("town", 30.2, 30.6, 114.1, 114.4), ("quarter", 30.35, 30.45, 114.3, 114.6), ("far", 40.0, 41.0, 10.0, 11.0))
 
 
-_BOXES = (("hubei", 29.0, 33.3, 108.2, 116.1), ("hunan", 24.6, 30.1, 108.8, 114.7), ("henan", 31.4, 36.4, 110.4, 116.6), ("town", 30.2, 30.6, 114.1, 114.4), ("quarter", 30.35, 30.45, 114.3, 114.6), ("far", 40.0, 41.0, 10.0, 11.0))
+@register("region_of_position", f"""with c as (select trip_id id, (min(lat) + max(lat)) / 2 + trip_id % 3 lat, (min(lng) + max(lng)) / 2 lng from {TP} group by trip_id) select c.id, name region from c left join (select * from (select c.id, name, row_number() over (partition by c.id order by (n - s) * (e - w), name) k from c
+ join (values {', '.join(map(str, _BOXES))}) v(name, s, n, w, e) on lat between s and n and lng between w and e) where k = 1) b on b.id = c.id""")
+def region_of_position(spark, sf):
+    """The region whose map file a trip needs: the smallest box that holds the middle of the trip."""
+    c = _points(spark, sf).groupBy(F.col("trip_id").alias("id")).agg(((F.min("lat") + F.max("lat")) / 2 + F.col("trip_id") % 3).alias("lat"), ((F.min("lng") + F.max("lng")) / 2).alias("lng"))
+    return roads.region_of_points(c, spark.createDataFrame(list(_BOXES), "name string, south double, north double, west double, east double")).select("id", "region")
 
 
 @register("region_of_places", f"""select p.id, name region from {PLACE} p left join (select * from (select p.id, name, row_number() over (partition by p.id order by (n - s) * (e - w), name) k from {PLACE} p
@@ -252,9 +260,9 @@ def region_of_places(spark, sf):
     return roads.region_of_points(p, spark.createDataFrame(list(_BOXES), "name string, south double, north double, west double, east double")).select("id", "region")
 
 
-@register("sparse_network", f"select count(*) < 2000 or (select count(*) from {NODES}) < 1500 sparse from {EDGES}")
+@register("sparse_network", f"{_TOWN} select count(*) < 2000 or (select count(*) from dg) < 1500 sparse from e")
 def sparse_network(spark, sf):
-    return roads.sparse(road_edges(spark), 2.5)
+    return roads.sparse(_town(spark, sf), 2.5)
 
 
 # --- matching

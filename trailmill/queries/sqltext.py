@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from trailmill.operators.roads import VEHICLE
 from trailmill.sources.tables import derived_sql, lattice_sql
 
 TP, DOUBLED, TRIP, PHOTO, VIDEO, PLACE, NOTE, ANCHOR, STORY, USERS, SUMMARY = (derived_sql(n) for n in ("track", "doubled", "trip", "photo", "video", "place", "note", "anchor", "story", "users", "summary"))
 NODES, EDGES = lattice_sql("nodes"), lattice_sql("edges")
 
+_KINDS = ", ".join(f"'{x}'" for x in VEHICLE)
+TYPE = f"(case when trim(highway) = '' then null when lower(trim(highway)) <> 'construction' then trim(highway) when trim(construction) in ({_KINDS}) then trim(construction) end)"
+#: Streets of the town with what their tags say.
+TOWN_WAYS = f"""(select id, first, step, n, coalesce(name, '未命名道路') "name", {TYPE} "type", coalesce(lower(oneway) in ('yes', '1', 'true'), false) one_way, coalesce(try_cast(regexp_replace(maxspeed, '[^0-9]', '', 'g') as int), 50) max_speed,
+ coalesce(try_cast(trim(layer) as int), 0) layer, coalesce(lower(bridge) <> 'no', false) bridge, coalesce(lower(tunnel) <> 'no', false) tunnel, coalesce(highway like '%!_link' escape '!', false) or coalesce(lower(junction) in ('slip_road', 'ramp'), false) ramp,
+ coalesce({TYPE} in ({_KINDS}), false) and coalesce(lower(motor_vehicle), '') <> 'no' and (coalesce(lower(access), '') <> 'no' or coalesce(lower(service), '') = 'destination') drivable from {derived_sql("town_way")} w)"""
+TOWN_NODES = derived_sql("town_node")
+#: Pieces of the streets that cars may use, between crossings that are on the map.
+TOWN_EDGES = f"""(select w.id * 1048576 + seq edge_id, w.id way_id, a.id start_node, b.id end_node, a.lat lat1, a.lng lng1, b.lat lat2, b.lng lng2, "name", "type", one_way, max_speed, layer, bridge, tunnel, ramp
+ from {TOWN_WAYS} w cross join (values (0), (1), (2), (3)) s(seq) join {TOWN_NODES} a on a.id = first + seq * step join {TOWN_NODES} b on b.id = first + (seq + 1) * step where drivable and seq < n - 1)"""
+
 
 def hav(a: str, b: str, c: str, d: str) -> str:
     h = f"(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))"

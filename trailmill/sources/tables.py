@@ -5,6 +5,9 @@ an oracle starts from the same rows."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailmill.scratch import materialise
 
 #: Positions wander around Wuhan, ten seconds apart, thirty steps on foot and thirty by car; some rows
 #: repeat after 200 ms, some jump away, some have a speed or a wrong heading.
@@ -80,7 +83,34 @@ select o_orderkey id, o_custkey user_id, o_orderkey trip_id, 'overview ' || cast
   'm' || cast(o_orderkey % 3 as varchar(20)) model_name, 'v' || cast(o_orderkey % 2 as varchar(20)) version, o_orderdate generated_at from {orders} where o_orderkey % 2 = 0
 """
 
-DERIVED = {"track": TRACK, "doubled": DOUBLED, "trip": TRIP, "photo": PHOTO, "video": VIDEO, "place": PLACE, "note": NOTE, "anchor": ANCHOR, "story": STORY, "users": USER, "summary": SUMMARY}
+#: A town whose crossings are the orders, on a grid as wide as high, two thousandths of a degree apart.
+_WIDTH = "(select cast(ceil(sqrt(max(o_orderkey) + 1)) as bigint) w from {orders}) side"
+TOWN_NODE = f"""
+select o_orderkey id, 30.59e0 + (floor(o_orderkey / w) - floor(w / 2)) * 0.002e0 + ((o_orderkey * 37) % 11 - 5) * 0.00004e0 lat,
+  114.30e0 + (o_orderkey % w - floor(w / 2)) * 0.002e0 + ((o_orderkey * 53) % 13 - 6) * 0.00003e0 lng
+from {{orders}} cross join {_WIDTH}
+"""
+#: Its streets: from each fourth crossing one of five crossings eastwards, from each eighth one of four
+#: northwards, some beyond the edge of the map. Tags are columns here; every case that the rules tell apart occurs.
+TOWN_WAY = f"""
+select id, first, step, n,
+  case t when 0 then 'primary' when 1 then 'secondary' when 2 then 'residential' when 3 then 'tertiary' when 4 then 'service' when 5 then 'trunk' when 6 then 'motorway' when 7 then 'unclassified'
+    when 8 then 'living_street' when 9 then 'trunk_link' when 10 then ' trunk_link ' when 11 then 'construction' when 12 then 'Construction' when 13 then 'construction' when 14 then 'footway' when 15 then ''
+    when 17 then 'track' when 18 then 'service' when 19 then 'service' when 20 then 'tertiary' when 21 then 'residential' end highway,
+  case t when 11 then 'secondary' when 12 then 'footway' when 13 then ' living_street' end construction, case t when 18 then 'no' when 19 then 'NO' end access, case t when 19 then 'destination' end service,
+  case t when 20 then 'no' when 21 then 'yes' end motor_vehicle, case when id % 5 = 0 then 'yes' when id % 35 = 1 then '1' when id % 35 = 2 then 'True' when id % 35 = 3 then '-1' end oneway,
+  case when id % 3 <> 0 then 'R' || cast(id as varchar(20)) end name, case id % 4 when 0 then '60 km/h' when 1 then '120' when 2 then 'none' end maxspeed,
+  case id % 13 when 0 then '1' when 1 then ' 2 ' when 2 then 'x' when 3 then '-1' end layer, case id % 17 when 0 then 'yes' when 1 then 'no' when 2 then 'viaduct' end bridge,
+  case id % 19 when 0 then 'yes' when 1 then 'NO' end tunnel, case id % 23 when 0 then 'slip_road' when 1 then 'roundabout' when 2 then 'Ramp' end junction
+from (
+  select o_orderkey id, o_orderkey first, 1 step, 5 n, (floor(o_orderkey / 4) * 7) % 22 t from {{orders}} cross join {_WIDTH} where o_orderkey % 4 = 0 and o_orderkey % w < w - 4
+  union all
+  select o_orderkey, o_orderkey, w, 4, (floor(o_orderkey / 8) * 5) % 22 from {{orders}} cross join {_WIDTH} where o_orderkey % 8 = 1) streets
+"""
+#: The tags that streets have.
+TAGS = ("highway", "construction", "access", "service", "motor_vehicle", "oneway", "name", "maxspeed", "layer", "bridge", "tunnel", "junction")
+
+DERIVED = {"track": TRACK, "doubled": DOUBLED, "trip": TRIP, "photo": PHOTO, "video": VIDEO, "place": PLACE, "note": NOTE, "anchor": ANCHOR, "story": STORY, "users": USER, "summary": SUMMARY, "town_node": TOWN_NODE, "town_way": TOWN_WAY}
 _INPUTS = ("events", "orders", "lineitem", "customer")
 
 
@@ -95,6 +125,14 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{t: read(spark, sf_dir, t) for t in _INPUTS if f"{{{t}}}" in text})
 
 
+def town_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, node_ids, tags`` of the streets of the town, written once: what reads tags would repeat how they are derived."""
+    w = derived(spark, sf_dir, "town_way")
+    tags = F.map_filter(F.create_map(*(x for t in TAGS for x in (F.lit(t), F.col(t)))), lambda _, v: v.isNotNull())
+    nodes = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("first") + i * F.col("step"))
+    return materialise(w.select("id", nodes.alias("node_ids"), tags.alias("tags")), "ways")
+
+
 def derived_sql(name: str) -> str:
     """The same rows as a subquery for DuckDB."""
     text = DERIVED[name]
