@@ -218,11 +218,11 @@ def _map_file(spark, sf):
     return path
 
 
-@register("pbf_network", _EXTRACT.replace(f"round({hav('lat1', 'lng1', 'lat2', 'lng2')}, 3)", f"round({hav('lat1', 'lng1', 'lat2', 'lng2')}, 1)"))
+@register("pbf_network", _EXTRACT)
 def pbf_network(spark, sf):
-    """The same network, from map files written and read again; these hold places to seven decimals."""
+    """The same network, from map files written and read again."""
     path = _map_file(spark, sf)
-    return _extracted(pbf.read_nodes(spark, path), pbf.read_ways(spark, path)).withColumn("length_m", F.round("length_m", 1))
+    return _extracted(pbf.read_nodes(spark, path), pbf.read_ways(spark, path))
 
 
 @register("pbf_box", f"select id, round(lat, 6) lat, round(lng, 6) lng from {TOWN_NODES} where {_IN(_HALF)}")
