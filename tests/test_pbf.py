@@ -48,11 +48,11 @@ def test_blocks_are_dealt_and_pruned(spark, tmp_path):
     rows = index.collect()
     assert len(rows) in (10, 11) and sum(r["nodes"] for r in rows) == 5000 and sum(r["ways"] for r in rows) == 0
     assert pbf.read_nodes(spark, path, split_bytes="1").rdd.getNumPartitions() == len(rows)
-    box = (-1.9, -1.7, -180.0, 180.0)
-    inside = {r["id"] for r in nodes(spark).filter("lat between -1.9 and -1.7").collect()}
+    box = (-1.9005, -1.7005, -180.0, 180.0)
+    inside = {r["id"] for r in nodes(spark).filter("lat between -1.9005 and -1.7005").collect()}
     pruned = pbf.read_nodes(spark, path, box, index, split_bytes="1")
     assert {r["id"] for r in pruned.collect()} == inside == {r["id"] for r in pbf.read_nodes(spark, path, box).collect()}
-    assert pruned.rdd.getNumPartitions() == sum(r["south"] <= -1.7 and r["north"] >= -1.9 for r in rows) < len(rows)
+    assert pruned.rdd.getNumPartitions() == sum(r["south"] <= -1.7005 and r["north"] >= -1.9005 for r in rows) < len(rows)
     assert pbf.read_nodes(spark, path, (80.0, 81.0, 0.0, 1.0), index).count() == 0
 
 

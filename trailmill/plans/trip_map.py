@@ -24,7 +24,9 @@ def stretches(points: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS) ->
     """Cleaned points with ``mode`` and ``segment``; sensor headings and speeds are left out of account if
     ``use_sensor_fields`` is off. Trips of fewer than two cleaned points have none."""
     raw = points if p.use_sensor_fields else points.withColumns({"heading_deg": F.lit(None).cast("double"), "speed_mps": F.lit(None).cast("double"), "accuracy_m": F.lit(10.0)})
-    c = clean.general(clean.to_wgs84(raw), p)
+    # written, so that the filling of headings reads positions: it would repeat the formula of the shift until
+    # the code of its stage is too long to be compiled
+    c = clean.general(materialise(clean.to_wgs84(raw), "positions"), p)
     c = materialise(c.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("trip_id"))).filter("_n > 1").drop("_n"), "cleaned")
     modes = motion.classify(motion.evidence(roads.nearest_distance(c, edges, p.road_search), p), p)
     return materialise(c.join(modes.select("trip_id", "id", "mode", "segment"), ["trip_id", "id"]), "stretches")
