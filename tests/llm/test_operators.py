@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -552,26 +553,74 @@ def test_licenses(spark):
     ]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("_left", "_ids", "_licenses")})
     out = licenses.scan_licenses(d)
-    assert out.columns == ["doc_id", "text", "_left", "_ids", "_sentences", "_licenses"] and {x["_left"] for x in out.collect()} == {"own"}
+    assert out.columns == ["doc_id", "text", "_left", "_ids", "_sentences", "_licenses", "_expressions"] and {x["_left"] for x in out.collect()} == {"own"}
     got = {x["doc_id"]: (len(x["_sentences"]), x["_licenses"]) for x in out.collect()}
-    assert got == {1: (1, ["MIT"]), 2: (5, ["Apache-2.0"]), 3: (3, ["CC-BY-NC-4.0", "Proprietary"]), 4: (0, []), 5: (0, []), 6: (0, []), 7: (4, ["MIT"]), 8: (3, ["LGPL-2.1-or-later"]), 9: (5, ["BSD-2-Clause", "GPL-3.0-or-later"]), 10: (1, ["GPL-2.0-only"])}
+    assert got == {1: (1, ["MIT"]), 2: (5, ["Apache-2.0"]), 3: (3, ["CC-BY-NC-4.0"]), 4: (0, []), 5: (0, []), 6: (0, []), 7: (4, ["MIT"]), 8: (3, ["LGPL-2.1-or-later"]), 9: (5, ["BSD-2-Clause", "GPL-3.0-or-later"]), 10: (1, ["GPL-2.0-only"])}
     assert out.count() == len(rows) and licenses.scan_licenses(d.limit(0)).count() == 0
 
 
 def test_license_rules_equal_plain(spark):
     r = random.Random(9)
-    known = list(licenses.SENTENCES)
+    known, rules = licenses.DEFAULT.sentences, licenses.DEFAULT.rules
+    said = {v: k for k, v in known.items()} | {"Says.MIT": "released under the mit license", "Says.Zlib": "this file is licensed under the zlib license see license"}
     rows = []
     for i in range(120):
         seq = []
         for _ in range(r.randint(0, 4)):
-            seq += list(r.choice(licenses.RULES)[1]) if r.random() < 0.7 else [r.choice(list(licenses.SENTENCES.values()))]
-        by_id = {v: k for k, v in licenses.SENTENCES.items()}
-        rows.append((i, "\n\n".join(f"Note {k}.\n\n{by_id[x].capitalize()}." for k, x in enumerate(seq))))
+            seq += list(r.choice(rules)[1]) if r.random() < 0.7 else [r.choice(list(said))]
+        rows.append((i, "\n\n".join(f"Note {k}.\n\n{said[x].capitalize()}." for k, x in enumerate(seq))))
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(known) == len(set(known)) and sum(len(x["_licenses"]) > 1 for x in got) > 20
+    assert sum(len(x["_licenses"]) > 1 for x in got) > 20
+    phrases = sorted({x for x in said if x.startswith("Says.")})
     for x in got:
-        assert x["_licenses"] == brute.licenses(x["_sentences"], licenses.RULES), x["doc_id"]
+        want = brute.licenses(x["_sentences"], [*rules, *((p[5:], (p,)) for p in phrases)])
+        assert x["_licenses"] == (want or (["Proprietary"] if x["_sentences"] and "Rights.reserved" in x["_sentences"] else [])), x["doc_id"]
+
+
+def told(spark, texts, rules=licenses.DEFAULT):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(x["_licenses"], x["_expressions"]) for x in licenses.scan_licenses(d, rules=rules).orderBy("doc_id").collect()]
+
+
+def test_license_expressions(spark):
+    cases = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": (["Apache-2.0", "MIT"], ["MIT OR Apache-2.0"]),
+        "/* SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause) */": (["BSD-3-Clause", "GPL-2.0-only"], ["(GPL-2.0-only OR BSD-3-Clause)"]),
+        "# SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note\nand more": (["GPL-2.0-only WITH Linux-syscall-note"], ["GPL-2.0 WITH Linux-syscall-note"]),
+        "-- SPDX-License-Identifier: GPL-2.0-or-later AND (MIT or ISC)\nlower": (["GPL-2.0-or-later", "ISC", "MIT"], ["GPL-2.0-or-later AND (MIT or ISC)"]),
+        "SPDX-License-Identifier: LicenseRef-Ours and MIT": (["MIT"], ["LicenseRef-Ours and MIT"]),
+        "<!-- SPDX-License-Identifier: LGPL-2.1+ -->\n<!-- SPDX-License-Identifier: zlib. -->": (["LGPL-2.1-or-later", "Zlib"], ["LGPL-2.1+", "zlib."]),
+        "SPDX-License-Identifier:": ([], []),
+        "Apache-2.0": ([], []),
+    }
+    assert told(spark, cases) == list(cases.values())
+
+
+def test_license_phrases_and_rights(spark):
+    cases = {
+        "Licensed under the MIT license, see LICENSE.": ["MIT"],
+        "The source code is made available under the terms of the GPLv3+.": ["GPL-3.0-or-later"],
+        "This project is licensed under the Apache License, Version 2.0 - see the LICENSE file for details.": ["Apache-2.0"],
+        "This dataset is published under a CC BY 4.0 license": ["CC-BY-4.0"],
+        "Released under pressure. We were licensed under protest.": [],
+        "Copyright 2020. All rights reserved.\n": ["Proprietary"],
+        "All rights reserved.\n" + BSD_FILE: ["BSD-2-Clause"],
+        "All rights reserved.\nLicensed under the MIT License.": ["MIT"],
+    }
+    assert [x for x, _ in told(spark, cases)] == list(cases.values())
+
+
+@pytest.mark.parametrize(("file", "name"), [("GPL-3", "GPL-3.0-only"), ("GPL-2", "GPL-2.0-only"), ("LGPL-3", "LGPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"), ("Apache-2.0", "Apache-2.0")])
+def test_license_files(spark, file, name):
+    """Whole license files, as a system has them: told by the rules built in, and as whole texts when given as such."""
+    path = f"/usr/share/common-licenses/{file}"
+    if not os.path.exists(path):
+        pytest.skip("no license files here")
+    text = open(path, encoding="utf-8").read()
+    assert name in told(spark, [text])[0][0]
+    rules = licenses.DEFAULT.with_texts({"The-Text": text})
+    whole, first, second = told(spark, [f"Preface.\n\n{text}\n\nThe end.", text[: len(text) // 2], text[len(text) // 2 :]], rules)
+    assert whole[0] == ["The-Text"] and "The-Text" in first[0] and "The-Text" not in second[0]
 
 
 def test_chat(spark):

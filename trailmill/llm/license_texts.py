@@ -116,6 +116,22 @@ By contrast, the GNU General Public License is intended to guarantee your freedo
 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
 The licenses for most software are designed to take away your freedom to share and change it.
 By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.
+""",
+    "LGPL-3.0 text": """
+This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.
+As used herein, "this License" refers to version 3 of the GNU Lesser General Public License, and the "GNU GPL" refers to version 3 of the GNU General Public License.
+"The Library" refers to a covered work governed by this License, other than an Application or a Combined Work as defined below.
+""",
+    "LGPL-2.1 text": """
+Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+The licenses for most software are designed to take away your freedom to share and change it.
+By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.
+This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it.
+You can use it too, but we suggest you first think carefully about whether this license or the ordinary General Public License is the better strategy to use in any particular case, based on the explanations below.
+""",
+    "AGPL-3.0 text": """
+The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.
+The licenses for most software and other practical works are designed to take away your freedom to share and change the works.
 """,
     "LGPL-3.0-or-later": """
 This library is free software:
@@ -151,18 +167,38 @@ By exercising the Licensed Rights (defined below), You accept and agree to be bo
 }
 
 #: Sentences at the start of a text that are enough to tell it; the others need all of theirs.
-CORES = {"MIT": 2, "BSD-3-Clause": 4, "BSD-2-Clause": 3, "ISC": 1, "Zlib": 3, "Unlicense": 1, "BSL-1.0": 1, "Apache-2.0": 3, "Apache-2.0 text": 2, "GPL-3.0-or-later": 2, "CC0-1.0": 1, "MIT-0": 1, "0BSD": 1, "GPL-3.0 text": 2, "GPL-2.0 text": 2}
+CORES = {"MIT": 2, "BSD-3-Clause": 4, "BSD-2-Clause": 3, "ISC": 1, "Zlib": 3, "Unlicense": 1, "BSL-1.0": 1, "Apache-2.0": 3, "Apache-2.0 text": 2, "GPL-3.0-or-later": 2, "CC0-1.0": 1, "MIT-0": 1, "0BSD": 1, "GPL-3.0 text": 2, "GPL-2.0 text": 2, "LGPL-3.0 text": 1, "LGPL-2.1 text": 4, "AGPL-3.0 text": 1}
 
-#: Names under which licenses are told in one phrase, and the licenses.
+#: Licenses whose text leaves open whether later versions hold.
+TEXT_NAMES = {"GPL-3.0": "GPL-3.0-only", "GPL-2.0": "GPL-2.0-only", "LGPL-3.0": "LGPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "AGPL-3.0": "AGPL-3.0-only"}
+
+#: Names under which licenses are told in one phrase, and the licenses; a last word "License" may be left out.
 NAMES = {
-    "MIT License": "MIT", "Apache License, Version 2.0": "Apache-2.0", "Apache License 2.0": "Apache-2.0", "BSD 3-Clause License": "BSD-3-Clause", "BSD 2-Clause License": "BSD-2-Clause", "ISC License": "ISC",
-    "GNU General Public License, version 3": "GPL-3.0-only", "GNU General Public License, version 2": "GPL-2.0-only", "GNU Lesser General Public License, version 3": "LGPL-3.0-only", "GNU Affero General Public License, version 3": "AGPL-3.0-only",
-    "Mozilla Public License, version 2.0": "MPL-2.0", "CC BY-NC 4.0": "CC-BY-NC-4.0", "CC BY 4.0": "CC-BY-4.0", "CC BY-SA 4.0": "CC-BY-SA-4.0", "CC0 1.0": "CC0-1.0", "Creative Commons Attribution 4.0 International License": "CC-BY-4.0",
+    "MIT License": "MIT", "MIT/Expat": "MIT", "Expat License": "MIT", "Apache License, Version 2.0": "Apache-2.0", "Apache License 2.0": "Apache-2.0", "Apache License v2.0": "Apache-2.0", "Apache 2.0": "Apache-2.0", "Apache-2.0": "Apache-2.0", "Apache Software License 2.0": "Apache-2.0",
+    "BSD 3-Clause License": "BSD-3-Clause", "3-Clause BSD": "BSD-3-Clause", "New BSD License": "BSD-3-Clause", "Modified BSD License": "BSD-3-Clause", "BSD 2-Clause License": "BSD-2-Clause", "2-Clause BSD": "BSD-2-Clause", "Simplified BSD License": "BSD-2-Clause", "ISC License": "ISC", "zlib License": "Zlib", "Boost Software License 1.0": "BSL-1.0",
+    "Boost Software License, Version 1.0": "BSL-1.0", "GNU General Public License, version 3": "GPL-3.0-only", "GNU General Public License v3.0": "GPL-3.0-only", "GNU GPL v3": "GPL-3.0-only", "GPLv3": "GPL-3.0-only", "GPL v3": "GPL-3.0-only", "GPL-3.0": "GPL-3.0-only",
+    "GNU General Public License, version 2": "GPL-2.0-only", "GNU General Public License v2.0": "GPL-2.0-only", "GNU GPL v2": "GPL-2.0-only", "GPLv2": "GPL-2.0-only", "GPL v2": "GPL-2.0-only", "GPL-2.0": "GPL-2.0-only", "GPLv3+": "GPL-3.0-or-later", "GPLv2+": "GPL-2.0-or-later",
+    "GNU General Public License, version 3 or later": "GPL-3.0-or-later", "GNU General Public License, version 2 or later": "GPL-2.0-or-later", "GNU Lesser General Public License, version 3": "LGPL-3.0-only", "LGPLv3": "LGPL-3.0-only", "LGPL-3.0": "LGPL-3.0-only",
+    "GNU Lesser General Public License, version 2.1": "LGPL-2.1-only", "LGPLv2.1": "LGPL-2.1-only", "LGPL-2.1": "LGPL-2.1-only", "GNU Affero General Public License, version 3": "AGPL-3.0-only", "AGPLv3": "AGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only",
+    "Mozilla Public License, version 2.0": "MPL-2.0", "Mozilla Public License 2.0": "MPL-2.0", "MPL 2.0": "MPL-2.0", "MPL-2.0": "MPL-2.0", "Eclipse Public License 2.0": "EPL-2.0", "Eclipse Public License v2.0": "EPL-2.0", "Unlicense": "Unlicense", "WTFPL": "WTFPL",
+    "CC BY-NC 4.0": "CC-BY-NC-4.0", "CC BY 4.0": "CC-BY-4.0", "CC BY-SA 4.0": "CC-BY-SA-4.0", "CC0 1.0": "CC0-1.0", "CC0": "CC0-1.0", "Creative Commons Attribution 4.0 International License": "CC-BY-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
 }
-#: What stands before such a name.
-PHRASES = ("Released under the", "Licensed under the", "Distributed under the", "This project is licensed under the", "This work is licensed under the", "This software is released under the", "Released under", "Licensed under", "This work is licensed under", "This work is licensed under a")
-#: What a line begins with that tells a license by its short name, and the licenses so told.
+#: What is licensed, and in which words.
+THINGS = ("project", "work", "software", "code", "source code", "file", "program", "library", "package", "module", "document", "repository", "content", "data", "dataset")
+WAYS = ("released", "licensed", "distributed", "available", "made available", "provided", "published", "relicensed", "licenced")
+#: What a line begins with that tells licenses by their short names, the names, older ones, and exceptions.
 TAG = "SPDX-License-Identifier"
-SPDX = ("MIT", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "ISC", "0BSD", "Zlib", "Unlicense", "BSL-1.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-3.0-only", "LGPL-2.1-or-later", "AGPL-3.0-only", "MPL-2.0", "EPL-2.0", "CC0-1.0")
-#: Other sentences that tell something by themselves.
-OTHERS = {"All rights reserved.": "Proprietary", "This file is in the public domain.": "Public-Domain"}
+SPDX = (
+    "0BSD", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BlueOak-1.0.0", "BSD-1-Clause", "BSD-2-Clause", "BSD-2-Clause-Patent", "BSD-3-Clause", "BSD-3-Clause-Clear", "BSD-4-Clause", "BSL-1.0", "BUSL-1.1", "CC-BY-3.0", "CC-BY-4.0",
+    "CC-BY-NC-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "CDDL-1.1", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "FSFAP", "GFDL-1.3-only", "GFDL-1.3-or-later", "GPL-1.0-only", "GPL-1.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+    "HPND", "ICU", "ISC", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MPL-2.0-no-copyleft-exception", "MS-PL", "NCSA", "OFL-1.1", "OpenSSL", "OSL-3.0", "PostgreSQL", "PSF-2.0", "Python-2.0",
+    "Unicode-DFS-2016", "Unlicense", "UPL-1.0", "Vim", "W3C", "WTFPL", "X11", "Zlib", "ZPL-2.1",
+)
+OLD_SPDX = {
+    "GPL-1.0": "GPL-1.0-only", "GPL-1.0+": "GPL-1.0-or-later", "GPL-2.0": "GPL-2.0-only", "GPL-2.0+": "GPL-2.0-or-later", "GPL-3.0": "GPL-3.0-only", "GPL-3.0+": "GPL-3.0-or-later", "LGPL-2.0": "LGPL-2.0-only", "LGPL-2.0+": "LGPL-2.0-or-later", "LGPL-2.1": "LGPL-2.1-only",
+    "LGPL-2.1+": "LGPL-2.1-or-later", "LGPL-3.0": "LGPL-3.0-only", "LGPL-3.0+": "LGPL-3.0-or-later", "AGPL-3.0": "AGPL-3.0-only", "AGPL-3.0+": "AGPL-3.0-or-later",
+}
+EXCEPTIONS = ("Linux-syscall-note", "Classpath-exception-2.0", "GCC-exception-2.0", "GCC-exception-3.1", "LLVM-exception", "Autoconf-exception-2.0", "Autoconf-exception-3.0", "Bison-exception-2.2", "Font-exception-2.0", "Libtool-exception", "OCaml-LGPL-linking-exception", "Qt-GPL-exception-1.0", "u-boot-exception-2.0", "WxWindows-exception-3.1")
+#: Other sentences that tell something by themselves, and lines that only reserve rights.
+OTHERS = {"This file is in the public domain.": "Public-Domain", "This work is in the public domain.": "Public-Domain", "This software is in the public domain.": "Public-Domain"}
+RIGHTS, RESERVED = ("All rights reserved.", "All Rights Reserved"), "Proprietary"

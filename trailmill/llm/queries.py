@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmill.llm import avi, bpe, byte_bpe, chat, decontamination, language, licenses, line_dedup, periodic_runs, pii, simhash, substring_dedup, whitening
+from trailmill.llm import avi, bpe, byte_bpe, chat, decontamination, language, license_headers, licenses, line_dedup, periodic_runs, pii, simhash, substring_dedup, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = licenses.scan_licenses(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", F.size("_sentences").cast("long").alias("n_sentences"), F.array_join("_sentences", ",").alias("sentences"), F.array_join("_licenses", ",").alias("licenses"))
+    return d.select("doc_id", F.size("_sentences").cast("long").alias("n_sentences"), F.array_join("_sentences", ",").alias("sentences"), F.array_join("_licenses", ",").alias("licenses"), F.array_join("_expressions", ",").alias("expressions"))
+
+
+def op1_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document below one of the headers and notices of ``license_headers``, told by its id."""
+    variant = F.coalesce(F.pmod("doc_id", F.lit(len(license_headers.HEADERS))), F.lit(0))
+    text = F.concat(F.get(F.array(*map(F.lit, license_headers.HEADERS)), variant.cast("int")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    d = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", variant.cast("long").alias("variant"), text.alias("text")))
+    return d.select("doc_id", "variant", F.array_join(F.array_sort("_licenses"), ",").alias("licenses"))
 
 
 def op2_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,5 +150,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ours = (op1_licenses, op2_avi, op2_clips, op3_decontamination, op3_proximity, op4_bpe, op5_substring_dedup, op6_simhash, op7_language, op8_line_dedup, op9_chat, op10_pii, op11_whitening, op12_byte_bpe, op13_periodic_runs)
+    ours = (op1_licenses, op1_headers, op2_avi, op2_clips, op3_decontamination, op3_proximity, op4_bpe, op5_substring_dedup, op6_simhash, op7_language, op8_line_dedup, op9_chat, op10_pii, op11_whitening, op12_byte_bpe, op13_periodic_runs)
     return {f.__name__: f for f in ours}

@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from trailmill.llm.license_texts import TAG
-from trailmill.llm.licenses import CONTINUES, ENDS, IN_CAPITALS, OTHER, RULES, SENTENCES, TAGGED
-
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _licenses() -> str:
-    """Sentences by their place, and the rules one after another over what the earlier ones left."""
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-    rules = ", ".join(f"({k}, '{name}', '{''.join(f'<{i}>' for i in ids)}')" for k, (name, ids) in enumerate(RULES, 1))
-    joined = f"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{TAGGED}', '{TAG} \\1. ', 'g'), '{CONTINUES}', ' \\1', 'g'), '{IN_CAPITALS}', '\\1 \\2', 'g')"
-    parts = f"string_split(regexp_replace(regexp_replace({_LOWER.format(joined)}, '{ENDS}', chr(10), 'g'), '{OTHER}', ' ', 'g'), chr(10))"
-    return f"""
-with recursive known(sentence, id) as (values {known}), rules(k, name, mark) as (values {rules}),
-parts as (select doc_id, unnest({parts}) part, generate_subscripts({parts}, 1) pos from documents),
-ids as (select doc_id, count(*) n, string_agg(id, ',' order by pos) sentences, string_agg('<' || id || '>', '' order by pos) marks from parts join known on trim(part, ' .') = sentence group by doc_id),
-steps as (
-  select doc_id, 0 k, marks left_over, cast(null as varchar) as name from ids
-  union all
-  select doc_id, rules.k, replace(left_over, mark, '|'), case when contains(left_over, mark) then rules.name end from steps join rules on rules.k = steps.k + 1),
-lists as (select doc_id, string_agg(name, ',' order by k) licenses from (select doc_id, name, min(k) k from steps where name is not null group by all) group by doc_id)
-select d.doc_id, coalesce(n, 0) n_sentences, coalesce(sentences, '') sentences, coalesce(licenses, '') licenses from documents d left join ids using (doc_id) left join lists using (doc_id)
+#: Sentences of a text for the license scan: wrapped lines put together, then cut at marks before a blank and at line ends.
+_WRAPPED = r"""regexp_replace(regexp_replace({}, '\r?\n[ \t]*(//+|[*#;]+|--)?[ \t]*([a-z("]|(Licenses?|General|Lesser|Affero|Public|Foundation|Free Software)\b)', ' \2', 'g'), '([A-Z,)"])[ \t]*\r?\n[ \t]*(//+|[*#;]+|--)?[ \t]*([A-Z][A-Z])', '\1 \3', 'g')"""
+_PARTS = "string_split(regexp_replace(regexp_replace(" + _LOWER.format(_WRAPPED.format("coalesce(text, '')")) + r", '[.!?;:]+[ \t]+|[\r\n]+', chr(10), 'g'), '[^a-z0-9.+\n]+', ' ', 'g'), chr(10))"
+#: The licenses that phrases in the documents name.
+_SAID = """
+said(name, license) as (values ('mit', 'MIT'), ('apache license version 2.0', 'Apache-2.0'), ('gnu general public license version 3', 'GPL-3.0-only'), ('cc by nc 4.0', 'CC-BY-NC-4.0'), ('bsd 3 clause', 'BSD-3-Clause'), ('mozilla public license version 2.0', 'MPL-2.0'), ('cc by 4.0', 'CC-BY-4.0')),
+parts as (select doc_id, trim(part, ' .') part, pos from (select doc_id, unnest({parts}) part, generate_subscripts({parts}, 1) pos from {docs})),
+ids as (select doc_id, pos, case when part = 'all rights reserved' then 'Rights.reserved' else 'Says.' || license end id, license from parts left join said
+  on regexp_extract(part, '^(this (project|work|software) is )?(released|licensed|distributed) under (a |the )?(.+?)( licen[sc]e)?$', 5) = name where license is not null or part = 'all rights reserved'),
+lists as (select doc_id, count(*) n, string_agg(id, ',' order by pos) sentences, coalesce(string_agg(distinct license, ',' order by license), 'Proprietary') licenses, list(distinct license) filter (license is not null) l from ids group by doc_id)"""
+
+LICENSES = f"""with {_SAID.format(parts=_PARTS, docs="documents")}
+select d.doc_id, coalesce(n, 0) n_sentences, coalesce(sentences, '') sentences, coalesce(licenses, '') licenses, '' expressions from documents d left join lists using (doc_id)
+"""
+#: Which licenses the headers of ``op1_headers`` tell, in their order, written down by hand.
+HEADERS_TELL = ("", "MIT", "BSD-3-Clause", "Apache-2.0", "MIT,Apache-2.0", "GPL-2.0-only,BSD-3-Clause", "GPL-2.0-only WITH Linux-syscall-note", "MIT", "LGPL-3.0-only", "GPL-3.0-or-later", "BSD-2-Clause", "Proprietary", "LGPL-2.1-or-later,MIT", "ISC")
+LICENSE_HEADERS = f"""with {_SAID.format(parts=_PARTS, docs="documents")},
+told(variant, names) as (values {', '.join(f"({k}, {[x for x in names.split(',') if x and x != 'Proprietary']}::varchar[])" for k, names in enumerate(HEADERS_TELL))}),
+joined as (select d.doc_id, variant, list_sort(list_distinct(list_concat(names, coalesce(l, []::varchar[])))) names, n is not null and l is null or variant = 11 reserved
+  from documents d join told on variant = doc_id % 14 left join lists using (doc_id))
+select doc_id, cast(variant as bigint) variant, case when len(names) = 0 and reserved then 'Proprietary' else array_to_string(names, ',') end licenses from joined
 """
 
 
@@ -86,4 +88,4 @@ select conv_id, n_turns, n_copies, cast(octet_length(encode(so_far)) as bigint)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": _licenses(), "op3_decontamination": DECONTAMINATION, "op3_proximity": PROXIMITY, "op5_substring_dedup": SUBSTRING_DEDUP, "op8_line_dedup": LINE_DEDUP, "op9_chat": CHAT}
+    return {"op1_licenses": LICENSES, "op1_headers": LICENSE_HEADERS, "op3_decontamination": DECONTAMINATION, "op3_proximity": PROXIMITY, "op5_substring_dedup": SUBSTRING_DEDUP, "op8_line_dedup": LINE_DEDUP, "op9_chat": CHAT}
