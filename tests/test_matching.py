@@ -95,10 +95,37 @@ def test_match_in_several_parts_is_the_same(small, monkeypatch):
     points, edges, _, _ = small
     whole = sorted(map(str, matching.match(points, edges).collect()))
     own = regions.regions_of
-    monkeypatch.setattr(regions, "regions_of", lambda boxes: own(boxes, 20))
+    monkeypatch.setattr(regions, "regions_of", lambda boxes, cover: own(boxes, cover, 20, 30))
     assert sorted(map(str, matching.match(points, edges).collect())) == whole
 
 
+def test_a_long_trip_meets_the_roads_of_its_corridor(spark):
+    """500 km across a lattice of roads that fills the box of the trip: the same match as with all roads of the box,
+    from roads that grow with the length of the trip."""
+    n, step = 320, 0.0125
+    at = lambda i, j: (F.lit(29.5) + i * step, F.lit(109.5) + j * step)
+    cells = spark.range(n * n).select((F.col("id") / n).cast("long").alias("i"), (F.col("id") % n).alias("j"))
+    i, j = F.col("i"), F.col("j")
+    parts = []
+    for k, (a, b) in enumerate(((0, 1), (1, 0))):
+        (lat1, lng1), (lat2, lng2) = at(i, j), at(i + a, j + b)
+        parts.append(cells.select((2 * (i * n + j) + k).alias("edge_id"), (i if k == 0 else j + n).alias("way_id"), (i * n + j).alias("start_node"), ((i + a) * n + j + b).alias("end_node"), lat1.alias("lat1"), lng1.alias("lng1"), lat2.alias("lat2"), lng2.alias("lng2"), F.lit("R").alias("name"), F.lit("primary").alias("type"), F.lit(False).alias("one_way"), F.lit(50).alias("max_speed"), F.lit(0).alias("layer"), F.lit(False).alias("bridge"), F.lit(False).alias("tunnel"), F.lit(False).alias("ramp")))
+    edges = matching.materialise(roads.finish_edges(parts[0].union(parts[1])), "lattice")
+    points = spark.range(400).select("id", F.lit(1).cast("long").alias("user_id"), F.lit(7).cast("long").alias("trip_id"), (F.col("id") * 60_000).alias("ts"), (F.lit(30.0) + F.col("id") * 0.0078).alias("lat"), (F.lit(110.0) + F.col("id") * 0.0084).alias("lng"), F.lit(10.0).alias("accuracy_m"), F.lit(20.0).alias("speed_mps"), F.lit(45.0).alias("heading_deg"))
+    boxes = regions.network_boxes(points)
+    cover = regions.corridors(points, boxes)
+    parts_of = regions.regions_of(boxes, cover)
+    loaded = regions.roads_of(parts_of, cover, edges).select("edge_id").distinct()
+    box = boxes.first()
+    whole = edges.filter(F.greatest("lat1", "lat2").between(box["south"], box["north"]) & F.greatest("lng1", "lng2").between(box["west"], box["east"])).count()
+    assert loaded.count() < whole / 5 and parts_of.select("_part").distinct().count() == 1
+    near = roads.within(points.select("id", "lat", "lng"), edges, 5000.0).select("edge_id").distinct()
+    assert near.join(loaded, "edge_id", "left_anti").count() == 0
+    found = sorted(map(str, matching.match(points, edges).collect()))
+    all_of_box = sorted(map(str, matching.match(points, edges, matching.MatchParams(corridor_km=600.0)).collect()))
+    assert found == all_of_box and sum("edge_id=None" not in x for x in found) > 50
+
+
 def test_rebuilt_way_and_quality_equal_plain(small):
     points, edges, plain, by_trip = small
     m = matching.match(points, edges)

@@ -71,6 +71,8 @@ class MatchParams:
     # the box of roads around a track
     least_radius_km: float = 1.5
     box_buffer_km: float = 4.0
+    # half the width of the corridor of roads within it; as wide as the smallest box
+    corridor_km: float = 5.5
     # roads of one corridor, and changes of level on it
     family_angle: float = 15.0
     family_apart_m: float = 35.0
