@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
 
-from trailmill.operators import clean, matching, roads, routing, trips
+from trailmill.operators import clean, matching, overlay, roads, routing
 from trailmill.plans import trip_map
-from trailmill.queries.sqltext import EDGES, FILL, PLACE, TOWN_EDGES, TOWN_NODES, TOWN_WAYS, TP, TYPE, hav
+from trailmill.queries.sqltext import EDGES, FILL, PLACE, TOWN_EDGES, TOWN_NODES, TOWN_WAYS, TP, hav
 from trailmill.queries.tracks import NEAR
 from trailmill.scratch import materialise, scratch_root
 from trailmill.sources import pbf
-from trailmill.sources.tables import derived, road_edges, town_ways
+from trailmill.sources.tables import derived, read, road_edges, town_ways
 
 QUERIES: dict = {}
 
@@ -245,6 +246,20 @@ def shortest_path_hops(spark, sf):
 _BOXES = (("hubei", 29.0, 33.3, 108.2, 116.1), ("hunan", 24.6, 30.1, 108.8, 114.7), ("henan", 31.4, 36.4, 110.4, 116.6), ("town", 30.2, 30.6, 114.1, 114.4), ("quarter", 30.35, 30.45, 114.3, 114.6), ("far", 40.0, 41.0, 10.0, 11.0))
 
 
+#: Metres up to which routes are looked for.
+_ROUTE_M = 4000.0
+
+
+@register("town_routes")
+def town_routes(spark, sf):
+    """For every customer the way from one crossing to another some streets away."""
+    n = derived(spark, sf, "town_node").count()
+    side = math.ceil(math.sqrt(n))
+    at = (F.col("c_custkey") * 31) % n
+    pairs = read(spark, sf, "customer").select(at.alias("source"), ((at + 3 + 2 * side * (F.col("c_nationkey") % 3 - 1)) % n).alias("target"))
+    return overlay.metres_between(overlay.build(_town(spark, sf), 500), pairs, _ROUTE_M).select("source", "target", F.round("metres", 3).alias("metres"))
+
+
 @register("region_of_position", f"""with c as (select trip_id id, (min(lat) + max(lat)) / 2 + trip_id % 3 lat, (min(lng) + max(lng)) / 2 lng from {TP} group by trip_id) select c.id, name region from c left join (select * from (select c.id, name, row_number() over (partition by c.id order by (n - s) * (e - w), name) k from c
  join (values {', '.join(map(str, _BOXES))}) v(name, s, n, w, e) on lat between s and n and lng between w and e) where k = 1) b on b.id = c.id""")
 def region_of_position(spark, sf):
