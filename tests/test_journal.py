@@ -15,3 +15,26 @@ def test_every_event_and_trip_is_matched(spark):
     r = got.join(trip("id"), "id").join(trip("near_id"), "near_id")
     assert r.count() == points.count() and r.filter("id_trip <> near_id_trip").count() == 0
     assert r.select("near_id_trip").distinct().count() == points.select("trip_id").distinct().count()
+
+
+def test_media_without_neighbours(spark):
+    """No key, no time, no points, one side alone, points of no valid place, ties, repeated rows."""
+    from trailmill.operators.relational import match_media
+
+    media = [(1, 7, 1000, None, None, None, None), (2, None, 1000, None, None, None, None), (3, 7, None, 1.0, 2.0, None, None), (4, 8, 1000, None, None, None, None), (5, 7, 90_000_000, None, None, 3.0, 4.0), (6, 7, 2000, None, None, None, 4.0), (6, 7, 2000, None, None, None, 4.0), (7, 7, 500, None, None, None, None), (8, 7, 4000, 9.0, None, None, None)]
+    points = [(10, 7, 1000, 30.0, 114.0), (11, 7, 3000, 31.0, 116.0), (12, 7, 2000, 95.0, 0.0), (13, 9, 5, 1.0, 1.0), (14, None, 1000, 5.0, 5.0)]
+    m = spark.createDataFrame(media, "id long, trip_id long, time_ms long, exif_lat double, exif_lng double, pick_lat double, pick_lng double")
+    p = spark.createDataFrame(points, "id long, trip_id long, ts long, lat double, lng double")
+    got = sorted((r["id"], r["match_method"], r["lat"], r["lng"], r["time_delta_sec"], r["near_id"]) for r in match_media(m, p).collect())
+    assert got == [
+        (1, "TIME_NEAREST", 30.0, 114.0, 0, 10),
+        (2, None, None, None, None, None),
+        (3, "EXIF_DIRECT", 1.0, 2.0, None, None),
+        (4, None, None, None, None, None),
+        (5, "MANUAL_PICK", 3.0, 4.0, None, None),
+        (6, "INTERPOLATE", 30.5, 115.0, 1, 10),
+        (6, "INTERPOLATE", 30.5, 115.0, 1, 10),
+        (7, "TIME_NEAREST", 30.0, 114.0, 0, 10),
+        (8, "TIME_NEAREST", 31.0, 116.0, 1, 11),
+    ]
+    assert match_media(m.limit(0), p).count() == 0 and match_media(m, p.limit(0)).filter("match_method is null").count() == 7

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmill.functions import geo
+
 from trailmill.functions import text
 
 
@@ -105,3 +107,54 @@ def nearest_in_time(media: DataFrame, points: DataFrame, key: str, time_ms: str)
     after = F.col("_a").isNull() | (F.col("_b.ts") - F.col("_t") < F.col("_t") - F.col("_a.ts"))
     best = F.when(after & F.col("_b").isNotNull(), F.col("_b")).otherwise(F.col("_a"))
     return u.filter("_mid is not null").select(F.col("_mid").alias("id"), F.col("_t").alias("time_ms"), best["id"].alias("near_id"), best["ts"].alias("near_ts"))
+
+
+#: Media are matched to points at most so far away in time, and placed between two points at most so far apart; milliseconds.
+NEAR_MS, GAP_MS = 300_000, 120_000
+
+
+def match_media(media: DataFrame, points: DataFrame, key: str = "trip_id", near_ms: int = NEAR_MS, gap_ms: int = GAP_MS) -> DataFrame:
+    """``id, match_method, matched_ts, lat, lng, time_delta_sec, confidence, near_id``: where each medium was taken.
+
+    ``media``: id, ``key``, time_ms, exif_lat, exif_lng, pick_lat, pick_lng, each but the id may be null. By
+    precedence: MANUAL_PICK, a place that somebody chose; EXIF_DIRECT, the medium's own; INTERPOLATE, on the line
+    between the points before and after, if they are at most ``gap_ms`` apart; TIME_NEAREST, the nearest point in
+    time, the earlier of two, if it is at most ``near_ms`` away; else null. Points of no valid place don't count.
+    The confidence is 1 for a pick, 0.95 for an own place, and falls from 0.9 by half with the gap around it and
+    from 0.8 to 0.1 with the distance in time. One sort brings both tables together: no join on a range.
+    """
+    side = "struct<ts:long,id:long,lat:double,lng:double>"
+    at = F.struct(F.col("ts").cast("long").alias("ts"), F.col("id").cast("long").alias("id"), "lat", "lng")
+    m = media.select(F.col(key).alias("_k"), F.struct("id", *(F.col(c).cast("double").alias(c) for c in ("exif_lat", "exif_lng", "pick_lat", "pick_lng"))).alias("_m"), F.col("time_ms").alias("_t"), F.lit(None).cast(side).alias("_p"))
+    p = points.filter(geo.valid("lat", "lng")).select(F.col(key).alias("_k"), F.lit(None).cast(m.schema["_m"].dataType).alias("_m"), F.col("ts").alias("_t"), at.alias("_p"))
+    # a medium without a time or a key has no neighbours; those without a time are told apart, so that no window holds them all
+    timed, lost = m.filter("_t is not null and _k is not null"), m.filter("_t is null or _k is null")
+    w = Window.partitionBy("_k").orderBy("_t", F.col("_m.id").asc_nulls_first(), "_p")
+    u = p.unionByName(timed).select("*", F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_a"), F.first("_p", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_b"))
+    none = F.lit(None).cast(side)
+    u = u.filter("_m is not null").unionByName(lost.select("*", none.alias("_a"), none.alias("_b")))
+    a, b, t = F.col("_a"), F.col("_b"), F.col("_t")
+    before, after = t - a["ts"], b["ts"] - t
+    picked = F.col("_m.pick_lat").isNotNull() & F.col("_m.pick_lng").isNotNull()
+    own = F.col("_m.exif_lat").isNotNull() & F.col("_m.exif_lng").isNotNull()
+    between = a.isNotNull() & b.isNotNull() & (after > 0) & (before > 0) & (b["ts"] - a["ts"] <= gap_ms)
+    nearest = F.when(a.isNull() | (after < before), b).otherwise(a)
+    delta = F.abs(nearest["ts"] - t)
+    u = u.withColumns({"_n": nearest, "_d": delta})
+    method = F.when(picked, "MANUAL_PICK").when(own, "EXIF_DIRECT").when(between, "INTERPOLATE").when(F.col("_d") <= near_ms, "TIME_NEAREST")
+    u = u.withColumn("match_method", method)
+    is_ = lambda k: F.col("match_method") == k
+    share = before / (b["ts"] - a["ts"])
+    place = lambda c: F.when(is_("MANUAL_PICK"), F.col(f"_m.pick_{c}")).when(is_("EXIF_DIRECT"), F.col(f"_m.exif_{c}")).when(is_("INTERPOLATE"), a[c] + share * (b[c] - a[c])).when(is_("TIME_NEAREST"), F.col(f"_n.{c}"))
+    sure = F.when(is_("MANUAL_PICK"), 1.0).when(is_("EXIF_DIRECT"), 0.95).when(is_("INTERPOLATE"), 0.9 - 0.45 * (b["ts"] - a["ts"]) / gap_ms).when(is_("TIME_NEAREST"), 0.8 - 0.7 * F.col("_d") / near_ms)
+    by_time = is_("INTERPOLATE") | is_("TIME_NEAREST")
+    return u.select(
+        F.col("_m.id").alias("id"),
+        "match_method",
+        F.when(is_("TIME_NEAREST"), F.col("_n.ts")).otherwise(t).alias("matched_ts"),
+        place("lat").alias("lat"),
+        place("lng").alias("lng"),
+        F.when(by_time, F.floor(F.col("_d") / 1000)).alias("time_delta_sec"),
+        sure.alias("confidence"),
+        F.when(by_time, F.col("_n.id")).alias("near_id"),
+    )
