@@ -63,67 +63,51 @@ def evidence(points: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
     return e.withColumns({"drive_score": drive, "walk_score": walk})
 
 
-def decide_modes(g: Group) -> np.ndarray:
-    """True for driving. The evidence decides where it is clear, else the mode before, at first walking."""
-    near, off, stay, med = g["near_ratio"], g["off_ratio"], g["stay_ratio"], g["median_speed"]
-    drive = ((g["max_speed"] >= 9.0) & (near >= 0.4)) | (g["drive_score"] >= g["walk_score"] + 0.7)
-    walk = ~drive & (g["walk_score"] >= g["drive_score"] + 0.4)
-    fast = (near >= 0.75) & (med >= 3.2)
-    stays_driving = ((near >= 0.55) & (med >= 2.8)) | fast
-    starts_driving = ~((med <= 2.6) | (off >= 0.35) | (stay >= 0.45)) & fast
-    out = drive.copy()
-    for i in np.flatnonzero(~drive & ~walk).tolist():
-        out[i] = stays_driving[i] if i and out[i - 1] else starts_driving[i]
-    return out
+def raw_modes(ev: DataFrame) -> DataFrame:
+    """``trip_id, id, ts, drives``. The evidence decides where it is clear, else the mode before, at first walking.
 
+    A point maps the mode before it to its own. Roads that let a walk become a drive let a drive go on as well, so
+    there are three such maps: to walking, to driving, and the one that leaves the mode as it was. What is composed of
+    the maps up to a point is therefore the last of them that leaves nothing as it was: one window finds it.
+    """
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    near, off, stay, med, drive, walk = (F.col(c) for c in ("near_ratio", "off_ratio", "stay_ratio", "median_speed", "drive_score", "walk_score"))
+    drives = is_((F.col("max_speed") >= 9.0) & (near >= 0.4)) | is_(drive >= walk + 0.7)
+    fast = is_((near >= 0.75) & (med >= 3.2))
+    starts = ~(is_(med <= 2.6) | is_(off >= 0.35) | is_(stay >= 0.45)) & fast
+    goes_on = is_((near >= 0.55) & (med >= 2.8)) | fast
+    maps_to = F.when(drives, True).when(is_(walk >= drive + 0.4), False).when(starts, True).when(~goes_on, False)
+    return ev.select("trip_id", "id", "ts", F.coalesce(F.last(maps_to, True).over(along().rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)).alias("drives"))
 
-def runs(values: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of runs of equal values."""
-    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
-    return list(zip(cuts[:-1], cuts[1:], strict=True))
 
+def smooth_runs(modes: DataFrame, p: MatchParams = DEFAULTS, passes: int = 3) -> DataFrame:
+    """``trip_id, run, drives, segment`` for the runs of equal modes in ``modes`` (trip_id, run, ts, drives).
 
-def smooth_modes(g: Group, modes: np.ndarray, p: MatchParams = DEFAULTS) -> np.ndarray:
-    """Runs of few points or little time take a neighbour's mode, in at most three passes."""
-    modes, ts = modes.copy(), g["ts"].astype(np.int64)
-    for _ in range(3):
-        spans, changed = runs(modes), False
-        old = [bool(modes[s]) for s, _ in spans]
-        for k, (s, e) in enumerate(spans):
-            if e - s >= p.least_run_points and ts[e - 1] - ts[s] >= p.least_run_ms:
-                continue
-            before, after = (old[k - 1] if k else None), (old[k + 1] if k + 1 < len(spans) else None)
-            near, off, avg = (float(g[c][s:e].mean()) for c in ("near_ratio", "off_ratio", "avg_speed"))
-            if before is not None and before == after:
-                new = before
-            elif not old[k] and near >= 0.75 and avg >= 3.5 and (before or after):
-                new = True
-            elif old[k] and (avg <= 3.0 or off >= 0.45) and (before is False or after is False):
-                new = False
-            elif before is None or after is None:
-                new = after if before is None else before
-            else:
-                left, right = spans[k - 1], spans[k + 1]
-                new = before if left[1] - left[0] >= right[1] - right[0] else after
-            if new is not None and new != old[k]:
-                modes[s:e] = new
-                changed = True
-        if not changed:
-            break
-    return modes
+    In each pass the runs of few points or little time take the mode of their neighbours, unless a run is all of
+    its trip: runs alternate, so both neighbours have the same. Only one row for each run is handled.
+    """
+    r = modes.groupBy("trip_id", "run").agg(F.first("drives").alias("drives"), F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_t0"), F.max("ts").alias("_t1"))
+    r = r.withColumn("_upto", F.col("run"))
+    w = Window.partitionBy("trip_id").orderBy("run")
+    changes = F.sum(F.coalesce((F.col("drives") != F.lag("drives").over(w)).cast("int"), F.lit(0))).over(w)
+    for _ in range(passes):
+        short = (F.col("_n") < p.least_run_points) | (F.col("_t1") - F.col("_t0") < p.least_run_ms)
+        r = r.withColumn("_short", short & (F.count(F.lit(1)).over(Window.partitionBy("trip_id")) > 1))
+        r = r.withColumn("drives", F.col("drives") != F.col("_short"))
+        r = r.withColumn("_group", F.sum(F.coalesce((F.col("drives") != F.lag("drives").over(w)).cast("int"), F.lit(0))).over(w))
+        r = r.groupBy("trip_id", "_group").agg(F.first("drives").alias("drives"), F.min("run").alias("run"), F.max("_upto").alias("_upto"), F.sum("_n").alias("_n"), F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1"))
+    r = r.withColumn("segment", changes.cast("int"))
+    return r.select("trip_id", F.explode(F.sequence("run", "_upto")).alias("run"), "drives", "segment")
 
 
 def classify(ev: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
     """``trip_id, id, ts, mode_raw, mode, segment``: modes before and after smoothing, and the run of each point."""
-
-    def fn(g: Group) -> dict:
-        raw = decide_modes(g)
-        modes = smooth_modes(g, raw, p)
-        segment = np.concatenate(([0], np.cumsum(modes[1:] != modes[:-1])))
-        name = np.array(["WALKING", "DRIVING"], dtype=object)
-        return {"trip_id": g["trip_id"], "id": g["id"], "ts": g["ts"], "mode_raw": name[raw.astype(int)], "mode": name[modes.astype(int)], "segment": segment}
-
-    return map_groups(ev, KEYS, ORDER, fn, "trip_id long, id long, ts long, mode_raw string, mode string, segment int")
+    raw = raw_modes(ev)
+    raw = raw.withColumn("_new", F.coalesce((F.col("drives") != F.lag("drives").over(along())).cast("int"), F.lit(0)))
+    raw = raw.withColumn("run", F.sum("_new").over(along())).drop("_new")
+    name = lambda c: F.when(F.col(c), "DRIVING").otherwise("WALKING")
+    runs = smooth_runs(raw, p).withColumnRenamed("drives", "_smooth")
+    return raw.join(runs, ["trip_id", "run"]).select("trip_id", "id", "ts", name("drives").alias("mode_raw"), name("_smooth").alias("mode"), "segment")
 
 
 def segments(ev: DataFrame, modes: DataFrame) -> DataFrame:

@@ -233,13 +233,27 @@ _MODES = _MODES.replace("select trip_id, i, id, false drives from p where false\
 
 @register("motion_modes", _MODES)
 def motion_modes(spark, sf):
-    return motion.classify(evidence_of(spark, sf)).select("trip_id", "id", "mode_raw")
+    return motion.raw_modes(evidence_of(spark, sf)).select("trip_id", "id", F.when(F.col("drives"), "DRIVING").otherwise("WALKING").alias("mode_raw"))
 
 
-@register("motion_segments")
+def _pass(k: int) -> str:
+    """One pass over the runs: short ones take the mode of their neighbours."""
+    return f"""
+a{k} as (select *, sum(new) over (partition by trip_id order by i rows between unbounded preceding and current row) run from (select *, case when drives <> lag(drives) over (partition by trip_id order by i) then 1 else 0 end new from s{k})),
+b{k} as (select *, count(*) over (partition by trip_id, run) n, max(ts) over (partition by trip_id, run) - min(ts) over (partition by trip_id, run) d, max(run) over (partition by trip_id) most from a{k}),
+s{k + 1} as (select trip_id, id, ts, i, case when (n < 4 or d < 45000) and most > 0 then not drives else drives end drives from b{k})"""
+
+
+_SEGMENTS = _MODES[: _MODES.rindex("select trip_id, id, case when drives")] + f""", s0 as (select m.trip_id, m.id, p.ts, m.i, drives from m join p on p.trip_id = m.trip_id and p.i = m.i where m.i > 0), {', '.join(map(_pass, range(4)))}
+select a3.trip_id, cast(run as int) segment, case when drives then 'DRIVING' else 'WALKING' end mode, count(*) points, min(a3.ts) from_ts, max(a3.ts) to_ts, round(avg(near_ratio) + 1e-9, 3) near_ratio, round(avg(off_ratio) + 1e-9, 3) off_ratio, round(avg(avg_speed), 3) avg_speed, round(max(max_speed), 3) max_speed
+from a3 join ev on ev.trip_id = a3.trip_id and ev.id = a3.id group by a3.trip_id, run, drives"""
+
+
+@register("motion_segments", _SEGMENTS)
 def motion_segments(spark, sf):
     e = evidence_of(spark, sf)
-    return motion.segments(e, motion.classify(e)).withColumns({c: F.round(c, 3) for c in ("near_ratio", "off_ratio", "avg_speed", "max_speed")})
+    # ratios are often half-way between two rounded ones, to which a little is added
+    return motion.segments(e, motion.classify(e)).withColumns({c: F.round(F.col(c) + (1e-9 if c.endswith("ratio") else 0.0), 3) for c in ("near_ratio", "off_ratio", "avg_speed", "max_speed")})
 
 
 def _filled(spark, sf):
