@@ -9,6 +9,7 @@ from trailmill.operators import clean, ingest, roads, trips
 from trailmill.operators import relational as rel
 from trailmill.plans import trip_map
 from trailmill.queries.sqltext import ANCHOR, EDGES, NOTE, PHOTO, PLACE, STORY, SUMMARY, TOWN_EDGES, TP, TRIP, VIDEO
+from trailmill.scratch import materialise
 from trailmill.sources.tables import derived, read, road_edges, town_ways
 
 QUERIES: dict = {}
@@ -116,6 +117,6 @@ def walking_clean(spark, sf):
 @register("trip_detail")
 def trip_detail(spark, sf):
     t = derived(spark, sf, "trip")
-    d = trip_map.trip_detail(t, derived(spark, sf, "track"), roads.finish_edges(road_edges(spark)), *(derived(spark, sf, n) for n in ("place", "story", "summary")))
+    d = trip_map.trip_detail(t, derived(spark, sf, "track"), materialise(roads.finish_edges(road_edges(spark)), "edges"), *(derived(spark, sf, n) for n in ("place", "story", "summary")))
     size = lambda c: F.greatest(F.size(c), F.lit(0))
     return d.select("id", "title", "place_count", "overview", size("places").alias("places"), size("blocks").alias("blocks"), F.col("map.zoom").alias("zoom"), F.col("map.matched.distance_m").alias("matched_m"), size("map.markers").alias("markers"))

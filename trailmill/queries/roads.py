@@ -27,7 +27,8 @@ def register(name: str, sql: str | None = None):
 
 
 def _edges(spark):
-    return roads.finish_edges(road_edges(spark))
+    """Finished edges as a stored table: its true size then decides which side of a join is sent."""
+    return materialise(roads.finish_edges(road_edges(spark)), "edges")
 
 
 def _points(spark, sf):

@@ -9,6 +9,7 @@ from trailmill.operators import clean, heatmap, motion, roads, trips
 from trailmill.operators.grouped import filter_groups
 from trailmill.queries.scalars import gcj_sql
 from trailmill.queries.sqltext import DOUBLED, EDGES, FILL, TP, W, angle, bear, clean_where, fold, hav, spd
+from trailmill.scratch import materialise
 from trailmill.sources.tables import derived, read, road_edges
 
 QUERIES: dict = {}
@@ -27,7 +28,8 @@ def _points(spark, sf):
 
 
 def _edges(spark):
-    return roads.finish_edges(road_edges(spark))
+    """Finished edges as a stored table: its true size then decides which side of a join is sent."""
+    return materialise(roads.finish_edges(road_edges(spark)), "edges")
 
 
 def _r(*cols: str, digits: int = 3):
