@@ -231,7 +231,7 @@ def _digests(d: DataFrame, own: list[str], to_ids, path: str, pattern: str | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, words = ranks(path), pre_token_pattern(pattern)
-        for b in (p for whole in batches for p in pieces(whole, whole.num_columns - 1)):
+        for b in (p for whole in batches for p in _parts(whole)):
             packed = to_ids(v, words, b.column(b.num_columns - 1).to_pylist())
             cols = [[len(p) // 4 for p in packed], *([packed] if with_ids else [])]
             cols += [[hashlib.sha256(p).hexdigest() for p in packed], [hashlib.sha256(decode(v, p)).hexdigest() for p in packed]]
@@ -240,6 +240,13 @@ def _digests(d: DataFrame, own: list[str], to_ids, path: str, pattern: str | Non
     return d.mapInArrow(run, schema)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a bounded size of texts; lists of ids are of long texts, so each is a part."""
+    if pa.types.is_list(batch.column(batch.num_columns - 1).type):
+        return (batch.slice(i, 1) for i in range(batch.num_rows))
+    return pieces(batch, batch.num_columns - 1)
+
+
 def _chunks(long: DataFrame, own: list[str], size: int, overlap: int) -> DataFrame:
     """``own, _row, _k, _last, _text``: the chunks of texts, written once and dealt to files by row and number.
     Only the first chunk of a row has the columns ``own``. ``_row`` holds for this table alone."""
