@@ -97,9 +97,10 @@ def close(got, want):
     assert [x[1:] for x in got] == [pytest.approx(x[1:], abs=1e-8) for x in want]
 
 
-@pytest.mark.parametrize("p", [MatchParams(), MatchParams(quality_fallback=True, use_sensor_fields=False)])
-def test_lines_styles_and_markers(spark, given, p):
+def test_lines_and_styles(spark, given):
+    """With both switches turned; as they are by default, the lines are part of the next test."""
     pts, edges = given
+    p = MatchParams(quality_fallback=True, use_sensor_fields=False)
     want, poor = plain_lines(spark, given, p)
     assert {m for m, _ in want.values()} == {"WALKING", "DRIVING"} and {t for t, _, _ in want} == {1, 2, 5}
     lines = matching.materialise(trip_map.segment_lines(pts, edges, p), "lines")
