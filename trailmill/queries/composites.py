@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trailmill.functions import geo
@@ -9,7 +11,8 @@ from trailmill.operators import clean, ingest, roads, trips
 from trailmill.operators import relational as rel
 from trailmill.plans import trip_map
 from trailmill.queries.sqltext import ANCHOR, EDGES, NOTE, PHOTO, PLACE, STORY, SUMMARY, TOWN_EDGES, TP, TRIP, VIDEO
-from trailmill.scratch import materialise
+from trailmill.scratch import materialise, scratch_root
+from trailmill.sources.stored import Journal
 from trailmill.sources.tables import derived, read, road_edges, town_ways
 
 QUERIES: dict = {}
@@ -120,3 +123,20 @@ def trip_detail(spark, sf):
     d = trip_map.trip_detail(t, derived(spark, sf, "track"), materialise(roads.finish_edges(road_edges(spark)), "edges"), *(derived(spark, sf, n) for n in ("place", "story", "summary")))
     size = lambda c: F.greatest(F.size(c), F.lit(0))
     return d.select("id", "title", "place_count", "overview", size("places").alias("places"), size("blocks").alias("blocks"), F.col("map.zoom").alias("zoom"), F.col("map.matched.distance_m").alias("matched_m"), size("map.markers").alias("markers"))
+
+
+_RETOLD = "select id, user_id, id trip_id, 'told ' || title overview, cast(null as varchar(20)) highlights, 'm9' model_name, 'v9' version, start_time generated_at from {trip} where status = 'ACTIVE'"
+
+
+@register("stored_journal", f"""with gone as (select id from {TRIP} where status = 'PAUSED'), told as ({_RETOLD.format(trip=TRIP)}),
+ s as (select * from {SUMMARY} where trip_id not in (select trip_id from told) union all select * from told)
+ select 'trip' "table", id, title told from {TRIP} where id not in (select id from gone) union all select 'photo', id, object_key from {PHOTO} where trip_id not in (select id from gone)
+ union all select 'summary', trip_id, overview || ' ' || version from s where trip_id not in (select id from gone)""")
+def stored_journal(spark, sf):
+    """Stored tables after the summaries of all active trips were told anew and all paused trips deleted."""
+    t = {n: derived(spark, sf, n) for n in ("trip", "photo", "summary")}
+    told = spark.sql(_RETOLD.replace("{trip}", "{trips}"), trips=t["trip"])
+    j = Journal.open(spark, f"{scratch_root(spark)}/journal-{uuid.uuid4().hex}").create(t).upsert("summary", told, "trip_id")
+    j = j.delete_trips(t["trip"].filter("status = 'PAUSED'"))
+    part = lambda n, i, what: j.read(n).select(F.lit(n).alias("table"), F.col(i).alias("id"), what.alias("told"))
+    return part("trip", "id", F.col("title")).unionByName(part("photo", "id", F.col("object_key"))).unionByName(part("summary", "trip_id", F.concat("overview", F.lit(" "), "version")))
