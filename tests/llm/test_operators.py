@@ -151,6 +151,23 @@ def test_substring_index_compacts_and_joins_without_exchange(spark, docs, tmp_pa
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+def test_substring_index_outlives_its_session(spark, docs, tmp_path):
+    """Each batch opens the index anew, as a later application would, with nothing left in the catalog."""
+    got, ids = {}, sorted(i for i, _ in docs)
+    borders = [None, ids[20], ids[40], None]
+    for after, upto in zip(borders, borders[1:], strict=False):
+        index = substring_dedup.FingerprintIndex.open(spark, str(tmp_path / "index"), max_runs=1)
+        seen = [x for x in docs if upto is None or x[0] <= upto]
+        got |= substring_rows(substring_dedup.dedup_batch(frame(spark, seen), index, after))
+        names = index.runs
+        index.close()
+        assert not {t.name for t in spark.catalog.listTables()} & set(names)
+    assert got == brute.substring_dedup(docs)
+    again = substring_dedup.FingerprintIndex.open(spark, str(tmp_path / "index"))
+    assert again.runs == names and 0 < len(again.runs) <= 2 and again.spark.table(again.runs[-1]).count() > 0
+    again.close()
+
+
 def test_substring_ids_of_any_kind(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [("b", text), ("a", "x " + text), (None, "y " + text), ("a", "other " * 3 + text), ("c", None), ("c", ""), ("b", text)]

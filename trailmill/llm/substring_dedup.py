@@ -10,6 +10,7 @@ and runs beyond a number are compacted into one.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -131,16 +132,57 @@ def frequent_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 class FingerprintIndex:
-    """Immutable runs of fingerprints in the shared folder, each a table bucketed and sorted by the key."""
+    """Immutable runs of fingerprints in a shared folder, each a table bucketed and sorted by the key.
+
+    A manifest beside the runs names those that count, so that a later application opens the index with ``open`` and
+    adds to it. It is replaced after each change; a run without an entry, left by a lost job, counts for nothing.
+    ``close`` takes the runs out of the session's catalog and leaves the files.
+    """
+
+    MANIFEST = "fingerprints.json"
 
     def __init__(self, spark: SparkSession, root: str | None = None, max_runs: int = 4, buckets: int | None = None):
-        self.spark, self.root, self.max_runs = spark, root or scratch_root(spark), max_runs
+        self.spark, self.root, self.max_runs = spark, root or f"{scratch_root(spark)}/fingerprints-{uuid.uuid4().hex}", max_runs
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
         self.frequent: tuple[int, ...] = ()
+        self._columns = ""
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, max_runs: int = 4) -> FingerprintIndex:
+        """The index that an earlier application left in a folder; a new one where there is none."""
+        index = cls(spark, root, max_runs)
+        fs, path = index._file(cls.MANIFEST)
+        if not fs.exists(path):
+            return index
+        told = json.loads(spark.read.text(path.toString(), wholetext=True).first()[0])
+        index.buckets, index.runs, index.frequent, index._columns = told["buckets"], told["runs"], tuple(told["frequent"]), told["columns"]
+        for name in index.runs:
+            spark.sql(f"create table if not exists {name} ({index._columns}) using parquet clustered by (_key) sorted by (_key) into {index.buckets} buckets location '{index.root}/{name}'")
+        return index
+
+    def close(self) -> None:
+        for name in self.runs:
+            self.spark.sql(f"drop table if exists {name}")
+
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _note(self, runs: list[str]) -> None:
+        """Makes these the runs of the index: the manifest is written beside the old one, which it then replaces."""
+        fs, path = self._file(self.MANIFEST)
+        _, temp = self._file(f"{uuid.uuid4().hex}.tmp")
+        out = fs.create(temp)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "runs": runs, "frequent": self.frequent, "columns": self._columns}).encode()))
+        out.close()
+        fs.delete(path, False)
+        fs.rename(temp, path)
+        self.runs = runs
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
+        self._columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
         dealt = rows.repartition(self.buckets, "_key")
         dealt.write.bucketBy(self.buckets, "_key").sortBy("_key").option("path", f"{self.root}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
         return name
@@ -174,7 +216,7 @@ class FingerprintIndex:
         for x in found[1:]:
             met = met.unionByName(x.select(*place))
         met = materialise(met, "met")
-        self.runs.append(name)
+        self._note([*self.runs, name])
         return met
 
     def compact(self) -> None:
@@ -183,7 +225,9 @@ class FingerprintIndex:
             whole = self.spark.table(self.runs[0])
             for r in self.runs[1:]:
                 whole = whole.unionByName(self.spark.table(r))
-            self.runs = [self._write(whole)]
+            one = self._write(whole)
+            self.close()
+            self._note([one])
 
 
 def _next_to(docs: DataFrame, lists: DataFrame, how: str, *cols: str) -> DataFrame:
@@ -356,5 +400,6 @@ def dedup_substrings(docs: DataFrame, batches: int = 3, max_runs: int = 1, id_co
         part = docs.filter(inside if lo is None else inside & (i >= F.lit(lo)))
         found = index.add(part, id_col, text_col, known_frequent=True)
         met = found if met is None else met.unionByName(found)
+    index.close()  # what was met is written; the runs stay as files
     d = _versions(docs, id_col, text_col)
     return _verified(d, met, d, index.frequent, id_col)
