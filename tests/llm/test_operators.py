@@ -115,6 +115,18 @@ def test_proximity(spark):
     assert decontamination.proximity_matches(d.limit(0), b, 5).count() == 0
 
 
+def test_proximity_clashing_names_and_a_very_long_text(spark):
+    """An item that stands once, far inside a text of 60 000 words, whose words all occur elsewhere as well, apart."""
+    words = ["w%d" % (k % 977) for k in range(60_000)]
+    for k, w in ((10, "alpha"), (20_000, "beta"), (40_000, "gamma"), (50_001, "gamma"), (50_003, "alpha"), (50_004, "beta")):
+        words[k] = w
+    names = ("_id", "_term", "_at", "_tv", "_cid", "_item")
+    d = own_columns(spark.createDataFrame([(1, " ".join(words)), (2, "beta gamma"), (None, "gamma alpha beta")], "doc_id long, text string"), *names)
+    b = own_columns(spark.createDataFrame([(7, "Alpha, beta gamma!"), (None, "alpha")], "item_id long, text string"), *names)
+    got = [(r["_id"], r["_item"], r["_first"], r["_last"]) for r in decontamination.proximity_matches(d, b, 4).collect()]
+    assert sorted(got, key=str) == sorted([(1, "7", 50_001, 50_004), (None, "7", 0, 2)], key=str)
+
+
 def substring_rows(df):
     return {r["doc_id"]: (r["_n_words"], r["_n_removed"], r["_kept"]) for r in df.collect()}
 
@@ -482,6 +494,15 @@ def kinds(spark, text, *kind):
     return [(s["kind"], text[s["start"] : s["end"]], s["score"]) for s in pii.find_pii(d).first()["_spans"] if s["kind"] in kind]
 
 
+def test_pii_in_a_very_long_text(spark):
+    """Spans at both ends and in the middle of a text of a million characters, also across where it might be cut."""
+    filler = "words and é numbers 12 34, no data here; " * 12_000
+    parts = ["me@example.org", "4111 1111 1111 1111", "192.168.0.1", "+1 (555) 123-4567"]
+    text = " . ".join([parts[0], filler, parts[1], filler, " . ".join(parts), filler[:999], parts[2], parts[3]])
+    got = [(s["kind"], s["start"], s["end"]) for s in pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["_spans"] if s["kind"] in pii.BASE]
+    assert len(text) > 900_000 and got == brute.pii(text) and len(got) == 8
+
+
 def test_pii_validators_context_and_redaction(spark):
     good = "DE89 3704 0044 0532 0130 00"
     assert kinds(spark, f"my bank account {good} please", "iban") == [("iban", good, 0.8)]

@@ -64,6 +64,31 @@ def test_stages_keep_columns(spark, sf_dir):
         assert empty.count() == 0 and empty.columns == d.columns
 
 
+def test_stages_with_repeated_rows_clashing_columns_and_a_very_long_text(spark, sf_dir):
+    """Each stage on rows that come twice, null ids, further columns named like those inside the operators, and a long text."""
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 30")
+    some = " ".join(r["text"] for r in d.filter("doc_id = 11").collect())
+    long = " ".join(f"{w}{k}" for k in range(300) for w in some.split())
+    more = spark.createDataFrame([(500, long, "en", "s", len(long)), (None, some[:300] + " more words", "en", "s", 1), (None, some[:300] + " more words", "en", "s", 1)], d.schema)
+    clash = d.unionByName(d.filter("doc_id = 3")).unionByName(more).withColumns({c: F.lit("own") for c in ("_id", "_text", "_fp", "_lang_pred", "_kept", "_hits", "_row", "_n_tokens")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, sf_dir)
+        assert out.columns == clash.columns, name
+        rows = out.collect()
+        assert {r["_id"] + r["_row"] for r in rows} == {"ownown"} and any(r["doc_id"] == 500 for r in rows), name
+        assert sum(r["doc_id"] == 3 for r in rows) == 2, name  # rows equal in id and text are one document
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    name, encoding = corpus_pipeline.STAGES[-1]
+    got = sorted((r["doc_id"] or -1, r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist()) for r in encoding(spark, clash, sf_dir).collect())
+    want = sorted((r["doc_id"] or -1, len(ids := t.encode(r["text"], add_special_tokens=False).ids), ids) for r in clash.collect())
+    assert name == "encoding" and got == want
+    empty = encoding(spark, clash.limit(0), sf_dir)
+    assert empty.count() == 0 and empty.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
 def test_registered():
     q = entry.queries()
     assert {n for n in q if n.startswith("op")} == set(queries.queries()) and "pipeline" in q
