@@ -222,9 +222,9 @@ def _map_file(spark, sf):
 
 @register("pbf_network", _EXTRACT)
 def pbf_network(spark, sf):
-    """The same network, from map files written and read again."""
+    """The same network, from map files written and read again: each block is decoded once, whatever the joins read."""
     path = _map_file(spark, sf)
-    return _extracted(pbf.read_nodes(spark, path), pbf.read_ways(spark, path))
+    return _extracted(materialise(pbf.read_nodes(spark, path), "nodes"), materialise(pbf.read_ways(spark, path), "ways"))
 
 
 @register("pbf_box", f"select id, round(lat, 6) lat, round(lng, 6) lng from {TOWN_NODES} where {_IN(_HALF)}")
