@@ -21,3 +21,12 @@ def test_offset_system_round_trip(spark):
 def test_null_positions_stay_null(spark):
     d = spark.createDataFrame([(None, 114.30)], "lat double, lng double")
     assert d.select(F.isnull(geo.wgs_to_gcj("lat", "lng")["lat"]).alias("x")).first()["x"]
+
+
+def test_span_at_a_limit_of_zoom(spark):
+    """A span of 0.01 is no smaller than 0.01, though the difference of its ends is."""
+    from trailmill.operators import trips
+
+    d = spark.createDataFrame([(1, 30.58641, 114.2974), (1, 30.59641, 114.30102), (2, 30.0, 114.0), (2, 30.0099, 114.0)], "trip_id long, lat double, lng double")
+    assert 30.59641 - 30.58641 < 0.01
+    assert {r["trip_id"]: r["zoom"] for r in trips.boxes(d).collect()} == {1: 14, 2: 15}

@@ -19,9 +19,10 @@ def distances(points: DataFrame) -> DataFrame:
 
 
 def boxes(points: DataFrame) -> DataFrame:
-    """``trip_id, min_lat, max_lat, min_lng, max_lng, center_lat, center_lng, zoom``."""
+    """``trip_id, min_lat, max_lat, min_lng, max_lng, center_lat, center_lng, zoom``. The span that gives the zoom counts
+    to nine digits: that of two coordinates of a few digits would fall below a limit by the error of a difference."""
     b = points.filter(geo.valid("lat", "lng")).groupBy("trip_id").agg(F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.min("lng").alias("min_lng"), F.max("lng").alias("max_lng"))
-    span = F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lng") - F.col("min_lng"))
+    span = F.round(F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lng") - F.col("min_lng")), 9)
     zoom = F.when(span < 0.002, 17).when(span < 0.005, 16).when(span < 0.01, 15).when(span < 0.03, 14).when(span < 0.08, 13).otherwise(12)
     return b.withColumns({"center_lat": (F.col("min_lat") + F.col("max_lat")) / 2, "center_lng": (F.col("min_lng") + F.col("max_lng")) / 2, "zoom": zoom})
 
