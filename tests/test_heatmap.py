@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmill.operators import heatmap
+from trailmill.sources.tables import derived
 
 
 def test_every_point_of_a_hot_user_counts(spark):
@@ -13,3 +14,10 @@ def test_every_point_of_a_hot_user_counts(spark):
     )
     got = heatmap.heat_cells(p, "user_id").agg(F.sum("samples"), F.count(F.lit(1)), F.sum("trips")).first()
     assert tuple(got) == (n, n, n)
+
+
+def test_weight_half_way_is_that_of_the_sum_in_order(spark):
+    """A cell of one user with points of two trips: summed trip by trip it would weigh 31."""
+    p = derived(spark, "/root/testdata/sf0.1", "track").filter("user_id = 120")
+    got = heatmap.heat_cells(p, "user_id").filter("y = 42559 and x = 136924").first()
+    assert (got["samples"], got["trips"], got["stay_s"], got["weight"]) == (10, 2, 100, 30)

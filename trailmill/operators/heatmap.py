@@ -23,7 +23,8 @@ def heat_cells(points: DataFrame, scope: str = "trip_id", grid: int | None = Non
 
     Points of good accuracy at valid places, near repeats of one time left out; all count,
     however many a scope has. Each adds 1 and, for the time since the scope's point before, more the longer it stayed.
-    The centre is that of the first point in the cell, whose latitude sets the width of cells.
+    The centre is that of the first point in the cell, whose latitude sets the width of cells. What a cell's points
+    add is summed in their order, so that a weight half-way between two whole ones is the same in every run.
     """
     m = float(grid_metres(grid))
     p = points.filter(geo.valid_not_origin("lat", "lng", 1e-9) & F.col("ts").isNotNull() & (F.col("accuracy_m").isNull() | (F.col("accuracy_m") <= ACCURACY_M)))
@@ -38,8 +39,11 @@ def heat_cells(points: DataFrame, scope: str = "trip_id", grid: int | None = Non
             "_gain": F.when(F.col("_dt").isNull(), 0.0).when(near, F.least(F.lit(6.0), F.col("_dt") / 20.0)).otherwise(F.least(F.lit(2.0), F.col("_dt") / 120.0)),
         }
     )
+    cell = [scope, F.col("c.y"), F.col("c.x")]
+    in_order = Window.partitionBy(*cell).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("_gain", F.sum("_gain").over(in_order))  # nothing is taken away, so the last sum is the largest
     g = p.groupBy(scope, F.col("c.y").alias("y"), F.col("c.x").alias("x")).agg(
-        F.count(F.lit(1)).alias("samples"), F.count_distinct("trip_id").alias("trips"), F.coalesce(F.sum("_stay"), F.lit(0)).cast("long").alias("stay_s"), F.sum("_gain").alias("_gain"),
+        F.count(F.lit(1)).alias("samples"), F.count_distinct("trip_id").alias("trips"), F.coalesce(F.sum("_stay"), F.lit(0)).cast("long").alias("stay_s"), F.max("_gain").alias("_gain"),
         F.min_by("c", F.struct("ts", "id")).alias("c"), F.min("ts").alias("first_ts"),
     )
     total = F.col("samples") + F.col("_gain") + 2.0 * F.col("trips") + F.least(F.lit(20.0), F.col("stay_s") / 30.0) + F.least(F.lit(50.0), 0.8 * F.col("samples"))
