@@ -195,3 +195,15 @@ def test_roads_far_north(spark):
     p = spark.createDataFrame([(k, 70.0, 20.0 + k * 0.004 + s * 0.00205) for k in range(6) for s in (-1, 1)], "id long, lat double, lng double")
     near = roads.within(p, spark.createDataFrame(rows, RAW), 80.0)
     assert near.filter(F.col("id") == F.col("edge_id")).count() == 12
+
+
+def test_regions_of_points_without_a_shuffle_by_place(spark):
+    """Smallest box, ties by name, repeated and null ids, places outside and without coordinates; places are not dealt by cell."""
+    from trailmill.operators import roads
+
+    boxes = spark.createDataFrame([("big", 0.0, 10.0, 0.0, 10.0), ("b", 2.0, 3.0, 2.0, 3.0), ("a", 2.0, 3.0, 2.0, 3.0)], "name string, south double, north double, west double, east double")
+    rows = [(1, 2.5, 2.5), (1, 5.0, 5.0), (None, 2.0, 3.0), (2, 50.0, 5.0), (3, None, 5.0), (4, 10.0, 10.0)]
+    got = roads.region_of_points(spark.createDataFrame(rows, "id long, lat double, lng double"), boxes)
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(*r, g) for r, g in zip(rows, ("a", "big", "a", None, None, "big"), strict=True)], "id long, lat double, lng double, region string").collect()))
+    many = roads.region_of_points(spark.range(1000).select("id", (F.col("id") % 7).cast("double").alias("lat"), F.lit(2.5).alias("lng")), boxes)
+    assert "SortMergeJoin" not in many._jdf.queryExecution().executedPlan().toString() and many.filter("region is not null").count() == 1000

@@ -219,13 +219,15 @@ def in_region(boxes: DataFrame, lat: float, lng: float) -> DataFrame:
 
 def region_of_points(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """``points`` with ``region``, the name of the smallest of the overlapping boxes that holds each, or null.
-    Boxes go to every degree cell that they cover, a point to its own."""
-    size = (F.col("north") - F.col("south")) * (F.col("east") - F.col("west"))
-    b = boxes.withColumn("_size", size).withColumn("_y", F.explode(F.sequence(F.floor("south"), F.floor("north")))).withColumn("_x", F.explode(F.sequence(F.floor("west"), F.floor("east"))))
-    p = points.withColumns({"_y": F.floor("lat"), "_x": F.floor("lng")})
-    inside = p.join(b, ["_y", "_x"]).filter(geo.in_box("lat", "lng", F.col("south"), F.col("north"), F.col("west"), F.col("east")))
-    best = inside.groupBy("id").agg(F.min_by("name", F.struct("_size", "name")).alias("region"))
-    return points.join(best, "id", "left")
+    Boxes go to every degree cell that they cover, and all of a cell to each point in it. They are few and sent to
+    every task: most points lie in few cells, which a shuffle would give to few tasks."""
+    size = ((F.col("north") - F.col("south")) * (F.col("east") - F.col("west"))).alias("size")
+    b = boxes.select(F.struct(size, *boxes.columns).alias("b"), F.explode(F.sequence(F.floor("south"), F.floor("north"))).alias("_y"), "west", "east")
+    b = b.select("b", "_y", F.explode(F.sequence(F.floor("west"), F.floor("east"))).alias("_x"))
+    cells = b.groupBy("_y", "_x").agg(F.collect_list(F.struct("b.size", *(f"b.{c}" for c in ("name", "south", "north", "west", "east")))).alias("_boxes"))
+    holds = lambda x: geo.in_box(F.col("lat"), F.col("lng"), x["south"], x["north"], x["west"], x["east"])
+    p = points.withColumns({"_y": F.floor("lat"), "_x": F.floor("lng")}).join(F.broadcast(cells), ["_y", "_x"], "left")
+    return p.select(*points.columns, F.array_min(F.filter("_boxes", holds))["name"].alias("region"))
 
 
 def sparse(edges: DataFrame, radius_km: float, least_edges: int = 2000, least_nodes: int = 1500) -> DataFrame:
