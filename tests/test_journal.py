@@ -38,3 +38,11 @@ def test_media_without_neighbours(spark):
         (8, "TIME_NEAREST", 31.0, 116.0, 1, 11),
     ]
     assert match_media(m.limit(0), p).count() == 0 and match_media(m, p.limit(0)).filter("match_method is null").count() == 7
+
+
+def test_replay_sorts_its_lines_once(spark):
+    """Photos, videos and notes share their lines; as three branches each task held three sorts of them."""
+    q = own.queries()["trip_replay"](spark, SF_DIR)
+    assert q._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    kinds = {"PHOTO": derived(spark, SF_DIR, "photo").count(), "VIDEO": derived(spark, SF_DIR, "video").count(), "NOTE": derived(spark, SF_DIR, "note").count()}
+    assert {r["kind"]: r["n"] for r in q.groupBy("kind").agg(F.sum("n").alias("n")).collect()} == kinds

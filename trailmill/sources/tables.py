@@ -60,6 +60,11 @@ select l_orderkey * 100 + ln id, o_custkey user_id, l_orderkey trip_id, case whe
   case l_linestatus when 'O' then 'PUBLIC' else 'PRIVATE' end privacy_mode, l_shipdate + interval '3' day created_at
 from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) ln from {lineitem} join {orders} on l_orderkey = o_orderkey) li where ln = 4
 """
+#: What photos, videos and notes take from their lines, for those who need them together.
+LINE = """
+select l_orderkey trip_id, ln, l_orderkey * 100 + ln id, case when l_partkey % 10 <> 0 then l_shipdate end shot_time_exif, l_shipdate + interval '3' day noted_at
+from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) ln from {lineitem} join {orders} on l_orderkey = o_orderkey) li
+"""
 ANCHOR = """
 select l_orderkey * 100 + ln id, o_custkey user_id, l_orderkey trip_id, case when ln % 2 = 1 then l_orderkey * 100 + ln end photo_id,
   case when ln % 2 = 0 then l_orderkey * 100 + ln end video_id, l_partkey * 1000 matched_ts,
@@ -110,7 +115,7 @@ from (
 #: The tags that streets have.
 TAGS = ("highway", "construction", "access", "service", "motor_vehicle", "oneway", "name", "maxspeed", "layer", "bridge", "tunnel", "junction")
 
-DERIVED = {"track": TRACK, "doubled": DOUBLED, "trip": TRIP, "photo": PHOTO, "video": VIDEO, "place": PLACE, "note": NOTE, "anchor": ANCHOR, "story": STORY, "users": USER, "summary": SUMMARY, "town_node": TOWN_NODE, "town_way": TOWN_WAY}
+DERIVED = {"track": TRACK, "doubled": DOUBLED, "trip": TRIP, "photo": PHOTO, "video": VIDEO, "place": PLACE, "note": NOTE, "line": LINE, "anchor": ANCHOR, "story": STORY, "users": USER, "summary": SUMMARY, "town_node": TOWN_NODE, "town_way": TOWN_WAY}
 _INPUTS = ("events", "orders", "lineitem", "customer")
 
 
