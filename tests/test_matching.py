@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.plain_matching import Plain
 
+from trailmill.functions import geo
 from trailmill.functions.text import FAST
 from trailmill.operators import matching, regions, roads, routing
 
@@ -207,3 +208,22 @@ def test_regions_of_points_without_a_shuffle_by_place(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(*r, g) for r, g in zip(rows, ("a", "big", "a", None, None, "big"), strict=True)], "id long, lat double, lng double, region string").collect()))
     many = roads.region_of_points(spark.range(1000).select("id", (F.col("id") % 7).cast("double").alias("lat"), F.lit(2.5).alias("lng")), boxes)
     assert "SortMergeJoin" not in many._jdf.queryExecution().executedPlan().toString() and many.filter("region is not null").count() == 1000
+
+
+def test_road_search_is_compiled(spark):
+    """Methods of more than 8000 bytes are never compiled by the JVM; pieces of no length count by their point."""
+    p = spark.createDataFrame([(1, 30.0, 114.0), (2, 30.001, 114.0005), (3, 31.0, 114.0)], "id long, lat double, lng double")
+    e = spark.createDataFrame([(1, 30.0005, 114.0, 30.0005, 114.0), (2, 30.0, 114.0, 30.0, 114.002)], "edge_id long, lat1 double, lng1 double, lat2 double, lng2 double")
+    near = roads.within(p, e, 120.0)
+    plain = p.crossJoin(e).withColumn("pr", geo.segment_projection("lat", "lng", "lat1", "lng1", "lat2", "lng2")).filter("pr.distance <= 120")
+    rows = lambda d: sorted(map(str, d.select("id", "edge_id", "pr").collect()))
+    assert rows(near) == rows(plain) and near.count() == 4
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        it = roads.within(p, e, 120.0)._jdf.queryExecution().debug().codegenToSeq().iterator()
+        sizes = []
+        while it.hasNext():
+            sizes.append(it.next()._3().maxMethodCodeSize())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 0 < max(sizes) < 8000

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
@@ -102,6 +102,27 @@ def segment_projection(lat, lng, lat1, lng1, lat2, lng2) -> Column:
     )
 
 
+def project_within(pairs: DataFrame, radius: float) -> DataFrame:
+    """Rows whose point (lat, lng) is within ``radius`` metres of their segment (lat1, lng1, lat2, lng2), with ``pr``, its
+    ``segment_projection``.
+
+    The filter takes its expressions down with it, and these would hold the cosine some forty times: methods of more than
+    8000 bytes, which the JVM never compiles. So each step is the one value of an array, which no filter passes.
+    """
+    east = F.cos(F.radians((F.col("lat") + F.col("lat1") + F.col("lat2")) / 3.0)) * DEGREE_M
+    plane = {"_dx": (F.col("lng2") - F.col("lng1")) * east, "_dy": (F.col("lat2") - F.col("lat1")) * DEGREE_M, "_px": (F.col("lng") - F.col("lng1")) * east, "_py": (F.col("lat") - F.col("lat1")) * DEGREE_M}
+    at_point = F.when((F.col("lat1") == F.col("lat2")) & (F.col("lng1") == F.col("lng2")), haversine("lat", "lng", "lat1", "lng1"))
+    once = lambda d, **x: d.select("*", F.inline(F.array(F.struct(*(v.alias(c) for c, v in x.items())))))
+    r = once(pairs, **plane, _h=at_point)
+    dx, dy, px, py, size, t = map(F.col, (*plane, "_size", "_t"))
+    r = once(r, _size=dx * dx + dy * dy)
+    r = once(r, _t=F.when(size > 0, clamp((px * dx + py * dy) / size, 0.0, 1.0)).otherwise(0.0))
+    off = F.sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy))
+    r = once(r, _d=F.when(size > 0, off).otherwise(F.coalesce("_h", off))).filter(F.col("_d") <= radius)
+    pr = F.struct((F.col("lat1") + t * (F.col("lat2") - F.col("lat1"))).alias("lat"), (F.col("lng1") + t * (F.col("lng2") - F.col("lng1"))).alias("lng"), F.col("_d").alias("distance"), (F.sqrt(size) * t).alias("offset"), t.alias("t"))
+    return r.select(*pairs.columns, pr.alias("pr"))
+
+
 def polyline_length(points) -> Column:
     """Sum of the steps of an array of structs (lat, lng)."""
     p = _c(points)

@@ -28,7 +28,8 @@ def candidates(points: DataFrame, edges: DataFrame, most: int, p: MatchParams =
     An edge within the largest normal radius counts as found there; the wider search runs only for
     points without such an edge, and then edges have a penalty and a limit on the heading.
     """
-    pts = points.select("trip_id", "id", "ts", "lat", "lng", "heading_deg")
+    pts = materialise(points.select("trip_id", "id", "ts", "lat", "lng", "heading_deg"), "points")  # read three times
+    edges = edges.select("edge_id", "lat1", "lng1", "lat2", "lng2", "one_way", "direction")
     normal = materialise(roads.within(pts, edges, max(p.radii)).withColumn("_wide", F.lit(False)), "near")
     alone = pts.join(normal.select("id").distinct(), "id", "left_anti").select(*pts.columns)
     near = normal.unionByName(roads.within(alone, edges, max(p.fallback_radii)).withColumn("_wide", F.lit(True)))

@@ -123,8 +123,7 @@ def within(points: DataFrame, edges: DataFrame, radius: float) -> DataFrame:
     e = edges.withColumn("_y", F.explode(F.sequence(row(F.least("lat1", "lat2") - high), row(F.greatest("lat1", "lat2") + high))))
     e = e.withColumn("_x", F.explode(F.sequence(col(F.least("lng1", "lng2") - wide), col(F.greatest("lng1", "lng2") + wide))))
     p = points.withColumn("_y", row(F.col("lat"))).withColumn("_x", col(F.col("lng")))
-    near = p.join(e, ["_y", "_x"]).drop("_y", "_x").withColumn("pr", geo.segment_projection("lat", "lng", "lat1", "lng1", "lat2", "lng2"))
-    return near.filter(F.col("pr.distance") <= radius)
+    return geo.project_within(p.join(e, ["_y", "_x"]).drop("_y", "_x"), radius)
 
 
 def nearest_distance(points: DataFrame, edges: DataFrame, radius: float = 60.0) -> DataFrame:
