@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tests.plain_matching import Plain
@@ -127,6 +128,19 @@ def test_a_long_trip_meets_the_roads_of_its_corridor(spark):
     assert found == all_of_box and sum("edge_id=None" not in x for x in found) > 50
 
 
+def test_ways_of_a_part_are_found_together(small, monkeypatch):
+    """One look at the graph for all ways of a part, and the same rows as trip by trip."""
+    points, edges, *_ = small
+    m = matching.match(points, edges).select("trip_id", "id", "ts", "edge_id", "m_lat", "m_lng", "m_offset").toArrow()
+    e, calls, ways = edges.select(*routing.FIELDS).toArrow(), [], routing.RoadGraph.ways
+    monkeypatch.setattr(routing.RoadGraph, "ways", lambda self, *a: calls.append(len(a[0])) or ways(self, *a))
+    whole = matching._rebuilt_part(m, e, matching.DEFAULTS)
+    assert len(calls) == 1 and calls[0] > 10
+    trips = sorted(set(m.column("trip_id").to_pylist()))
+    alone = [r for t in trips for r in matching._rebuilt_part(m.filter(pc.equal(m.column("trip_id"), t)), e, matching.DEFAULTS).to_pylist()]
+    assert whole.to_pylist() == alone and len(alone) > 100
+
+
 def test_rebuilt_way_and_quality_equal_plain(small):
     points, edges, plain, by_trip = small
     m = matching.match(points, edges)

@@ -52,8 +52,9 @@ def _share(p: MatchParams) -> Column:
 class _Moves:
     """Candidates of consecutive points, in stretches, and what is to be said of moves between them.
 
-    Rows are candidates by stretch, time and rank; ``first`` and ``last`` bound the rows of each point and
-    ``start`` its stretch. All moves of a part of a region are worked out at once.
+    Rows are candidates by stretch, time and rank; ``first`` and ``last`` bound the rows of each point. All moves of a
+    part of a region are worked out at once, and kept as tables of one width: by point, its candidates and those of
+    the next (of the one after that in ``far_family``). ``valid`` tells a point's candidates from what fills up its row.
     """
 
     def __init__(self, g: Group, graph: RoadGraph, p: MatchParams):
@@ -63,7 +64,7 @@ class _Moves:
         self.last = np.append(self.first[1:], len(point))
         stretch = g["stretch"][self.first]
         starts = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1])))
-        self.stretches = list(zip(starts.tolist(), [*starts[1:].tolist(), len(stretch)], strict=True))
+        self.starts, self.ends = starts, np.append(starts[1:], len(stretch))
         self.edge = np.array([-1 if np.isnan(e) else graph.index.get(int(e), -1) for e in g["edge_id"].astype(float)], np.int64)
         lat, lng = g["lat"][self.first], g["lng"][self.first]
         self.steps = np.append(arrays.haversine(lat[:-1], lng[:-1], lat[1:], lng[1:]), 0.0)  # to the next point
@@ -74,42 +75,48 @@ class _Moves:
         a, b = self._pairs(t, t + 1)
         step = np.repeat(self.steps[t], self._sizes(t) * self._sizes(t + 1))
         self.route = self._routes(a, b)
-        self.same = self.graph.structure[self.edge[a]] == self.graph.structure[self.edge[b]]
+        same = graph.structure[self.edge[a]] == graph.structure[self.edge[b]]
         turn = self._turn(a, b)
-        self.family = self._family(a, b, turn)
-        self.evidence = self._evidence(a, b, step)
+        family = self._family(a, b, turn)
+        evidence = self._evidence(a, b, step)
         rates, least = p.change_rates, p.least_factors
-        changed = self.family & ~self.same
-        factor = np.where(changed, np.maximum(least[0], np.exp(-rates[0] * (1.0 - self.evidence))), 1.0)
-        self.reward = np.where(changed, factor, np.where(self.family, np.minimum(1.0 + p.stay_reward, 1.0 + p.stay_reward * self.evidence), 1.0))
+        changed = family & ~same
+        factor = np.where(changed, np.maximum(least[0], np.exp(-rates[0] * (1.0 - evidence))), 1.0)
+        reward = np.where(changed, factor, np.where(family, np.minimum(1.0 + p.stay_reward, 1.0 + p.stay_reward * evidence), 1.0))
         move = np.exp(-np.abs(step - self.route) / p.route_beta) * np.exp(-p.angle_lambda * turn / 180.0)
-        self.move = np.maximum(move * factor, p.least_prob)
-        at = np.cumsum(self._sizes(t) * self._sizes(t + 1))
-        self.at = dict(zip(t.tolist(), (at - self._sizes(t) * self._sizes(t + 1)).tolist(), strict=True))
+        move = np.maximum(move * factor, p.least_prob)
         two = t[np.isin(t + 1, t)]
-        a, b = self._pairs(two, two + 2)
-        self.far_family = self._family(a, b, self._turn(a, b))
-        at = np.cumsum(self._sizes(two) * self._sizes(two + 2))
-        self.far_at = dict(zip(two.tolist(), (at - self._sizes(two) * self._sizes(two + 2)).tolist(), strict=True))
+        c, d = self._pairs(two, two + 2)
+        far = self._family(c, d, self._turn(c, d))
+        self.width = int(self._sizes(slice(None)).max())
+        self.valid = np.arange(self.width) < self._sizes(slice(None))[:, None]
+        self.prob = np.where(self.valid, g["prob"][np.minimum(self.first[:, None] + np.arange(self.width), len(point) - 1)], 0.0)
+        table = lambda v: self._table(v, t, t + 1)
+        self.route, self.same, self.family, self.evidence, self.reward, self.move = map(table, (self.route, same, family, evidence, reward, move))
+        self.far_family = self._table(far, two, two + 2)
 
     def _sizes(self, t):
         return self.last[t] - self.first[t]
 
-    def _pairs(self, s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of all pairs of a candidate of point ``s`` and one of point ``t``, the first the slower."""
+    def _places(self, s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all pairs of a candidate of point ``s`` and one of point ``t``, the first the slower: the pair of points, and
+        the places of the two among the candidates of their points."""
         m, n = self._sizes(s), self._sizes(t)
         k = np.arange((m * n).sum()) - np.repeat(np.cumsum(m * n) - m * n, m * n)
-        n_ = np.repeat(n, m * n)
-        return np.repeat(self.first[s], m * n) + k // np.maximum(n_, 1), np.repeat(self.first[t], m * n) + k % np.maximum(n_, 1)
-
-    def table(self, values: np.ndarray, t: int) -> np.ndarray:
-        """Values of the moves from point ``t`` to the next as a matrix."""
-        m, n = int(self._sizes(t)), int(self._sizes(t + 1))
-        return values[self.at[t] : self.at[t] + m * n].reshape(m, n)
+        n_ = np.maximum(np.repeat(n, m * n), 1)
+        return np.repeat(np.arange(len(s)), m * n), k // n_, k % n_
 
-    def far_table(self, t: int) -> np.ndarray:
-        m, n = int(self._sizes(t)), int(self._sizes(t + 2))
-        return self.far_family[self.far_at[t] : self.far_at[t] + m * n].reshape(m, n)
+    def _pairs(self, s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of these pairs."""
+        k, i, j = self._places(s, t)
+        return self.first[s][k] + i, self.first[t][k] + j
+
+    def _table(self, values: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Values of these pairs by point ``s`` and the two places; 0 where there is no pair."""
+        k, i, j = self._places(s, t)
+        out = np.zeros((len(self.first), self.width, self.width), values.dtype)
+        out[s[k], i, j] = values
+        return out
 
     def _turn(self, a, b):
         d, one = self.g["direction"], self.graph.c["one_way"].astype(bool)
@@ -164,55 +171,94 @@ class _Moves:
         return clip(np.where(ramp | joined | (gap <= p.joint_m), total, p.weak_access * total))
 
 
-def _best_first(x: _Moves, s: int, e: int) -> tuple[list[int], float]:
-    """Rows of the likeliest candidates of points ``s`` to ``e``, and their score; the first of equals."""
-    prob, least = x.g["prob"], x.p.least_prob
-    lg = lambda v: np.log(np.maximum(v, least))
-    score, back = lg(prob[x.first[s] : x.last[s]]), []
-    for t in range(s + 1, e):
-        total = score[:, None] + lg(x.table(x.move, t - 1)) + lg(prob[x.first[t] : x.last[t]])
-        back.append(total.argmax(axis=0))
-        score = total.max(axis=0)
-    k = int(score.argmax())
-    out = [k]
-    for ptr in reversed(back):
-        out.append(int(ptr[out[-1]]))
-    return [int(x.first[s + t]) + k for t, k in enumerate(reversed(out))], float(score.max())
-
-
-def _best_second(x: _Moves, s: int, e: int) -> tuple[list[int], float]:
-    """The same over pairs; the complexity weighs the move against what is seen, point by point."""
-    if e - s < 3:
-        return _best_first(x, s, e)
+def _by_length(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Stretches by falling length, and for each step how many go on to it."""
+    order = np.argsort(s - e, kind="stable")
+    size = (e - s)[order]
+    return s[order], e[order], np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left").tolist()
+
+
+def _best_first(x: _Moves, s: np.ndarray, e: np.ndarray, pick: np.ndarray) -> None:
+    """Puts into ``pick`` the likeliest candidates of stretches, from points ``s`` to ``e``; the first of equals. All
+    stretches take a step together."""
+    s, e, on = _by_length(s, e)
+    lg = lambda v: np.log(np.maximum(v, x.p.least_prob))
+    score, back = np.where(x.valid[s], lg(x.prob[s]), -np.inf), np.zeros((len(pick), x.width), np.int32)
+    for k in range(1, len(on)):
+        t = s[: on[k]] + k
+        total = score[: len(t), :, None] + lg(x.move[t - 1]) + lg(x.prob[t])[:, None]
+        back[t] = total.argmax(axis=1)
+        score[: len(t)] = np.where(x.valid[t], total.max(axis=1), -np.inf)
+    c = score.argmax(axis=1)
+    for k in range(len(on) - 1, -1, -1):
+        t = s[: on[k]] + k
+        pick[t] = c[: len(t)]
+        c[: len(t)] = back[t, pick[t]]
+
+
+def _best_second(x: _Moves, s: np.ndarray, e: np.ndarray, pick: np.ndarray) -> None:
+    """The same over pairs, for stretches of three points at least; the complexity weighs the move against what is
+    seen, point by point."""
     p, g = x.p, x.g
-    prob, least, rates, floor = g["prob"], p.least_prob, p.change_rates, p.least_factors
+    s, e, on = _by_length(s, e)
+    least, rates, floor = p.least_prob, p.change_rates, p.least_factors
     lg = lambda v: np.log(np.maximum(v, least))
-    of = lambda t: slice(int(x.first[t]), int(x.last[t]))
-    seen = lambda t: np.maximum(prob[of(t)][:, None] * prob[of(t + 1)] * x.table(x.move, t), least)
-    theta = g["theta"][of(s)]
-    near = 1.0 / (np.maximum(g["distance"][of(s)], 1.0) * np.where(theta < 0, 1.0, np.maximum(theta, 1.0)))
-    score = lg(near / near.sum())[:, None] + lg(seen(s)) + lg(x.table(x.reward, s))
-    back = []
-    for t in range(s + 2, e):
-        f = min(1.0, max(0.0, float(g["complexity"][x.first[t]])))
-        ways = x.table(x.route, t - 2)[:, :, None] + x.table(x.route, t - 1)[None]
-        base = np.exp(-np.abs(x.steps[t - 2] + x.steps[t - 1] - ways) / p.second_beta) / p.second_beta
-        both = x.table(x.family, t - 2)[:, :, None] & x.table(x.family, t - 1)[None]
-        same1, same2 = x.table(x.same, t - 2)[:, :, None], x.table(x.same, t - 1)[None]
-        calm = 1.0 - x.table(x.evidence, t - 1)[None]
-        factor = np.where(both & same1 & ~same2, np.maximum(floor[0], np.exp(-rates[1] * calm)), 1.0)
-        back_again = both & ~same1 & ~same2 & x.far_table(t - 2)[:, None, :]
-        factor = np.where(back_again, np.maximum(floor[1], np.exp(-rates[2] * calm)), factor)
-        factor = np.where(both & ~same1 & same2, 1.0 + p.settle_reward * (1.0 - calm), factor)
+    seen = lambda t: np.maximum(x.prob[t][:, :, None] * x.prob[t + 1][:, None] * x.move[t], least)
+    pairs = lambda t: x.valid[t][:, :, None] & x.valid[t + 1][:, None]
+    row = np.minimum(x.first[s][:, None] + np.arange(x.width), len(g["theta"]) - 1)
+    theta = g["theta"][row]
+    near = np.where(x.valid[s], 1.0 / (np.maximum(g["distance"][row], 1.0) * np.where(theta < 0, 1.0, np.maximum(theta, 1.0))), 0.0)
+    score = lg(near / near.sum(axis=1)[:, None])[:, :, None] + lg(seen(s)) + lg(x.reward[s])
+    score, back = np.where(pairs(s), score, -np.inf), np.zeros((len(pick), x.width, x.width), np.int32)
+    weight = g["complexity"][x.first]
+    weight = np.where(weight > 0.0, np.minimum(weight, 1.0), 0.0)
+    for k in range(2, len(on)):
+        t = s[: on[k]] + k
+        f = weight[t][:, None, None, None]
+        ways = x.route[t - 2][:, :, :, None] + x.route[t - 1][:, None]
+        base = np.exp(-np.abs((x.steps[t - 2] + x.steps[t - 1])[:, None, None, None] - ways) / p.second_beta) / p.second_beta
+        both = x.family[t - 2][:, :, :, None] & x.family[t - 1][:, None]
+        same1, same2 = x.same[t - 2][:, :, :, None], x.same[t - 1][:, None]
+        calm = 1.0 - x.evidence[t - 1]
+        factor = np.where(both & same1 & ~same2, np.maximum(floor[0], np.exp(-rates[1] * calm))[:, None], 1.0)
+        back_again = both & ~same1 & ~same2 & x.far_family[t - 2][:, :, None]
+        factor = np.where(back_again, np.maximum(floor[1], np.exp(-rates[2] * calm))[:, None], factor)
+        factor = np.where(both & ~same1 & same2, (1.0 + p.settle_reward * (1.0 - calm))[:, None], factor)
         move = np.maximum(base * factor, least)
-        total = score[:, :, None] + lg(seen(t - 1)[None] ** (1.0 - f) * move**f)
-        back.append(total.argmax(axis=0))
-        score = total.max(axis=0)
-    b, c = np.unravel_index(int(score.argmax()), score.shape)
-    out = [int(c), int(b)]
-    for ptr in reversed(back):
-        out.append(int(ptr[out[-1], out[-2]]))
-    return [int(x.first[s + t]) + k for t, k in enumerate(reversed(out))], float(score.max())
+        total = score[: len(t), :, :, None] + lg((seen(t - 1) ** (1.0 - weight[t])[:, None, None])[:, None] * move**f)
+        back[t] = total.argmax(axis=1)
+        score[: len(t)] = np.where(pairs(t - 1), total.max(axis=1), -np.inf)
+    b, c = np.divmod(score.reshape(len(s), x.width**2).argmax(axis=1), x.width)
+    for k in range(len(on) - 1, 1, -1):
+        t = s[: on[k]] + k
+        pick[t] = c[: len(t)]
+        b[: len(t)], c[: len(t)] = back[t, b[: len(t)], c[: len(t)]], b[: len(t)].copy()
+    pick[s + 1], pick[s] = c, b
+
+
+def _matched_part(left: pa.Table, right: pa.Table, names: list[str], p: MatchParams) -> pa.Table:
+    """The chosen candidates of a part of a region: ``names`` are the columns of ``match_representatives``."""
+    if not left.num_rows:
+        return pa.table({c: [] for c in names})
+    left = left.sort_by([("trip_id", "ascending"), ("segment", "ascending"), ("ts", "ascending"), ("id", "ascending"), ("rank", "ascending")])
+    g = {c: left.column(c).to_numpy() for c in left.column_names}
+    change = (g["trip_id"][1:] != g["trip_id"][:-1]) | (g["segment"][1:] != g["segment"][:-1])
+    g["stretch"] = np.concatenate(([0], np.cumsum(change)))
+    graph = RoadGraph({c: right.column(c).to_numpy() for c in FIELDS})
+    x = _Moves(g, graph, p)
+    pick = np.zeros(len(x.first), np.int64)
+    whole = np.logical_and.reduceat(x.whole, x.starts)
+    pairs = whole & (x.ends - x.starts > 2) & g["second"][x.first[x.starts]].astype(bool)
+    for best, which in ((_best_first, whole & ~pairs), (_best_second, pairs)):
+        if which.any():
+            best(x, x.starts[which], x.ends[which], pick)
+    i = x.first + pick
+    edge = x.edge[i]
+    lost = edge < 0
+    own = lambda a, b: np.where(lost, b, a)
+    road = np.array([None if v else graph.c["name"][k] for v, k in zip(lost, edge, strict=True)], dtype=object)
+    columns = (g["trip_id"][i], g["id"][i], pa.array([None if v else int(graph.c["edge_id"][k]) for v, k in zip(lost, edge, strict=True)], pa.int64()), pa.array(road, pa.string()), own(g["p_lat"][i], g["lat"][i]), own(g["p_lng"][i], g["lng"][i]), pa.array(g["offset"][i], pa.float64(), mask=lost), own(g["prob"][i], 0.1), g["complex_segment"][i].astype(bool))
+    return pa.table(dict(zip(names, columns, strict=True)))
 
 
 def match_representatives(points: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS, order: str = "adaptive") -> DataFrame:
@@ -229,32 +275,9 @@ def match_representatives(points: DataFrame, edges: DataFrame, p: MatchParams =
     rows = rows.filter(F.col("rank").isNull() | second | (F.col("rank") <= p.top_simple)).withColumn("edge_id", F.when(F.col("_all") > 1, F.col("edge_id")))
     rows = rows.withColumn("prob", _share(p)).withColumn("second", second).drop("_n", "_all", "raw_prob")
 
-    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({c: [] for c in names})
-        left = left.sort_by([("trip_id", "ascending"), ("segment", "ascending"), ("ts", "ascending"), ("id", "ascending"), ("rank", "ascending")])
-        g = {c: left.column(c).to_numpy() for c in left.column_names}
-        change = (g["trip_id"][1:] != g["trip_id"][:-1]) | (g["segment"][1:] != g["segment"][:-1])
-        g["stretch"] = np.concatenate(([0], np.cumsum(change)))
-        graph = RoadGraph({c: right.column(c).to_numpy() for c in FIELDS})
-        x = _Moves(g, graph, p)
-        chosen: list[int] = []
-        for s, e in x.stretches:
-            if not x.whole[s:e].all():
-                chosen += x.first[s:e].tolist()
-            else:
-                chosen += (_best_second if g["second"][x.first[s]] else _best_first)(x, s, e)[0]
-        i = np.array(chosen)
-        edge = x.edge[i]
-        lost = edge < 0
-        own = lambda a, b: np.where(lost, b, a)
-        road = np.array([None if v else graph.c["name"][k] for v, k in zip(lost, edge, strict=True)], dtype=object)
-        columns = (g["trip_id"][i], g["id"][i], pa.array([None if v else int(graph.c["edge_id"][k]) for v, k in zip(lost, edge, strict=True)], pa.int64()), pa.array(road, pa.string()), own(g["p_lat"][i], g["lat"][i]), own(g["p_lng"][i], g["lng"][i]), pa.array(g["offset"][i], pa.float64(), mask=lost), own(g["prob"][i], 0.1), g["complex_segment"][i].astype(bool))
-        return pa.table(dict(zip(names, columns, strict=True)))
-
     schema = "trip_id long, id long, edge_id long, road string, m_lat double, m_lng double, m_offset double, confidence double, complex boolean"
     names = [c.split()[0] for c in schema.split(", ")]
-    return map_with_roads(rows, points, edges, fn, schema, p)
+    return map_with_roads(rows, points, edges, lambda a, b: _matched_part(a, b, names, p), schema, p)
 
 
 def match(points: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS, order: str = "adaptive") -> DataFrame:
@@ -278,66 +301,92 @@ def match(points: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS, order:
     return materialise(out.select(*cols), "matched")
 
 
-def _line(a: tuple[float, float], b: tuple[float, float], steps: int) -> list[tuple[float, float]]:
-    return [a, *((a[0] + (b[0] - a[0]) * k / steps, a[1] + (b[1] - a[1]) * k / steps) for k in range(1, steps + 1))]
-
-
-def _way(g: Group, i: int, graph: RoadGraph, p: MatchParams) -> list[tuple[float, float]]:
-    """Places from one matched point to the next."""
-    a, b = ((float(g["m_lat"][k]), float(g["m_lng"][k])) for k in (i, i + 1))
-    e, f = (graph.index.get(int(g["edge_id"][k]), -1) if not np.isnan(g["edge_id"][k]) else -1 for k in (i, i + 1))
-    if e < 0 or f < 0:
-        return _line(a, b, p.line_steps)
-    oe, of = float(g["m_offset"][i]), float(g["m_offset"][i + 1])
-    if e == f:
-        return _line(a, b, p.line_steps if graph.c["one_way"][e] and of < oe else p.same_road_steps)
-    direct = float(arrays.haversine(*a, *b))
-    best = graph.way(e, oe, f, of, p)
-    if best is None or best[0] > max(direct * p.detour_ratio, direct + p.detour_extra) or len(best[1]) > p.most_nodes:
-        return _line(a, b, p.line_steps)
-    out = [a]
-    for q in [*(graph.at[n] for n in best[1]), b]:
-        if arrays.haversine(*out[-1], *q) >= p.least_step_m:
+def _ways(g: Group, graph: RoadGraph, p: MatchParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places from each matched point to the next one of its trip, all of a part together: (point, number among the
+    places of this way, latitude, longitude) in order."""
+    edge = np.array([-1 if np.isnan(e) else graph.index.get(int(e), -1) for e in g["edge_id"]], np.int64)
+    lat, lng, offset = g["m_lat"], g["m_lng"], g["m_offset"]
+    i = np.flatnonzero(g["trip_id"][1:] == g["trip_id"][:-1])
+    e, f, oe, of = edge[i], edge[i + 1], offset[i], offset[i + 1]
+    direct = arrays.haversine(lat[i], lng[i], lat[i + 1], lng[i + 1])
+    steps = np.where((e >= 0) & (e == f) & ~(graph.c["one_way"][e].astype(bool) & (of < oe)), p.same_road_steps, p.line_steps)
+    routed = np.flatnonzero((e >= 0) & (f >= 0) & (e != f))
+    metres, kind = graph.ways(e[routed], oe[routed], f[routed], of[routed], p)
+    limit = np.maximum(direct[routed] * p.detour_ratio, direct[routed] + p.detour_extra)
+    good = np.isfinite(metres) & (metres <= limit)
+    by_nodes = {k: n for k, w in zip(routed[good].tolist(), kind[good].tolist(), strict=True) if len(n := graph.nodes(w, int(e[k]), int(f[k]))) <= p.most_nodes}
+    straight = np.setdiff1d(np.arange(len(i)), np.fromiter(by_nodes, np.int64, len(by_nodes)))
+    point, at, la, ln = _straight(lat, lng, i[straight], steps[straight])
+    # Places nearer than the least step to the last kept one are left out; mostly there are none.
+    kept = [np.array([(lat[i[k]], lng[i[k]]), *(graph.at[n] for n in nodes), (lat[i[k] + 1], lng[i[k] + 1])]) for k, nodes in by_nodes.items()]
+    if kept:
+        flat = np.concatenate(kept)
+        close = arrays.haversine(flat[:-1, 0], flat[:-1, 1], flat[1:, 0], flat[1:, 1]) < p.least_step_m
+        ends = np.cumsum([len(x) for x in kept])
+        for k, (s, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            if close[s : z - 1].any():
+                kept[k] = _spaced(kept[k], p.least_step_m)
+        n = np.array([len(x) for x in kept])
+        flat = np.concatenate(kept)
+        point = np.concatenate((point, np.repeat(i[list(by_nodes)], n)))
+        at = np.concatenate((at, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)))
+        la, ln = np.concatenate((la, flat[:, 0])), np.concatenate((ln, flat[:, 1]))
+    order = np.lexsort((at, point))
+    return point[order], at[order], la[order], ln[order]
+
+
+def _straight(lat: np.ndarray, lng: np.ndarray, i: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of straight lines from points ``i`` to the next ones."""
+    n = steps + 1
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    a, steps = np.repeat(i, n), np.repeat(steps, n)
+    return a, k, lat[a] + (lat[a + 1] - lat[a]) * k / steps, lng[a] + (lng[a + 1] - lng[a]) * k / steps
+
+
+def _spaced(places: np.ndarray, least_m: float) -> np.ndarray:
+    out = [places[0]]
+    for q in places[1:]:
+        if arrays.haversine(*out[-1], *q) >= least_m:
             out.append(q)
-    return out
+    return np.array(out)
+
+
+def _rebuilt_part(left: pa.Table, right: pa.Table, p: MatchParams) -> pa.Table:
+    """The ways of the trips of a part of a region."""
+    left = left.sort_by([("trip_id", "ascending"), ("ts", "ascending"), ("id", "ascending")])
+    g = {c: left.column(c).to_numpy() for c in left.column_names}
+    g["edge_id"], g["m_offset"] = g["edge_id"].astype(float), g["m_offset"].astype(float)
+    graph = RoadGraph({c: right.column(c).to_numpy() for c in FIELDS})
+    trip, ts = g["trip_id"], g["ts"]
+    new = np.append(True, trip[1:] != trip[:-1])[: len(trip)]
+    alone = np.flatnonzero(new & np.append(new[1:], True)[: len(trip)])
+    point, k, lat, lng = _ways(g, graph, p)
+    size = np.bincount(point, minlength=len(trip))[point]
+    took = np.maximum(ts[np.minimum(point + 1, len(ts) - 1)] - ts[point], 1)
+    at = ts[point] + (took * (k / np.maximum(size - 1, 1))).astype(np.int64)
+    first = (k > 0) | new[point]  # a way begins where the last one ended
+    columns = (np.concatenate((own, x[first])) for own, x in ((trip[alone], trip[point]), (ts[alone], at), (g["m_lat"][alone], lat), (g["m_lng"][alone], lng)))
+    trip, ts, lat, lng = columns
+    order = np.argsort(trip, kind="stable")
+    trip, ts, lat, lng = trip[order], ts[order], lat[order], lng[order]
+    seen: set[tuple] = set()
+    once = np.zeros(len(trip), bool)
+    for i, key in enumerate(zip(trip.tolist(), map("{:.6f}".format, lat.tolist()), map("{:.6f}".format, lng.tolist()), (ts // 1000).tolist(), strict=True)):
+        if key not in seen:
+            seen.add(key)
+            once[i] = True
+    trip, ts, lat, lng = trip[once], ts[once], lat[once], lng[once]
+    begin = np.flatnonzero(np.append(True, trip[1:] != trip[:-1])[: len(trip)])
+    pos = np.arange(len(trip)) - np.repeat(begin, np.diff(np.append(begin, len(trip))))
+    return pa.table({"trip_id": pa.array(trip, pa.int64()), "pos": pa.array(pos, pa.int32()), "ts": pa.array(ts, pa.int64()), "lat": pa.array(lat, pa.float64()), "lng": pa.array(lng, pa.float64())})
 
 
 def reconstruct(matched: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
     """``trip_id, pos, ts, lat, lng``: the way between matched points, over nodes where the graph gives a
     reasonable one, else a straight line. Points equal in six decimals and second are given once. A
     trip of one point is that point."""
-
-    def trip(g: Group, graph: RoadGraph) -> list[tuple[int, float, float]]:
-        if len(g["id"]) == 1:
-            return [(int(g["ts"][0]), float(g["m_lat"][0]), float(g["m_lng"][0]))]
-        out, seen = [], set()
-        for i in range(len(g["id"]) - 1):
-            pts = _way(g, i, graph, p)
-            took = max(int(g["ts"][i + 1] - g["ts"][i]), 1)
-            for j in range(1 if i else 0, len(pts)):
-                ts = int(g["ts"][i]) + int(took * (j / (len(pts) - 1) if len(pts) > 1 else 0.0))
-                key = (f"{pts[j][0]:.6f}", f"{pts[j][1]:.6f}", ts // 1000)
-                if key not in seen:
-                    seen.add(key)
-                    out.append((ts, *pts[j]))
-        return out
-
-    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by([("trip_id", "ascending"), ("ts", "ascending"), ("id", "ascending")])
-        g = {c: left.column(c).to_numpy() for c in left.column_names}
-        g["edge_id"] = g["edge_id"].astype(float)
-        graph = RoadGraph({c: right.column(c).to_numpy() for c in FIELDS})
-        cuts = np.flatnonzero(g["trip_id"][1:] != g["trip_id"][:-1]) + 1
-        rows = []
-        for s, e in zip([0, *cuts], [*cuts, len(g["id"])], strict=True):
-            if e > s:
-                rows += [(int(g["trip_id"][s]), k, *x) for k, x in enumerate(trip({c: v[s:e] for c, v in g.items()}, graph))]
-        cols = zip(*rows, strict=True) if rows else ((),) * 5
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("trip_id", "pos", "ts", "lat", "lng"), cols, types, strict=True)})
-
     rows = matched.select("trip_id", "id", "ts", "edge_id", "m_lat", "m_lng", "m_offset")
-    return map_with_roads(rows, matched, edges, fn, "trip_id long, pos int, ts long, lat double, lng double", p)
+    return map_with_roads(rows, matched, edges, lambda a, b: _rebuilt_part(a, b, p), "trip_id long, pos int, ts long, lat double, lng double", p)
 
 
 def quality(matched: DataFrame, rebuilt: DataFrame) -> DataFrame:

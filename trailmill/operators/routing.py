@@ -66,14 +66,16 @@ class RoadGraph:
 
     def metres(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of the shortest paths between pairs of nodes, infinite where there is none: one
-        search for each distinct first node."""
+        search for each distinct first node, and one look for each distinct pair."""
+        nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        pairs, back = np.unique(at[: len(a)] * len(nodes) + at[len(a) :], return_inverse=True)
+        a, b = nodes[pairs // max(len(nodes), 1)], nodes[pairs % max(len(nodes), 1)]
         out = np.full(len(a), np.inf)
-        order = np.argsort(a, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(a) else ():
+        for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1) if len(a) else ():
             targets = b[part].tolist()
             best, _ = self._search(int(a[part[0]]), set(targets))
             out[part] = [best.get(t, np.inf) for t in targets]
-        return out
+        return out[back]
 
     def path(self, a: int, b: int) -> tuple[float, list[int]] | None:
         """(metres, nodes) of the shortest path."""
@@ -139,9 +141,12 @@ class RoadGraph:
         metres, kind = (x[0] for x in self.ways(*(np.array([x]) for x in (i, oi, j, oj)), p))
         if not np.isfinite(metres):
             return None
+        return float(metres), self.nodes(int(kind), i, j)
+
+    def nodes(self, kind: int, i: int, j: int) -> list[int]:
+        """Nodes of a way of this kind between two edges."""
         a, b = (int(self.c[("start_node", "end_node")[k]][e]) for k, e in ((kind % 4 // 2, i), (kind % 2, j)))
-        nodes = self.path(a, b)[1] if kind < 4 else [a] if a == b else [a, b]
-        return float(metres), nodes
+        return self.path(a, b)[1] if kind < 4 else [a] if a == b else [a, b]
 
     def edge_path(self, i: int, j: int) -> list[int]:
         """The edges along the shortest of the paths between an end of one road and a different end of
