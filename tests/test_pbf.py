@@ -24,6 +24,13 @@ def test_packed_numbers(values):
     assert pbf.packed(pbf.put_packed(small, True), True).tolist() == small
 
 
+@given(st.lists(LONG))
+def test_few_and_many_numbers(values):
+    assert pbf.numbers(pbf.put_packed(values)) == values
+    assert pbf._put_array(np.array(values, np.int64)) == pbf.put_packed(values, True)
+    assert pbf.numbers(pbf.put_packed(values, True), True) == pbf.packed(pbf.put_packed(values, True), True).tolist()
+
+
 def nodes(spark, n=5000):
     tags = F.when(F.col("id") % 100 == 0, F.create_map(F.lit("highway"), F.lit("crossing"), F.lit("名"), F.col("id").cast("string")))
     return spark.range(n).select((F.col("id") * 3 - 7000).alias("id"), (F.col("id") * 0.001 - 2).alias("lat"), (F.lit(179.9) - F.col("id") * 0.07).alias("lng"), tags.alias("tags"))
@@ -56,6 +63,18 @@ def test_blocks_are_dealt_and_pruned(spark, tmp_path):
     assert pbf.read_nodes(spark, path, (80.0, 81.0, 0.0, 1.0), index).count() == 0
 
 
+def test_an_index_decodes_no_way(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/map"
+    ways = spark.range(100).select("id", F.array("id", F.col("id") + 1).alias("node_ids"), F.create_map(F.lit("name"), F.col("id").cast("string")).alias("tags"))
+    pbf.write_pbf(ways.coalesce(1), path, block_rows="30")
+    (file,) = pbf.files_of(path)
+    monkeypatch.setattr(pbf.Block, "_tags", lambda *_: pytest.fail("tags of a way were decoded"))
+    reader, rows = pbf.PbfReader({"path": path, "kind": "blocks"}), []
+    for span in reader.partitions():
+        rows += [r for b in reader.read(span) for r in b.to_pylist()]
+    assert [(r["file"], r["nodes"], r["ways"]) for r in rows] == [(file, 0, 30)] * 3 + [(file, 0, 10)]
+
+
 def framed(kind, content, raw=False):
     blob = pbf.put(1, content) if raw else pbf.put(2, len(content)) + pbf.put(3, zlib.compress(content))
     head = pbf.put(1, kind) + pbf.put(2, b"index data of some writer") + pbf.put(3, len(blob))

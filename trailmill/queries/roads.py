@@ -215,7 +215,7 @@ def extract_network(spark, sf):
 def _map_file(spark, sf):
     """The town as a folder of map files in the scratch folder: nodes by rows of the map, then streets."""
     path = f"{scratch_root(spark)}/map-{uuid.uuid4().hex}"
-    pbf.write_pbf(derived(spark, sf, "town_node").repartitionByRange(8, "lat").sortWithinPartitions("lat", "lng"), path, block_rows="500")
+    pbf.write_pbf(derived(spark, sf, "town_node").repartitionByRange("lat").sortWithinPartitions("lat", "lng"), path, block_rows="500")
     pbf.write_pbf(town_ways(spark, sf), path)
     return path
 

@@ -15,14 +15,16 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from trailmill.functions import geo
 
@@ -81,6 +83,17 @@ def packed(b: bytes, signed: bool = False) -> np.ndarray:
     return ((v >> np.uint64(1)) ^ (np.uint64(0) - (v & np.uint64(1)))).view(np.int64) if signed else v.view(np.int64)
 
 
+def numbers(b: bytes, signed: bool = False) -> list[int]:
+    """The same as a list; a few numbers are read one by one, since arrays cost more than these."""
+    if len(b) > 200:
+        return packed(b, signed).tolist()
+    out, i = [], 0
+    while i < len(b):
+        v, i = (b[i], i + 1) if b[i] < 0x80 else _varint(b, i)
+        out.append(_signed(v) if signed else _whole(v))
+    return out
+
+
 def _signed(v: int) -> int:
     return (v >> 1) ^ -(v & 1)
 
@@ -96,7 +109,12 @@ def put(number: int, value: int | bytes) -> bytes:
     return _put_varint(number << 3 | 2) + _put_varint(len(value)) + value
 
 
+_BYTES = [bytes((v,)) for v in range(0x80)]
+
+
 def _put_varint(v: int) -> bytes:
+    if 0 <= v < 0x80:
+        return _BYTES[v]
     out = bytearray()
     v &= (1 << 64) - 1
     while v >= 0x80:
@@ -110,6 +128,21 @@ def put_packed(values: Iterable[int], signed: bool = False) -> bytes:
     return b"".join(_put_varint((v << 1) ^ (v >> 63) if signed else v) for v in values)
 
 
+def _put_array(v: np.ndarray) -> bytes:
+    """``put_packed`` of signed numbers, for many of them."""
+    u = ((v << 1) ^ (v >> 63)).view(np.uint64)
+    n = 1 + sum((u >= np.uint64(1 << 7 * k)).astype(np.int64) for k in range(1, 10))
+    at = np.repeat(np.arange(len(u)), n)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    low = (u[at] >> (7 * place).astype(np.uint64)) & np.uint64(0x7F)
+    return (low.astype(np.uint8) | np.where(place < n[at] - 1, 0x80, 0).astype(np.uint8)).tobytes()
+
+
+def _steps(values: list[int]) -> list[int]:
+    """Each number less the one before it, in 64 bits."""
+    return [((b - a + (1 << 63)) & ((1 << 64) - 1)) - (1 << 63) for a, b in zip([0, *values], values)]
+
+
 # --- blocks of a file
 
 
@@ -156,11 +189,11 @@ class Block:
     """A decoded block: its strings, its scale and its groups."""
 
     def __init__(self, blob: bytes):
-        self.strings, self.groups = [], []
+        self._table, self.groups = b"", []
         scale, lat0, lng0 = 100, 0, 0
         for k, v in fields(_content(blob)):
             if k == 1:
-                self.strings = [s.decode("utf-8", "replace") for _, s in fields(v)]
+                self._table = v
             elif k == 2:
                 self.groups.append(v)
             elif k == 17:
@@ -172,8 +205,12 @@ class Block:
         self.lat = lambda x: 1e-9 * (lat0 + scale * x)
         self.lng = lambda x: 1e-9 * (lng0 + scale * x)
 
+    @cached_property
+    def strings(self) -> list[str]:
+        return [s.decode("utf-8", "replace") for _, s in fields(self._table)]
+
     def _tags(self, keys: bytes, values: bytes) -> list[tuple[str, str]]:
-        return [(self.strings[a], self.strings[b]) for a, b in zip(packed(keys).tolist(), packed(values).tolist(), strict=True)]
+        return [(self.strings[a], self.strings[b]) for a, b in zip(numbers(keys), numbers(values), strict=True)]
 
     def node_arrays(self, with_tags: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
         """ids, latitudes, longitudes and tags, group by group; plain nodes and dense ones."""
@@ -209,7 +246,12 @@ class Block:
             for k, v in fields(g):
                 if k == 3:
                     d = dict(fields(v))
-                    yield _whole(d.get(1, 0)), np.cumsum(packed(d.get(8, b""), True)).tolist(), self._tags(d.get(2, b""), d.get(3, b""))
+                    refs = [_whole(x & ((1 << 64) - 1)) for x in accumulate(numbers(d.get(8, b""), True))]
+                    yield _whole(d.get(1, 0)), refs, self._tags(d.get(2, b""), d.get(3, b""))
+
+    def count_ways(self) -> int:
+        """How many ways, none of them decoded."""
+        return sum(k == 3 for g in self.groups for k, _ in fields(g))
 
 
 # --- the data source
@@ -263,7 +305,7 @@ class PbfReader(DataSourceReader):
 
     def _blocks(self, block: Block, file: str, at: int, size: int) -> Iterator[pa.RecordBatch]:
         parts = [x[:3] for x in block.node_arrays(False) if len(x[0])]
-        ways = sum(1 for _ in block.ways())
+        ways = block.count_ways()
         ids, lat, lng = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0),) * 3
         box = (lat.min(), lat.max(), lng.min(), lng.max(), int(ids.min()), int(ids.max())) if parts else (None,) * 6
         row = (file, at, size, len(ids), ways, *box)
@@ -275,7 +317,7 @@ class _Written(WriterCommitMessage):
         self.path = path
 
 
-class PbfWriter(DataSourceWriter):
+class PbfWriter(DataSourceArrowWriter):
     """One file for each partition, of nodes or of ways. A file has its name only once the job is committed."""
 
     def __init__(self, options: dict[str, str], columns: list[str]):
@@ -288,14 +330,17 @@ class PbfWriter(DataSourceWriter):
         p = f"{folder}/part-{uuid.uuid4().hex}.osm.pbf.tmp"
         with fs.open_output_stream(p) as f:
             f.write(_framed(b"OSMHeader", put(4, b"OsmSchema-V0.6") + put(4, b"DenseNodes")))
-            held = []
-            for r in iterator:
-                held.append(r)
-                if len(held) == self.rows:
-                    f.write(self._block(held))
-                    held = []
-            if held:
-                f.write(self._block(held))
+            held: list[pa.RecordBatch] = []
+            for batch in iterator:
+                held.append(batch)
+                n = sum(b.num_rows for b in held)
+                if n >= self.rows:
+                    t = pa.Table.from_batches(held)
+                    for at in range(0, n - n % self.rows, self.rows):
+                        f.write(self._block(t.slice(at, self.rows)))
+                    held = t.slice(n - n % self.rows).to_batches()
+            if sum(b.num_rows for b in held):
+                f.write(self._block(pa.Table.from_batches(held)))
         return _Written(p)
 
     def commit(self, messages) -> None:
@@ -310,23 +355,32 @@ class PbfWriter(DataSourceWriter):
             if m is not None:
                 fs.delete_file(m.path)
 
-    def _block(self, rows: list) -> bytes:
+    def _block(self, t: pa.Table) -> bytes:
+        c = {n: t.column(n).combine_chunks() for n in t.column_names}
+        if missing := [n for n in ("id", "lat", "lng") if n in c and c[n].null_count]:
+            raise ValueError(f"rows without {', '.join(missing)}")
         place: dict[str, int] = {"": 0}
-        number = lambda s: place.setdefault(s, len(place))
+        tags = self._tags(c["tags"], place) if "tags" in c else [((), ())] * t.num_rows
         if "node_ids" in self.columns:
-            group = b"".join(put(3, self._way(r, number)) for r in rows)
+            refs = zip(c["id"].to_pylist(), tags, c["node_ids"].to_pylist(), strict=True)
+            group = b"".join(put(3, put(1, i) + put(2, put_packed(k)) + put(3, put_packed(v)) + put(8, put_packed(_steps(r or []), True))) for i, (k, v), r in refs)
         else:
-            scaled = lambda c: [round(r[c] * 1e7) for r in rows]
-            steps = lambda v: put_packed(np.diff(np.array(v, np.int64), prepend=0).tolist(), True)
-            tags = [x for r in rows for x in (*chain.from_iterable((number(k), number(v)) for k, v in (r["tags"] or {}).items()), 0)] if "tags" in self.columns else []
-            group = put(2, put(1, steps([r["id"] for r in rows])) + put(8, steps(scaled("lat"))) + put(9, steps(scaled("lng"))) + put(10, put_packed(tags)))
+            steps = lambda v: _put_array(np.diff(v, prepend=np.int64(0)))
+            scaled = lambda n: steps(np.rint(c[n].to_numpy() * 1e7).astype(np.int64))
+            pairs = [x for k, v in tags for x in (*(y for kv in zip(k, v, strict=True) for y in kv), 0)] if "tags" in c else []
+            group = put(2, put(1, steps(c["id"].to_numpy())) + put(8, scaled("lat")) + put(9, scaled("lng")) + put(10, put_packed(pairs)))
         strings = b"".join(put(1, s.encode()) for s in place)
         return _framed(b"OSMData", put(1, strings) + put(2, group))
 
-    def _way(self, r, number) -> bytes:
-        tags = (r["tags"] or {}).items()
-        refs = np.diff(np.array(r["node_ids"], np.int64), prepend=0).tolist()
-        return put(1, r["id"]) + put(2, put_packed(number(k) for k, _ in tags)) + put(3, put_packed(number(v) for _, v in tags)) + put(8, put_packed(refs, True))
+    def _tags(self, tags: pa.MapArray, place: dict[str, int]) -> list[tuple[list[int], list[int]]]:
+        """The numbers of the keys and of the values of each row; ``place`` gives every string its number."""
+        number = lambda s: place.setdefault(s, len(place))
+        if tags.null_count:
+            rows = [r or () for r in tags.to_pylist()]
+            return [([number(k) for k, _ in r], [number(v) for _, v in r]) for r in rows]
+        at = tags.offsets.to_pylist()
+        k, v = ([number(x) for x in c.slice(at[0], at[-1] - at[0]).to_pylist()] for c in (tags.keys, tags.items))
+        return [(k[a - at[0] : b - at[0]], v[a - at[0] : b - at[0]]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _framed(kind: bytes, content: bytes) -> bytes:
