@@ -46,3 +46,23 @@ def test_replay_sorts_its_lines_once(spark):
     assert q._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
     kinds = {"PHOTO": derived(spark, SF_DIR, "photo").count(), "VIDEO": derived(spark, SF_DIR, "video").count(), "NOTE": derived(spark, SF_DIR, "note").count()}
     assert {r["kind"]: r["n"] for r in q.groupBy("kind").agg(F.sum("n").alias("n")).collect()} == kinds
+
+
+def test_places_without_a_cover_are_dealt_out(spark):
+    """Photos and videos bear the ids of the places here: none of them may be taken for a cover."""
+    from trailmill.operators.relational import place_covers
+
+    place = spark.range(1000).select("id", F.when(F.col("id") == 7, F.col("id") + 1).alias("photo_cover_id"), F.when(F.col("id") == 9, F.col("id")).alias("video_cover_id"))
+    media = spark.range(1000).select("id", F.concat(F.lit("o"), F.col("id")).alias("object_key"), F.concat(F.lit("t"), F.col("id")).alias("thumbnail_object_key"))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = place_covers(place, media, media).withColumn("_at", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 1000 and {(r["id"], r["kind"], r["cover_key"]) for r in rows if r["kind"] or r["cover_key"]} == {(7, "PHOTO", "o8"), (9, "VIDEO", "t9")}
+    sizes = [sum(r["_at"] == k for r in rows) for k in {r["_at"] for r in rows}]
+    assert len(sizes) > 1 and max(sizes) < 500

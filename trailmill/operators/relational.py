@@ -60,10 +60,14 @@ def or_default(trips: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def place_covers(place: DataFrame, photo: DataFrame, video: DataFrame) -> DataFrame:
-    """``id, kind, cover_key``: a place's photo if it names one, even if that is gone; else its video."""
-    ph = photo.select(F.col("id").alias("photo_cover_id"), F.col("object_key").alias("_p"))
-    v = video.select(F.col("id").alias("video_cover_id"), F.col("thumbnail_object_key").alias("_v"))
-    j = place.join(ph, "photo_cover_id", "left").join(v, "video_cover_id", "left")
+    """``id, kind, cover_key``: a place's photo if it names one, even if that is gone; else its video.
+
+    Most places name no photo, and rows without a key would all go to one task of the join: a second key, of their own
+    id, deals these out."""
+    ph = photo.select(F.col("id").alias("photo_cover_id"), F.col("id").alias("_ph"), F.col("object_key").alias("_p"))
+    v = video.select(F.col("id").alias("video_cover_id"), F.col("id").alias("_vi"), F.col("thumbnail_object_key").alias("_v"))
+    dealt = place.withColumns({"_ph": F.coalesce("photo_cover_id", "id"), "_vi": F.coalesce("video_cover_id", "id")})
+    j = dealt.join(ph, ["photo_cover_id", "_ph"], "left").join(v, ["video_cover_id", "_vi"], "left")
     by_photo = F.col("photo_cover_id").isNotNull()
     kind = F.when(by_photo & F.col("_p").isNotNull(), "PHOTO").when(~by_photo & F.col("_v").isNotNull(), "VIDEO")
     return j.select("id", kind.alias("kind"), F.when(by_photo, F.col("_p")).otherwise(F.col("_v")).alias("cover_key"))
