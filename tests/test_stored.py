@@ -85,3 +85,13 @@ def test_two_writers(spark, journal):
     assert Journal.open(spark, journal.root).version == first.version
     assert first.vacuum() > 0 and first.read("trip").count() == 40 and first.read("photo").count() == 120
     assert len([n for n in os.listdir(journal.root) if n.startswith("manifest")]) == 1
+
+
+def test_parts_are_written_where_their_rows_are(spark, tmp_path):
+    """Each task writes the rows that it has: no part is gathered in one task."""
+    photo = spark.range(4000).repartition(4).selectExpr("id", "id % 500 trip_id", "cast(id as string) object_key")
+    j = Journal.open(spark, str(tmp_path / "large")).create({"photo": photo})
+    files = [sum(f.endswith(".parquet") for f in os.listdir(p)) for p in j.manifest["photo"]["parts"].values()]
+    assert len(files) == stored.PARTS and min(files) > 1
+    gone = spark.range(0, 500, 2)
+    assert rows(j.delete_trips(gone).read("photo"), "id") == sorted([(k,) for k in range(4000) if k % 2], key=str)

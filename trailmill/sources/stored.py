@@ -90,9 +90,10 @@ class Journal:
         return sorted(r["_part"] for r in parts.distinct().collect())
 
     def _write(self, table: str, df: DataFrame) -> dict[str, str]:
-        """Writes rows into new folders and gives those of each part."""
+        """Writes rows into new folders and gives those of each part. Every task writes its own files of the parts that it
+        has rows of: a shuffle to the parts would move each table once more and leave it to ``PARTS`` tasks at most."""
         path = f"{self.root}/{table}-{uuid.uuid4().hex}"
-        df.withColumn("_part", _part(table)).repartition("_part").write.partitionBy("_part").parquet(path)
+        df.withColumn("_part", _part(table)).write.partitionBy("_part").parquet(path)
         fs, p = _fs(self.spark, path)
         names = [s.getPath().getName() for s in fs.listStatus(p)]
         return {n.removeprefix("_part="): f"{path}/{n}" for n in names if n.startswith("_part=")}
