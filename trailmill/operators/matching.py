@@ -309,7 +309,9 @@ def _ways(g: Group, graph: RoadGraph, p: MatchParams) -> tuple[np.ndarray, np.nd
     i = np.flatnonzero(g["trip_id"][1:] == g["trip_id"][:-1])
     e, f, oe, of = edge[i], edge[i + 1], offset[i], offset[i + 1]
     direct = arrays.haversine(lat[i], lng[i], lat[i + 1], lng[i + 1])
-    steps = np.where((e >= 0) & (e == f) & ~(graph.c["one_way"][e].astype(bool) & (of < oe)), p.same_road_steps, p.line_steps)
+    one_way = np.zeros(len(i), bool)
+    one_way[e >= 0] = graph.c["one_way"][e[e >= 0]].astype(bool)  # there may be no road at all
+    steps = np.where((e >= 0) & (e == f) & ~(one_way & (of < oe)), p.same_road_steps, p.line_steps)
     routed = np.flatnonzero((e >= 0) & (f >= 0) & (e != f))
     metres, kind = graph.ways(e[routed], oe[routed], f[routed], of[routed], p)
     limit = np.maximum(direct[routed] * p.detour_ratio, direct[routed] + p.detour_extra)
