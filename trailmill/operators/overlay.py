@@ -14,14 +14,17 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmill.operators import roads
 from trailmill.scratch import materialise
 
 #: Nodes of a cell at most, unless it is of the finest level; degrees of the coarsest cells; levels below them.
 MOST_NODES, COARSEST, LEVELS = 2000, 4.0, 15
+#: Level of the cells by which nodes are dealt, some 14 km high: cells below it are counted where the nodes are.
+DEALT = 5
+#: Places that were reached in a round are sent to every task up to this number (some 10 MB), so that jumps stay where they are.
+MOST_SENT = 400_000
 
 
 @dataclass
@@ -37,17 +40,29 @@ class Overlay:
 
 def cells_of(nodes: DataFrame, most: int = MOST_NODES) -> DataFrame:
     """``node_id, cell`` for nodes with ``lat`` and ``lng``: the largest cell of the quadtree that has no more than
-    ``most`` nodes. The tree is found on counts of the finest cells alone."""
+    ``most`` nodes. Nodes move once, to cells of the level ``DEALT``: larger cells are found on the counts of these, smaller
+    ones among the nodes of each."""
     fine = COARSEST / (1 << LEVELS)
+    up = lambda c, k, of: F.floor(F.col(c) / F.pow(F.lit(2.0), of - k))
     at = nodes.select("node_id", F.floor(F.col("lat") / fine).alias("_y"), F.floor(F.col("lng") / fine).alias("_x"))
-    n = at.groupBy("_y", "_x").agg(F.count(F.lit(1)).alias("_n"))
-    levels = n.select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_k"))
-    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), LEVELS - F.col("_k")))
-    levels = levels.withColumns({"_cy": up("_y"), "_cx": up("_x")})
-    sums = levels.groupBy("_k", "_cy", "_cx").agg(F.sum("_n").alias("_all"))
-    small = (F.col("_all") <= most) | (F.col("_k") == LEVELS)
-    leaf = levels.join(sums.filter(small), ["_k", "_cy", "_cx"]).groupBy("_y", "_x").agg(F.min(F.struct("_k", "_cy", "_cx")).alias("_c"))
-    return at.join(leaf, ["_y", "_x"]).select("node_id", F.concat_ws("/", "_c._k", "_c._cy", "_c._cx").alias("cell"))
+    at = at.withColumns({"_dy": up("_y", F.lit(DEALT), LEVELS), "_dx": up("_x", F.lit(DEALT), LEVELS)})
+
+    def large(n: DataFrame) -> DataFrame:
+        k = n.select("*", F.explode(F.sequence(F.lit(0), F.lit(DEALT))).alias("_k")).withColumns({"_cy": up("_dy", F.col("_k"), DEALT), "_cx": up("_dx", F.col("_k"), DEALT)})
+        sums = k.groupBy("_k", "_cy", "_cx").agg(F.sum("_n").alias("_all")).filter(F.col("_all") <= most)
+        return n.select("_dy", "_dx").join(k.join(sums, ["_k", "_cy", "_cx"]).groupBy("_dy", "_dx").agg(_largest()), ["_dy", "_dx"], "left")
+
+    dealt = materialise(large(materialise(at.groupBy("_dy", "_dx").agg(F.count(F.lit(1)).alias("_n")), "counts")), "large")
+    at = at.repartition("_dy", "_dx").join(dealt, ["_dy", "_dx"])
+    levels = at.select("*", F.explode(F.when(F.col("_c").isNull(), F.sequence(F.lit(DEALT + 1), F.lit(LEVELS))).otherwise(F.array("_c._k"))).alias("_k"))
+    levels = levels.withColumns({"_cy": up("_y", F.col("_k"), LEVELS), "_cx": up("_x", F.col("_k"), LEVELS)})
+    levels = levels.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("_dy", "_dx", "_k", "_cy", "_cx")))
+    leaf = levels.filter((F.col("_all") <= most) | (F.col("_k") == LEVELS)).groupBy("_dy", "_dx", "node_id").agg(_largest())
+    return leaf.select("node_id", F.concat_ws("/", "_c._k", "_c._cy", "_c._cx").alias("cell"))
+
+
+def _largest() -> Column:
+    return F.min(F.struct("_k", "_cy", "_cx")).alias("_c")
 
 
 def _search(out: dict[int, list[tuple[int, float]]], first: int, wanted: set[int] | None = None) -> dict[int, float]:
@@ -127,8 +142,10 @@ def build(edges: DataFrame, most: int = MOST_NODES) -> Overlay:
     nodes = ends.groupBy(F.col("p.node_id").alias("node_id")).agg(F.min("p.lat").alias("lat"), F.min("p.lng").alias("lng"))
     cells = materialise(cells_of(nodes, most), "cells")
     of = lambda n, c: cells.select(F.col("node_id").alias(n), F.col("cell").alias(c))
-    arcs = roads.adjacency(edges).select("from_node", "to_node", "length_m").join(of("from_node", "cell"), "from_node").join(of("to_node", "to_cell"), "to_node")
-    arcs = materialise(arcs.groupBy("cell", "to_cell", "from_node", "to_node").agg(F.min("length_m").alias("length_m")), "arcs")
+    placed = edges.join(of("start_node", "_a"), "start_node").join(of("end_node", "_b"), "end_node")
+    arc = lambda a, b, m, n: F.struct(F.col(m).alias("cell"), F.col(n).alias("to_cell"), F.col(a).alias("from_node"), F.col(b).alias("to_node"), "length_m")
+    ahead, back = arc("start_node", "end_node", "_a", "_b"), arc("end_node", "start_node", "_b", "_a")
+    arcs = materialise(placed.select(F.inline(F.when(F.col("one_way"), F.array(ahead)).otherwise(F.array(ahead, back)))), "arcs")
     inside, cross = arcs.filter("cell = to_cell").drop("to_cell"), arcs.filter("cell <> to_cell")
     borders = materialise(_borders(cross), "borders")
     asked = borders.filter("entry").select("cell", F.lit(EXITS).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"))
@@ -142,7 +159,8 @@ def metres_between(overlay: Overlay, pairs: DataFrame, most_m: float | None = No
     none of up to ``most_m``). A node unknown to the network has no way; one to itself is 0.
 
     Each round takes the jumps from all places that were reached nearer than before, as one join; a source goes
-    on only as far as its farthest target needs.
+    on only as far as its farthest target needs. Rounds become small long before the last one: then their places go to
+    the tables, and of these only what a place meets is moved.
     """
     asked = materialise(pairs.select("source", "target").filter("source is not null and target is not null").distinct(), "pairs")
     of = lambda c: overlay.cells.select(F.col("node_id").alias(c), F.col("cell").alias(f"_{c}"))
@@ -153,19 +171,24 @@ def metres_between(overlay: Overlay, pairs: DataFrame, most_m: float | None = No
     q = q.unionByName(known.filter("_source = _target").select(F.col("_source").alias("cell"), F.lit(DIRECT).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")))
     found = materialise(_ask(overlay.inside, _borders(overlay.cross), q), "answers")
     arrive = found.filter(F.col("kind") == ENTRIES).select(F.col("a").alias("node"), F.col("b").alias("target"), F.col("metres").alias("_last"))
-    best = materialise(found.filter(F.col("kind") == DIRECT).select(F.col("a").alias("source"), F.col("b").alias("target"), "metres"), "best")
-    first = found.filter(F.col("kind") == EXITS).join(overlay.cross.select(F.col("from_node").alias("b"), F.col("to_node").alias("node"), "length_m"), "b")
-    new = first.groupBy(F.col("a").alias("source"), "node").agg(F.min(F.col("metres") + F.col("length_m")).alias("metres"))
     limit = F.lit(float("inf") if most_m is None else most_m)
+    best = found.filter(F.col("kind") == DIRECT).select(F.col("a").alias("source"), F.col("b").alias("target"), "metres").filter(F.col("metres") <= limit)
+    nearest = lambda d, *by: d.groupBy(*by).agg(F.min("metres").alias("metres"))
+    first = found.filter(F.col("kind") == EXITS).join(overlay.cross.select(F.col("from_node").alias("b"), F.col("to_node").alias("node"), "length_m"), "b")
+    new = nearest(first.select(F.col("a").alias("source"), "node", (F.col("metres") + F.col("length_m")).alias("metres")), "source", "node")
     new = reached = materialise(new.filter(F.col("metres") <= limit), "reached")
-    while not new.isEmpty():
-        at_target = new.join(arrive, "node").select("source", "target", (F.col("metres") + F.col("_last")).alias("metres")).join(asked, ["source", "target"], "left_semi")
-        best = materialise(best.unionByName(at_target).filter(F.col("metres") <= limit).groupBy("source", "target").agg(F.min("metres").alias("metres")), "best")
-        needs = known.join(best, ["source", "target"], "left").groupBy("source").agg(F.max(F.coalesce("metres", limit)).alias("_far"))
-        go = new.join(needs, "source").filter(F.col("metres") < F.col("_far"))
-        step = go.join(overlay.jumps.withColumnRenamed("metres", "_m"), go["node"] == overlay.jumps["from_node"]).select("source", F.col("to_node").alias("node"), (F.col("metres") + F.col("_m")).alias("metres"), "_far")
-        step = step.filter(F.col("metres") < F.col("_far")).groupBy("source", "node").agg(F.min("metres").alias("metres"))
-        before = reached.groupBy("source", "node").agg(F.min("metres").alias("_before"))
+    jumps = overlay.jumps.select(F.col("from_node").alias("node"), "to_node", F.col("metres").alias("_m"))
+    while n := new.count():
+        few = F.broadcast if n <= MOST_SENT else lambda d: d
+        mine = known.select("source", "target").join(few(new.select("source")), "source", "left_semi")
+        at_target = few(new).join(arrive, "node").select("source", "target", (F.col("metres") + F.col("_last")).alias("metres")).filter(F.col("metres") <= limit)
+        best = best.unionByName(materialise(nearest(at_target.join(mine, ["source", "target"], "left_semi"), "source", "target"), "best"))
+        so_far = nearest(best.join(few(new.select("source")), "source", "left_semi"), "source", "target")
+        needs = mine.join(so_far, ["source", "target"], "left").groupBy("source").agg(F.max(F.coalesce("metres", limit)).alias("_far"))
+        go = few(new.join(needs, "source").filter(F.col("metres") < F.col("_far")))
+        step = go.join(jumps, "node").select("source", F.col("to_node").alias("node"), (F.col("metres") + F.col("_m")).alias("metres"), "_far")
+        step = materialise(nearest(step.filter(F.col("metres") < F.col("_far")), "source", "node"), "step")
+        before = nearest(reached.join(step.select("source", "node"), ["source", "node"], "left_semi"), "source", "node").withColumnRenamed("metres", "_before")
         new = materialise(step.join(before, ["source", "node"], "left").filter(F.col("_before").isNull() | (F.col("metres") < F.col("_before"))).select("source", "node", "metres"), "new")
         reached = reached.unionByName(new)
-    return asked.join(best.filter(F.col("metres") <= limit), ["source", "target"], "left").select("source", "target", "metres")
+    return asked.join(nearest(best, "source", "target"), ["source", "target"], "left").select("source", "target", "metres")

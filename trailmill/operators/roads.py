@@ -56,32 +56,39 @@ def extract_network(nodes: DataFrame, ways: DataFrame, south: float, north: floa
     with the seeds, and two of the pieces with the nodes.
     """
     seeds = nodes.filter(geo.in_box("lat", "lng", south - margin, north + margin, west - margin, east + margin)).select("id")
-    flat = _flat(ways)
+    flat = ways.filter(drivable(F.col("tags"))).select(F.col("id").alias("way_id"), F.explode("node_ids").alias("node_id"))
     touched = flat.join(seeds, flat["node_id"] == seeds["id"], "left_semi").select("way_id").distinct()
-    e = _pieces(flat.join(touched, "way_id", "left_semi"), nodes)
+    e = _pieces(ways.join(touched, ways["id"] == touched["way_id"], "left_semi"), nodes)
     return finish_edges(e.filter(geo.boxes_meet(F.least("lat1", "lat2"), F.greatest("lat1", "lat2"), F.least("lng1", "lng2"), F.greatest("lng1", "lng2"), south, north, west, east)))
 
 
 def whole_network(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """Edges of all ways that cars may use."""
-    return finish_edges(_pieces(_flat(ways), nodes))
+    return finish_edges(_pieces(ways, nodes))
 
 
-def _flat(ways: DataFrame) -> DataFrame:
-    """``way_id, tags, seq, node_id`` of ways that cars may use."""
-    return ways.filter(drivable(F.col("tags"))).select(F.col("id").alias("way_id"), "tags", F.posexplode("node_ids").alias("seq", "node_id"))
+def routable(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """What routes need of all ways that cars may use: ends, their positions, ``one_way`` and ``length_m``. No degrees are
+    counted, and no other column goes through the joins."""
+    e = _pieces(ways, nodes)
+    return e.select("start_node", "end_node", "lat1", "lng1", "lat2", "lng2", "one_way", geo.haversine("lat1", "lng1", "lat2", "lng2").alias("length_m"))
 
 
-def _pieces(flat: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges between consecutive nodes of ways, without degree and length; pieces with an unknown node are left out.
+def _pieces(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between consecutive nodes of ways that cars may use, without degree and length; pieces with an unknown node
+    are left out. A way has its nodes with it, so its pieces come from its own row; tags are read there too.
 
     The id comes from the way and the place in it: no global numbering, so no single partition. A way has
     2000 nodes at most; 20 bits leave room for more.
     """
-    pieces = flat.withColumn("next_id", F.lead("node_id").over(Window.partitionBy("way_id").orderBy("seq"))).filter("next_id is not null")
+    tags, n = F.col("tags"), F.col("node_ids")
+    ends = F.arrays_zip(n.alias("a"), F.slice(n, 2, F.greatest(F.size(n) - 1, F.lit(0))).alias("b"))
+    w = ways.filter(drivable(tags)).select(F.col("id").alias("way_id"), *road_attributes(tags), F.posexplode(ends).alias("seq", "_ends"))
+    attributes = [c for c in w.columns if c not in ("way_id", "seq", "_ends")]
+    e = w.select((F.shiftleft("way_id", WAY_BITS) + F.col("seq")).alias("edge_id"), "way_id", F.col("_ends.a").alias("start_node"), F.col("_ends.b").alias("end_node"), *attributes).filter("end_node is not null")
     at = lambda p, k: nodes.select(F.col("id").alias(f"{p}_node"), F.col("lat").alias(f"lat{k}"), F.col("lng").alias(f"lng{k}"))
-    e = pieces.withColumnsRenamed({"node_id": "start_node", "next_id": "end_node"}).join(at("start", 1), "start_node").join(at("end", 2), "end_node")
-    return e.select((F.shiftleft("way_id", WAY_BITS) + F.col("seq")).alias("edge_id"), "way_id", "start_node", "end_node", "lat1", "lng1", "lat2", "lng2", *road_attributes(F.col("tags")))
+    e = e.join(at("start", 1), "start_node").join(at("end", 2), "end_node")
+    return e.select("edge_id", "way_id", "start_node", "end_node", "lat1", "lng1", "lat2", "lng2", *attributes)
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:

@@ -258,7 +258,8 @@ def town_routes(spark, sf):
     side = math.ceil(math.sqrt(n))
     at = (F.col("c_custkey") * 31) % n
     pairs = read(spark, sf, "customer").select(at.alias("source"), ((at + 3 + 2 * side * (F.col("c_nationkey") % 3 - 1)) % n).alias("target"))
-    return overlay.metres_between(overlay.build(_town(spark, sf), 500), pairs, _ROUTE_M).select("source", "target", F.round("metres", 3).alias("metres"))
+    streets = materialise(roads.routable(derived(spark, sf, "town_node"), town_ways(spark, sf)), "streets")
+    return overlay.metres_between(overlay.build(streets, 500), pairs, _ROUTE_M).select("source", "target", F.round("metres", 3).alias("metres"))
 
 
 @register("region_of_position", f"""with c as (select trip_id id, (min(lat) + max(lat)) / 2 + trip_id % 3 lat, (min(lng) + max(lng)) / 2 lng from {TP} group by trip_id) select c.id, name region from c left join (select * from (select c.id, name, row_number() over (partition by c.id order by (n - s) * (e - w), name) k from c
