@@ -23,6 +23,8 @@ from trailmill.scratch import materialise
 MOST_NODES, COARSEST, LEVELS = 2000, 4.0, 15
 #: Level of the cells by which nodes are dealt, some 14 km high: cells below it are counted where the nodes are.
 DEALT = 5
+#: Nodes of a task that counts these, some: each has a row for every level there. Without a number the plan would make as many tasks as cores.
+TASK_NODES = 100_000
 #: Places that were reached in a round are sent to every task up to this number (some 10 MB), so that jumps stay where they are.
 MOST_SENT = 400_000
 
@@ -52,8 +54,9 @@ def cells_of(nodes: DataFrame, most: int = MOST_NODES) -> DataFrame:
         sums = k.groupBy("_k", "_cy", "_cx").agg(F.sum("_n").alias("_all")).filter(F.col("_all") <= most)
         return n.select("_dy", "_dx").join(k.join(sums, ["_k", "_cy", "_cx"]).groupBy("_dy", "_dx").agg(_largest()), ["_dy", "_dx"], "left")
 
-    dealt = materialise(large(materialise(at.groupBy("_dy", "_dx").agg(F.count(F.lit(1)).alias("_n")), "counts")), "large")
-    at = at.repartition("_dy", "_dx").join(dealt, ["_dy", "_dx"])
+    counts = materialise(at.groupBy("_dy", "_dx").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    tasks = 1 + (counts.agg(F.sum("_n")).first()[0] or 0) // TASK_NODES
+    at = at.repartition(tasks, "_dy", "_dx").join(materialise(large(counts), "large"), ["_dy", "_dx"])
     levels = at.select("*", F.explode(F.when(F.col("_c").isNull(), F.sequence(F.lit(DEALT + 1), F.lit(LEVELS))).otherwise(F.array("_c._k"))).alias("_k"))
     levels = levels.withColumns({"_cy": up("_y", F.col("_k"), LEVELS), "_cx": up("_x", F.col("_k"), LEVELS)})
     levels = levels.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("_dy", "_dx", "_k", "_cy", "_cx")))
