@@ -29,10 +29,11 @@ def accurate(points: DataFrame, most: float) -> DataFrame:
     return points.filter(geo.valid_not_origin("lat", "lng") & (F.col("accuracy_m").isNull() | (F.col("accuracy_m") <= most)))
 
 
-def fill_heading_and_speed(points: DataFrame) -> DataFrame:
+def fill_heading_and_speed(points: DataFrame, source: str | None = None) -> DataFrame:
     """Null or negative headings become the bearing from the point before if it is 3 m away at least, else
     that to the next on the same condition; null or negative speeds that of the step from the point
-    before (the first point: to the next; a lone one: 0)."""
+    before (the first point: to the next; a lone one: 0). ``source`` names a column for what headings come
+    from: struct(given, lat0, lng0, lat1, lng1), the heading before and the points before and after."""
     lat0, lng0, ts0 = (F.lag(c).over(along()) for c in ("lat", "lng", "ts"))
     lat1, lng1, ts1 = (F.lead(c).over(along()) for c in ("lat", "lng", "ts"))
     p = points.select("*", lat0.alias("_lat0"), lng0.alias("_lng0"), ts0.alias("_ts0"), lat1.alias("_lat1"), lng1.alias("_lng1"), ts1.alias("_ts1"))
@@ -42,7 +43,10 @@ def fill_heading_and_speed(points: DataFrame) -> DataFrame:
     speed = F.when(F.col("_ts0").isNotNull(), step(back, F.col("_ts0"), F.col("ts"))).otherwise(F.coalesce(step(ahead, F.col("ts"), F.col("_ts1")), F.lit(0.0)))
     given_h, given_s = F.col("heading_deg"), F.col("speed_mps")
     new = {"heading_deg": F.when(given_h >= 0, given_h).otherwise(F.coalesce(heading, given_h)), "speed_mps": F.when(given_s >= 0, given_s).otherwise(speed)}
-    return p.select(*(new[c].alias(c) if c in new else c for c in points.columns))
+    out = [new[c].alias(c) if c in new else c for c in points.columns]
+    if source:
+        out.append(F.struct(given_h.alias("given"), *(F.col(f"_{c}").alias(c) for c in ("lat0", "lng0", "lat1", "lng1"))).alias(source))
+    return p.select(*out)
 
 
 def _scan(first: np.ndarray, again: Callable[[int, int], bool], end: int) -> np.ndarray:

@@ -7,6 +7,8 @@ of a region together with its roads.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,29 +22,109 @@ from trailmill.operators.routing import FAR, FIELDS, RoadGraph
 from trailmill.params import DEFAULTS, MatchParams
 from trailmill.scratch import materialise
 
+#: By how much probabilities may differ, as a share, and yet be equal but for the last bits of angles and exponents. These
+#: make some 1e-13 at most.
+CLOSE = 1e-9
 
-def candidates(points: DataFrame, edges: DataFrame, most: int, p: MatchParams = DEFAULTS) -> DataFrame:
-    """For each point its ``most`` likeliest edges: ``trip_id, id, ts, lat, lng, rank, edge_id, p_lat, p_lng,
-    distance, theta`` (-1 without a heading), ``offset, direction, raw_prob, prob`` (of a sum of 1).
+
+def likely(points: DataFrame, edges: DataFrame, p: MatchParams = DEFAULTS) -> DataFrame:
+    """For each point all edges that may be its candidates, with ``distance``, ``theta`` (-1 without a heading) and ``raw_prob``.
 
     An edge within the largest normal radius counts as found there; the wider search runs only for
     points without such an edge, and then edges have a penalty and a limit on the heading.
     """
-    pts = materialise(points.select("trip_id", "id", "ts", "lat", "lng", "heading_deg"), "points")  # read three times
+    # What headings come from; without that they are taken as they are.
+    source = "heading_from" if "heading_from" in points.columns else F.struct(F.col("heading_deg").alias("given"), *(F.lit(None).cast("double").alias(c) for c in ("lat0", "lng0", "lat1", "lng1"))).alias("heading_from")
+    pts = materialise(points.select("trip_id", "id", "ts", "lat", "lng", "heading_deg", source), "points")  # read three times
     edges = edges.select("edge_id", "lat1", "lng1", "lat2", "lng2", "one_way", "direction")
     normal = materialise(roads.within(pts, edges, max(p.radii)).withColumn("_wide", F.lit(False)), "near")
     alone = pts.join(normal.select("id").distinct(), "id", "left_anti").select(*pts.columns)
-    near = normal.unionByName(roads.within(alone, edges, max(p.fallback_radii)).withColumn("_wide", F.lit(True)))
+    far = materialise(roads.within(alone, edges, max(p.fallback_radii)).withColumn("_wide", F.lit(True)), "near")
+    near = normal.unionByName(far)
     theta = F.when(F.col("heading_deg").isNull(), -1.0).otherwise(geo.heading_to_road("heading_deg", "direction", "one_way"))
     near = near.withColumn("theta", theta).withColumn("distance", F.col("pr.distance"))
     plain = F.greatest(geo.gaussian("distance", p.sigma_distance) * F.when(F.col("theta") < 0, 1.0).otherwise(geo.gaussian("theta", p.sigma_heading)), F.lit(p.least_prob))
-    by_point = Window.partitionBy("id")
     near = near.filter(~F.col("_wide") | (F.col("theta") < 0) | (F.col("distance") <= p.complexity_radius) | (F.col("theta") <= p.fallback_heading))
-    near = near.withColumn("raw_prob", plain * F.when(F.col("_wide"), p.fallback_penalty).otherwise(1.0))
-    near = near.withColumn("rank", F.row_number().over(by_point.orderBy(F.desc("raw_prob"), "distance", "edge_id"))).filter(F.col("rank") <= most)
+    return near.withColumn("raw_prob", plain * F.when(F.col("_wide"), p.fallback_penalty).otherwise(1.0))
+
+
+def candidates(points: DataFrame, edges: DataFrame, most: int, p: MatchParams = DEFAULTS) -> DataFrame:
+    """For each point its ``most`` likeliest edges: ``trip_id, id, ts, lat, lng, rank, edge_id, p_lat, p_lng,
+    distance, theta`` (-1 without a heading), ``offset, direction, raw_prob, prob`` (of a sum of 1).
+
+    Where two edges meet and a point is nearest to both, their probabilities may be equal but for the last bits of sines and
+    exponents, which the JVM and other engines round in ways of their own. Points with such a close call among their first
+    edges are few; theirs are ranked by the values of the C library, headings included if points have ``heading_from``
+    (see ``clean.fill_heading_and_speed``).
+    """
+    near = likely(points, edges, p)
+    close = materialise(_close_calls(near, most), "close")
+    called = near.join(close, "id", "left_semi").select(*near.columns).withColumn("_exact", _exact(p)(*_CALL))
+    called = called.select(*near.columns, F.col("_exact.raw_prob").alias("_prob"), F.col("_exact.distance").alias("_distance"))
+    plain = near.join(close, "id", "left_anti").select(*near.columns, F.col("raw_prob").alias("_prob"), F.col("distance").alias("_distance"))
+    by_rank = Window.partitionBy("id").orderBy(F.desc("_prob"), "_distance", "edge_id")
+    near = plain.unionByName(called).withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= most)
     return near.select("trip_id", "id", "ts", "lat", "lng", "rank", "edge_id", F.col("pr.lat").alias("p_lat"), F.col("pr.lng").alias("p_lng"), "distance", "theta", F.col("pr.offset").alias("offset"), "direction", "raw_prob", _share(p).alias("prob"))
 
 
+def _close_calls(near: DataFrame, most: int) -> DataFrame:
+    """``id`` of points of whose ``most`` likeliest edges one is as likely as the next, or nearly so."""
+    by_prob = Window.partitionBy("id").orderBy(F.desc("raw_prob"))
+    n = near.select("id", "raw_prob").withColumns({"_row": F.row_number().over(by_prob), "_last": F.lag("raw_prob").over(by_prob)})
+    return n.filter((F.col("_row") <= most + 1) & (F.col("raw_prob") >= F.col("_last") * (1.0 - CLOSE))).select("id").distinct()
+
+
+def _bearing(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
+    p1, p2, d = math.radians(lat1), math.radians(lat2), math.radians(lng2 - lng1)
+    b = math.degrees(math.atan2(math.sin(d) * math.cos(p2), math.cos(p1) * math.sin(p2) - math.sin(p1) * math.cos(p2) * math.cos(d)))
+    return b + 360.0 if b < 0 else b
+
+
+def _heading(lat: float, lng: float, source: dict) -> float | None:
+    """As ``clean.fill_heading_and_speed`` has it."""
+    given, before, after = source["given"], (source["lat0"], source["lng0"]), (source["lat1"], source["lng1"])
+    if given is None or given < 0:
+        if None not in before and arrays.metres(*before, lat, lng) >= 3.0:
+            return _bearing(*before, lat, lng)
+        if None not in after and arrays.metres(lat, lng, *after) >= 3.0:
+            return _bearing(lat, lng, *after)
+    return given
+
+
+def _by_c(lat, lng, source, lat1, lng1, lat2, lng2, one_way, wide, p: MatchParams) -> tuple[float, float]:
+    """``raw_prob`` and ``distance`` of a point and an edge by the C library, in the order of operations of the formulas."""
+    east = math.cos(math.radians((lat + lat1 + lat2) / 3.0)) * geo.DEGREE_M
+    dx, dy = (lng2 - lng1) * east, (lat2 - lat1) * geo.DEGREE_M
+    px, py = (lng - lng1) * east, (lat - lat1) * geo.DEGREE_M
+    size = dx * dx + dy * dy
+    if size > 0:
+        t = max(0.0, min(1.0, (px * dx + py * dy) / size))
+        distance = math.sqrt(math.pow(px - t * dx, 2) + math.pow(py - t * dy, 2))
+    else:
+        distance = arrays.metres(lat, lng, lat1, lng1)
+    prob = math.exp(-0.5 * math.pow(distance / p.sigma_distance, 2)) / (p.sigma_distance * math.sqrt(2 * math.pi))
+    heading = _heading(lat, lng, source)
+    if heading is not None:
+        direction = _bearing(lat1, lng1, lat2, lng2)
+        apart = lambda d: min(a := math.fmod(abs(heading - d), 360.0), 360.0 - a) if math.isfinite(heading) else math.nan
+        theta = apart(direction) if one_way else min(apart(direction), apart(math.fmod(direction + 180.0, 360.0)))
+        prob *= math.exp(-0.5 * math.pow(theta / p.sigma_heading, 2)) / (p.sigma_heading * math.sqrt(2 * math.pi))
+    return max(prob, p.least_prob) * (p.fallback_penalty if wide else 1.0), distance
+
+
+#: What these values come from.
+_CALL = ("lat", "lng", "heading_from", "lat1", "lng1", "lat2", "lng2", "one_way", "_wide")
+
+
+def _exact(p: MatchParams):
+    @F.arrow_udf("struct<raw_prob: double, distance: double>")
+    def exact(lat: pa.Array, lng: pa.Array, source: pa.Array, lat1: pa.Array, lng1: pa.Array, lat2: pa.Array, lng2: pa.Array, one_way: pa.Array, wide: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (lat, lng, source, lat1, lng1, lat2, lng2, one_way, wide)), strict=True)
+        return pa.array([dict(zip(("raw_prob", "distance"), _by_c(*x, p), strict=True)) for x in rows], pa.struct([("raw_prob", pa.float64()), ("distance", pa.float64())]))
+
+    return exact
+
+
 def _share(p: MatchParams) -> Column:
     """The probability of a candidate among those of its point."""
     raw = F.greatest(F.col("raw_prob"), F.lit(p.least_prob))

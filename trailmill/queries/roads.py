@@ -130,7 +130,7 @@ c4 as (select *, greatest(raw_prob, 1e-12) / sum(greatest(raw_prob, 1e-12)) over
 
 
 def _cand(spark, sf):
-    return matching.candidates(clean.fill_heading_and_speed(_points(spark, sf)), _edges(spark), 4)
+    return matching.candidates(clean.fill_heading_and_speed(_points(spark, sf), "heading_from"), _edges(spark), 4)
 
 
 @register("candidates_topk", f"with {CAND} select id, edge_id, round(pd, 3) distance, round(theta, 3) theta, round(off, 3) \"offset\" from c4")
@@ -145,13 +145,13 @@ def candidate_prob_norm(spark, sf):
 
 @register("candidates_best_per_way", f"with {CAND} select id, way_id, round(max(raw_prob), 9) best from c2 group by id, way_id")
 def candidates_best_per_way(spark, sf):
-    c = matching.candidates(clean.fill_heading_and_speed(_points(spark, sf)), _edges(spark), 1_000_000)
+    c = matching.likely(clean.fill_heading_and_speed(_points(spark, sf)), _edges(spark))
     return c.join(road_edges(spark).select("edge_id", "way_id"), "edge_id").groupBy("id", "way_id").agg(F.round(F.max("raw_prob"), 9).alias("best"))
 
 
 @register("heading_gate", f"with {CAND} select id, count(*) n, bool_or(wide) wide from c2 group by id")
 def heading_gate(spark, sf):
-    c = matching.candidates(clean.fill_heading_and_speed(_points(spark, sf)), _edges(spark), 1_000_000)
+    c = matching.likely(clean.fill_heading_and_speed(_points(spark, sf)), _edges(spark))
     return c.groupBy("id").agg(F.count(F.lit(1)).alias("n"), (F.min("distance") > 120).alias("wide"))
 
 
