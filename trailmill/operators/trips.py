@@ -18,6 +18,35 @@ def distances(points: DataFrame) -> DataFrame:
     return p.groupBy("trip_id").agg(F.floor(F.coalesce(F.sum("_s"), F.lit(0.0)) + 0.5).cast("long").alias("distance_m"))
 
 
+def nearest_on_line(points: DataFrame, start_m: float) -> DataFrame:
+    """``trip_id, distance, offset, cut``: the mean position of a trip on its own line, for trips of two points or more. Metres
+    from it to the nearest of its projections on the segments, the first of equals; metres along the line to there; and how
+    many points the line has from ``start_m`` to there, both cut ends among them.
+
+    The same as ``geo.polyline_projection`` and ``geo.slice_polyline`` of the lines, by windows over one sort of the points: those
+    walk arrays outside of compiled code, and work out the lengths so far again in every place that names them.
+    """
+    whole = along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    p = points.select("trip_id", "ts", "id", "lat", "lng", *(F.lead(c).over(along()).alias(f"_{c}1") for c in ("lat", "lng")), *(F.avg(c).over(whole).alias(f"_q{c}") for c in ("lat", "lng")))
+    east = F.cos(F.radians((F.col("_qlat") + F.col("lat") + F.col("_lat1")) / 3.0)) * geo.DEGREE_M
+    p = p.select(
+        "trip_id", "ts", "id", geo.haversine("lat", "lng", "_lat1", "_lng1").alias("_len"), geo.haversine("_qlat", "_qlng", "lat", "lng").alias("_h"),
+        ((F.col("_lng1") - F.col("lng")) * east).alias("_dx"), ((F.col("_lat1") - F.col("lat")) * geo.DEGREE_M).alias("_dy"),
+        ((F.col("_qlng") - F.col("lng")) * east).alias("_px"), ((F.col("_qlat") - F.col("lat")) * geo.DEGREE_M).alias("_py"),
+    )
+    p = p.withColumn("_run", F.coalesce(F.sum("_len").over(along().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    dx, dy, px, py, run = map(F.col, ("_dx", "_dy", "_px", "_py", "_run"))
+    size = dx * dx + dy * dy
+    t = F.when(size > 0, geo.clamp((px * dx + py * dy) / size, 0.0, 1.0)).otherwise(0.0)
+    off = F.sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy))
+    here = F.struct(F.when(size > 0, off).otherwise(F.col("_h")).alias("distance"), "ts", "id", (run + F.sqrt(size) * t).alias("offset"))
+    p = p.select("trip_id", "ts", "id", "_run", F.when(size.isNotNull(), here).alias("_here"))
+    p = p.select("trip_id", "_run", F.min("_here").over(whole).alias("_best"), F.max("_run").over(whole).alias("_whole")).filter(F.col("_best").isNotNull())
+    inside = (run > geo.clamp(start_m, 0.0, F.col("_whole"))) & (run < geo.clamp(F.col("_best.offset"), 0.0, F.col("_whole")))
+    g = p.groupBy("trip_id").agg(F.first("_best").alias("b"), F.count_if(inside).alias("n"))
+    return g.select("trip_id", F.col("b.distance").alias("distance"), F.col("b.offset").alias("offset"), (F.col("n") + 2).cast("int").alias("cut"))
+
+
 def boxes(points: DataFrame) -> DataFrame:
     """``trip_id, min_lat, max_lat, min_lng, max_lng, center_lat, center_lng, zoom``. The span that gives the zoom counts
     to nine digits: that of two coordinates of a few digits would fall below a limit by the error of a difference."""
